@@ -1,0 +1 @@
+"""Operators of the disclosure and price jobs."""

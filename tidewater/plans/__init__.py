@@ -1,0 +1 @@
+"""Plans of the disclosure and price jobs."""

@@ -1,0 +1 @@
+"""Sources of the disclosure and price jobs."""

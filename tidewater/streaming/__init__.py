@@ -1,0 +1 @@
+"""Streaming of the disclosure and price jobs."""
