@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import documents
+from . import bpe, embeddings, fingerprint, licenses, lm, packing, pii, secrets, simhash, toxicity
+from .shared import documents, remainder
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +15,58 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.token_pieces(documents(spark, sf_dir), path, public_tokenizers.PATTERN))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(simhash.fingerprints(documents(spark, sf_dir)))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.report(docs, pii.train(docs))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_bpe_codec": op1_bpe_codec}
+    found = [
+        op1_bpe_codec, op2_embedding_near_dedup, op3_best_fit_packing, op4_toxicity, op5_simhash_near_dedup, op6_pii,
+        op7_lm_scoring, op8_secret_scan, op9_fingerprints, op10_license_scan,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: positions, hashes and learned models are held against brute force in tests/llm instead."""
     return {}
