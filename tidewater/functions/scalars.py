@@ -50,7 +50,7 @@ def tri_state(s: Column) -> Column:
 
 
 def has_role(roles: Column, role: str) -> Column:
-    return F.coalesce(F.array_contains(F.transform(F.split(F.lower(roles), ","), F.trim), role), F.lit(False))
+    return F.coalesce(F.array_contains(F.transform(F.split(F.lower(roles), ","), lambda r: F.trim(r)), role), F.lit(False))
 
 
 def quarter_end(d: Column) -> Column:

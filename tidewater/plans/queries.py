@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fund_queries
+from . import event_queries, fund_queries, signal_queries
 
-PARTS = [fund_queries]
+PARTS = [fund_queries, signal_queries, event_queries]
 
 
 def queries() -> dict:
