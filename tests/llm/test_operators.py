@@ -1,0 +1,423 @@
+"""Each operator on small inputs against a plain version of its definition."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidewater.llm import bpe, embeddings, fingerprint, licenses, lm, packing, pii, secrets, simhash, toxicity
+from tidewater.llm.components import connected_components
+
+PATTERN = public_tokenizers.PATTERN
+MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, token string, unit double, label string"
+WORDS = "the of and an onion thing ereath the tion ingou stble AKIA né über Ñandú 日本 12 it's x²".split(" ")
+
+ODD = [
+    None, "", " ", "\n\n", "a", "the  the", " lead", "trail ", "tab\tand\x0bvt \x1c fs", "MIT License and the mit license mit license",
+    "this work is licensed under the GNU General Public License, version 3.", "mail a.b+c@x-y.example.com, bad@x and 10.0.0.256 or 1.2.3.4.5",
+    "card 4111 1111 1111 1111 or 4111111111111112; call +1 (555) 010-9999 or +12 3", 'password: "abcDEF123456" token=short SECRET = aaaaaaaaaaaaa',
+    "AKIAABCDEFGHIJ1234 AKIAX deadbeefdeadbeef00 0123456789abcde xyz", "key 9f8A7s6D5f4G3h2J1k0LqWeRtYuIoP end", "w" * 3000, "é" * 2000 + " " + "na " * 4000, "idiot you idiot",
+]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(3)
+    out = list(ODD)
+    for _ in range(60):
+        out.append(" ".join(rng.choice(WORDS, rng.integers(1, 120))))
+    out += [out[30]] * 40 + [out[31] + " more"] * 3 + [out[32].replace("the", "teh", 1)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", "s", len(t or ""), "clash", 1.0, "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows + [(None, "no id here", None, None, None, None, None, None)], SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return df.collect()
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_bpe_matches_the_library_and_round_trips(docs, texts, empty):
+    import tiktoken
+
+    ranks = bpe.PrefixEncoder.load(MULTI).ranks
+    enc = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = by_id(bpe.round_trip_digests(docs, MULTI, PATTERN))
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "")
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    encoded = bpe.encode(docs, MULTI, PATTERN)
+    assert by_id(bpe.decode(encoded, MULTI))[11]["bytes"] == texts[11].encode()
+    assert rows(bpe.round_trip_digests(empty, MULTI, PATTERN)) == []
+
+
+def test_bpe_prefix_table_under_edits():
+    enc = bpe.PrefixEncoder.load(MULTI)
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        text = bytes(rng.choice(list(b"aeinthos 0\xc3\xa9r"), rng.integers(0, 200)).astype(np.uint8))
+        table = bpe.PrefixTable(enc, text)
+        a, b = sorted(rng.integers(0, len(text) + 1, 2))
+        redone = table.splice(int(a), int(b), b"ing")
+        table.append(b"tion")
+        want = text[:a] + b"ing" + text[b:] + b"tion"
+        assert table.text == want and table.ids() == enc.piece(want)
+        assert redone <= len(want)
+        assert enc.piece(want) == [enc.ranks[t] for t in ([want] if want in enc.ranks else enc.merge(want))]
+
+
+def test_packing_keeps_every_piece_and_beats_nothing_it_should_not(docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    pieces = packing.token_pieces(docs, path, PATTERN, capacity=64)
+    got = rows(packing.pack(pieces, capacity=64, block=50))
+    want = {}
+    for i, t in [*enumerate(texts), (None, "no id here")]:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        first = (len(ids) - 1) % 64 + 1
+        starts = [0, *range(first, len(ids), 64)]
+        for k, s in enumerate(starts):
+            part = ids[s : starts[k + 1] if k + 1 < len(starts) else len(ids)]
+            want[i, k] = (s, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for off, n in sorted(b):
+            assert off == at
+            at += n
+        assert at <= 64
+    total = sum(r["length"] for r in got)
+    assert len(bins) <= -(-total // 64) * 1.1 + 5
+    assert rows(packing.pack(packing.token_pieces(empty, path, PATTERN))) == []
+
+
+def test_local_search_empties_bins():
+    lengths = [6, 6, 5, 5, 4, 4, 3, 3, 2, 2, 1, 1, 7, 7, 8]
+    start = [[i] for i in range(len(lengths))]
+    done = packing.local_search(lengths, start, 10, 1000)
+    assert sorted(i for b in done for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 10 for b in done)
+    assert len(done) <= 8 and len(packing.best_fit(lengths, 10)) <= 8
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(500 + i, 501 + i) for i in range(70)] + [(7, None), (9, 9)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    top = {}
+
+    def root(i):
+        while top.setdefault(i, i) != i:
+            i = top[i]
+        return i
+
+    for a, b in pairs:
+        if b is not None and a != b:
+            x, y = root(a), root(b)
+            top[max(x, y)] = min(x, y)
+    assert got == {i: root(i) for i in top}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_simhash(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    if not shingles:
+        return 0
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def test_simhash_groups(docs, texts, empty):
+    prints = simhash.fingerprints(docs)
+    got = by_id(simhash.groups(prints))
+    fps = {i: plain_simhash(t) for i, t in enumerate(texts)}
+    comp = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for i in fps:
+            for j in fps:
+                if (fps[i] ^ fps[j]).bit_count() <= 3 and comp[j] < comp[i]:
+                    comp[i], changed = comp[j], True
+    for i in fps:
+        assert got[i]["fp"] & (2**64 - 1) == fps[i] and got[i]["component_id"] == comp[i]
+    assert got[None]["component_id"] is None
+    assert rows(simhash.groups(simhash.fingerprints(empty))) == []
+
+
+def test_simhash_large_buckets(spark):
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 2**62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(900)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    found = {r["node"]: r["component"] for r in connected_components(simhash.links(nodes, side=40)).collect()}
+    u = np.array(fps, dtype=np.int64).view(np.uint64)
+    comp = list(range(len(u)))
+    for _ in range(20):
+        for i in range(len(u)):
+            near = np.flatnonzero(np.bitwise_count(u ^ u[i]) <= 3)
+            low = min(comp[j] for j in near)
+            for j in near:
+                comp[j] = min(comp[j], low)
+    assert {i: found.get(i, i) for i in range(len(u))} == dict(enumerate(comp))
+
+
+def test_spark_hashes_like_the_reference_hash(spark):
+    words = ["", "a", "abcd", "abcdefgh", "é" * 7, "x" * 33, "the of and"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    assert all(r["h"] & (2**64 - 1) == xxhash.xxh64_intdigest(r["w"].encode(), 42) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [4096, 30])
+def test_embeddings(spark, block):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 16))
+    x = np.concatenate([centres[rng.integers(0, 6, 150)] + rng.normal(scale=0.17, size=(150, 16)), rng.normal(size=(60, 16)), np.repeat(centres[:1], 25, 0)])
+    data = [(i, [float(v) for v in r], int(i % 2) if i < 210 else 1) for i, r in enumerate(x)]
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [None] + [1.0] * 15, 1), (903, [float("nan")] * 16, 1), (904, data[0][1], None), (905, [1.0] * 8, 1), (906, [float("inf")] * 16, 0), (None, data[0][1], 0)]
+    df = spark.createDataFrame([(*r, "clash") for r in data + odd], "vec_id long, embedding array<double>, label int, unit string")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, block=block).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in data])
+    link = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([min(comp[i], comp[link[i]].min(initial=10**9)) for i in range(len(x))])
+        if (new == comp).all():
+            break
+        comp = new
+    for i in range(len(x)):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum(), comp[i], comp[i] == i), i
+    for i in (900, 901, 902, 903, 904, 905, 906):
+        assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
+    assert got[None]["n_links"] == 0
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_toxicity_learns_and_leaves_held_out_labels_alone(spark, empty):
+    rng = np.random.default_rng(6)
+    plain = "the of and an onion thing ereath tion ingou stble hat row pin".split()
+    data, labels = [], []
+    for i in range(900):
+        w = list(rng.choice(plain, rng.integers(3, 60)))
+        bad = i % 6 == 0
+        if bad:
+            w[int(rng.integers(len(w)))] = str(rng.choice(["idiot", "moron", "scum"]))
+        data.append((i, " ".join(w)))
+        labels.append((i, int(bad) if zlib.crc32(str(i).encode()) % 5 else 1 - int(bad), None))
+    docs = spark.createDataFrame(data + [(None, None), (1000, ""), (1001, "Idiot!")], "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(None, 1, None), (3, None, None)], "doc_id long, toxic int, text string")
+    w = toxicity.train(docs, lab, sample=800, l1=2.0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, w).collect()}
+    assert all((got[i] >= 0.5) == (i % 6 == 0) for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0)
+    assert got[1000] == got[None] < 0.5 <= got[1001] and len(w.at) < 400
+    assert toxicity.keep_below(docs, w, 0.5).count() == 752
+    none = toxicity.train(empty, lab)
+    assert rows(toxicity.score(docs.where("doc_id = 5"), none))[0]["score"] < 0.01
+
+
+def plain_pii(text):
+    out = []
+    luhn = lambda d: sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for kind, p, ok in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ):
+        out += [(kind, *m.span()) for m in re.finditer(p, text) if ok(m[0])]
+    return out
+
+
+def test_pii(docs, texts, empty):
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("1234 .-+@a()b%\n4"), rng.integers(0, 40)))
+        assert pii.base_spans(t) == plain_pii(t), t
+    model = pii.train(docs)
+    got = by_id(pii.report(docs, model))
+    for i, t in enumerate(texts):
+        base = plain_pii(t or "")
+        want = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(got[i]["spans"].split(",")) | {""}
+    redacted = pii.redact(docs, model)
+    assert redacted.columns == docs.columns
+    clean = by_id(redacted)
+    assert clean[11]["text"].startswith("mail [EMAIL], bad@x and") and clean[0]["text"] is None and clean[12]["n_chars"] == len(clean[12]["text"])
+    assert rows(pii.report(empty, pii.train(empty))) == []
+
+
+def test_skip_chain_agrees_over_repeats(spark):
+    """A number that is marked as a phone once is one at its bare repeats."""
+    rng = np.random.default_rng(9)
+    data = []
+    for i in range(300):
+        n = f"{rng.integers(10**9, 10**10)}"
+        data.append((i, f"call +{n} now or {n} later with {i} more" if i % 2 else f"there were {i} of them in {1900 + i}"))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    model = pii.train(docs)
+    fields = [pii.Field(t, model["bits"]) for _, t in data]
+    assert any(f.far or f.near for f in fields)
+    p = pii.marginals(model, fields)
+    assert np.allclose(p.sum(axis=1), 1)
+    gold = np.concatenate([f.gold(pii.base_spans(t)) for f, (_, t) in zip(fields, data)])
+    assert (p.argmax(axis=1)[gold > 0] == gold[gold > 0]).mean() > 0.95
+
+
+def test_language_model(docs, texts, empty):
+    got = by_id(lm.score(docs))
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2] + ["no id here"]
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
+    c = Counter(w for t in train for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        w = tokens(t)
+        base = sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
+    held = [r for i, r in got.items() if i is not None and r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert got[None]["held_out"] is False
+    assert rows(lm.score(empty)) == []
+
+
+def test_language_model_probabilities_sum_to_one():
+    head = [(b"a", 50), (b"b", 30), (b"\n", 10), (b"c", 10)]
+    key = lambda *ids: sum((i + 1) * lm._STEP ** (len(ids) - 1 - k) for k, i in enumerate(ids))
+    grams = {key(0, 1): 20, key(0, 0): 15, key(1, 0): 25, key(0, 1, 0): 12, key(0, 0, 1): 5}
+    m = lm.build(head, 100, 4, 3, grams)
+    for before in ([], [0], [1], [0, 1], [0, 0], [1, 0], [3], [3, 0]):
+        total = 0.0
+        for w in (0, 1, 2, 3, -1):
+            extra, arc = m.walk(np.array([*before, w]))
+            own = np.log10(1 / 105) if w < 0 else m.log[w]
+            total += 10 ** (extra[-1] + (0 if arc[-1] else own))
+        assert abs(total - 1) < 1e-6, before
+
+
+def plain_secrets(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), 0, m.end())] if len(m[2]) >= 12 else []
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets(spark, docs, texts, empty):
+    rng = np.random.default_rng(10)
+    more = ["".join(rng.choice(["token", "=", ":", " ", '"', "AKIA", "Z9", "deadbeef", "é", "x", "Secret", "\n", "0123456789ab"], rng.integers(0, 25))) for _ in range(400)]
+    every = [*enumerate(texts), *enumerate(more, 1000)]
+    df = spark.createDataFrame(every, "doc_id long, text string")
+    got = by_id(secrets.report(df))
+    for i, t in every:
+        want = plain_secrets(t or "")
+        line = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest(), (t, line, got[i]["spans"])
+        assert [got[i][f"n_{k}"] for k in secrets.KINDS] == [sum(w[1] == j for w in want) for j in range(3)]
+        assert set(line.split(",")) <= set(got[i]["spans"].split(",")) | {""}
+    assert "random:4:34" in got[15]["spans"]
+    assert rows(secrets.report(empty)) == []
+
+
+def test_secret_battery_tells_random_from_words(spark):
+    rng = np.random.default_rng(11)
+    alpha = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    data = [(i, "".join(rng.choice(alpha, 40))) for i in range(100)] + [(i, "".join(rng.choice(["thing", "onion", "2", "ereath", "hat"], 8))) for i in range(100, 200)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    hit = {r["doc_id"] for r in secrets.find(df).where(F.size("added") > 0).collect()}
+    assert len([i for i in hit if i < 100]) >= 95 and len([i for i in hit if i >= 100]) <= 5
+
+
+def test_fingerprints(docs, texts, empty):
+    got = {r["doc_id"]: r for r in fingerprint.edits(docs).collect()}
+    plain = by_id(fingerprint.fingerprints(docs))
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest(), i
+        assert r["fingerprint"] == plain[i]["fingerprint"]
+        if (texts[(i + 1) % len(texts)] or "") == t:
+            assert r["near_next"] == 1
+    assert got[30]["fingerprint"] == got[len(ODD) + 60]["fingerprint"] if texts[30] == texts[len(ODD) + 60] else True
+    assert rows(fingerprint.edits(empty)) == []
+    assert fingerprint.edits(docs.where("doc_id = 3")).count() == 1
+
+
+def test_fingerprints_follow_generalised_jaccard():
+    s, rng = fingerprint.Sampler(256), np.random.default_rng(12)
+    vocabulary = [f"w{i}".encode() for i in range(80)]
+    for share in (0.2, 0.5, 0.8):
+        a = list(rng.choice(vocabulary, 150))
+        b = a[: int(150 * share)] + list(rng.choice(vocabulary, 150 - int(150 * share)))
+        ca, cb = Counter(a), Counter(b)
+        want = sum((ca & cb).values()) / sum((ca | cb).values())
+        assert abs((s.signature(a) == s.signature(b)).mean() - want) < 0.13
+    assert (s._large(a) == s.signature(a)).mean() > 0.97
+
+
+def test_licenses(docs, texts, empty):
+    got = by_id(licenses.scan(docs))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min([k for k, _ in at], default=None), max([k for k, _ in at], default=None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in at}))
+        labels = {label for _, label in at}
+        for b in licenses.blocks(t or ""):
+            for label, text in licenses.TEMPLATES:
+                own = set(licenses.words(text))
+                if len(own & set(b)) >= max(1, int(np.ceil(0.8 * len(own) - 1e-9))):
+                    labels.add(label)
+        assert r["labels"] == ",".join(sorted(labels))
+    assert rows(licenses.scan(empty)) == []
+
+
+def test_license_filters_miss_nothing():
+    rng = np.random.default_rng(13)
+    index = licenses.Index.build(licenses.TEMPLATES, {}, 0.6)
+    every = [w for _, t in licenses.TEMPLATES for w in licenses.words(t)]
+    for _ in range(400):
+        block = list(rng.choice(every, rng.integers(1, 60)))
+        want = {}
+        for label, own, need in index.sets:
+            both = len(set(own) & set(block))
+            if both >= need:
+                want[label] = max(want.get(label, 0), both / len(own))
+        assert index.matches(block) == want

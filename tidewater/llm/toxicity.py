@@ -69,8 +69,8 @@ def ftrl(rows, bits: int, alpha: float, beta: float, l1: float, l2: float):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 16384, passes: int = 4,
-    alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, fold: int = 5,
+    docs: DataFrame, labels: DataFrame, bits: int = 20, sample: int = 16384, passes: int = 6,
+    alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, fold: int = 5,
 ) -> Weights:
     """Fit on labelled documents whose crc32(doc_id as text) mod fold is not 0.
 
