@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import event_queries, fund_queries, signal_queries
+from . import event_queries, fund_queries, signal_queries, source_queries
 
-PARTS = [fund_queries, signal_queries, event_queries]
+PARTS = [fund_queries, signal_queries, event_queries, source_queries]
 
 
 def queries() -> dict:
