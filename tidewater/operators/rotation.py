@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,38 +87,34 @@ def actual_position(ledger: DataFrame, dust: float = 1e-6) -> DataFrame:
     return out.withColumn("qty", F.when(F.abs("qty") < dust, 0).otherwise(F.col("qty")))
 
 
-LEDGER = "account long, ticker string, date date, id long, qty double, avg double, realized double, sold double, closes boolean"
-
-
 def average_cost(ledger: DataFrame) -> DataFrame:
     """A row for each counted sell and a closing row (closes) for each account and ticker, in order of (date, id).
 
-    The average is a true recurrence, so each (account, ticker) is walked in one group; such a
-    group is one person's trades in one stock.
+    The average is a true recurrence: buys re-average, sells realise at most what is held, and those
+    without a basis are skipped. Each (account, ticker), one person's trades in one stock, is folded
+    over its sorted trades.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["date", "id"])
-        held = avg = realized = 0.0
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.side == "buy":
-                avg = (held * avg + r.qty * r.price) / (held + r.qty)
-                held += r.qty
-            elif held > 0:
-                sold = min(r.qty, held)
-                realized += sold * (r.price - avg)
-                held -= sold
-                if held <= 0:
-                    held = 0.0
-                out.append((r.account, r.ticker, r.date, r.id, held, avg, realized, sold, False))
-                if held == 0:
-                    avg = 0.0
-        last = rows.iloc[-1]
-        out.append((last.account, last.ticker, last.date, last.id, held, avg, realized, 0.0, True))
-        return pd.DataFrame(out, columns=["account", "ticker", "date", "id", "qty", "avg", "realized", "sold", "closes"])
-
-    return ledger.groupBy("account", "ticker").applyInPandas(walk, LEDGER)
+    trades = F.sort_array(F.collect_list(F.struct("date", "id", "side", F.col("qty").cast("double").alias("qty"), "price")))
+    sale = "struct<date:date,id:bigint,qty:double,avg:double,realized:double,sold:double,closes:boolean>"
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("held"), zero.alias("avg"), zero.alias("realized"), F.array().cast(f"array<{sale}>").alias("out"))
+
+    def step(acc, t):
+        buy, held = t["side"] == "buy", acc["held"]
+        counted = ~buy & (held > 0)
+        sold = F.when(counted, F.least(t["qty"], held)).otherwise(zero)
+        avg = F.when(buy, (held * acc["avg"] + t["qty"] * t["price"]) / (held + t["qty"])).otherwise(acc["avg"])
+        realized = acc["realized"] + sold * (t["price"] - acc["avg"])
+        left = F.when(buy, held + t["qty"]).otherwise(held - sold)
+        row = F.struct(t["date"].alias("date"), t["id"].alias("id"), left.alias("qty"), avg.alias("avg"), realized.alias("realized"), sold.alias("sold"), F.lit(False).alias("closes"))
+        out = F.when(counted, F.array_append(acc["out"], row)).otherwise(acc["out"])
+        return F.struct(left.alias("held"), avg.alias("avg"), realized.alias("realized"), out.alias("out"))
+
+    folded = ledger.groupBy("account", "ticker").agg(trades.alias("t")).withColumn("f", F.aggregate("t", start, step))
+    last = F.element_at("t", -1)
+    open_avg = F.when(F.col("f.held") > 0, F.col("f.avg")).otherwise(zero)
+    end = F.struct(last["date"].alias("date"), last["id"].alias("id"), F.col("f.held").alias("qty"), open_avg.alias("avg"), F.col("f.realized").alias("realized"), zero.alias("sold"), F.lit(True).alias("closes"))
+    return folded.select("account", "ticker", F.explode(F.array_append("f.out", end)).alias("r")).select("account", "ticker", "r.*")
 
 
 def account_summary(walked: DataFrame, prices: DataFrame) -> DataFrame:

@@ -152,10 +152,10 @@ QUERIES = {
     "rot_05_sleeve_trades": lambda s, d: _r(trades(s, d).drop("shares"), "price", "capital", n=4),
     "rot_06_equity": lambda s, d: _r(R.equity(trades(s, d), bars(s, d), bench(s, d), CORE, R.month_ends(bench(s, d)), 100000.0), "sleeve", "core", "benchmark", n=3),
     "rot_07_actual_position": lambda s, d: _r(R.actual_position(ledger(s, d)), "cash", n=3),
-    "led_01_average_cost": lambda s, d: _r(walked(s, d), "avg", "realized", n=4),
+    "led_01_average_cost": lambda s, d: _r(walked(s, d), "avg", "realized", n=6),
     "led_02_account_summary": lambda s, d: _r(R.account_summary(walked(s, d), last_prices(s, d)), "invested", "value", "realized", "unrealized", "win_rate", n=4),
     "led_03_cash_summary": lambda s, d: _r(R.cash_summary(
-        ledger(s, d).select("account", F.when(F.col("side") == "buy", F.round(F.col("qty") * F.col("price"), 2)).otherwise(F.round(-F.col("qty") * F.col("price") / 2, 2)).alias("amount")),
+        ledger(s, d).select("account", (F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")) * F.floor(F.col("price") * 10)).cast("double").alias("amount")),
         ledger(s, d).groupBy("account").agg(F.sum("qty").cast("double").alias("value")), s.createDataFrame([(1.25,)], "rate double")), "deposited", "withdrawn", "net", "gain", "pct", n=3),
     "evt_01_dedupe_reports": lambda s, d: _r(V.dedupe_reports(table(s, d, "reports"), AS_OF), "surprise"),
     "evt_02_reaction_days": lambda s, d: reports(s, d).select("ticker", "date", "session", "ridx"),
@@ -208,8 +208,15 @@ _SQL = {
         JOIN bars b ON b.ticker = s.ticker AND b.date = e.date JOIN bench q ON q.date = e.date JOIN bench q0 ON q0.date = f.first
         JOIN (SELECT b.date, avg(b.close / b0.close) AS v FROM bars b CROSS JOIN f JOIN bars b0 ON b0.ticker = b.ticker AND b0.date = f.first WHERE b.ticker IN ({_CORE}) GROUP BY b.date HAVING count(*) = {len(CORE)}) c ON c.date = e.date WHERE e.date >= f.first""",
     "rot_07_actual_position": "SELECT account, ticker, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END)::bigint AS qty, round(sum(CASE side WHEN 'buy' THEN -qty ELSE qty END * price), 3) AS cash FROM ledger GROUP BY ALL",
+    "led_01_average_cost": """WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY account, ticker ORDER BY date, id) AS k, count(*) OVER (PARTITION BY account, ticker) AS n FROM ledger),
+        r AS (SELECT account, ticker, k, n, date, id, CASE side WHEN 'buy' THEN qty ELSE 0 END::double AS held, CASE side WHEN 'buy' THEN price ELSE 0 END::double AS avg, 0::double AS realized, 0::double AS sold, false AS counted FROM w WHERE k = 1
+          UNION ALL SELECT w.account, w.ticker, w.k, w.n, w.date, w.id, CASE WHEN side = 'buy' THEN held + qty ELSE held - least(qty, held) END::double, CASE WHEN side = 'buy' THEN (held * avg + qty * price) / (held + qty) ELSE avg END::double,
+            CASE WHEN side = 'buy' THEN realized ELSE realized + least(qty, held) * (price - avg) END::double, CASE WHEN side = 'buy' THEN 0 ELSE least(qty, held) END::double, side <> 'buy' AND held > 0
+          FROM r JOIN w ON w.account = r.account AND w.ticker = r.ticker AND w.k = r.k + 1)
+        SELECT account, ticker, date, id, held AS qty, round(avg, 6) AS avg, round(realized, 6) AS realized, sold, false AS closes FROM r WHERE counted
+        UNION ALL SELECT account, ticker, date, id, held, CASE WHEN held > 0 THEN round(avg, 6) ELSE 0 END, round(realized, 6), 0, true FROM r WHERE k = n""",
     "led_03_cash_summary": """SELECT account, round(coalesce(p, 0), 3) AS deposited, round(coalesce(n, 0), 3) AS withdrawn, round(net, 3) AS net, round(v * 1.25 - net, 3) AS gain, CASE WHEN net > 0 THEN round(100 * (v * 1.25 - net) / net, 3) END AS pct FROM (
-        SELECT account, sum(amount) FILTER (amount > 0) AS p, sum(-amount) FILTER (amount < 0) AS n, sum(amount) AS net, sum(qty) AS v FROM (SELECT account, qty, CASE side WHEN 'buy' THEN round(qty * price, 2) ELSE round(-qty * price / 2, 2) END AS amount FROM ledger) GROUP BY account)""",
+        SELECT account, sum(amount) FILTER (amount > 0) AS p, sum(-amount) FILTER (amount < 0) AS n, sum(amount) AS net, sum(qty) AS v FROM (SELECT account, qty, (CASE side WHEN 'buy' THEN qty ELSE -qty END * floor(price * 10))::double AS amount FROM ledger) GROUP BY account)""",
     "evt_01_dedupe_reports": "SELECT ticker, date, session, round(surprise, 6) AS surprise FROM kept",
     "evt_02_reaction_days": "SELECT ticker, date, session, ridx FROM reacted",
     "evt_03_measures": """SELECT ticker, date, round(pre, 6) AS pre, round(pre_excess, 6) AS pre_excess, round(react, 6) AS react, round(react_excess, 6) AS react_excess, round(drift, 6) AS drift, round(drift_excess, 6) AS drift_excess, status FROM measured""",

@@ -97,7 +97,7 @@ def fund_reports(s, d):
 
 def histories(s, d):
     t = table(s, d, "etf_daily").where("day(date) < 6")
-    row = _cat("<Row><Cell>", F.date_format("date", "MMM d, yyyy"), "</Cell><Cell>", F.format_number("nav", 4), "</Cell><Cell>", F.when(F.dayofmonth("date") == 2, "0").otherwise(F.format_number(F.col("shares_out").cast("double"), 0)), "</Cell></Row>")
+    row = _cat("<Row><Cell>", F.date_format("date", "MMM d, yyyy"), "</Cell><Cell>", F.format_number(F.floor("nav").cast("double"), 2), "</Cell><Cell>", F.when(F.dayofmonth("date") == 2, "0").otherwise(F.format_number(F.col("shares_out").cast("double"), 0)), "</Cell></Row>")
     return X.parse_issuer_history(t.groupBy("ticker").agg(F.array_join(F.collect_list(row), "\n").alias("text")))
 
 
@@ -162,9 +162,11 @@ def _stream(s, d):
 
 
 def _landing(s, d):
-    """The events as a landing folder of a few files."""
+    """The events as a landing folder to which the parts of the month come one after another."""
     path = f"{folder(s)}/landing-{uuid.uuid4().hex}"
-    _read(s, d, "events").repartitionByRange(4, "ts").write.parquet(path)
+    e = _read(s, d, "events")
+    for part in range(4):
+        e.where(F.floor(F.dayofmonth("ts") / 8) == part).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -267,7 +269,7 @@ _SQL = {
         x AS (SELECT ticker, accession, last_day(date_trunc('month', m) - INTERVAL 1 MONTH * (3 - g))::date AS month_end, CASE WHEN (k + g) % 4 <> 0 THEN k % (50 * g) - k % (30 * g) END AS net, k, g FROM r, (VALUES (1), (2), (3)) t(g) WHERE ticker IS NOT NULL)
         SELECT ticker, month_end, max_by(net, accession)::double AS net FROM x WHERE net IS NOT NULL GROUP BY ALL""",
     "src_07_fund_report": "SELECT o_orderkey AS id, 'S' || o_custkey AS series_id, o_orderdate::date AS period, o_orderkey + 0.5::double AS net_assets, 1.5::double AS r1, CASE WHEN o_orderkey % 2 = 1 THEN -2.0::double END AS r2, 0.0::double AS r3 FROM orders",
-    "src_08_issuer_history": "SELECT ticker, date, round(nav, 3) AS nav, shares_out::double AS shares FROM etf_daily WHERE day(date) < 6 AND day(date) <> 2",
+    "src_08_issuer_history": "SELECT ticker, date, floor(nav)::double AS nav, shares_out::double AS shares FROM etf_daily WHERE day(date) < 6 AND day(date) <> 2",
     "src_09_daily_index": """SELECT CASE o_orderkey % 3 WHEN 0 THEN '4' ELSE '4/A' END AS form_type, 'Company ' || o_custkey || ' Inc' AS company, lpad(o_custkey::varchar, 10, '0') AS cik, o_orderdate::date AS filed, 'edgar/' || o_orderkey || '.txt' AS file FROM orders WHERE o_orderkey % 3 < 2""",
     "src_10_stakes": """SELECT filing_id, CASE subtype WHEN '13D' THEN '13D' ELSE '13G/A' END AS subtype, CASE subtype WHEN '13D' THEN 'ABC123' ELSE '12345' || substring(ticker, 2, 2) || 'A' END AS cusip, CASE subtype WHEN '13D' THEN ticker ELSE 'Company ' || ticker || ', Inc.' END AS issuer,
         round(percent_owned, 2) AS percent_owned, filed AS event_date FROM stakes""",
