@@ -67,6 +67,35 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: positions, hashes and learned models are held against brute force in tests/llm instead."""
-    return {}
+    """SQL where it can express an operator; the others are held against brute force in tests/llm."""
+    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES.items())
+    return {
+        "op2_embedding_near_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON b.label = a.label AND b.vec_id <> a.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+            r AS (SELECT vec_id AS node, vec_id AS top FROM embeddings UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.node),
+            c AS (SELECT node, min(top) AS top FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+            SELECT x.vec_id, coalesce(n.n, 0) AS n_links, c.top AS component_id, x.vec_id = c.top AS kept FROM embeddings x JOIN c ON c.node = x.vec_id LEFT JOIN n ON n.a = x.vec_id""",
+        "op10_license_scan": f"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+            p AS (SELECT string_split(a, ' ') AS pw, b AS label FROM (VALUES {phrases}) t(a, b)),
+            stands AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, label, pw, unnest(range(len(w) - len(pw) + 1)) AS i FROM d, p WHERE len(w) >= len(pw) AND list_has_all(w, pw)) WHERE w[i + 1 : i + len(pw)] = pw),
+            base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list_sort(list(DISTINCT label)) AS labels FROM stands GROUP BY doc_id),
+            lines AS (SELECT doc_id, {_WORDS.format("unnest(string_split(text, chr(10)))")} AS w FROM d),
+            blocks AS (SELECT doc_id, list_distinct(w[s + 1 : s + 128]) AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 64), 64)) AS s FROM lines)),
+            t AS (SELECT k, label, list_distinct(string_split(x, ' ')) AS tw FROM (VALUES {templates}) t(k, label, x)),
+            met AS (SELECT doc_id, label, max(both / len(tw)) AS share FROM (SELECT doc_id, label, tw, len(list_intersect(tw, w)) AS both FROM blocks, t WHERE len(w) >= 0.8 * len(tw) - 1e-9)
+                WHERE both >= ceil(0.8 * len(tw) - 1e-9) GROUP BY ALL),
+            more AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
+            SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.z AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+                   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+                   CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(more.share, 0.0) END::double AS score
+            FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN more ON more.doc_id = d.doc_id""",
+    }
