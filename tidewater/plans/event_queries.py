@@ -50,6 +50,21 @@ VIEWS = Sig.VIEWS | {
         LEFT JOIN px q ON q.ticker = r.ticker AND q.idx = r.ridx + g.k - 1 WHERE r.ridx IS NOT NULL""",
     "moves": """SELECT ticker, date, CASE WHEN count(v) FILTER (k BETWEEN -10 AND -1) = 10 THEN product(1 + v / 100000) FILTER (k BETWEEN -10 AND -1) - 1 END AS x, CASE WHEN count(v) FILTER (k BETWEEN 0 AND 4) = 5 THEN product(1 + v / 100000) FILTER (k BETWEEN 0 AND 4) - 1 END AS y
         FROM daily GROUP BY ALL""",
+    "walks": """WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY account, ticker ORDER BY date, id) AS k, count(*) OVER (PARTITION BY account, ticker) AS n FROM ledger),
+        r AS (SELECT account, ticker, k, n, date, id, CASE side WHEN 'buy' THEN qty ELSE 0 END::double AS held, CASE side WHEN 'buy' THEN price ELSE 0 END::double AS avg, 0::double AS realized, 0::double AS sold, false AS counted FROM w WHERE k = 1
+          UNION ALL SELECT w.account, w.ticker, w.k, w.n, w.date, w.id, CASE WHEN side = 'buy' THEN held + qty ELSE held - least(qty, held) END::double, CASE WHEN side = 'buy' THEN (held * avg + qty * price) / (held + qty) ELSE avg END::double,
+            CASE WHEN side = 'buy' THEN realized ELSE realized + least(qty, held) * (price - avg) END::double, CASE WHEN side = 'buy' THEN 0 ELSE least(qty, held) END::double, side <> 'buy' AND held > 0
+          FROM r JOIN w ON w.account = r.account AND w.ticker = r.ticker AND w.k = r.k + 1)
+        SELECT account, ticker, date, id, held AS qty, avg, realized, sold, false AS closes FROM r WHERE counted
+        UNION ALL SELECT account, ticker, date, id, held, CASE WHEN held > 0 THEN avg ELSE 0 END, realized, 0, true FROM r WHERE k = n""",
+    "vols": """SELECT r.ticker, r.date, g.k, p.volume, avg(p.volume) FILTER (g.k < -30 AND p.volume > 0) OVER (PARTITION BY r.ticker, r.date) AS m, count(*) FILTER (g.k < -30 AND p.volume > 0) OVER (PARTITION BY r.ticker, r.date) AS n
+        FROM reacted r CROSS JOIN (SELECT unnest(range(-90, 0)) AS k) g LEFT JOIN px p ON p.ticker = r.ticker AND p.idx = r.ridx + g.k WHERE r.ridx IS NOT NULL""",
+    "vpath": "SELECT ticker, date, k, CASE WHEN n >= 40 THEN round(100 * volume::double / m)::int END AS v, n FROM vols WHERE k >= -30",
+    "feats": """SELECT *, lag(react) OVER (PARTITION BY ticker ORDER BY date) AS prev_react FROM (SELECT d.ticker, d.date, s.industry, date_trunc('week', d.date)::date AS week,
+        CASE WHEN count(v) FILTER (k BETWEEN -10 AND -1) = 10 THEN product(1 + v / 100000) FILTER (k BETWEEN -10 AND -1) - 1 END AS pre, CASE WHEN count(v) FILTER (k = 0) = 1 THEN product(1 + v / 100000) FILTER (k = 0) - 1 END AS react,
+        CASE WHEN count(v) FILTER (k BETWEEN 0 AND 4) = 5 THEN product(1 + v / 100000) FILTER (k BETWEEN 0 AND 4) - 1 END AS fiveday, CASE WHEN count(v) FILTER (k BETWEEN 1 AND 20) = 20 THEN product(1 + v / 100000) FILTER (k BETWEEN 1 AND 20) - 1 END AS drift
+        FROM daily d JOIN securities s ON s.ticker = d.ticker GROUP BY ALL)""",
+    "vmeans": "SELECT ticker, date, avg(v) / 100 AS vol, max(v) FILTER (k = -1) / 100 AS vol_last FROM vpath GROUP BY ALL",
 }
 
 
@@ -153,7 +168,7 @@ QUERIES = {
     "rot_06_equity": lambda s, d: _r(R.equity(trades(s, d), bars(s, d), bench(s, d), CORE, R.month_ends(bench(s, d)), 100000.0), "sleeve", "core", "benchmark", n=3),
     "rot_07_actual_position": lambda s, d: _r(R.actual_position(ledger(s, d)), "cash", n=3),
     "led_01_average_cost": lambda s, d: _r(walked(s, d), "avg", "realized", n=6),
-    "led_02_account_summary": lambda s, d: _r(R.account_summary(walked(s, d), last_prices(s, d)), "invested", "value", "realized", "unrealized", "win_rate", n=4),
+    "led_02_account_summary": lambda s, d: _r(R.account_summary(walked(s, d), last_prices(s, d)), "invested", "value", "realized", "unrealized", "win_rate", n=6),
     "led_03_cash_summary": lambda s, d: _r(R.cash_summary(
         ledger(s, d).select("account", (F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")) * F.floor(F.col("price") * 10)).cast("double").alias("amount")),
         ledger(s, d).groupBy("account").agg(F.sum("qty").cast("double").alias("value")), s.createDataFrame([(1.25,)], "rate double")), "deposited", "withdrawn", "net", "gain", "pct", n=3),
@@ -208,19 +223,25 @@ _SQL = {
         JOIN bars b ON b.ticker = s.ticker AND b.date = e.date JOIN bench q ON q.date = e.date JOIN bench q0 ON q0.date = f.first
         JOIN (SELECT b.date, avg(b.close / b0.close) AS v FROM bars b CROSS JOIN f JOIN bars b0 ON b0.ticker = b.ticker AND b0.date = f.first WHERE b.ticker IN ({_CORE}) GROUP BY b.date HAVING count(*) = {len(CORE)}) c ON c.date = e.date WHERE e.date >= f.first""",
     "rot_07_actual_position": "SELECT account, ticker, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END)::bigint AS qty, round(sum(CASE side WHEN 'buy' THEN -qty ELSE qty END * price), 3) AS cash FROM ledger GROUP BY ALL",
-    "led_01_average_cost": """WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY account, ticker ORDER BY date, id) AS k, count(*) OVER (PARTITION BY account, ticker) AS n FROM ledger),
-        r AS (SELECT account, ticker, k, n, date, id, CASE side WHEN 'buy' THEN qty ELSE 0 END::double AS held, CASE side WHEN 'buy' THEN price ELSE 0 END::double AS avg, 0::double AS realized, 0::double AS sold, false AS counted FROM w WHERE k = 1
-          UNION ALL SELECT w.account, w.ticker, w.k, w.n, w.date, w.id, CASE WHEN side = 'buy' THEN held + qty ELSE held - least(qty, held) END::double, CASE WHEN side = 'buy' THEN (held * avg + qty * price) / (held + qty) ELSE avg END::double,
-            CASE WHEN side = 'buy' THEN realized ELSE realized + least(qty, held) * (price - avg) END::double, CASE WHEN side = 'buy' THEN 0 ELSE least(qty, held) END::double, side <> 'buy' AND held > 0
-          FROM r JOIN w ON w.account = r.account AND w.ticker = r.ticker AND w.k = r.k + 1)
-        SELECT account, ticker, date, id, held AS qty, round(avg, 6) AS avg, round(realized, 6) AS realized, sold, false AS closes FROM r WHERE counted
-        UNION ALL SELECT account, ticker, date, id, held, CASE WHEN held > 0 THEN round(avg, 6) ELSE 0 END, round(realized, 6), 0, true FROM r WHERE k = n""",
+    "led_01_average_cost": "SELECT account, ticker, date, id, qty, round(avg, 6) AS avg, round(realized, 6) AS realized, sold, closes FROM walks",
     "led_03_cash_summary": """SELECT account, round(coalesce(p, 0), 3) AS deposited, round(coalesce(n, 0), 3) AS withdrawn, round(net, 3) AS net, round(v * 1.25 - net, 3) AS gain, CASE WHEN net > 0 THEN round(100 * (v * 1.25 - net) / net, 3) END AS pct FROM (
         SELECT account, sum(amount) FILTER (amount > 0) AS p, sum(-amount) FILTER (amount < 0) AS n, sum(amount) AS net, sum(qty) AS v FROM (SELECT account, qty, (CASE side WHEN 'buy' THEN qty ELSE -qty END * floor(price * 10))::double AS amount FROM ledger) GROUP BY account)""",
     "evt_01_dedupe_reports": "SELECT ticker, date, session, round(surprise, 6) AS surprise FROM kept",
     "evt_02_reaction_days": "SELECT ticker, date, session, ridx FROM reacted",
     "evt_03_measures": """SELECT ticker, date, round(pre, 6) AS pre, round(pre_excess, 6) AS pre_excess, round(react, 6) AS react, round(react_excess, 6) AS react_excess, round(drift, 6) AS drift, round(drift_excess, 6) AS drift_excess, status FROM measured""",
     "evt_04_return_path": "SELECT ticker, date, string_agg(coalesce(v::varchar, '-'), ',' ORDER BY k) AS path FROM daily GROUP BY ALL",
+    "evt_05_volume_path": "SELECT ticker, date, CASE WHEN max(n) >= 40 THEN string_agg(coalesce(v::varchar, '-'), ',' ORDER BY k) END AS volume_path FROM vpath GROUP BY ALL",
+    "led_02_account_summary": """SELECT account, round(coalesce(invested, 0), 6) AS invested, round(coalesce(value, 0), 6) AS value, round(realized, 6) AS realized, sells, round(win_rate, 6) AS win_rate, round(coalesce(value, 0) - coalesce(invested, 0), 6) AS unrealized FROM (
+        SELECT account, sum(qty * avg) FILTER (qty > 1e-6) AS invested, sum(qty * last) FILTER (qty > 1e-6) AS value, sum(realized) AS realized FROM walks LEFT JOIN (SELECT ticker, max_by(close, date) AS last FROM bars GROUP BY ticker) p USING (ticker) WHERE closes GROUP BY account)
+        LEFT JOIN (SELECT account, count(*) AS sells, avg((gain >= 0)::int) AS win_rate FROM (SELECT account, realized - coalesce(lag(realized) OVER (PARTITION BY account, ticker ORDER BY date, id), 0) AS gain FROM walks WHERE NOT closes) GROUP BY account) USING (account)""",
+    "evt_15_rank_correlation": """SELECT session, round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT session, rank() OVER (PARTITION BY session ORDER BY pre) + (count(*) OVER (PARTITION BY session, pre) - 1) / 2 AS a,
+        rank() OVER (PARTITION BY session ORDER BY react) + (count(*) OVER (PARTITION BY session, react) - 1) / 2 AS b FROM (SELECT m.*, r.session FROM measured m JOIN reacted r ON r.ticker = m.ticker AND r.date = m.date) WHERE pre IS NOT NULL AND react IS NOT NULL) GROUP BY session""",
+    "scn_01_features": """SELECT f.ticker, f.date, round(pre, 6) AS pre, round(vol, 6) AS vol, round(vol_last, 6) AS vol_last, round(react, 6) AS react, round(fiveday, 6) AS fiveday, round(drift, 6) AS drift, round(prev_react, 6) AS prev_react
+        FROM feats f JOIN vmeans v ON v.ticker = f.ticker AND v.date = f.date""",
+    "scn_02_peer_reactions": """SELECT f.ticker, f.date, count(p.react) AS peers, round(avg(p.react), 6) AS peer_react FROM feats f LEFT JOIN feats p ON p.industry = f.industry AND p.ticker <> f.ticker AND p.date < f.date AND p.date >= f.date - 30 AND p.react IS NOT NULL GROUP BY ALL""",
+    "scn_06_demeaned": "SELECT ticker, date, round(react - avg(react) OVER (PARTITION BY week), 6) AS react FROM feats WHERE react IS NOT NULL",
+    "scn_10_baselines": """SELECT outcome, count(*) AS n, round(avg(y), 6) AS mean, round(avg((y > 0)::int), 6) AS up FROM (SELECT 'react' AS outcome, react AS y FROM feats UNION ALL SELECT 'fiveday', fiveday FROM feats UNION ALL SELECT 'drift', drift FROM feats UNION ALL SELECT 'size', abs(react) FROM feats)
+        WHERE y IS NOT NULL GROUP BY outcome""",
     "evt_06_average_gaps": """SELECT ticker, idx, CASE WHEN count(*) OVER a = 5 AND min(idx) OVER a = idx - 4 THEN round(close / avg(close) OVER a - 1, 6) END AS gap_5, CASE WHEN count(*) OVER b = 20 AND min(idx) OVER b = idx - 19 THEN round(close / avg(close) OVER b - 1, 6) END AS gap_20
         FROM px WINDOW a AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "evt_09_insider_context": """SELECT r.ticker, r.date, count(DISTINCT who) AS buyers, sum(value)::bigint AS value FROM reacted r JOIN (SELECT DISTINCT accession, coalesce(reporter_cik, '') AS who, date, shares, ticker, filed, value FROM insiders WHERE code = 'P') t
