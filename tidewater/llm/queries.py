@@ -91,8 +91,8 @@ def oracle_sql() -> dict[str, str]:
             lines AS (SELECT doc_id, {_WORDS.format("unnest(string_split(text, chr(10)))")} AS w FROM d),
             blocks AS (SELECT doc_id, list_distinct(w[s + 1 : s + 128]) AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 64), 64)) AS s FROM lines)),
             t AS (SELECT k, label, list_distinct(string_split(x, ' ')) AS tw FROM (VALUES {templates}) t(k, label, x)),
-            met AS (SELECT doc_id, label, max(both / len(tw)) AS share FROM (SELECT doc_id, label, tw, len(list_intersect(tw, w)) AS both FROM blocks, t WHERE len(w) >= 0.8 * len(tw) - 1e-9)
-                WHERE both >= ceil(0.8 * len(tw) - 1e-9) GROUP BY ALL),
+            met AS (SELECT doc_id, label, max(shared / len(tw)) AS share FROM (SELECT doc_id, label, tw, len(list_intersect(tw, w)) AS shared FROM blocks, t WHERE len(w) >= 0.8 * len(tw) - 1e-9)
+                WHERE shared >= ceil(0.8 * len(tw) - 1e-9) GROUP BY ALL),
             more AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
             SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.z AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
                    array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
