@@ -129,32 +129,53 @@ def _coordinates(text, spans, k, form, bits) -> list[int]:
     return [crc32(f.encode("utf-8", "surrogatepass")) >> (32 - bits) for f in facts]
 
 
+class Graph:
+    """A document's variables without their text."""
+
+    def __init__(self, spans, features, near, far):
+        self.spans, self.features, self.near, self.far = spans, np.array(features, dtype=np.int64).reshape(len(spans), 10), near, far
+
+
 def train(docs: DataFrame, sample: int = 8192, bits: int = 14, passes: int = 60) -> dict:
     """Weights by pseudo-likelihood over at most `sample` documents that hold a digit or an at sign.
 
-    The sample is the documents of the smallest hash of id and text; a task of its own holds their
-    variables and labels, never the texts of all. Without such documents nothing is added later.
+    The sample is the documents of the smallest hash of id and text, chosen by the hash alone; their
+    variables are made where the texts are, and one task fits the weights to them. Without such
+    documents nothing is added later. Documents enter until 16 * sample variables are met.
     """
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", "text").alias("place")).orderBy("place").limit(sample)
+    place = F.xxhash64("doc_id", "text").alias("place")
+    held = docs.where(F.col("text").rlike("[0-9@]"))
+    chosen = held.select(place).orderBy("place").limit(sample).distinct()
+    rows = held.select("text", place).join(F.broadcast(chosen), "place", "left_semi").select("place", "text")
+
+    def make():
+        def work(places, texts):
+            fields = [Field(t, bits) for t in texts]
+            gold = [f.gold(base_spans(t)).tolist() for f, t in zip(fields, texts)]
+            return places, [f.features.ravel().tolist() for f in fields], *[[[i for e in getattr(f, k) for i in e] for f in fields] for k in ("near", "far")], gold
+
+        return work
+
+    made = map_rows(rows, make, "place long, x array<int>, near array<int>, far array<int>, gold array<int>")
 
     def learn(batches):
-        fields, gold = [], []
+        graphs, gold, known = [], [], 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                f = Field(text, bits)
-                if f.spans:
-                    fields.append(f)
-                    gold.append(f.gold(base_spans(text)))
-        if fields:
-            unary, near, far = fit(fields, gold, bits, passes)
+            for x, near, far, g in zip(*[b.column(c).to_pylist() for c in ("x", "near", "far", "gold")]):
+                if g and known < 16 * sample:
+                    known += len(g)
+                    graphs.append(Graph(g, x, list(zip(near[::2], near[1::2])), list(zip(far[::2], far[1::2]))))
+                    gold.append(np.array(g, dtype=np.int64))
+        if graphs:
+            unary, near, far = fit(graphs, gold, bits, passes)
             flat = np.concatenate([unary.ravel(), near.ravel(), far.ravel()])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "w"])
 
-    got = rows.repartition(1).sortWithinPartitions("place").mapInArrow(learn, "at long, w double").toArrow()
+    got = made.repartition(1).sortWithinPartitions("place").mapInArrow(learn, "at long, w double").toArrow()
     flat = np.zeros((1 << bits) * 5 + 50)
     flat[got.column("at").to_numpy()] = got.column("w").to_numpy()
-    return {"bits": bits, "unary": flat[: -50].reshape(-1, 5), "near": flat[-50:-25].reshape(5, 5), "far": flat[-25:].reshape(5, 5)}
+    return {"bits": bits, "unary": flat[:-50].reshape(-1, 5), "near": flat[-50:-25].reshape(5, 5), "far": flat[-25:].reshape(5, 5)}
 
 
 def joined(fields: list[Field]):
@@ -177,7 +198,7 @@ def fit(fields, gold, bits: int, passes: int, rate: float = 0.5, l2: float = 1e-
     weight = np.where(y == 0, 1.0, 2.0)[:, None] / len(y)
     one = np.eye(5)[y]
     for _ in range(passes):
-        z = unary[x].sum(axis=1)
+        z = potentials(unary, x)
         for w, e in zip(pair, (near, far)):
             np.add.at(z, e[:, 1], w[y[e[:, 0]]])
             np.add.at(z, e[:, 0], w.T[y[e[:, 1]]])
@@ -198,24 +219,36 @@ def fit(fields, gold, bits: int, passes: int, rate: float = 0.5, l2: float = 1e-
     return unary, pair[0], pair[1]
 
 
+def potentials(unary: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights, a column at a time."""
+    z = np.zeros((len(x), unary.shape[1]))
+    for k in range(x.shape[1]):
+        z += unary[x[:, k]]
+    return z
+
+
 def marginals(model: dict, fields: list[Field], rounds: int = 8, damp: float = 0.5) -> np.ndarray:
-    """Beliefs of all variables after loopy message passing, in the log domain, over all documents at once."""
+    """Beliefs of all variables after loopy message passing, in the log domain, over all documents at once.
+
+    Memory is a few numbers a variable and pair: pairs of a kind share one table of weights.
+    """
     x, near, far = joined(fields)
-    z = model["unary"][x].sum(axis=1)
-    edges = np.concatenate([near, far])
-    w = np.concatenate([np.repeat(model["near"][None], len(near), 0), np.repeat(model["far"][None], len(far), 0)])
-    src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    w = np.concatenate([w, w.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    m = np.zeros((len(src), 5))
-    for _ in range(rounds if len(src) else 0):
+    z = potentials(model["unary"], x)
+    ways = [(e[:, i], e[:, 1 - i], w if i == 0 else w.T) for e, w in ((near, model["near"]), (far, model["far"])) if len(e) for i in (0, 1)]
+    sent = [np.zeros((len(src), 5)) for src, _, _ in ways]
+    for _ in range(rounds if ways else 0):
         belief = z.copy()
-        np.add.at(belief, dst, m)
-        own = belief[src] - m[back]
-        new = np.logaddexp.reduce(own[:, :, None] + w, axis=1)
-        new -= new.max(axis=1, keepdims=True)
-        m = damp * m + (1 - damp) * new
-    np.add.at(z, dst, m)
+        for (_, dst, _), m in zip(ways, sent):
+            np.add.at(belief, dst, m)
+        fresh = []
+        for k, (src, _, w) in enumerate(ways):
+            own = belief[src] - sent[k ^ 1]  # without what came the other way
+            new = np.stack([np.logaddexp.reduce(own + w[:, t], axis=1) for t in range(5)], axis=1)
+            new -= new.max(axis=1, keepdims=True)
+            fresh.append(damp * sent[k] + (1 - damp) * new)
+        sent = fresh
+    for (_, dst, _), m in zip(ways, sent):
+        np.add.at(z, dst, m)
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -239,7 +272,7 @@ def added_spans(texts, fields, beliefs, bases, least: float):
         yield out
 
 
-def find(docs: DataFrame, model: dict, least: float = 0.9, chars: int = 4_000_000) -> DataFrame:
+def find(docs: DataFrame, model: dict, least: float = 0.9, chars: int = 1_000_000) -> DataFrame:
     """(doc_id, base, added): arrays of spans (kind, start, end) in every whole text; a null text is an empty one."""
     box = docs.sparkSession.sparkContext.broadcast(model)
     span = "array<struct<kind:string,start:int,end:int>>"
@@ -301,7 +334,7 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out = []
-            for group in _by_size([t or "" for t in texts], 4_000_000):
+            for group in _by_size([t or "" for t in texts], 1_000_000):
                 bases = [base_spans(t) for t in group]
                 fields = [Field(t, model["bits"]) for t in group]
                 beliefs = marginals(model, fields) if any(f.spans for f in fields) else np.zeros((0, 5))
