@@ -57,6 +57,9 @@ VIEWS = Sig.VIEWS | {
           FROM r JOIN w ON w.account = r.account AND w.ticker = r.ticker AND w.k = r.k + 1)
         SELECT account, ticker, date, id, held AS qty, avg, realized, sold, false AS closes FROM r WHERE counted
         UNION ALL SELECT account, ticker, date, id, held, CASE WHEN held > 0 THEN avg ELSE 0 END, realized, 0, true FROM r WHERE k = n""",
+    "acts": """SELECT r.ticker, r.date, a.idx - r.ridx AS k, a.code, a.pt FROM reacted r JOIN (SELECT ticker, code, pt, (SELECT min(idx) FROM cal WHERE cal.date >= i.day) AS idx FROM (
+            SELECT ticker, CASE code WHEN 'P' THEN 'up' WHEN 'S' THEN 'down' ELSE 'main' END AS code, shares % 7 - 3 AS pt, date + CASE WHEN shares % 24 >= 16 THEN 1 ELSE 0 END AS day FROM insiders) i WHERE i.day >= (SELECT min(date) FROM cal)) a
+        ON a.ticker = r.ticker AND a.idx BETWEEN r.ridx - 63 AND r.ridx - 1""",
     "vols": """SELECT r.ticker, r.date, g.k, p.volume, avg(p.volume) FILTER (g.k < -30 AND p.volume > 0) OVER (PARTITION BY r.ticker, r.date) AS m, count(*) FILTER (g.k < -30 AND p.volume > 0) OVER (PARTITION BY r.ticker, r.date) AS n
         FROM reacted r CROSS JOIN (SELECT unnest(range(-90, 0)) AS k) g LEFT JOIN px p ON p.ticker = r.ticker AND p.idx = r.ridx + g.k WHERE r.ridx IS NOT NULL""",
     "vpath": "SELECT ticker, date, k, CASE WHEN n >= 40 THEN round(100 * volume::double / m)::int END AS v, n FROM vols WHERE k >= -30",
@@ -244,6 +247,14 @@ _SQL = {
         WHERE y IS NOT NULL GROUP BY outcome""",
     "evt_06_average_gaps": """SELECT ticker, idx, CASE WHEN count(*) OVER a = 5 AND min(idx) OVER a = idx - 4 THEN round(close / avg(close) OVER a - 1, 6) END AS gap_5, CASE WHEN count(*) OVER b = 20 AND min(idx) OVER b = idx - 19 THEN round(close / avg(close) OVER b - 1, 6) END AS gap_20
         FROM px WINDOW a AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+    "evt_08_analyst_actions": "SELECT ticker, date, count(*) AS n, string_agg(k || ':' || code || ':' || pt, ',' ORDER BY k, code, pt) AS actions FROM acts GROUP BY ALL",
+    "evt_12_register": """SELECT ticker, min(date) AS date FROM (SELECT ticker, date + (day(date) * 2 - 25)::int AS date FROM reacted) s WHERE date BETWEEN date '2000-05-02' AND date '2000-05-02' + 40
+        AND NOT EXISTS (SELECT 1 FROM reacted l WHERE l.ticker = s.ticker AND l.date < date '2000-05-01' AND abs(s.date - l.date) <= 20) GROUP BY ticker""",
+    "scn_03_analyst_signals": """SELECT ticker, date, (count(*) FILTER (k >= -21 AND code = 'up'))::int AS up, (count(*) FILTER (k >= -21 AND code = 'down'))::int AS down, (count(*) FILTER (k >= -21 AND pt > 0) - count(*) FILTER (k >= -21 AND pt < 0))::int AS pt_net,
+        (count(*) FILTER (k >= -21))::int AS n FROM acts GROUP BY ALL""",
+    "scn_11_weekly_rank_scores": """SELECT week, count(*) AS n, round(corr(a, b), 6) AS ic, round(avg(y) FILTER (x >= hi) - avg(y) FILTER (x <= lo), 6) AS spread, round(avg(y) FILTER (x >= hi), 6) AS top FROM (
+        SELECT f.week, pre AS x, react AS y, rank() OVER (PARTITION BY f.week ORDER BY pre) + (count(*) OVER (PARTITION BY f.week, pre) - 1) / 2 AS a, rank() OVER (PARTITION BY f.week ORDER BY react) + (count(*) OVER (PARTITION BY f.week, react) - 1) / 2 AS b, hi, lo
+        FROM feats f JOIN (SELECT week, quantile_cont(pre, 0.8) AS hi, quantile_cont(pre, 0.2) AS lo, count(*) AS c FROM feats WHERE pre IS NOT NULL AND react IS NOT NULL GROUP BY week) e ON e.week = f.week WHERE pre IS NOT NULL AND react IS NOT NULL AND c >= 3) GROUP BY week""",
     "evt_09_insider_context": """SELECT r.ticker, r.date, count(DISTINCT who) AS buyers, sum(value)::bigint AS value FROM reacted r JOIN (SELECT DISTINCT accession, coalesce(reporter_cik, '') AS who, date, shares, ticker, filed, value FROM insiders WHERE code = 'P') t
         ON t.ticker = r.ticker AND t.filed >= r.date - 90 AND t.filed < r.date GROUP BY ALL""",
     "evt_10_caps": """SELECT ticker, date, round(cap, 1) AS cap, CASE WHEN cap < 3e8 THEN 'micro' WHEN cap < 2e9 THEN 'small' WHEN cap < 1e10 THEN 'mid' WHEN cap < 2e11 THEN 'large' WHEN cap IS NOT NULL THEN 'mega' END AS tier FROM (
