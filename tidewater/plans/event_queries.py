@@ -288,85 +288,6 @@ _SQL = {
         SELECT f.week, pre AS x, react AS y, rank() OVER (PARTITION BY f.week ORDER BY pre) + (count(*) OVER (PARTITION BY f.week, pre) - 1) / 2 AS a, rank() OVER (PARTITION BY f.week ORDER BY react) + (count(*) OVER (PARTITION BY f.week, react) - 1) / 2 AS b, hi, lo
         FROM feats f JOIN (SELECT week, quantile_cont(pre, 0.8) AS hi, quantile_cont(pre, 0.2) AS lo, count(*) AS c FROM feats WHERE pre IS NOT NULL AND react IS NOT NULL GROUP BY week) e ON e.week = f.week WHERE pre IS NOT NULL AND react IS NOT NULL AND c >= 3) GROUP BY week""",
     "evt_09_insider_context": "SELECT * FROM context",
-    "evt_10_caps": lambda s, d: V.caps_at_report(windows(s, d), table(s, d, "securities"), last_prices(s, d)).select("ticker", "date", F.round("cap", 1).alias("cap"), "tier"),
-    "evt_11_daily_returns": lambda s, d: _r(V.daily_returns(bench(s, d), date(1997, 1, 1)), "ret"),
-    "evt_12_register": lambda s, d: V.register(_scheduled(s, d).withColumnRenamed("scheduled", "date"), reports(s, d).select("ticker", "date").where(F.col("date") < F.lit(date(2000, 5, 1))), date(2000, 5, 2), date(1996, 1, 1), 40),
-    "evt_13_match_reports": lambda s, d: V.match_reports(_scheduled(s, d), table(s, d, "reports").where(F.dayofmonth("date") % 4 == 0), AS_OF),
-    "evt_14_late_flag": lambda s, d: V.late_flag(s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").alias("registered"), F.date_add(F.col("ts").cast("date"), (F.col("user_id") % 3 - 1).cast("int")).alias("reaction"))).select("event_id", "origin"),
-    "evt_15_season_spreads": lambda s, d: _r(V.season_spreads(scored(s, d)), "spread"),
-    "evt_15_quintiles": lambda s, d: _r(V.quintile_table(scored(s, d)), "mean", "median", "up"),
-    "evt_15_summary": lambda s, d: _r(V.spread_summary(V.season_spreads(scored(s, d))), "mean", "t", "positive"),
-    "evt_15_rank_correlation": lambda s, d: _r(V.rank_correlation(measured(s, d), "pre", "react", "session"), "rho"),
-    "evt_16_stratified_sample": lambda s, d: V.stratified_sample(table(s, d, "securities"), table(s, d, "reports").select("ticker").distinct().where("ticker < 'T3'"), 2, 11).select("ticker", "tier", "k"),
-    "evt_17_explore": lambda s, d: _r(V.explore(paths(s, d), (-10, -1), (0, 4), 2), "x", "y", "median", "up"),
-    "evt_18_direction_table": lambda s, d: _r(V.direction_table(paths(s, d), (-10, -1), (0, 4)), "up", "band", "mean", "median", "size"),
-    "evt_19_shapes": lambda s, d: paths(s, d).select("ticker", "date", F.array_join(V.shapes(F.transform(F.slice("path", 21, 10), lambda x: x / 100000)), ",").alias("shapes")),
-    "evt_20_wire_rows": lambda s, d: V.wire_rows(measured(s, d), table(s, d, "securities").select("ticker", "sector")),
-    "scn_01_features": lambda s, d: _r(events(s, d).select("ticker", "date", "pre", "vol", "vol_last", "react", "fiveday", "drift", "prev_react"), "pre", "vol", "vol_last", "react", "fiveday", "drift", "prev_react"),
-    "scn_02_peer_reactions": lambda s, d: _r(events(s, d).select("ticker", "date", "peers", "peer_react"), "peer_react"),
-    "scn_03_analyst_signals": lambda s, d: V.analyst_actions(reports(s, d), actions(s, d), cal(s, d)).select("ticker", "date", C.analyst_signals(F.col("actions")).alias("a")).select("ticker", "date", "a.*"),
-    "scn_04_conditions": lambda s, d: C.with_keys(events(s, d)).select(F.explode("keys").alias("k")).groupBy("k.family", "k.key").agg(F.count("*").alias("n")),
-    "scn_05_cuts": lambda s, d: cut_rows(s, d).groupBy("cut").agg(F.count("*").alias("n")),
-    "scn_06_demeaned": lambda s, d: _r(C.demeaned(events(s, d).where("react IS NOT NULL"), "react").select("ticker", "date", "react"), "react"),
-    "scn_07_cut_effects": lambda s, d: _r(effects(s, d), "mean", "t", "up"),
-    "scn_08_two_sided": lambda s, d: _r(effects(s, d).withColumn("p", C.two_sided("t")).select("cut", "outcome", "half", "p"), "p"),
-    "scn_09_discovery_rates": lambda s, d: _r(C.discovery_rates(effects(s, d).where("half = 'search'").withColumn("p", 1 / (1 + F.abs("t")))).select("cut", "outcome", "q"), "q"),
-    "scn_10_verdicts": lambda s, d: _r(C.verdicts(effects(s, d), 0.9), "mean", "t", "q", "check_mean", "check_t"),
-    "scn_10_baselines": lambda s, d: _r(C.baselines(events(s, d), OUTCOMES), "mean", "up"),
-    "scn_11_weekly_rank_scores": lambda s, d: _r(C.weekly_rank_scores(events(s, d), "pre", "react", 3), "ic", "spread", "top"),
-    "scn_12_model_scores": lambda s, d: _r(C.model_scores(events(s, d), ["pre", "vol", "buyers", "peers"], "react", SPLIT), "prediction", "y", "placebo"),
-}
-
-_PX = "LEFT JOIN px {0} ON {0}.ticker = r.ticker AND {0}.idx = r.ridx + {1}"
-
-_SQL = {
-    "rot_01_month_ends": "SELECT date FROM ends",
-    "rot_02_horizon_returns": "SELECT ticker, date, round(close, 6) AS close, round(r3, 6) AS r3, round(r6, 6) AS r6, round(r12, 6) AS r12 FROM rets",
-    "rot_03_picks": "SELECT date, ticker, round(score, 6) AS score, place FROM picks",
-    "rot_04_signals": "SELECT date, ticker, round(score, 6) AS score, fill, status FROM signals",
-    "rot_05_sleeve_trades": "SELECT date, fill, action, ticker, round(price, 4) AS price, round(capital, 4) AS capital FROM trades",
-    "rot_06_equity": f"""WITH spans AS (SELECT ticker, fill, capital / price AS shares, lead(fill) OVER (ORDER BY fill) AS until FROM trades), f AS (SELECT min(fill) AS first FROM trades)
-        SELECT e.date, round(s.shares * b.close, 3) AS sleeve, round(c.v * 100000, 3) AS core, round(q.close / q0.close * 100000, 3) AS benchmark FROM ends e CROSS JOIN f JOIN spans s ON e.date >= s.fill AND (s.until IS NULL OR e.date < s.until)
-        JOIN bars b ON b.ticker = s.ticker AND b.date = e.date JOIN bench q ON q.date = e.date JOIN bench q0 ON q0.date = f.first
-        JOIN (SELECT b.date, avg(b.close / b0.close) AS v FROM bars b CROSS JOIN f JOIN bars b0 ON b0.ticker = b.ticker AND b0.date = f.first WHERE b.ticker IN ({_CORE}) GROUP BY b.date HAVING count(*) = {len(CORE)}) c ON c.date = e.date WHERE e.date >= f.first""",
-    "rot_07_actual_position": "SELECT account, ticker, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END)::bigint AS qty, round(sum(CASE side WHEN 'buy' THEN -qty ELSE qty END * price), 3) AS cash FROM ledger GROUP BY ALL",
-    "led_01_average_cost": "SELECT account, ticker, date, id, qty, round(avg, 6) AS avg, round(realized, 6) AS realized, sold, closes FROM walks",
-    "led_03_cash_summary": """SELECT account, round(coalesce(p, 0), 3) AS deposited, round(coalesce(n, 0), 3) AS withdrawn, round(net, 3) AS net, round(v * 1.25 - net, 3) AS gain, CASE WHEN net > 0 THEN round(100 * (v * 1.25 - net) / net, 3) END AS pct FROM (
-        SELECT account, sum(amount) FILTER (amount > 0) AS p, sum(-amount) FILTER (amount < 0) AS n, sum(amount) AS net, sum(qty) AS v FROM (SELECT account, qty, (CASE side WHEN 'buy' THEN qty ELSE -qty END * floor(price * 10))::double AS amount FROM ledger) GROUP BY account)""",
-    "evt_01_dedupe_reports": "SELECT ticker, date, session, round(surprise, 6) AS surprise FROM kept",
-    "evt_02_reaction_days": "SELECT ticker, date, session, ridx FROM reacted",
-    "evt_03_measures": """SELECT ticker, date, round(pre, 6) AS pre, round(pre_excess, 6) AS pre_excess, round(react, 6) AS react, round(react_excess, 6) AS react_excess, round(drift, 6) AS drift, round(drift_excess, 6) AS drift_excess, status FROM measured""",
-    "evt_04_return_path": "SELECT ticker, date, string_agg(coalesce(v::varchar, '-'), ',' ORDER BY k) AS path FROM daily GROUP BY ALL",
-    "evt_05_volume_path": "SELECT ticker, date, CASE WHEN max(n) >= 40 THEN string_agg(coalesce(v::varchar, '-'), ',' ORDER BY k) END AS volume_path FROM vpath GROUP BY ALL",
-    "led_02_account_summary": """SELECT account, round(coalesce(invested, 0), 6) AS invested, round(coalesce(value, 0), 6) AS value, round(realized, 6) AS realized, sells, round(win_rate, 6) AS win_rate, round(coalesce(value, 0) - coalesce(invested, 0), 6) AS unrealized FROM (
-        SELECT account, sum(qty * avg) FILTER (qty > 1e-6) AS invested, sum(qty * last) FILTER (qty > 1e-6) AS value, sum(realized) AS realized FROM walks LEFT JOIN (SELECT ticker, max_by(close, date) AS last FROM bars GROUP BY ticker) p USING (ticker) WHERE closes GROUP BY account)
-        LEFT JOIN (SELECT account, count(*) AS sells, avg((gain >= 0)::int) AS win_rate FROM (SELECT account, realized - coalesce(lag(realized) OVER (PARTITION BY account, ticker ORDER BY date, id), 0) AS gain FROM walks WHERE NOT closes) GROUP BY account) USING (account)""",
-    "evt_15_rank_correlation": """SELECT session, round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT session, rank() OVER (PARTITION BY session ORDER BY pre) + (count(*) OVER (PARTITION BY session, pre) - 1) / 2 AS a,
-        rank() OVER (PARTITION BY session ORDER BY react) + (count(*) OVER (PARTITION BY session, react) - 1) / 2 AS b FROM (SELECT m.*, r.session FROM measured m JOIN reacted r ON r.ticker = m.ticker AND r.date = m.date) WHERE pre IS NOT NULL AND react IS NOT NULL) GROUP BY session""",
-    "scn_01_features": """SELECT f.ticker, f.date, round(pre, 6) AS pre, round(vol, 6) AS vol, round(vol_last, 6) AS vol_last, round(react, 6) AS react, round(fiveday, 6) AS fiveday, round(drift, 6) AS drift, round(prev_react, 6) AS prev_react
-        FROM feats f JOIN vmeans v ON v.ticker = f.ticker AND v.date = f.date""",
-    "scn_02_peer_reactions": """SELECT f.ticker, f.date, count(p.react) AS peers, round(avg(p.react), 6) AS peer_react FROM feats f LEFT JOIN feats p ON p.industry = f.industry AND p.ticker <> f.ticker AND p.date < f.date AND p.date >= f.date - 30 AND p.react IS NOT NULL GROUP BY ALL""",
-    "scn_06_demeaned": "SELECT ticker, date, round(react - avg(react) OVER (PARTITION BY week), 6) AS react FROM feats WHERE react IS NOT NULL",
-    "scn_10_baselines": """SELECT outcome, count(*) AS n, round(avg(y), 6) AS mean, round(avg((y > 0)::int), 6) AS up FROM (SELECT 'react' AS outcome, react AS y FROM feats UNION ALL SELECT 'fiveday', fiveday FROM feats UNION ALL SELECT 'drift', drift FROM feats UNION ALL SELECT 'size', abs(react) FROM feats)
-        WHERE y IS NOT NULL GROUP BY outcome""",
-    "evt_06_average_gaps": """SELECT ticker, idx, CASE WHEN count(*) OVER a = 5 AND min(idx) OVER a = idx - 4 THEN round(close / avg(close) OVER a - 1, 6) END AS gap_5, CASE WHEN count(*) OVER b = 20 AND min(idx) OVER b = idx - 19 THEN round(close / avg(close) OVER b - 1, 6) END AS gap_20
-        FROM px WINDOW a AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    "evt_08_analyst_actions": "SELECT ticker, date, count(*) AS n, string_agg(k || ':' || code || ':' || pt, ',' ORDER BY k, code, pt) AS actions FROM acts GROUP BY ALL",
-    "evt_19_shapes": "SELECT ticker, date, array_to_string(shapes, ',') AS shapes FROM shaped",
-    "scn_04_conditions": "SELECT c[1] AS family, c[2] AS key, count(*) AS n FROM keyed GROUP BY ALL",
-    "scn_05_cuts": "SELECT cut, count(*) AS n FROM cutrows GROUP BY cut",
-    "scn_07_cut_effects": "SELECT cut, outcome, half, n, round(mean, 6) AS mean, round(t, 6) AS t, round(up, 6) AS up FROM effected",
-    "scn_09_discovery_rates": """SELECT cut, outcome, round(least(1, min(raw) OVER (ORDER BY p, cut, outcome ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM (
-        SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, cut, outcome) AS raw FROM (SELECT cut, outcome, 1 / (1 + abs(t)) AS p FROM effected WHERE half = 'search') WHERE p IS NOT NULL)""",
-    "evt_12_register": """SELECT ticker, min(date) AS date FROM (SELECT ticker, date + (day(date) * 2 - 25)::int AS date FROM reacted) s WHERE date BETWEEN date '2000-05-02' AND date '2000-05-02' + 40
-        AND NOT EXISTS (SELECT 1 FROM reacted l WHERE l.ticker = s.ticker AND l.date < date '2000-05-01' AND abs(s.date - l.date) <= 20) GROUP BY ticker""",
-    "scn_03_analyst_signals": """SELECT ticker, date, (count(*) FILTER (k >= -21 AND code = 'up'))::int AS up, (count(*) FILTER (k >= -21 AND code = 'down'))::int AS down, (count(*) FILTER (k >= -21 AND pt > 0) - count(*) FILTER (k >= -21 AND pt < 0))::int AS pt_net,
-        (count(*) FILTER (k >= -21))::int AS n FROM acts GROUP BY ALL""",
-    "scn_11_weekly_rank_scores": """SELECT week, count(*) AS n, round(corr(a, b), 6) AS ic, round(avg(y) FILTER (x >= hi) - avg(y) FILTER (x <= lo), 6) AS spread, round(avg(y) FILTER (x >= hi), 6) AS top FROM (
-        SELECT f.week, pre AS x, react AS y, rank() OVER (PARTITION BY f.week ORDER BY pre) + (count(*) OVER (PARTITION BY f.week, pre) - 1) / 2 AS a, rank() OVER (PARTITION BY f.week ORDER BY react) + (count(*) OVER (PARTITION BY f.week, react) - 1) / 2 AS b, hi, lo
-        FROM feats f JOIN (SELECT week, quantile_cont(pre, 0.8) AS hi, quantile_cont(pre, 0.2) AS lo, count(*) AS c FROM feats WHERE pre IS NOT NULL AND react IS NOT NULL GROUP BY week) e ON e.week = f.week WHERE pre IS NOT NULL AND react IS NOT NULL AND c >= 3) GROUP BY week""",
-    "evt_09_insider_context": """SELECT r.ticker, r.date, count(DISTINCT who) AS buyers, sum(value)::bigint AS value FROM reacted r JOIN (SELECT DISTINCT accession, coalesce(reporter_cik, '') AS who, date, shares, ticker, filed, value FROM insiders WHERE code = 'P') t
-        ON t.ticker = r.ticker AND t.filed >= r.date - 90 AND t.filed < r.date GROUP BY ALL""",
     "evt_10_caps": "SELECT ticker, date, round(cap, 1) AS cap, tier FROM caps",
     "evt_11_daily_returns": "SELECT date, round(ret, 6) AS ret FROM (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM bench) WHERE date >= date '1997-01-01'",
     "evt_13_match_reports": """SELECT s.ticker, s.scheduled, arg_min(r.date, (abs(r.date - s.scheduled), r.date)) AS matched, CASE WHEN count(r.date) > 0 THEN 'reported' WHEN date '2001-07-30' - s.scheduled > 30 THEN 'no_report' ELSE 'waiting' END AS status
