@@ -7,7 +7,6 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import events as V
-from ..operators import prices as P
 from ..operators import rotation as R
 from ..operators import scan as C
 from ..sources.bridge import oracle, table
