@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Stretches
-from .shared import arrow_schema, map_rows, store
+from .shared import arrow_schema, store
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,7 +44,7 @@ def _texts(path: str, pattern: str) -> Stretches:
         of = byte_of_char()
         ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocabulary.items() if set(t) <= of.keys() and t != "<|endoftext|>"}
         encode = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _TEXTS[path, pattern] = Stretches(lambda new: [array("I", encode(s)).tobytes() for s in new], 600_000)
+        _TEXTS[path, pattern] = Stretches(lambda new: [array("I", encode(s)).tobytes() for s in new], 150_000)
     return _TEXTS[path, pattern]
 
 

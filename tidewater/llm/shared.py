@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 from ..sources.staging import folder
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python workers in batches of so many rows, where the session has Spark's default of 10,000.
+
+    A worker holds a few copies of a batch, and keeps that much memory for its later tasks.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: it cuts lineage and survives lost executors."""
+    small_batches(df.sparkSession)
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -36,6 +47,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def map_rows(df: DataFrame, make, ddl: str) -> DataFrame:
     """mapInArrow by rows: make() returns, in the task, a function from a batch's columns (lists) to the output's columns."""
+    small_batches(df.sparkSession)
     schema = arrow_schema(ddl)
     names = df.columns
 

@@ -94,7 +94,7 @@ def train(
 
     def fit(batches):
         kept = [
-            (at.values.to_numpy().astype(np.int64), label)
+            (at.values.to_numpy().copy(), label)
             for b in batches
             for label, at in zip(b.column("label").to_pylist(), b.column("at"))
         ]
