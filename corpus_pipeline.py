@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import packing, pii, simhash, toxicity
+from tidewater.llm import near_copies, packing, pii, toxicity
 from tidewater.llm.shared import documents, store
 
 
@@ -16,9 +16,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id; rows without an id are no copies."""
-    groups = simhash.groups(simhash.fingerprints(docs)).select("doc_id", "component_id")
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of near copies: the one of the smallest doc_id; rows without an id are no copies.
+
+    Near copies have a Jaccard similarity of 0.8 or more in shingles of five words.
+    """
+    keep = near_copies.kept(docs)
     named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
