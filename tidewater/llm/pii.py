@@ -2,7 +2,8 @@
 
 The field's variables are the tokens that hold a digit or an at sign; any other token is outside
 by construction. Neighbouring variables are joined, and so is each to the next one in the document
-of the same or a similar form, a chain through all repeats. Loopy message passing makes labels
+that is the same token, or a similar one: one whose digits end in the same seven. These are chains
+through all repeats. Loopy message passing makes labels
 agree over each document. Weights come from the corpus itself: the patterns' spans label a bounded
 sample, and the pseudo-likelihood of those labels is maximised.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -62,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start, in code points."""
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if "." in text:
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -86,30 +89,31 @@ class Field:
         last: dict[str, int] = {}
         self.far = []
         for i, (s, e) in enumerate(self.spans):
-            for key in (text[s:e].strip(_EDGE).lower(), "#" + _digits(text[s:e])[-7:]):
-                if len(key) > 4 and key in last and i - last[key] > 0:
+            digits = _digits(text[s:e])[-TAIL:]
+            for key in (text[s:e].strip(_EDGE).lower(), *["#" + digits] * (len(digits) == TAIL)):
+                if key in last:
                     self.far.append((last[key], i))
-                if len(key) > 4:
-                    last[key] = i
+                last[key] = i
         self.far = sorted(set(self.far) - set(self.near))
 
     def gold(self, base) -> np.ndarray:
         """Labels by the spans that a token overlaps."""
         labels = np.zeros(len(self.spans), dtype=np.int64)
+        begin, end = (np.array([x[k] for x in self.spans], dtype=np.int64) for k in (0, 1))
         for kind, s, e in base:
-            for i, (a, b) in enumerate(self.spans):
-                if a < e and s < b:
-                    labels[i] = LABELS.index(kind)
+            labels[np.searchsorted(end, s, "right") : np.searchsorted(begin, e, "left")] = LABELS.index(kind)
         return labels
 
 
 _EDGE = ".,;:!?()[]{}<>\"'#$%&*|"
+#: Tokens are similar if this many last digits are equal.
+TAIL = 7
 
 
 def _form(token: str) -> str:
     for pattern, by in _FORM:
         token = pattern.sub(by, token)
-    return token[:24]
+    return token
 
 
 def _coordinates(text, spans, k, form, bits) -> list[int]:
@@ -136,23 +140,27 @@ class Graph:
         self.spans, self.features, self.near, self.far = spans, np.array(features, dtype=np.int64).reshape(len(spans), 10), near, far
 
 
-def train(docs: DataFrame, sample: int = 8192, bits: int = 14, passes: int = 60) -> dict:
-    """Weights by pseudo-likelihood over at most `sample` documents that hold a digit or an at sign.
+def train(docs: DataFrame, sample: int = 8192, variables: int = 16, bits: int = 14, passes: int = 60) -> dict:
+    """Weights by pseudo-likelihood over at most `sample` different documents that hold a digit or an at sign.
 
-    The sample is the documents of the smallest hash of id and text, chosen by the hash alone; their
-    variables are made where the texts are, and one task fits the weights to them. Without such
-    documents nothing is added later. Documents enter until 16 * sample variables are met.
+    The sample is the documents of the smallest hash of id and text, chosen by the hash alone; repeated
+    rows count once. Variables are made where the texts are. One task fits the weights; of each document
+    it takes at most variables * sample / 16 leading ones, and documents until variables * sample are
+    met, so that its memory is bounded whatever the texts' length. Without such documents nothing is
+    added later.
     """
     place = F.xxhash64("doc_id", "text").alias("place")
     held = docs.where(F.col("text").rlike("[0-9@]"))
-    chosen = held.select(place).orderBy("place").limit(sample).distinct()
-    rows = held.select("text", place).join(F.broadcast(chosen), "place", "left_semi").select("place", "text")
+    chosen = held.select(place).distinct().orderBy("place").limit(sample)
+    rows = held.select(place, "text").join(F.broadcast(chosen), "place", "left_semi").dropDuplicates(["place"])
+    most, each = variables * sample, max(1, variables * sample // 16)
 
     def make():
         def work(places, texts):
             fields = [Field(t, bits) for t in texts]
-            gold = [f.gold(base_spans(t)).tolist() for f, t in zip(fields, texts)]
-            return places, [f.features.ravel().tolist() for f in fields], *[[[i for e in getattr(f, k) for i in e] for f in fields] for k in ("near", "far")], gold
+            gold = [f.gold(base_spans(t))[:each].tolist() for f, t in zip(fields, texts)]
+            pairs = [[[i for e in getattr(f, k) if max(e) < each for i in e] for f in fields] for k in ("near", "far")]
+            return places, [f.features[:each].ravel().tolist() for f in fields], *pairs, gold
 
         return work
 
@@ -162,7 +170,7 @@ def train(docs: DataFrame, sample: int = 8192, bits: int = 14, passes: int = 60)
         graphs, gold, known = [], [], 0
         for b in batches:
             for x, near, far, g in zip(*[b.column(c).to_pylist() for c in ("x", "near", "far", "gold")]):
-                if g and known < 16 * sample:
+                if g and known < most:
                     known += len(g)
                     graphs.append(Graph(g, x, list(zip(near[::2], near[1::2])), list(zip(far[::2], far[1::2]))))
                     gold.append(np.array(g, dtype=np.int64))
@@ -260,6 +268,7 @@ def added_spans(texts, fields, beliefs, bases, least: float):
         p, out = beliefs[at : at + len(f.spans)], []
         at += len(f.spans)
         taken = sorted((s, e) for _, s, e in base)
+        starts, upto = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for (s, e), q in zip(f.spans, p):
             k = int(np.argmax(q))
             if k == 0 or q[k] < least:
@@ -267,7 +276,8 @@ def added_spans(texts, fields, beliefs, bases, least: float):
             core = text[s:e].strip(_EDGE)
             a = s + text[s:e].find(core)
             b = a + len(core)
-            if len(_digits(core)) + 8 * ("@" in core) >= 7 and not any(a < y and x < b for x, y in taken):
+            free = bisect_left(starts, b) == 0 or upto[bisect_left(starts, b) - 1] <= a
+            if len(_digits(core)) + 8 * ("@" in core) >= 7 and free:
                 out.append((LABELS[k], a, b))
         yield out
 
@@ -309,7 +319,7 @@ def digest(spans) -> str:
 
 
 def report(docs: DataFrame, model: dict) -> DataFrame:
-    """Counts of base spans, their digest, and all spans, one row a document."""
+    """Counts of base spans, their digest, and all spans, one row for each row of docs; a null or empty text has none."""
 
     def make():
         def work(keys, base, added):
