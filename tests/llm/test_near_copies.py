@@ -67,10 +67,26 @@ def test_stage_keeps_what_brute_force_keeps(spark, made):
 
 def test_large_buckets_are_whole(spark, made):
     docs = spark.createDataFrame(made, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in near_copies.kept(docs, few=2).collect()) == smallest_of_groups(made)
+    for rounds in (0, 1, 4):
+        assert sorted(r["doc_id"] for r in near_copies.kept(docs, few=2, rounds=rounds).collect()) == smallest_of_groups(made)
 
 
 def test_stage_on_the_small_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == smallest_of_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    other = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, text, "en", "b", 1), (1, other, "en", "s", 1), (1, text, "en", "a", 1), (2, text, "de", "s", 1), (None, text, "en", "s", 1),
+        (None, "alone here with words of its own", "en", "s", 1), (None, "alone here with words of its own", None, "s", 1), (None, None, None, None, None), (5, "", "en", "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, text, "en", "a", 1), (1, other, "en", "s", 1), (5, "", "en", "s", 0), (None, "alone here with words of its own", None, "s", 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0

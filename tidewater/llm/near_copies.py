@@ -56,27 +56,32 @@ def common_shingles(docs: DataFrame, sample: int = 16_384, least: int = 8) -> np
     return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with k1 and k2, 128 bits of doc_id and text: what tells rows apart, for ids may be null or repeated."""
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(1), "doc_id"))
+
+
 def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, sig, n, bits, fp, keys): every text's set by signature, size, parity, SimHash and prefix."""
+    """(doc_id, k1, k2, sig, n, bits, fp, keys): every text's set by signature, size, parity, SimHash and prefix."""
     box = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
         late = box.value
 
-        def work(ids, texts):
+        def work(ids, one, two, texts):
             out = []
-            for key, text in zip(ids, texts):
+            for key, k1, k2, text in zip(ids, one, two, texts):
                 s = shingles(text)
-                last = np.isin(s, late, assume_unique=True)
+                last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[: len(s) + (-4 * len(s) // 5) + 1]
                 fp = int(np.uint64(majority(s)).astype(np.int64))
-                out.append((key, signature(s), len(s), parity(s), fp, first.view(np.int64).tolist()))
+                out.append((key, k1, k2, signature(s), len(s), parity(s), fp, first.view(np.int64).tolist()))
             return zip(*out)
 
         return work
 
-    ddl = "doc_id long, sig long, n int, bits array<long>, fp long, keys array<long>"
-    return map_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), make, ddl)
+    ddl = "doc_id long, k1 long, k2 long, sig long, n int, bits array<long>, fp long, keys array<long>"
+    return map_rows(keyed(docs).select("doc_id", "k1", "k2", "text"), make, ddl)
 
 
 def fits(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -124,11 +129,14 @@ def meetings(sets: DataFrame, few: int) -> DataFrame:
     return met.repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)
 
 
-def across(large: DataFrame, sets: DataFrame, groups: DataFrame, side: int = 1024) -> DataFrame:
-    """(a, b): all pairs in large buckets that are in different groups and can be similar; sides are compared in tasks of their own."""
+def across(large: DataFrame, sets: DataFrame, groups: DataFrame, every: bool, side: int = 1024) -> DataFrame:
+    """(a, b): pairs in large buckets that are in different groups and can be similar; sides are compared in tasks of their own.
+
+    Without `every` a task gives only as many of them as unite its groups, those of the nearest parities.
+    """
     tops = groups.select(F.col("node").alias("sig"), "component")
     rows = large.join(sets.select("sig", "n", "bits"), "sig").join(tops, "sig", "left").withColumn("top", F.coalesce("component", "sig"))
-    rows = store(rows.select("h", "sig", "n", "bits", "top"), "large")
+    rows = rows.select("h", "sig", "n", "bits", "top")
     counts = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("top").alias("x"), F.max("top").alias("y")).where("x < y")
     cut = F.ceil(F.col("rows") / side).cast("int")
     sided = (
@@ -144,27 +152,58 @@ def across(large: DataFrame, sets: DataFrame, groups: DataFrame, side: int = 102
             begin = np.flatnonzero(change)
             bits = np.stack([c[f"b{k}"].view(np.uint64) for k in range(4)], axis=1)
             for s, e in zip(begin.tolist(), np.append(begin[1:], len(change)).tolist()):
-                out = []
                 sig, n, top, own, b = c["sig"][s:e], c["n"][s:e].astype(np.int64), c["top"][s:e], c["own"][s:e], bits[s:e]
-                crossing = c["i"][s] != c["j"][s]
+                crossing, out = c["i"][s] != c["j"][s], []
                 for k in range(e - s - 1):
                     rest = slice(k + 1, None)
                     ok = (top[rest] != top[k]) & (5 * np.minimum(n[rest], n[k]) >= 4 * np.maximum(n[rest], n[k]))
-                    ok &= 9 * np.bitwise_count(b[rest] ^ b[k]).sum(axis=1, dtype=np.int64) <= n[rest] + n[k]
                     if crossing:
                         ok &= own[rest] != own[k]
-                    if ok.any():
-                        out.append(np.stack([np.full(int(ok.sum()), sig[k]), sig[rest][ok]]))
-                if out:
-                    a = np.concatenate(out, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.min(axis=0)), pa.array(a.max(axis=0))], schema=schema)
+                    at = np.flatnonzero(ok)
+                    differ = np.bitwise_count(b[at + k + 1] ^ b[k]).sum(axis=1, dtype=np.int64)
+                    ok = 9 * differ <= n[at + k + 1] + n[k]
+                    at, differ = at[ok] + k + 1, differ[ok]
+                    if not every and len(at) > 1:  # the nearest of each group
+                        order = np.lexsort((differ, top[at]))
+                        order = order[np.append(True, top[at][order][1:] != top[at][order][:-1])]
+                        at, differ = at[order], differ[order]
+                    if len(at):
+                        out.append(np.stack([np.full(len(at), k), at, differ]))
+                if not out:
+                    continue
+                i, j, differ = np.concatenate(out, axis=1)
+                if not every:
+                    order = np.argsort(differ, kind="stable")
+                    numbers = np.unique(top, return_inverse=True)[1]
+                    ends = list(zip(numbers[i[order]].tolist(), numbers[j[order]].tolist()))
+                    pick = order[uniting(ends, int(numbers.max()) + 1)]
+                    i, j = i[pick], j[pick]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j]))], schema=schema)
 
     return sided.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def uniting(ends: list[tuple[int, int]], n: int) -> list[int]:
+    """Which of the pairs, in turn, join two groups that none before them joined."""
+    top, out = list(range(n)), []
+
+    def root(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for k, (a, b) in enumerate(ends):
+        x, y = root(a), root(b)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
 def sets_of(docs: DataFrame, ends: DataFrame, size: int = 1 << 25) -> DataFrame:
-    """(sig, s): whole sets of at least the texts in ends, chosen by a bitmap of their ids so that no text is shuffled."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    """(sig, s): whole sets of at least the texts in ends, chosen by a bitmap of their keys so that no text is shuffled."""
+    place = F.pmod(F.col("k1"), F.lit(size))
     word = ends.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("v"))
     word, bits = word.toArrow(), np.zeros(size // 64, dtype=np.int64)
     bits[word.column("w").to_numpy()] = word.column("v").to_numpy()
@@ -179,39 +218,58 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int = 1 << 25) -> DataFrame:
 
         return work
 
-    return map_rows(docs.where("doc_id IS NOT NULL").select(place.alias("p"), "text"), make, "sig long, s array<long>")
+    return map_rows(keyed(docs).select(place.alias("p"), "text"), make, "sig long, s array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of signatures whose whole sets have a Jaccard similarity of 0.8 or more."""
-    small = sets.select("sig", "n", "bits", "doc_id")
+    small = sets.select("sig", "n", "bits", "k1")
     side = lambda x: small.select(*[F.col(c).alias(f"{c}_{x}") for c in small.columns]).withColumnRenamed(f"sig_{x}", x)
     differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(4))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = pairs.join(side("a"), "a").join(side("b"), "b").where(
         (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * differ <= F.col("n_a") + F.col("n_b"))
     )
-    left = store(left.select("a", "b", "n_a", "n_b", "doc_id_a", "doc_id_b"), "candidates")
-    ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("sig"), F.col(f"doc_id_{x}").alias("doc_id")) for x in "ab"])).alias("e"))
+    left = store(left.select("a", "b", "n_a", "n_b", "k1_a", "k1_b"), "candidates")
+    ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("sig"), F.col(f"k1_{x}").alias("k1")) for x in "ab"])).alias("e"))
     ends = ends.select("e.*").distinct()
-    whole = store(sets_of(docs, ends).join(ends, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    whole = store(sets_of(docs, ends).join(ends.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
     one, two = (whole.select(F.col("sig").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return left.join(one, "a").join(two, "b").where(9 * shared >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def kept(docs: DataFrame, few: int = 32) -> DataFrame:
-    """(doc_id): the smallest of each group connected by pairs of similarity 0.8 or more in shingles of five words."""
+def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
+    """One row of docs for each group connected by pairs of similarity 0.8 or more in shingles of five words.
+
+    It is the row of the smallest doc_id, nulls last; among rows of one id the text decides, by hash, and
+    among rows of one id and text the other columns in turn, the smallest first. Null and empty texts are
+    one set. Groups in large buckets are united in at most `rounds` rounds of few pairs each; then all
+    pairs left between groups are verified, so the rounds change the work but not the result.
+    """
     rows = store(described(docs, common_shingles(docs)), "described")
-    ids = rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    sets = store(rows.drop("doc_id").dropDuplicates(["sig"]).join(ids, "sig"), "distinct")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("who")
+    ids = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.min(who).alias("who"))
+    sets = store(ids.select("sig", "n", "bits", "fp", "who", F.col("who.k1").alias("k1")), "distinct")
     near = links(sets.groupBy("fp").agg(F.min("sig").alias("node")))
-    met = store(meetings(sets, few), "meetings")
-    first = store(verified(near.unionByName(met.where("NOT large").select("a", "b")), sets, docs), "verified")
+    met = store(meetings(rows.select("sig", "n", "keys").dropDuplicates(["sig"]), few), "meetings")
+    found = store(verified(near.unionByName(met.where("NOT large").select("a", "b")), sets, docs), "verified")
     large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"))
-    groups = store(connected_components(first), "groups")
-    if not large.isEmpty():
-        more = store(verified(across(large, sets, groups), sets, docs), "verified")
-        groups = store(connected_components(first.unionByName(more)), "groups")
-    tops = sets.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("doc_id", F.coalesce("component", "sig").alias("top"))
-    return tops.groupBy("top").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    groups = store(connected_components(found), "groups")
+    for step in range(rounds + 1 if not large.isEmpty() else 0):
+        pairs = store(across(large, sets, groups, every=step == rounds), "across")
+        if pairs.isEmpty():
+            break
+        more = store(verified(pairs, sets, docs), "verified")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            groups = store(connected_components(found), "groups")
+        elif step < rounds:
+            more = store(verified(across(large, sets, groups, every=True), sets, docs), "verified")
+            groups = store(connected_components(found.unionByName(more)), "groups")
+            break
+    tops = sets.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("who", F.coalesce("component", "sig").alias("top"))
+    keep = tops.groupBy("top").agg(F.min("who").alias("who")).select("who.k1", "who.k2")
+    order = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    one = keyed(docs).groupBy("k1", "k2").agg(F.min_by(F.struct(*docs.columns), F.struct(*order) if order else F.lit(0)).alias("row"))
+    return one.join(keep, ["k1", "k2"], "left_semi").select("row.*")
