@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewater.llm import near_copies
@@ -90,3 +92,20 @@ def test_rows_of_one_id_are_told_apart_by_text(spark):
     want = [(1, text, "en", "a", 1), (1, other, "en", "s", 1), (5, "", "en", "s", 0), (None, "alone here with words of its own", None, "s", 1)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_parities_never_exceed_the_difference(spark):
+    """Of any length, in numpy and in Spark: at most as many bits differ as shingles, and nearly as many."""
+    rng = random.Random(4)
+    sets = []
+    for n in (1, 60, 127, 128, 129, 150, 500, 620, 4000, 5000):
+        some = [rng.getrandbits(64) for _ in range(n)]
+        sets += [np.unique(np.array(some, dtype="<u8")), np.unique(np.array(some[: n - n // 9] + [rng.getrandbits(64)], dtype="<u8"))]
+    bits = [np.array(near_copies.parity(s), dtype=np.int64).view(np.uint64) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))]
+    rows = [(i, j, near_copies.parity(sets[i]), near_copies.parity(sets[j])) for i, j in pairs]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>").select("i", "j", near_copies.differing(F.col("a"), F.col("b")).alias("d"))
+    for r in df.collect():
+        apart = len(np.setxor1d(sets[r["i"]], sets[r["j"]]))
+        assert near_copies.differing_bits(bits, r["i"], np.array([r["j"]]))[0] == r["d"] <= apart
+        assert apart > len(sets[r["i"]]) // 4 or r["d"] >= 0.7 * apart

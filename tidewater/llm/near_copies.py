@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -41,12 +41,41 @@ def signature(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), SEED)).astype(np.int64))
 
 
-def parity(values: np.ndarray) -> list[int]:
-    """256 bits; two sets differ in at least as many shingles as these in bits."""
-    odd = np.bincount((values & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def parity(values: np.ndarray, size: int = 0) -> list[int]:
+    """So many bits, or two to four times as many as shingles and 256 at least; two sets differ in at least as many shingles as these in bits."""
+    size = size or 1 << max(8, (2 * len(values) - 1).bit_length())
+    odd = np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+def halves(bits: Column, size: Column) -> Column:
+    """Bits folded once, if there are more than so many longs; the parity of half as many places."""
+    both = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > size, both).otherwise(bits)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many bits two parities differ whose lengths are equal or one is twice the other."""
+    size = F.least(F.size(a), F.size(b))
+    xor = F.zip_with(halves(a, size), halves(b, size), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    return F.aggregate(xor, F.lit(0).cast("long"), lambda n, x: n + x)
+
+
+def differing_bits(bits: list[np.ndarray], k: int, at: np.ndarray) -> np.ndarray:
+    """The same for one parity against several, in numpy."""
+    own, out = bits[k], np.zeros(len(at), dtype=np.int64)
+    sizes = np.array([len(bits[i]) for i in at])
+    for size in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == size)
+        theirs, mine = np.stack([bits[i] for i in at[some]]), own
+        if size > len(own):
+            theirs = theirs[:, : len(own)] ^ theirs[:, len(own) :]
+        elif size < len(own):
+            mine = own[:size] ^ own[size:]
+        out[some] = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def common_shingles(docs: DataFrame, sample: int = 16_384, least: int = 8) -> np.ndarray:
     """Shingles of at least so many of about `sample` texts, chosen by hash. They only set an order."""
     one_in = max(1, -(-docs.count() // sample))
@@ -62,7 +91,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, k1, k2, sig, n, bits, fp, keys): every text's set by signature, size, parity, SimHash and prefix."""
+    """(doc_id, k1, k2, sig, n, coarse, bits, fp, keys): every text's set by signature, size, short and long parity, SimHash and prefix."""
     box = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
@@ -75,12 +104,12 @@ def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[: len(s) + (-4 * len(s) // 5) + 1]
                 fp = int(np.uint64(majority(s)).astype(np.int64))
-                out.append((key, k1, k2, signature(s), len(s), parity(s), fp, first.view(np.int64).tolist()))
+                out.append((key, k1, k2, signature(s), len(s), parity(s, 256), parity(s), fp, first.view(np.int64).tolist()))
             return zip(*out)
 
         return work
 
-    ddl = "doc_id long, k1 long, k2 long, sig long, n int, bits array<long>, fp long, keys array<long>"
+    ddl = "doc_id long, k1 long, k2 long, sig long, n int, coarse array<long>, bits array<long>, fp long, keys array<long>"
     return map_rows(keyed(docs).select("doc_id", "k1", "k2", "text"), make, ddl)
 
 
@@ -129,20 +158,25 @@ def meetings(sets: DataFrame, few: int) -> DataFrame:
     return met.repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)
 
 
-def across(large: DataFrame, sets: DataFrame, groups: DataFrame, every: bool, side: int = 1024) -> DataFrame:
-    """(a, b): pairs in large buckets that are in different groups and can be similar; sides are compared in tasks of their own.
+def divided(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (h, sig, n, bits) of buckets that hold more than one group, with their group as top and their bucket's size as rows."""
+    tops = groups.select(F.col("node").alias("sig"), "component")
+    found = members.join(tops, "sig", "left").select("h", "sig", "n", "bits", F.coalesce("component", "sig").alias("top"))
+    found = store(found, "members")
+    counts = found.groupBy("h").agg(F.count("*").alias("rows"), F.min("top").alias("x"), F.max("top").alias("y")).where("x < y")
+    return store(found.join(counts.select("h", "rows"), "h"), "divided")
+
+
+def across(rows: DataFrame, every: bool, side: int = 1024) -> DataFrame:
+    """(a, b): pairs in buckets of `divided` that are in different groups and can be similar; sides are compared in tasks of their own.
 
     Without `every` a task gives only as many of them as unite its groups, those of the nearest parities.
     """
-    tops = groups.select(F.col("node").alias("sig"), "component")
-    rows = large.join(sets.select("sig", "n", "bits"), "sig").join(tops, "sig", "left").withColumn("top", F.coalesce("component", "sig"))
-    rows = rows.select("h", "sig", "n", "bits", "top")
-    counts = rows.groupBy("h").agg(F.count("*").alias("rows"), F.min("top").alias("x"), F.max("top").alias("y")).where("x < y")
     cut = F.ceil(F.col("rows") / side).cast("int")
     sided = (
-        rows.join(counts, "h").withColumn("own", F.pmod(F.xxhash64("sig"), cut).cast("int"))
+        rows.withColumn("own", F.pmod(F.xxhash64("sig"), cut).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
-        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "top", *[F.col("bits")[k].alias(f"b{k}") for k in range(4)])
+        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "top", "bits")
     )
     keys, schema = ["h", "i", "j"], arrow_schema("a long, b long")
 
@@ -150,19 +184,18 @@ def across(large: DataFrame, sets: DataFrame, groups: DataFrame, every: bool, si
         for c in runs(batches, keys):
             change = np.append(True, np.any([c[k][1:] != c[k][:-1] for k in keys], axis=0))
             begin = np.flatnonzero(change)
-            bits = np.stack([c[f"b{k}"].view(np.uint64) for k in range(4)], axis=1)
             for s, e in zip(begin.tolist(), np.append(begin[1:], len(change)).tolist()):
-                sig, n, top, own, b = c["sig"][s:e], c["n"][s:e].astype(np.int64), c["top"][s:e], c["own"][s:e], bits[s:e]
+                sig, n, top, own, bits = c["sig"][s:e], c["n"][s:e].astype(np.int64), c["top"][s:e], c["own"][s:e], [x.view(np.uint64) for x in c["bits"][s:e]]
                 crossing, out = c["i"][s] != c["j"][s], []
                 for k in range(e - s - 1):
                     rest = slice(k + 1, None)
                     ok = (top[rest] != top[k]) & (5 * np.minimum(n[rest], n[k]) >= 4 * np.maximum(n[rest], n[k]))
                     if crossing:
                         ok &= own[rest] != own[k]
-                    at = np.flatnonzero(ok)
-                    differ = np.bitwise_count(b[at + k + 1] ^ b[k]).sum(axis=1, dtype=np.int64)
-                    ok = 9 * differ <= n[at + k + 1] + n[k]
-                    at, differ = at[ok] + k + 1, differ[ok]
+                    at = np.flatnonzero(ok) + k + 1
+                    differ = differing_bits(bits, k, at)
+                    ok = 9 * differ <= n[at] + n[k]
+                    at, differ = at[ok], differ[ok]
                     if not every and len(at) > 1:  # the nearest of each group
                         order = np.lexsort((differ, top[at]))
                         order = order[np.append(True, top[at][order][1:] != top[at][order][:-1])]
@@ -223,13 +256,16 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int = 1 << 25) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of signatures whose whole sets have a Jaccard similarity of 0.8 or more."""
-    small = sets.select("sig", "n", "bits", "k1")
-    side = lambda x: small.select(*[F.col(c).alias(f"{c}_{x}") for c in small.columns]).withColumnRenamed(f"sig_{x}", x)
-    differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(4))
+    def side(cols: list[str], x: str) -> DataFrame:
+        return sets.select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * differ <= F.col("n_a") + F.col("n_b"))
+    limit = F.col("n_a") + F.col("n_b")
+    likely = pairs.join(side(["n", "coarse"], "a"), "a").join(side(["n", "coarse"], "b"), "b").where(
+        (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (9 * differing(F.col("coarse_a"), F.col("coarse_b")) <= limit)
     )
+    left = likely.select("a", "b", "n_a", "n_b").join(side(["bits", "k1"], "a"), "a").join(side(["bits", "k1"], "b"), "b")
+    left = left.where(9 * differing(F.col("bits_a"), F.col("bits_b")) <= limit)
     left = store(left.select("a", "b", "n_a", "n_b", "k1_a", "k1_b"), "candidates")
     ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("sig"), F.col(f"k1_{x}").alias("k1")) for x in "ab"])).alias("e"))
     ends = ends.select("e.*").distinct()
@@ -247,27 +283,26 @@ def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
     one set. Groups in large buckets are united in at most `rounds` rounds of few pairs each; then all
     pairs left between groups are verified, so the rounds change the work but not the result.
     """
-    rows = store(described(docs, common_shingles(docs)), "described")
+    prints = store(described(docs, common_shingles(docs)), "described")
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("who")
-    ids = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.min(who).alias("who"))
-    sets = store(ids.select("sig", "n", "bits", "fp", "who", F.col("who.k1").alias("k1")), "distinct")
+    ids = prints.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "coarse", "bits", "fp")], F.min(who).alias("who"))
+    sets = store(ids.select("*", F.col("who.k1").alias("k1")), "distinct")
     near = links(sets.groupBy("fp").agg(F.min("sig").alias("node")))
-    met = store(meetings(rows.select("sig", "n", "keys").dropDuplicates(["sig"]), few), "meetings")
+    met = store(meetings(prints.select("sig", "n", "keys").dropDuplicates(["sig"]), few), "meetings")
     found = store(verified(near.unionByName(met.where("NOT large").select("a", "b")), sets, docs), "verified")
-    large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"))
     groups = store(connected_components(found), "groups")
-    for step in range(rounds + 1 if not large.isEmpty() else 0):
-        pairs = store(across(large, sets, groups, every=step == rounds), "across")
-        if pairs.isEmpty():
-            break
-        more = store(verified(pairs, sets, docs), "verified")
+    large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"))
+    members = store(large.join(sets.select("sig", "n", "bits"), "sig"), "large")
+    every = rounds == 0
+    while not (rows := divided(members, groups)).isEmpty():
+        more = store(verified(across(rows, every), sets, docs), "verified")
+        found = found.unionByName(more)
         if not more.isEmpty():
-            found = found.unionByName(more)
             groups = store(connected_components(found), "groups")
-        elif step < rounds:
-            more = store(verified(across(large, sets, groups, every=True), sets, docs), "verified")
-            groups = store(connected_components(found.unionByName(more)), "groups")
+        if every:
             break
+        rounds -= 1
+        members, every = rows.drop("top", "rows"), rounds == 0 or more.isEmpty()
     tops = sets.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("who", F.coalesce("component", "sig").alias("top"))
     keep = tops.groupBy("top").agg(F.min("who").alias("who")).select("who.k1", "who.k2")
     order = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
