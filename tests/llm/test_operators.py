@@ -432,25 +432,51 @@ def test_licenses(docs, texts, empty):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min([k for k, _ in at], default=None), max([k for k, _ in at], default=None))
         assert r["base_labels"] == ",".join(sorted({label for _, label in at}))
-        labels = {label for _, label in at}
-        for b in licenses.blocks(t or ""):
-            for label, text in licenses.TEMPLATES:
-                own = set(licenses.words(text))
-                if len(own & set(b)) >= max(1, int(np.ceil(0.8 * len(own) - 1e-9))):
-                    labels.add(label)
-        assert r["labels"] == ",".join(sorted(labels))
+        more = plain_matches(w, licenses.TEMPLATES, 0.8)
+        assert r["labels"] == ",".join(sorted({label for _, label in at} | more.keys()))
+        assert r["score"] == (1.0 if at else max(more.values(), default=0.0))
     assert rows(licenses.scan(empty)) == []
 
 
+def plain_matches(found, templates, least):
+    """Every window of every template's width."""
+    out = {}
+    for label, text in templates:
+        own = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+        kinds = set(own)
+        need, wide = (len(kinds), len(own)) if len(kinds) < 10 else (int(np.ceil(least * len(kinds) - 1e-9)), len(own) + len(own) // 4)
+        top = max(len(kinds & set(found[s : s + wide])) for s in range(max(1, len(found) - wide + 1)))
+        if top >= need:
+            out[label] = max(out.get(label, 0), top / len(kinds))
+    return out
+
+
 def test_license_filters_miss_nothing():
     rng = np.random.default_rng(13)
-    index = licenses.Index.build(licenses.TEMPLATES, {}, 0.6)
-    every = [w for _, t in licenses.TEMPLATES for w in licenses.words(t)]
-    for _ in range(400):
-        block = list(rng.choice(every, rng.integers(1, 60)))
-        want = {}
-        for label, own, need in index.sets:
-            both = len(set(own) & set(block))
-            if both >= need:
-                want[label] = max(want.get(label, 0), both / len(own))
-        assert index.matches(block) == want
+    some = licenses.TEMPLATES[4:6] + licenses.NOTICES
+    for least in (0.6, 0.8):
+        index = licenses.Index.build(some, {b"the": 9, b"of": 7, b"license": 5}, least)
+        every = [w.decode() for _, t in some for w in licenses.words(t)]
+        for k in range(150):
+            text = [str(w) for w in rng.choice(every, rng.integers(1, 60))]
+            own = [w.decode() for w in licenses.words(some[k % len(some)][1])]
+            text += [w for w in own if rng.random() < 0.85] + [str(w) for w in rng.choice(every, rng.integers(0, 60))] + own[: len(own) * 2 // 3]
+            want = plain_matches(text, some, least)
+            got = index.matches([w.encode() for w in text])
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_wrapped_licences_and_a_table_of_templates(spark):
+    """Every template is found however its lines are broken, by its own label."""
+    import textwrap
+
+    data = [(k, "x y\n" + "\n * ".join(textwrap.wrap(text, 60)) + "\nz") for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs).collect()}
+    assert all(label in got[k] for k, (label, _) in enumerate(licenses.TEMPLATES))
+    assert got[[t for _, t in licenses.TEMPLATES].index("Licensed under CC BY-NC 4.0")] == ["cc-by-nc"]
+    own = spark.createDataFrame([("house", "may be read aloud on Sundays by members of this house only"), (None, "x"), ("none", None)], "label string, text string")
+    text = "It may be read\naloud on Sundays by members of this\nhouse only."
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), templates=own).first()["labels"] == "house"
+    with pytest.raises(ValueError):
+        licenses.scan(docs, templates=own, most=0)

@@ -1,13 +1,18 @@
 """Licence scan: phrases in consecutive words, and an exact set-similarity join of text blocks with templates.
 
-A template is found in a block of words if the block holds at least `least` of its distinct words.
-Words are ordered by how many documents hold them, rarest first; a block can reach the threshold
-only if it holds one of a template's first words in that order, is long enough, and has enough
-words left after the place of the match. Only blocks that pass are verified, and none is missed.
+A block is a window of consecutive words of the whole text, line ends ignored: for a template of t
+words, of t and a quarter. A template is found if some block holds at least `least` of its distinct
+words; one of under ten distinct words only if t words in a row hold all of them, as little
+of it would be enough otherwise. Words are ordered by how many documents hold them, rarest first; a
+block can reach the threshold only if it holds one of a template's first words in that order, if the
+text is long enough, and if enough words are left after the place of the match. Only windows around
+such words are looked at, and no block is missed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from math import ceil
 
@@ -15,25 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_templates import NOTICES, TEXTS
 from .shared import arrow_schema
 
-# Phrases and labels of the base, and the templates' opening sentences.
+# Phrases and labels of the base.
 PHRASES = {
     "mit license": "mit",
     "apache license": "apache",
     "general public license": "gpl",
 }
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("apache", "this work is licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-]
+TEMPLATES = TEXTS + NOTICES
+#: A template of fewer distinct words is found whole or not at all.
+SHORT = 10
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -55,56 +53,86 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+@dataclass
+class Template:
+    label: str
+    own: list[bytes]  # distinct words from rare to frequent
+    need: int  # so many of them
+    window: int  # in so many words
+
+
 @dataclass
 class Index:
     """Templates in the order of the words' frequencies."""
 
-    rank: dict[bytes, int]
-    sets: list[tuple[str, list[bytes], int]]  # label, words from rare to frequent, words needed
-    by_prefix: dict[bytes, list[tuple[int, int]]]  # word: (template, its place in the prefix)
+    templates: list[Template]
+    prefix: dict[bytes, list[tuple[int, int]]]  # word: (template, its place in the prefix)
+    held_by: dict[bytes, list[int]]  # word: templates
 
     @classmethod
     def build(cls, templates, frequency: dict[bytes, int], least: float) -> Index:
-        tokens = {w for _, t in templates for w in words(t)}
-        rank = {w: i for i, w in enumerate(sorted(tokens, key=lambda w: (frequency.get(w, 0), w)))}
-        sets, by_prefix = [], {}
+        made, prefix, held_by = [], {}, {}
         for k, (label, text) in enumerate(templates):
-            own = sorted(set(words(text)), key=rank.__getitem__)
-            need = max(1, ceil(least * len(own) - 1e-9))
-            sets.append((label, own, need))
+            found = words(text)
+            own = sorted(set(found), key=lambda w: (frequency.get(w, 0), w))
+            if not own:
+                continue
+            short = len(own) < SHORT
+            need = len(own) if short else max(1, ceil(least * len(own) - 1e-9))
+            k = len(made)
+            made.append(Template(label, own, need, len(found) if short else len(found) + len(found) // 4))
             for at, w in enumerate(own[: len(own) - need + 1]):
-                by_prefix.setdefault(w, []).append((k, at))
-        return cls(rank, sets, by_prefix)
-
-    def matches(self, block: list[bytes]) -> dict[str, float]:
-        """Each label found in the block, with the greatest share of a template's words."""
-        held = sorted({w for w in block if w in self.rank}, key=self.rank.__getitem__)
-        found: dict[str, float] = {}
-        met: dict[int, int] = {}
-        for q, w in enumerate(held):
-            for k, at in self.by_prefix.get(w, ()):
-                label, own, need = self.sets[k]
-                if len(held) < need:
-                    continue  # length filter
-                met[k] = met.get(k, 0) + 1
-                if met[k] == 1 and 1 + min(len(own) - at, len(held) - q) - 1 < need:
-                    met[k] = -len(own)  # positional filter: too few words are left on either side
-        share_of = set(held)
-        for k, n in met.items():
-            if n > 0:
-                label, own, need = self.sets[k]
-                both = sum(w in share_of for w in own)
-                if both >= need:
-                    found[label] = max(found.get(label, 0.0), both / len(own))
-        return found
-
-
-def blocks(text: str, span: int = 128):
-    """A text's lines as words; longer lines in windows of span words that overlap by half."""
-    for line in text.split("\n"):
-        found = words(line)
-        for s in range(0, max(1, len(found) - span // 2), span // 2):
-            yield found[s : s + span]
+                prefix.setdefault(w, []).append((k, at))
+            for w in own:
+                held_by.setdefault(w, []).append(k)
+        return cls(made, prefix, held_by)
+
+    def matches(self, found: list[bytes]) -> dict[str, float]:
+        """Each label found in the text's words, with the greatest share of a template's words that a block holds."""
+        held = set(found)
+        hopeful: dict[int, bool] = {}
+        for w in held & self.prefix.keys():
+            for k, at in self.prefix[w]:
+                t = self.templates[k]
+                # Length and position: enough words in the text, and enough of the template from this one on.
+                hopeful[k] = hopeful.get(k, False) or len(held) >= t.need and 1 + len(t.own) - at - 1 >= t.need
+        hopeful = {k for k, ok in hopeful.items() if ok and sum(w in held for w in self.templates[k].own) >= self.templates[k].need}
+        if not hopeful:
+            return {}
+        places: dict[int, list[int]] = {k: [] for k in hopeful}
+        for i, w in enumerate(found):
+            for k in self.held_by.get(w, ()):
+                if k in places:
+                    places[k].append(i)
+        out: dict[str, float] = {}
+        for k, at in places.items():
+            t = self.templates[k]
+            first = set(t.own[: len(t.own) - t.need + 1])
+            share = most_in_window(found, at, [i for i in at if found[i] in first], t.window) / len(t.own)
+            if share * len(t.own) >= t.need - 1e-9:
+                out[t.label] = max(out.get(t.label, 0.0), share)
+        return out
+
+
+def most_in_window(found: list[bytes], at: list[int], anchors: list[int], window: int) -> int:
+    """The most distinct words among the places `at` within any window that holds an anchor."""
+    best, done = 0, -1
+    for a in anchors:
+        begin, end = max(bisect_left(at, a - window + 1), done + 1), bisect_right(at, a + window - 1)
+        # Windows that end up to the last place seen were looked at with an earlier anchor.
+        tail = bisect_left(at, at[begin] - window + 1) if begin < len(at) else begin
+        counts: Counter = Counter()
+        for j in range(tail, end):
+            counts[found[at[j]]] += 1
+            while at[j] - at[tail] >= window:
+                w = found[at[tail]]
+                counts[w] -= 1
+                if not counts[w]:
+                    del counts[w]
+                tail += 1
+            best = max(best, len(counts))
+        done = max(done, end - 1)
+    return best
 
 
 def frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
@@ -123,13 +151,25 @@ def frequencies(docs: DataFrame, templates) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in got}
 
 
-def scan(docs: DataFrame, least: float = 0.8, templates=None, phrases=None) -> DataFrame:
-    """Words, base places, labels and score of every whole text; a null text is an empty one.
+def listed(templates, most: int) -> list[tuple[str, str]]:
+    """Templates as a list; a table (label, text) is collected after its size is checked, at most `most` rows and a megabyte of each thousand."""
+    if not isinstance(templates, DataFrame):
+        return list(templates or TEMPLATES)
+    rows = templates.where("label IS NOT NULL AND text IS NOT NULL").select("label", "text").distinct()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n > most or size > 1000 * most:
+        raise ValueError(f"{n} templates of {size} bytes are more than fit in every task; `most` is {most}")
+    return [tuple(r) for r in rows.orderBy("label", "text").collect()]
+
+
+def scan(docs: DataFrame, least: float = 0.8, templates=None, phrases=None, most: int = 10_000) -> DataFrame:
+    """Words, base places, labels and score of every whole text; a null text is an empty one, and repeated rows are rows of their own.
 
-    score: 1 with a base phrase, else the greatest share of a template found, else 0.
+    score: 1 with a base phrase, else the greatest share of a template found, else 0. templates: a list of
+    (label, text) or a table with these columns, of at most `most` rows.
     """
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
-    index = Index.build(templates, frequencies(docs, templates), least)
+    templates, phrases = listed(templates, most), phrases or PHRASES
+    box = docs.sparkSession.sparkContext.broadcast(Index.build(templates, frequencies(docs, templates), least))
     ddl = (
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )
@@ -137,7 +177,8 @@ def scan(docs: DataFrame, least: float = 0.8, templates=None, phrases=None) -> D
     wanted = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
     def run(batches):
-        prefix = index.by_prefix.keys()
+        index = box.value
+        prefix = index.prefix.keys()
         for batch in batches:
             out = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -145,12 +186,7 @@ def scan(docs: DataFrame, least: float = 0.8, templates=None, phrases=None) -> D
                 joined = b" " + b" ".join(found) + b" "
                 at = [(w, label) for phrase, label in wanted for w in places(joined, phrase)]
                 base = {label for _, label in at}
-                more: dict[str, float] = {}
-                if not prefix.isdisjoint(found):
-                    for block in blocks(text):
-                        if not prefix.isdisjoint(block):
-                            for label, share in index.matches(block).items():
-                                more[label] = max(more.get(label, 0.0), share)
+                more = {} if prefix.isdisjoint(found) else index.matches(found)
                 starts = [w for w, _ in at]
                 out.append((
                     key, len(found), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),

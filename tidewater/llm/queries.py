@@ -73,7 +73,7 @@ _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are held against brute force in tests/llm."""
-    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join(f"('{label}', '{b' '.join(licenses.words(text)).decode()}')" for label, text in licenses.TEMPLATES)
     phrases = ", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES.items())
     return {
         "op2_embedding_near_dedup": """
@@ -88,11 +88,11 @@ def oracle_sql() -> dict[str, str]:
             p AS (SELECT string_split(a, ' ') AS pw, b AS label FROM (VALUES {phrases}) t(a, b)),
             stands AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, label, pw, unnest(range(len(w) - len(pw) + 1)) AS i FROM d, p WHERE len(w) >= len(pw) AND list_has_all(w, pw)) WHERE w[i + 1 : i + len(pw)] = pw),
             base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list_sort(list(DISTINCT label)) AS labels FROM stands GROUP BY doc_id),
-            lines AS (SELECT doc_id, {_WORDS.format("unnest(string_split(text, chr(10)))")} AS w FROM d),
-            blocks AS (SELECT doc_id, list_distinct(w[s + 1 : s + 128]) AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 64), 64)) AS s FROM lines)),
-            t AS (SELECT k, label, list_distinct(string_split(x, ' ')) AS tw FROM (VALUES {templates}) t(k, label, x)),
-            met AS (SELECT doc_id, label, max(shared / len(tw)) AS share FROM (SELECT doc_id, label, tw, len(list_intersect(tw, w)) AS shared FROM blocks, t WHERE len(w) >= 0.8 * len(tw) - 1e-9)
-                WHERE shared >= ceil(0.8 * len(tw) - 1e-9) GROUP BY ALL),
+            t AS (SELECT label, list_distinct(string_split(x, ' ')) AS tw, len(string_split(x, ' ')) AS n FROM (VALUES {templates}) t(label, x)),
+            k AS (SELECT label, tw, CASE WHEN len(tw) < 10 THEN len(tw) ELSE ceil(0.8 * len(tw) - 1e-9) END AS need, CASE WHEN len(tw) < 10 THEN n ELSE n + n // 4 END AS wide FROM t),
+            hope AS (SELECT doc_id, w, label, tw, need, wide FROM (SELECT *, list_distinct(w) AS dw FROM d), k WHERE len(list_intersect(tw, dw)) >= need),
+            blocks AS (SELECT label, tw, need, doc_id, w[s + 1 : s + wide] AS b FROM (SELECT *, unnest(range(0, greatest(1, len(w) - wide + 1))) AS s FROM hope)),
+            met AS (SELECT doc_id, label, max(len(list_intersect(tw, b)) / len(tw)) AS share FROM blocks WHERE len(list_intersect(tw, b)) >= need GROUP BY ALL),
             more AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
             SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.z AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
                    array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
