@@ -9,9 +9,11 @@ the probability of their generalised Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +32,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Signatures of `samples` parts; what was drawn for `memory` terms is kept at most."""
+    """Signatures of `samples` parts; what was drawn for `memory` terms is kept at most, and all three draws for `often` repeated ones."""
 
-    def __init__(self, samples: int, memory: int = 60_000):
-        self.samples, self.memory = samples, memory
+    def __init__(self, samples: int, memory: int = 60_000, often: int = 12_000):
+        self.samples, self.memory, self.often = samples, memory, often
         self.salt = np.arange(1, 5 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self._clear()
 
@@ -41,6 +43,9 @@ class Sampler:
         self.place: dict[bytes, int] = {}
         self.hash = np.zeros(self.memory, dtype=np.uint64)
         self.height = np.zeros((self.memory, self.samples), dtype=np.float32)
+        self.slot = np.full(self.memory, -1, dtype=np.int32)
+        self.draws = np.zeros((self.often, 3, self.samples), dtype=np.float64)
+        self.used = 0
 
     def drawn(self, hashes: np.ndarray):
         """Rate, log height and shift, terms by samples; float64."""
@@ -49,6 +54,20 @@ class Sampler:
         u1, u2, u3, u4, shift = np.split(u, 5, axis=1)
         return -np.log(u1 * u2), np.log(-np.log(u3 * u4)), shift
 
+    def kept(self, at: np.ndarray):
+        """The draws of terms by their places, drawn once while they are remembered."""
+        if len(at) > self.often:
+            return self.drawn(self.hash[at])
+        new = at[self.slot[at] < 0]
+        if self.used + len(new) > self.often:
+            self.slot[:], self.used, new = -1, 0, at
+        if len(new):
+            self.slot[new] = np.arange(self.used, self.used + len(new))
+            self.draws[self.used : self.used + len(new)] = np.stack(self.drawn(self.hash[new]), axis=1)
+            self.used += len(new)
+        got = self.draws[self.slot[at]]
+        return got[:, 0], got[:, 1], got[:, 2]
+
     def add(self, terms: list[bytes]) -> None:
         """Keep what the terms draw at weight 1: there the step is 0, and one number a sample is enough."""
         start = len(self.place)
@@ -61,7 +80,7 @@ class Sampler:
             self.height[start + s : start + s + len(rate)] = height + rate * (shift - 1)
 
     def signature(self, words: list[bytes]) -> np.ndarray:
-        """16 bits a sample, as samples unsigned integers; without words all zero."""
+        """16 bits a sample, as samples unsigned integers; without words all zero. Of equal heights the smaller hash wins."""
         if not words:
             return np.zeros(self.samples, dtype=np.uint16)
         new = set(words).difference(self.place)
@@ -70,14 +89,17 @@ class Sampler:
             new = set(words)
         if len(new) > self.memory:
             return self._large(words)
-        self.add(sorted(new))
+        if new:
+            self.add(sorted(new))
         at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
         at, times = np.unique(at, return_counts=True)
+        order = np.argsort(self.hash[at])
+        at, times = at[order], times[order]
         heights = self.height[at]
         steps = None
         many = np.flatnonzero(times > 1)
         if len(many):
-            rate, height, shift = self.drawn(self.hash[at[many]])
+            rate, height, shift = self.kept(at[many])
             step = np.floor(np.log(times[many])[:, None] / rate + shift)
             heights[many] = height + rate * (shift - step - 1)
             steps = np.zeros(heights.shape, dtype=np.int32)
@@ -88,8 +110,11 @@ class Sampler:
 
     def _large(self, words: list[bytes]) -> np.ndarray:
         """The same for a text of more terms than are kept, in bounded pieces."""
-        terms, times = np.unique(np.array(words, dtype=object), return_counts=True)
-        h = _hashes(terms.tolist())
+        terms = Counter(words)
+        h = _hashes(list(terms))
+        times = np.fromiter(terms.values(), dtype=np.int64, count=len(terms))
+        order = np.argsort(h)
+        h, times = h[order], times[order]
         least = np.full(self.samples, np.inf, dtype=np.float32)
         name, steps = np.zeros(self.samples, dtype=np.uint64), np.zeros(self.samples, dtype=np.int32)
         for s in range(0, len(h), 2048):
@@ -140,45 +165,38 @@ def fingerprints(docs: DataFrame, samples: int = 64) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame, per_range: int = 2000, most: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, per_range: int = 2000) -> DataFrame:
     """Rows (range, doc_id, text, halo): texts dealt by ranges of doc_id, and each range's next document at its end.
 
-    Ranges are cut at approximate quantiles, at most `most` of them. The first row of a range goes
-    to the range before as its halo too; that of the first range goes to the last. So neighbours
-    meet without a global sort in one task. Rows without a doc_id have no place in the order, and no halo.
+    Ranges hold about per_range ids, at any size. The first row of a range goes to the range before as
+    its halo too; that of the first range goes to the last. So neighbours meet without a global sort in
+    one task. What goes to every task is one id for each range. Rows without a doc_id have no place
+    in the order, and no halo; they are dealt over as many ranges of their own.
     """
     spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    n = ids.count()
-    cuts = min(max(1, -(-n // per_range)), most)
-    bounds = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / cuts for i in range(1, cuts)], 0.2 / cuts) if n and cuts > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    box = [F.lit(b).cast("long") for b in bounds]
-    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_above(F.col("doc_id"), bounds)) if box else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    firsts = sorted((r["range"], r["first"]) for r in ids.select(place.cast("int").alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL").collect())
-    ring = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # the first id of a range: the range before
-    before = list(ring.items())
-    halo = spark.createDataFrame(before or [(None, None)], "first long, before int")
-    placed = docs.select(place.cast("int").alias("range"), "doc_id", "text")
-    both = placed.join(F.broadcast(halo), F.col("doc_id") == F.col("first"), "left")
-    rows = both.select(
-        F.explode(F.when(F.col("before").isNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("halo")))).otherwise(
-            F.array(F.struct(F.col("range"), F.lit(False).alias("halo")), F.struct(F.col("before").alias("range"), F.lit(True).alias("halo")))
-        )).alias("to"), "doc_id", "text",
-    ).select("to.range", "doc_id", "text", "to.halo")
-    return rows.repartition(cuts, "range").sortWithinPartitions("range", "halo", "doc_id", "text")
-
-
-def _above(col, bounds: list[int]):
-    """How many of the sorted bounds are at most col: a search tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+    n = docs.select("doc_id").count()
+    cuts = max(1, -(-n // per_range))
+    firsts = ids.repartitionByRange(cuts, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first"))
+    box = spark.sparkContext.broadcast(np.sort(firsts.select("first").toArrow().column("first").to_numpy()))
+
+    @F.pandas_udf("struct<range:int,before:int>")
+    def place(keys: pd.Series) -> pd.DataFrame:
+        firsts = box.value
+        at = np.searchsorted(firsts, keys.to_numpy(), "right") - 1
+        opens = firsts[at] == keys.to_numpy()
+        before = pd.Series(np.where(opens, (at - 1) % len(firsts), -1))
+        return pd.DataFrame({"range": at.astype(np.int32), "before": before.astype(np.int32)})
+
+    placed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("p"))
+    own = F.struct(F.col("p.range").alias("range"), F.lit(False).alias("halo"))
+    also = F.struct(F.col("p.before").alias("range"), F.lit(True).alias("halo"))
+    rows = placed.select(F.explode(F.when(F.col("p.before") < 0, F.array(own)).otherwise(F.array(own, also))).alias("to"), "doc_id", "text")
+    lone = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(cuts))
+    rows = rows.select("to.range", "doc_id", "text", "to.halo").unionByName(
+        docs.where("doc_id IS NULL").select(lone.cast("int").alias("range"), "doc_id", "text", F.lit(False).alias("halo"))
+    )
+    return rows.repartition(2 * cuts, "range").sortWithinPartitions("range", "halo", "doc_id", "text")
 
 
 def edits(docs: DataFrame, samples: int = 64) -> DataFrame:
