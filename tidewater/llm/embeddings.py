@@ -166,7 +166,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = 4096,
     cells = placed.groupBy("label", F.octet_length("unit").alias("size"), "cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius"))
     cells = store(cells.withColumn("sides", F.ceil(F.col("rows") / block).cast("int")), "radii")
     reach = float(np.sqrt(max(2 - 2 * cosine, 0.0))) + SLACK
-    gap_of = {k: np.sqrt(np.maximum(2 - 2 * c @ c.T, 0.0)) for k, c in centres.items()}
 
     # Which cells meet: few rows, for there is one for each `block` vectors.
     one, two = cells.alias("p"), cells.alias("q")
@@ -177,21 +176,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = 4096,
         for b in batches:
             keep = []
             for label, size, c, d, r, s in zip(*[b.column(x).to_pylist() for x in ("label", "size", "c", "d", "r", "s")]):
-                g = gap_of.get((label, size // 8))
-                keep.append(c == d or g is None or g[c, d] - r - s <= reach)
+                x = box.value.get((label, size // 8))
+                keep.append(c == d or x is None or np.sqrt(max(2 - 2 * float(x[c] @ x[d]), 0.0)) - r - s <= reach)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     met = met.mapInArrow(close, met.schema)
-    met = met.select("label", "size", "c", "d", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), "k").select(
-        "label", "size", "c", "d", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")
+    met = met.select("label", "size", "c", "d", "r", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), "k").select(
+        "label", "size", "c", "d", "r", "s", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")
     ).where("c < d OR i <= j")
     pairs = store(met.withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    ends = pairs.select("pair", "label", "size", F.col("c").alias("cell"), F.col("i").alias("side"), F.lit(0).alias("end")).unionByName(
-        pairs.where("c < d OR i < j").select("pair", "label", "size", F.col("d").alias("cell"), F.col("j").alias("side"), F.lit(1).alias("end"))
-    )
+    def end(rows: DataFrame, own: str, side: str, other: str, radius: str, number: int) -> DataFrame:
+        return rows.select("pair", "label", "size", F.col(own).alias("cell"), F.col(side).alias("side"), F.lit(number).alias("end"), F.col(other).alias("other"), F.col(radius).alias("far"))
+
+    two = pairs.where("c < d OR i < j")
+    alone = end(pairs.where("c = d AND i = j"), "c", "i", "d", "s", 2)
+    ends = alone.unionByName(end(two, "c", "i", "d", "s", 0)).unionByName(end(two, "d", "j", "c", "r", 1))
     sided = placed.withColumn("size", F.octet_length("unit")).join(cells.select("label", "size", "cell", "sides"), ["label", "size", "cell"])
     sided = sided.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int"))
-    dealt = sided.join(ends, ["label", "size", "cell", "side"]).select("pair", "end", "rep", "n", "unit")
+    dealt = sided.join(ends, ["label", "size", "cell", "side"]).select("label", "cell", "other", "far", "pair", "end", "rep", "n", "unit")
+
+    def within(batches):
+        """Without the vectors that are too far from the other cell's centre for a link into it."""
+        for batch in batches:
+            keep = []
+            for label, cell, other, far, unit in zip(*[batch.column(x).to_pylist() for x in ("label", "cell", "other", "far", "unit")]):
+                x = box.value.get((label, len(unit) // 8))
+                keep.append(cell == other or x is None or np.sqrt(max(2 - 2 * float(x[other] @ np.frombuffer(unit)), 0.0)) - far <= reach)
+            yield batch.select(["pair", "end", "rep", "n", "unit"]).filter(pa.array(keep, pa.bool_()))
+
+    dealt = dealt.mapInArrow(within, "pair long, end int, rep long, n long, unit binary")
     out = "rep long, links long, a long, b long"
     found_schema = arrow_schema(out)
 
@@ -199,9 +212,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = 4096,
         table = table.sort_by([("end", "ascending"), ("rep", "ascending")])
         end, rep, n = (table.column(c).to_numpy() for c in ("end", "rep", "n"))
         x = np.frombuffer(b"".join(table.column("unit").to_pylist())).reshape(len(rep), -1)
-        first = int((end == 0).sum())
+        first, same = int((end != 1).sum()), bool((end == 2).any())
         left = CoverTree(x[:first])
-        same = first == len(rep)
         right = left if same else CoverTree(x[first:])
         links, tree = np.zeros(len(rep), dtype=np.int64), []
         for i, j in near_pairs(left, right, cosine, same):
