@@ -353,15 +353,47 @@ def test_language_model_probabilities_sum_to_one():
     key = lambda *ids: sum((i + 1) * lm._STEP ** (len(ids) - 1 - k) for k, i in enumerate(ids))
     grams = {key(0, 1): 20, key(0, 0): 15, key(1, 0): 25, key(0, 1, 0): 12, key(0, 0, 1): 5}
     m = lm.build(head, 100, 4, 3, grams)
-    for before in ([], [0], [1], [0, 1], [0, 0], [1, 0], [3], [3, 0]):
+    for before in ([], [0], [1], [0, 1], [0, 0], [1, 0], [3], [3, 0], [-1, 0, 1]):
         total = 0.0
         for w in (0, 1, 2, 3, -1):
-            extra, arc = m.walk(np.array([*before, w]))
-            own = np.log10(1 / 105) if w < 0 else m.log[w]
-            total += 10 ** (extra[-1] + (0 if arc[-1] else own))
+            logs = []
+            for ids in (before, [*before, w]):
+                got, due = m.walk(ids)
+                logs.append(got + sum(np.log10(1 / 105) if ids[i] < 0 else m.log[ids[i]] for i in due))
+            total += 10 ** (logs[1] - logs[0])
         assert abs(total - 1) < 1e-6, before
 
 
+def test_language_model_traversal_is_plain_backoff():
+    """Against the recursive definition: the longest kept n-gram, else its failure weight and the shorter context."""
+    rng = np.random.default_rng(17)
+    text = [int(x) for x in rng.integers(0, 6, 3000)]
+    c1, c2 = Counter(text), Counter(zip(text, text[1:]))
+    c3 = Counter(zip(text, text[1:], text[2:]))
+    key = lambda *ids: sum((i + 1) * lm._STEP ** (len(ids) - 1 - k) for k, i in enumerate(ids))
+    grams = {key(*g): n for c in (c2, c3) for g, n in c.items() if n > 12 and max(g) < 5}
+    head = [(bytes([97 + i]), c1[i]) for i in range(6)]
+    m = lm.build(head, 3000, 6, 5, grams)
+    two, three = dict(zip(m.pair.tolist(), m.pair_log)), dict(zip(m.triple.tolist(), m.triple_log))
+    place = {k: i for i, k in enumerate(m.pair.tolist())}
+
+    def plain(before, w):
+        if len(before) == 2:
+            if key(*before, w) in three:
+                return three[key(*before, w)]
+            return (m.fail2[place[key(*before)]] if key(*before) in two else 0.0) + plain(before[1:], w)
+        if len(before) == 1:
+            if key(before[0], w) in two:
+                return two[key(before[0], w)]
+            return (m.fail1[before[0]] if 0 <= before[0] < m.core else 0.0) + plain((), w)
+        return m.log[w] if w >= 0 else 0.0
+
+    ids = [*text[:300], -1, 5, *text[300:400]]
+    want = sum(plain(tuple(ids[max(0, i - 2) : i]), w) for i, w in enumerate(ids))
+    got, due = m.walk(ids)
+    assert abs(got + sum(m.log[ids[i]] for i in due if ids[i] >= 0) - want) < 1e-6
+
+
 def plain_secrets(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):

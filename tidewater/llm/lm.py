@@ -4,7 +4,7 @@ States are the n-grams kept, up to two words long; an arc from a state reads a w
 discounted log-probability, and the failure arc to the next shorter suffix carries the backoff
 weight. A word's unigram probability comes from its exact count in all training texts.
 
-Words of at least N * head of the N training tokens (at most 1 / head of them) and n-grams of at
+Words of at least a share `head` of all tokens, training or not (at most 1 / head of them), and n-grams of at
 least N * arcs occurrences among words of at least N * core (at most 1 / arcs of each length) go to
 every task; these shares bound what is sent, at any size. All other words meet their counts in a
 join, in which none of them is frequent.
@@ -34,25 +34,29 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, c) over all texts, as binary words; each task sums up to `most` words before it sends them."""
+    """(word, c, every): counts in training texts and in all of docs (held_out, text), as binary words; each task sums up to `most` words before it sends them."""
 
     def run(batches):
-        counts: Counter = Counter()
+        train: Counter = Counter()
+        held: Counter = Counter()
 
         def sent():
+            every = list(train | held)
+            c = [train[w] for w in every]
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"]
+                [pa.array(every, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held[w] for n, w in zip(c, every)], pa.int64())], names=["word", "c", "every"]
             )
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(words(text))
-                if len(counts) > most:
+            for out, text in zip(batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
+                (held if out else train).update(words(text))
+                if len(train) + len(held) > most:
                     yield sent()
-                    counts = Counter()
+                    train, held = Counter(), Counter()
         yield sent()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, every long")
+    return counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
 
 
 def ngram_counts(docs: DataFrame, core: dict[bytes, int], most: int = 1_500_000) -> DataFrame:
@@ -99,11 +103,16 @@ def triple_keys(ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """total, kinds: N and V; head: number of each frequent word, those of the core first; log: of its unigram."""
+    """total, kinds: N and V; head: number of each frequent word, those of the core first; count, log: of its unigram.
+
+    State 0 is the empty context, state i + 1 that of core word i, and the states after them are those of
+    the pairs, in the order of `pair`. fail1 and fail2 are the weights of the failure arcs of both kinds.
+    """
 
     total: int
     kinds: int
     head: dict[bytes, int]
+    count: np.ndarray
     log: np.ndarray
     core: int
     pair: np.ndarray
@@ -113,30 +122,44 @@ class Automaton:
     fail1: np.ndarray
     fail2: np.ndarray
 
-    def walk(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the log-probability added before its unigram, and whether an arc made the unigram needless.
-
-        From left to right the state after a word is the longest kept suffix; as it depends on two
-        words at most, all places are looked up at once.
+    def arcs(self) -> tuple[dict[int, tuple[int, float]], list[int], list[float]]:
+        """Arcs by state * 2**20 + word: (next state, log-probability); each state's failure state and its weight."""
+        n = self.core + 1
+        state = {k: n + i for i, k in enumerate(self.pair.tolist())}
+        last = (self.pair % _STEP).tolist()  # the number of the second word, plus one: its own state
+        out = {k // _STEP * _STEP + w - 1: (s, p) for (k, s), w, p in zip(state.items(), last, self.pair_log.tolist())}
+        for k, p in zip(self.triple.tolist(), self.triple_log.tolist()):
+            w = k % _STEP
+            out[state[k // _STEP] * _STEP + w - 1] = (state.get(k // _STEP % _STEP * _STEP + w, w), p)
+        return out, [0] * n + last, [0.0, *self.fail1[: self.core].tolist(), *self.fail2.tolist()]
+
+    def walk(self, ids: list[int], arcs=None) -> tuple[float, list[int]]:
+        """One traversal from left to right: the sum of failure weights and of arcs, and the places where the unigram is due.
+
+        A word without an arc from the state takes the failure arc to the shorter context and is read
+        again there; in the empty context every word is read by its unigram.
         """
-        ids = np.where(ids < self.core, ids, -1)
-        extra, arc = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-        if len(ids) > 1:
-            before = ids[:-1]
-            two = pair_keys(ids)
-            known = before >= 0
-            fail = np.where(known, self.fail1[np.maximum(before, 0)], 0.0)
-            at, hit = _find(self.pair, two)
-            extra[1:] = np.where(hit, self.pair_log[at] if len(self.pair) else 0.0, fail)
-            arc[1:] = hit
-            if len(ids) > 2 and len(self.pair):
-                three = triple_keys(ids)
-                at3, hit3 = _find(self.triple, three)
-                state = hit[:-1] & (ids[1:-1] >= 0)  # the two words before are a state
-                down = np.where(state, self.fail2[at[:-1]], 0.0)
-                extra[2:] = np.where(hit3, self.triple_log[at3] if len(self.triple) else 0.0, extra[2:] + down)
-                arc[2:] |= hit3
-        return extra, arc
+        found, fail, weight = arcs or self.arcs()
+        get, core, state, total, due = found.get, self.core, 0, 0.0, []
+        for i, w in enumerate(ids):
+            if 0 <= w < core:
+                while state:
+                    arc = get(state * _STEP + w)
+                    if arc is not None:
+                        state, p = arc
+                        total += p
+                        break
+                    total += weight[state]
+                    state = fail[state]
+                else:
+                    due.append(i)
+                    state = w + 1
+            else:
+                while state:
+                    total += weight[state]
+                    state = fail[state]
+                due.append(i)
+        return total, due
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +202,7 @@ def build(head: list[tuple[bytes, int]], total: int, kinds: int, core: int, gram
     fail2 = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
     if 0 <= end < core:
         fail1[end] = 0.0
-    return Automaton(total, kinds, number, np.log10(unigram), core, pair, np.log10(p2), triple, np.log10(p3), fail1, fail2)
+    return Automaton(total, kinds, number, count, np.log10(unigram), core, pair, np.log10(p2), triple, np.log10(p3), fail1, fail2)
 
 
 def score(
@@ -192,11 +215,11 @@ def score(
     own. Without training texts N and V are 0 and each token has probability 1.
     """
     docs = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"))
-    counts = store(word_counts(docs.where("NOT held_out")), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= F.lit(max(total * head, 1.0))).toArrow()
+    counts = store(word_counts(docs), "words")
+    total, kinds, every = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
+    top = counts.where(F.col("every") >= F.lit(max(every * head, 1.0))).toArrow()
     top = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
-    n_core = sum(c >= total * core for _, c in top)
+    n_core = sum(c >= max(total * core, 1.0) for _, c in top)
     named = {w: i for i, (w, _) in enumerate(top[:n_core])}
     kept = ngram_counts(docs.where("NOT held_out"), named).where(F.col("c") >= F.lit(max(total * arcs, 2.0))).toArrow()
     grams = dict(zip(kept.column("key").to_pylist(), kept.column("c").to_pylist()))
@@ -211,17 +234,18 @@ def score(
 
     def run(batches):
         m = box.value
-        number, log = m.head.get, np.append(m.log, 0.0)
+        number, log, arcs, seen = m.head.get, np.append(m.log, 0.0), m.arcs(), np.append(m.count > 0, False)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 found = words(text)
-                ids = np.fromiter([number(w, -1) for w in found], dtype=np.int64, count=len(found))
-                extra, arc = m.walk(ids)
-                own = log[ids]
-                rare = Counter([w for w, i in zip(found, ids.tolist()) if i < 0])
+                ids = [number(w, -1) for w in found]
+                extra, due = m.walk(ids, arcs)
+                at = np.array(ids, dtype=np.int64)
+                own = log[at]
+                rare = Counter([w for w, i in zip(found, ids) if i < 0])
                 rows.append((
-                    len(found), int((ids >= 0).sum()), float(own.sum()), float(extra.sum() - own[arc].sum()),
+                    len(found), int(seen[at].sum()), float(own.sum()), float(extra + own[due].sum() - own.sum()),
                     list(rare), list(rare.values()),
                 ))
             cols = [batch.column("doc_id"), batch.column("held_out")]
