@@ -124,8 +124,8 @@ def test_planted_effect_is_confirmed_and_noise_is_not(spark):
         day = date(1996, 1, 1) + timedelta(days=int(rng.integers(0, 1500)))
         high = bool(rng.random() < 0.4)
         rows.append((f"T{i}", day, day - timedelta(days=day.weekday()), ["vol_high"] if high else ["vol_low"], float(rng.normal(0.02 if high else -0.02, 0.05)), float(rng.normal(0, 0.05))))
-    df = spark.createDataFrame(rows, "ticker string, date date, week date, names array<string>, react double, noise double")
-    cut = df.select("ticker", "date", "week", "react", "noise", F.explode("names").alias("cut"), F.array(F.lit("volume")).alias("families"))
+    df = spark.createDataFrame(rows, "ticker string, rdate date, week_id date, names array<string>, react double, noise double")
+    cut = df.select("ticker", "rdate", "week_id", "react", "noise", F.explode("names").alias("cut"), F.array(F.lit("volume")).alias("families"))
     got = {(r["cut"], r["outcome"]): r["verdict"] for r in C.verdicts(C.cut_effects(cut, ["react", "noise"], date(1998, 1, 1))).collect()}
     assert got[("vol_high", "react")] == "confirmed" and not any(v == "confirmed" for (c, o), v in got.items() if o == "noise")
 

@@ -229,7 +229,7 @@ def stratified_sample(securities: DataFrame, done: DataFrame, n: int, seed: int)
 def shapes(daily: Column) -> Column:
     """Names of the patterns of daily changes; none if any is missing."""
     n = F.size(daily)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    total = lambda a: F.aggregate(a, F.lit(1.0), lambda p, x: p * (1 + x)) - 1
     half = F.floor(n / 2).cast("int")
     a, b = total(F.slice(daily, F.lit(1), F.greatest(half, F.lit(1)))), total(F.slice(daily, half + 1, F.greatest(n - half, F.lit(1))))
     up, down, last = F.size(F.filter(daily, lambda x: x > 0)), F.size(F.filter(daily, lambda x: x < 0)), F.element_at(daily, -1)

@@ -17,7 +17,67 @@ AS_OF = date(2001, 7, 30)
 SPLIT = date(1998, 6, 1)
 CORE = [f"T{i}" for i in range(6)]
 _CORE = ", ".join(f"'{t}'" for t in CORE)
-OUTCOMES = ["react", "fiveday", "drift", "size"]
+OUTCOMES = ["react", "week", "drift", "size"]
+TRADE, HOLDS = 5, ["skip", "through", "after5"]
+#: The given tables hold no effects, so the query looks at a wider level than the default of 0.10.
+INDUSTRY, LEVEL = 60, 0.9
+
+_PEERS = (
+    "CASE WHEN f.{0} IS NOT NULL AND f.entry_date IS NOT NULL THEN count(p.react) FILTER (p.{0} = f.{0}) END AS {1}, avg(p.react) FILTER (p.{0} = f.{0}) AS {2}"
+)
+
+
+def _shaped(rows, first, last):
+    """Patterns of daily changes x."""
+    half = first + (last - first + 1) // 2
+    return f"""SELECT ticker, date, CASE WHEN count(x) < {last - first + 1} THEN [] ELSE list_filter([CASE WHEN count(*) FILTER (x > 0) >= 7 THEN 'up_days' END, CASE WHEN count(*) FILTER (x < 0) >= 7 THEN 'down_days' END, CASE WHEN max(x) FILTER (k = {last}) > 0.03 THEN 'jump_last' END,
+        CASE WHEN max(x) FILTER (k = {last}) < -0.03 THEN 'drop_last' END, CASE WHEN product(1 + x) FILTER (k < {half}) < 1 AND product(1 + x) FILTER (k >= {half}) > 1 THEN 'dip_recover' END, CASE WHEN product(1 + x) FILTER (k < {half}) > 1 AND product(1 + x) FILTER (k >= {half}) < 1 THEN 'rally_fade' END,
+        CASE WHEN abs(product(1 + x) - 1) < 0.02 AND max(abs(x)) <= 0.02 THEN 'quiet' END], lambda x: x IS NOT NULL) END AS shapes FROM {rows} WHERE k BETWEEN {first} AND {last} GROUP BY ALL"""
+
+
+def _gaps(first, last):
+    return f"""SELECT ticker, date, (avg(range / 100000) FILTER (k >= {first} AND k <= {last})) / CASE WHEN count(range) FILTER (k < {first}) >= 5 AND avg(range) FILTER (k < {first}) > 0 THEN avg(range / 100000) FILTER (k < {first}) END AS range_ratio,
+        max(gap) FILTER (k = {last}) / 100000 AS gap_last, count(*) FILTER (abs(gap) >= 2000 AND k BETWEEN {first} AND {last}) AS gaps_big FROM gapped GROUP BY ALL"""
+
+
+def _analysts(last):
+    near = f"k > {last - 21} AND k <= {last}"
+    return f"""SELECT ticker, date, (count(*) FILTER ({near}))::int AS an_n, (count(*) FILTER ({near} AND code = 'up'))::int AS an_up, (count(*) FILTER ({near} AND code = 'down'))::int AS an_down, (count(*) FILTER ({near} AND code = 'init'))::int AS an_init,
+        (count(*) FILTER ({near} AND pt > 0) - count(*) FILTER ({near} AND pt < 0))::int AS pt_net, avg(pt / 16) FILTER ({near} AND pt <> 0) AS pt_avg FROM acts GROUP BY ALL"""
+
+
+def _feats(first, last, entry, outcomes):
+    """A row a report: moves less the benchmark's, over the days before and each outcome's."""
+    spans = {"pre": (first, last), "react": (0, 0)} | outcomes
+    ks = sorted({k for a, z in spans.values() for k in (a - 1, z)})
+    b = lambda k: f"b{k}".replace("-", "m")
+    own = ", ".join(f"CASE WHEN count(v) FILTER (k BETWEEN {a} AND {z}) = {z - a + 1} THEN product(1 + v / 100000) FILTER (k BETWEEN {a} AND {z}) - 1 END AS {o}" for o, (a, z) in spans.items())
+    less = ", ".join(f"d.{o} - ({b(z)}.close / {b(a - 1)}.close - 1) AS {o}" for o, (a, z) in spans.items())
+    joins = " ".join(f"LEFT JOIN bx {b(k)} ON {b(k)}.idx = r.ridx + {k}" for k in ks)
+    return f"""SELECT *, abs(react) AS size, lag(react) OVER (PARTITION BY ticker ORDER BY rdate) AS prev_react FROM (SELECT d.ticker, d.date, r.ridx, r.session, r.surprise, c.date AS rdate, x.date AS entry_date, date_trunc('week', c.date)::date AS week_id,
+        regexp_extract(s.industry, '([^ ]+)$', 1) AS industry, s.sector, {less} FROM (SELECT ticker, date, {own} FROM daily GROUP BY ALL) d JOIN reacted r ON r.ticker = d.ticker AND r.date = d.date JOIN cal c ON c.idx = r.ridx LEFT JOIN cal x ON x.idx = r.ridx - {entry}
+        JOIN securities s ON s.ticker = d.ticker {joins})"""
+
+
+def _erfc(t):
+    """The operator's fit of the two-sided normal p-value."""
+    z, poly = f"(abs({t}) / sqrt(2.0))", repr(C.ERFC[-1])
+    r = f"(1 / (1 + {z} / 2))"
+    for k in C.ERFC[-2::-1]:
+        poly = f"({k!r}::double + {r} * {poly})"
+    return f"{r} * exp({poly} - {z} * {z})"
+
+
+_LIMITS = [(f, k, " AND ".join([f"{x} >= {a}"] * (a is not None) + [f"{x} < {z}"] * (z is not None))) for f, keys in C.BANDS.items() for k, (x, a, z) in keys.items()]
+_MORE = [
+    ("move", "pre_flat", "abs(pre) < 0.03"), ("time", "sess_bmo", "f.session IS DISTINCT FROM 'amc'"), ("time", "sess_amc", "f.session = 'amc'"), ("trend", "ma50_up", "ma50_gap > 0"), ("trend", "ma50_down", "ma50_gap <= 0"), ("trend", "ma200_up", "ma200_gap > 0"),
+    ("trend", "ma200_down", "ma200_gap <= 0"), ("peers", "peers_up", "peer_n >= 2 AND peer_react >= 0.02"), ("peers", "peers_down", "peer_n >= 2 AND peer_react <= -0.02"), ("peers", "sector_peers_up", "sector_n >= 3 AND sector_react >= 0.01"),
+    ("peers", "sector_peers_down", "sector_n >= 3 AND sector_react <= -0.01"), ("analysts", "an_net_pos", "an_up > an_down"), ("analysts", "an_net_neg", "an_down > an_up"), ("analysts", "pt_avg_up", "pt_avg > 0.05"), ("analysts", "pt_avg_down", "pt_avg < -0.05"),
+    ("gaps", "range_calm", "range_ratio <= 0.8"), ("gaps", "gap_down_last", "gap_last <= -0.02"), ("previous", "prev_up", "prev_react > 0.05"), ("previous", "prev_down", "prev_react < -0.05"),
+]
+_ALL = _LIMITS + [("size", f"tier_{t}", f"tier = '{t}'") for t in C.TIERS] + [("shape", f"shape_{x}", f"list_contains(shapes, '{x}')") for x in C.SHAPES] + _MORE
+_ALL = [(f, k, c.replace("an_n <", "coalesce(an_n, 0) <")) for f, k, c in _ALL]
+_CONDITIONS = ", ".join([f"('{f}', '{k}', {c})" for f, k, c in _ALL] + ["('sector', 'sec_' || f.sector, f.sector IS NOT NULL)", f"('industry', 'ind_' || f.industry, industry_reports >= {INDUSTRY})"])
 
 VIEWS = Sig.VIEWS | {
     "ends": "SELECT date FROM (SELECT date_trunc('month', date) AS m, max(date) AS date FROM bench GROUP BY 1) WHERE m < (SELECT max(date_trunc('month', date)) FROM bench)",
@@ -60,41 +120,46 @@ VIEWS = Sig.VIEWS | {
         SELECT r.ticker, r.date, s.market_cap * p.close / l.last AS cap FROM reacted r LEFT JOIN px p ON p.ticker = r.ticker AND p.idx = r.ridx - 1 LEFT JOIN securities s ON s.ticker = r.ticker LEFT JOIN (SELECT ticker, max_by(close, date) AS last FROM bars GROUP BY ticker) l ON l.ticker = r.ticker WHERE r.ridx IS NOT NULL)""",
     "context": """SELECT r.ticker, r.date, count(DISTINCT who) AS buyers, sum(value)::bigint AS value FROM reacted r JOIN (SELECT DISTINCT accession, coalesce(reporter_cik, '') AS who, date, shares, ticker, filed, value FROM insiders WHERE code = 'P') t
         ON t.ticker = r.ticker AND t.filed >= r.date - 90 AND t.filed < r.date GROUP BY ALL""",
-    "peered": "SELECT f.ticker, f.date, count(p.react) AS peers, avg(p.react) AS peer_react FROM feats f LEFT JOIN feats p ON p.industry = f.industry AND p.ticker <> f.ticker AND p.date < f.date AND p.date >= f.date - 30 AND p.react IS NOT NULL GROUP BY ALL",
-    "shaped": """SELECT ticker, date, CASE WHEN count(v) < 10 THEN [] ELSE list_filter([CASE WHEN count(*) FILTER (v > 0) >= 7 THEN 'up_days' END, CASE WHEN count(*) FILTER (v < 0) >= 7 THEN 'down_days' END, CASE WHEN max(v) FILTER (k = -1) > 3000 THEN 'jump_last' END,
-        CASE WHEN max(v) FILTER (k = -1) < -3000 THEN 'drop_last' END, CASE WHEN sum(v) FILTER (k < -5) < 0 AND sum(v) FILTER (k >= -5) > 0 THEN 'dip_recover' END, CASE WHEN sum(v) FILTER (k < -5) > 0 AND sum(v) FILTER (k >= -5) < 0 THEN 'rally_fade' END,
-        CASE WHEN abs(sum(v)) < 2000 AND max(abs(v)) <= 2000 THEN 'quiet' END], lambda x: x IS NOT NULL) END AS shapes FROM daily WHERE k BETWEEN -10 AND -1 GROUP BY ALL""",
-    "keyed": """SELECT * FROM (SELECT f.ticker, f.date, f.week, f.react, f.fiveday, f.drift, abs(f.react) AS size, unnest([('size', 'tier_small', tier = 'small'), ('size', 'tier_mid', tier = 'mid'), ('size', 'tier_large', tier = 'large'), ('size', 'tier_mega', tier = 'mega'),
-          ('move', 'pre_crash', pre < -0.1), ('move', 'pre_down', pre >= -0.1 AND pre < -0.03), ('move', 'pre_flat', abs(pre) < 0.03), ('move', 'pre_up', pre >= 0.03 AND pre < 0.1), ('move', 'pre_surge', pre >= 0.1),
-          ('shape', 'up_days', list_contains(shapes, 'up_days')), ('shape', 'down_days', list_contains(shapes, 'down_days')), ('shape', 'jump_last', list_contains(shapes, 'jump_last')), ('shape', 'drop_last', list_contains(shapes, 'drop_last')),
-          ('shape', 'dip_recover', list_contains(shapes, 'dip_recover')), ('shape', 'rally_fade', list_contains(shapes, 'rally_fade')), ('shape', 'quiet', list_contains(shapes, 'quiet')),
-          ('volume', 'vol_low', vol < 0.8), ('volume', 'vol_high', vol >= 1.25), ('volume', 'vol_vhigh', vol >= 2), ('volume', 'vol_last', vol_last >= 2), ('insiders', 'ins_any', buyers > 0), ('insiders', 'ins_two', buyers >= 2),
-          ('time', 'before_open', session IS DISTINCT FROM 'amc'), ('time', 'after_close', session = 'amc'), ('previous', 'prev_up', prev_react > 0.05), ('previous', 'prev_down', prev_react < -0.05),
-          ('peers', 'peers_up', peers >= 2 AND peer_react >= 0.02), ('peers', 'peers_down', peers >= 2 AND peer_react <= -0.02), ('eps', 'eps_miss', surprise < 0), ('eps', 'eps_beat', surprise >= 15)]) AS c
-        FROM feats f JOIN vmeans v ON v.ticker = f.ticker AND v.date = f.date JOIN reacted r ON r.ticker = f.ticker AND r.date = f.date JOIN caps t ON t.ticker = f.ticker AND t.date = f.date JOIN peered p ON p.ticker = f.ticker AND p.date = f.date
-        JOIN shaped h ON h.ticker = f.ticker AND h.date = f.date LEFT JOIN context i ON i.ticker = f.ticker AND i.date = f.date) WHERE c[3]""",
-    "cutrows": """SELECT ticker, date, week, react, fiveday, drift, size, c[2] AS cut, c[1] = 'eps' AS eps FROM keyed
-        UNION ALL SELECT a.ticker, a.date, a.week, a.react, a.fiveday, a.drift, a.size, a.c[2] || ' & ' || b.c[2], a.c[1] = 'eps' OR b.c[1] = 'eps' FROM keyed a JOIN keyed b ON b.ticker = a.ticker AND b.date = a.date AND b.c[2] > a.c[2] AND b.c[1] <> a.c[1]""",
-    "effected": """SELECT cut, outcome, half, n, s / n AS mean, (s / n) / nullif(sqrt(greatest(ss - 2 * (s / n) * sn + (s / n) * (s / n) * nn, 0) * weeks / nullif(weeks - 1, 0)) / n, 0) AS t, u / n AS up FROM (
-          SELECT cut, outcome, half, sum(s) AS s, sum(n)::bigint AS n, sum(u)::bigint AS u, count(*) AS weeks, sum(s * s) AS ss, sum(s * n) AS sn, sum(n * n)::double AS nn FROM (
-            SELECT cut, outcome, half, week, sum(y) AS s, count(*) AS n, count(*) FILTER (y > 0) AS u FROM (SELECT cut, eps, week, CASE WHEN date < date '1998-06-01' THEN 'search' ELSE 'check' END AS half, unnest([('react', react), ('fiveday', fiveday), ('drift', drift), ('size', size)]) AS o FROM cutrows) x,
-              LATERAL (SELECT x.o[1] AS outcome, x.o[2] AS y) WHERE y IS NOT NULL AND (NOT eps OR outcome = 'drift') GROUP BY ALL) GROUP BY ALL) QUALIFY count(*) FILTER (n >= 5) OVER (PARTITION BY cut, outcome) = 2""",
+    "peered": f"""SELECT f.ticker, f.rdate, {_PEERS.format('industry', 'peer_n', 'peer_react')}, {_PEERS.format('sector', 'sector_n', 'sector_react')} FROM feats f LEFT JOIN feats p
+        ON (p.industry = f.industry OR p.sector = f.sector) AND p.ticker <> f.ticker AND p.rdate <= f.entry_date AND p.rdate >= f.entry_date - 30 AND p.react IS NOT NULL GROUP BY f.ticker, f.rdate, f.industry, f.sector, f.entry_date""",
+    "shaped": _shaped("(SELECT *, v / 100000 AS x FROM daily)", -10, -1),
+    "xshaped": _shaped("xdaily", -10, -1),
+    "xdaily": """SELECT d.ticker, d.date, d.k, d.v / 100000 - (q.close / q1.close - 1) AS x, d.v / 100000 - (q.close / q1.close - 1) AS v FROM daily d JOIN reacted r ON r.ticker = d.ticker AND r.date = d.date
+        LEFT JOIN bx q ON q.idx = r.ridx + d.k LEFT JOIN bx q1 ON q1.idx = r.ridx + d.k - 1""",
+    "gapped": """SELECT r.ticker, r.date, g.k, round((p.open / q.close - 1) * 100000)::int AS gap, round((p.high - p.low) / q.close * 100000)::int AS range FROM reacted r CROSS JOIN (SELECT unnest(range(-30, 0)) AS k) g
+        LEFT JOIN (SELECT b.*, c.idx FROM bars b JOIN cal c ON c.date = b.date) p ON p.ticker = r.ticker AND p.idx = r.ridx + g.k LEFT JOIN px q ON q.ticker = r.ticker AND q.idx = r.ridx + g.k - 1 WHERE r.ridx IS NOT NULL""",
+    "gaps": _gaps(-10, -1),
+    "an": _analysts(-1),
+    "mas": """SELECT ticker, idx, CASE WHEN count(*) OVER a = 50 AND min(idx) OVER a = idx - 49 THEN close / avg(close) OVER a - 1 END AS ma50_gap, CASE WHEN count(*) OVER b = 200 AND min(idx) OVER b = idx - 199 THEN close / avg(close) OVER b - 1 END AS ma200_gap
+        FROM px WINDOW a AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), b AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)""",
+    "keyed": f"""SELECT * FROM (SELECT f.ticker, f.rdate, f.week_id, {', '.join(f'e.{o}' for o in OUTCOMES)}, unnest([{_CONDITIONS}]) AS c
+        FROM feats f JOIN resids e ON e.ticker = f.ticker AND e.rdate = f.rdate JOIN vmeans v ON v.ticker = f.ticker AND v.date = f.date JOIN caps t ON t.ticker = f.ticker AND t.date = f.date JOIN peered p ON p.ticker = f.ticker AND p.rdate = f.rdate
+        JOIN xshaped h ON h.ticker = f.ticker AND h.date = f.date JOIN gaps g ON g.ticker = f.ticker AND g.date = f.date LEFT JOIN an a ON a.ticker = f.ticker AND a.date = f.date LEFT JOIN context i ON i.ticker = f.ticker AND i.date = f.date
+        LEFT JOIN mas m ON m.ticker = f.ticker AND m.idx = f.ridx - 1 LEFT JOIN (SELECT industry, count(*) AS industry_reports FROM feats GROUP BY industry) y ON y.industry = f.industry) WHERE c[3]""",
+    "resids": "SELECT ticker, rdate, " + ", ".join(f"{o} - (sum(round({o} * 1e9)::decimal(24,0)) OVER (PARTITION BY week_id))::double / count({o}) OVER (PARTITION BY week_id) / 1e9 AS {o}" for o in OUTCOMES) + " FROM feats",
+    "cutrows": f"""SELECT ticker, rdate, week_id, {', '.join(OUTCOMES)}, c[2] AS cut, c[1] = 'eps' AS eps FROM keyed
+        UNION ALL SELECT a.ticker, a.rdate, a.week_id, {', '.join(f'a.{o}' for o in OUTCOMES)}, a.c[2] || ' & ' || b.c[2], a.c[1] = 'eps' OR b.c[1] = 'eps' FROM keyed a JOIN keyed b ON b.ticker = a.ticker AND b.rdate = a.rdate AND b.c[2] > a.c[2] AND b.c[1] <> a.c[1]""",
+    "effected": f"""SELECT cut, outcome, half, n, s / n AS mean, (s / n) / CASE WHEN var > 1e-14 THEN sqrt(var) / n END AS t FROM (SELECT *, greatest(ss - 2 * (s / n) * sn + (s / n) * (s / n) * nn, 0) AS var FROM (
+          SELECT cut, outcome, half, sum(s) AS s, sum(n)::bigint AS n, sum(s * s) AS ss, sum(s * n) AS sn, sum(n * n)::double AS nn FROM (
+            SELECT cut, outcome, half, week_id, sum(y) AS s, count(*) AS n FROM (SELECT cut, eps, week_id, CASE WHEN rdate < date '1998-06-01' THEN 'search' ELSE 'check' END AS half, unnest([{', '.join(f"('{o}', {o})" for o in OUTCOMES)}]) AS o FROM cutrows) x,
+              LATERAL (SELECT x.o[1] AS outcome, x.o[2] AS y) WHERE y IS NOT NULL AND (NOT eps OR outcome = 'drift') GROUP BY ALL) GROUP BY ALL)) QUALIFY count(*) FILTER (n >= 5) OVER (PARTITION BY cut, outcome) = 2""",
+    "tested": f"SELECT *, {_erfc('t')} AS p FROM effected",
+    "rated": """SELECT *, least(1, min(raw) OVER (ORDER BY p, cut, outcome ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM (
+        SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, cut, outcome) AS raw FROM tested WHERE half = 'search' AND p IS NOT NULL)""",
     "acts": """SELECT r.ticker, r.date, a.idx - r.ridx AS k, a.code, a.pt FROM reacted r JOIN (SELECT ticker, code, pt, (SELECT min(idx) FROM cal WHERE cal.date >= i.day) AS idx FROM (
             SELECT ticker, CASE code WHEN 'P' THEN 'up' WHEN 'S' THEN 'down' ELSE 'main' END AS code, shares % 7 - 3 AS pt, date + CASE WHEN shares % 24 >= 16 THEN 1 ELSE 0 END AS day FROM insiders) i WHERE i.day >= (SELECT min(date) FROM cal)) a
         ON a.ticker = r.ticker AND a.idx BETWEEN r.ridx - 63 AND r.ridx - 1""",
     "vols": """SELECT r.ticker, r.date, g.k, p.volume, avg(p.volume) FILTER (g.k < -30 AND p.volume > 0) OVER (PARTITION BY r.ticker, r.date) AS m, count(*) FILTER (g.k < -30 AND p.volume > 0) OVER (PARTITION BY r.ticker, r.date) AS n
         FROM reacted r CROSS JOIN (SELECT unnest(range(-90, 0)) AS k) g LEFT JOIN px p ON p.ticker = r.ticker AND p.idx = r.ridx + g.k WHERE r.ridx IS NOT NULL""",
     "vpath": "SELECT ticker, date, k, CASE WHEN n >= 40 THEN round(100 * volume::double / m)::int END AS v, n FROM vols WHERE k >= -30",
-    "feats": """SELECT *, lag(react) OVER (PARTITION BY ticker ORDER BY date) AS prev_react FROM (SELECT d.ticker, d.date, s.industry, date_trunc('week', d.date)::date AS week,
-        CASE WHEN count(v) FILTER (k BETWEEN -10 AND -1) = 10 THEN product(1 + v / 100000) FILTER (k BETWEEN -10 AND -1) - 1 END AS pre, CASE WHEN count(v) FILTER (k = 0) = 1 THEN product(1 + v / 100000) FILTER (k = 0) - 1 END AS react,
-        CASE WHEN count(v) FILTER (k BETWEEN 0 AND 4) = 5 THEN product(1 + v / 100000) FILTER (k BETWEEN 0 AND 4) - 1 END AS fiveday, CASE WHEN count(v) FILTER (k BETWEEN 1 AND 20) = 20 THEN product(1 + v / 100000) FILTER (k BETWEEN 1 AND 20) - 1 END AS drift
-        FROM daily d JOIN securities s ON s.ticker = d.ticker GROUP BY ALL)""",
-    "vmeans": "SELECT ticker, date, avg(v) / 100 AS vol, max(v) FILTER (k = -1) / 100 AS vol_last FROM vpath GROUP BY ALL",
+    "feats": _feats(-10, -1, 1, {"week": (0, 4), "drift": (1, 20)}),
+    "xfeats": _feats(-14, -5, 5, {"skip": (-4, -1), "through": (-4, 0), "after5": (-4, 5)}),
+    "vmeans": "SELECT ticker, date, avg(v) FILTER (k BETWEEN -10 AND -1) / 100 AS vol, max(v) FILTER (k = -1) / 100 AS vol_last FROM vpath GROUP BY ALL",
 }
 
 
 def _r(df, *cols, n=6):
-    return df.select(*[F.round(c, n).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(c, n) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def bars(s, d):
@@ -158,24 +223,45 @@ def actions(s, d):
     return t.select("ticker", (F.col("date").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, cast(shares % 24 AS int), 0, 0)")).alias("ts"), F.when(F.col("code") == "P", "up").when(F.col("code") == "S", "down").otherwise("main").alias("code"), (F.col("shares") % 7 - 3).alias("pt"))
 
 
-def events(s, d):
+def scan_rows(s, d):
+    """Everything that the scan reads about a report."""
+
     def build():
-        p = V.caps_at_report(windows(s, d), table(s, d, "securities"), last_prices(s, d)).select("ticker", "date", "tier")
-        i = V.insider_context(reports(s, d), table(s, d, "insiders")).select("ticker", "date", "buyers")
-        e = C.features(paths(s, d).join(p, ["ticker", "date"]).join(i, ["ticker", "date"], "left").join(table(s, d, "securities").select("ticker", "industry", "sector"), "ticker"))
-        return C.peer_reactions(e, "industry")
+        keys = ["ticker", "date"]
+        w = windows(s, d)
+        tiers = V.caps_at_report(w, table(s, d, "securities"), last_prices(s, d)).select(*keys, "tier")
+        buyers = V.insider_context(reports(s, d), table(s, d, "insiders")).select(*keys, "buyers")
+        acted = V.analyst_actions(reports(s, d), actions(s, d), cal(s, d))
+        scaled = F.transform("actions", lambda a: F.struct(a["k"].alias("k"), a["code"].alias("code"), (a["pt"] / 16).alias("pt")))
+        acted = acted.select(*keys, scaled.alias("actions"))
+        ma = V.average_gaps(V.indexed_bars(bars(s, d), cal(s, d))).select("ticker", (F.col("idx") + 1).alias("ridx"), F.col("gap_50").alias("ma50_gap"), F.col("gap_200").alias("ma200_gap"))
+        sec = table(s, d, "securities").select("ticker", F.regexp_extract("industry", "([^ ]+)$", 1).alias("industry"), "sector")
+        gaps = V.gap_range_path(w).select(*keys, "gap_range")
+        e = paths(s, d).join(gaps, keys).join(tiers, keys).join(buyers, keys, "left").join(acted, keys, "left").join(sec, "ticker").join(ma, ["ticker", "ridx"], "left")
+        none = F.array().cast(e.schema["actions"].dataType)
+        return e.withColumn("actions", F.coalesce("actions", none))
+
+    return staged(s, d, "scan_rows", build)
+
 
-    return staged(s, d, "events", build)
+def events(s, d, entry=None):
+    build = lambda: C.features(scan_rows(s, d).join(C.marks(bench(s, d), cal(s, d)), "ridx"), cal(s, d), entry)
+    return staged(s, d, f"events_{entry}", build)
 
 
 def cut_rows(s, d):
-    return C.cuts(C.with_keys(events(s, d)), 2)
+    """Cuts of demeaned outcomes; the keys are those of the events as they are."""
+    return C.cuts(C.demeaned(C.with_keys(events(s, d), INDUSTRY), OUTCOMES), 2)
 
 
 def effects(s, d):
     return staged(s, d, "effects", lambda: C.cut_effects(cut_rows(s, d), OUTCOMES, SPLIT, least=5))
 
 
+def tests(s, d):
+    return effects(s, d).where("half = 'search'").withColumn("p", C.two_sided("t"))
+
+
 def _text(df, *cols):
     return df.select(*[F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -220,19 +306,20 @@ QUERIES = {
     "evt_18_direction_table": lambda s, d: _r(V.direction_table(paths(s, d), (-10, -1), (0, 4)), "up", "band", "mean", "median", "size"),
     "evt_19_shapes": lambda s, d: paths(s, d).select("ticker", "date", F.array_join(V.shapes(F.transform(F.slice("path", 21, 10), lambda x: x / 100000)), ",").alias("shapes")),
     "evt_20_wire_rows": lambda s, d: V.wire_rows(measured(s, d), table(s, d, "securities").select("ticker", "sector")),
-    "scn_01_features": lambda s, d: _r(events(s, d).select("ticker", "date", "pre", "vol", "vol_last", "react", "fiveday", "drift", "prev_react"), "pre", "vol", "vol_last", "react", "fiveday", "drift", "prev_react"),
-    "scn_02_peer_reactions": lambda s, d: _r(events(s, d).select("ticker", "date", "peers", "peer_react"), "peer_react"),
-    "scn_03_analyst_signals": lambda s, d: V.analyst_actions(reports(s, d), actions(s, d), cal(s, d)).select("ticker", "date", C.analyst_signals(F.col("actions")).alias("a")).select("ticker", "date", "a.*"),
-    "scn_04_conditions": lambda s, d: C.with_keys(events(s, d)).select(F.explode("keys").alias("k")).groupBy("k.family", "k.key").agg(F.count("*").alias("n")),
+    "scn_01_features": lambda s, d: _r(events(s, d).select("ticker", "rdate", "pre", "vol", "vol_last", "react", "week", "drift", "prev_react", "range_ratio", "gap_last", "gaps_big", "ma50_gap", "ma200_gap"), "pre", "vol", "vol_last", "react", "week", "drift", "prev_react", "range_ratio", "gap_last", "ma50_gap", "ma200_gap"),
+    "scn_01_trade_features": lambda s, d: _r(events(s, d, TRADE).select("ticker", "rdate", "entry_date", "pre", "react", *HOLDS, "prev_react"), "pre", "react", *HOLDS, "prev_react"),
+    "scn_02_peer_reactions": lambda s, d: _r(events(s, d).select("ticker", "rdate", "peer_n", "peer_react", "sector_n", "sector_react"), "peer_react", "sector_react"),
+    "scn_03_analyst_signals": lambda s, d: _r(events(s, d).where("an_n > 0").select("ticker", "rdate", "an_n", "an_up", "an_down", "an_init", "pt_net", "pt_avg"), "pt_avg"),
+    "scn_04_conditions": lambda s, d: C.with_keys(events(s, d), INDUSTRY).select(F.explode("keys").alias("k")).groupBy("k.family", "k.key").agg(F.count("*").alias("n")),
     "scn_05_cuts": lambda s, d: cut_rows(s, d).groupBy("cut").agg(F.count("*").alias("n")),
-    "scn_06_demeaned": lambda s, d: _r(C.demeaned(events(s, d).where("react IS NOT NULL"), "react").select("ticker", "date", "react"), "react"),
-    "scn_07_cut_effects": lambda s, d: _r(effects(s, d), "mean", "t", "up"),
+    "scn_06_demeaned": lambda s, d: _r(C.demeaned(events(s, d), OUTCOMES).select("ticker", "rdate", *OUTCOMES), *OUTCOMES),
+    "scn_07_cut_effects": lambda s, d: _r(effects(s, d), "mean", "t"),
     "scn_08_two_sided": lambda s, d: _r(effects(s, d).withColumn("p", C.two_sided("t")).select("cut", "outcome", "half", "p"), "p"),
-    "scn_09_discovery_rates": lambda s, d: _r(C.discovery_rates(effects(s, d).where("half = 'search'").withColumn("p", 1 / (1 + F.abs("t")))).select("cut", "outcome", "q"), "q"),
-    "scn_10_verdicts": lambda s, d: _r(C.verdicts(effects(s, d), 0.9), "mean", "t", "q", "check_mean", "check_t"),
+    "scn_09_discovery_rates": lambda s, d: _r(C.discovery_rates(tests(s, d)).select("cut", "outcome", "q"), "q"),
+    "scn_10_verdicts": lambda s, d: _r(C.verdicts(effects(s, d), LEVEL), "mean", "t", "q", "check_mean", "check_t", "check_p"),
     "scn_10_baselines": lambda s, d: _r(C.baselines(events(s, d), OUTCOMES), "mean", "up"),
     "scn_11_weekly_rank_scores": lambda s, d: _r(C.weekly_rank_scores(events(s, d), "pre", "react", 3), "ic", "spread", "top"),
-    "scn_12_model_scores": lambda s, d: _r(C.model_scores(events(s, d), ["pre", "vol", "buyers", "peers"], "react", SPLIT), "prediction", "y", "placebo"),
+    "scn_12_model_scores": lambda s, d: _r(C.model_scores(events(s, d), ["pre", "vol", "buyers", "peer_n"], "react", SPLIT), "prediction", "y", "placebo"),
 }
 
 _PX = "LEFT JOIN px {0} ON {0}.ticker = r.ticker AND {0}.idx = r.ridx + {1}"
@@ -261,11 +348,12 @@ _SQL = {
         LEFT JOIN (SELECT account, count(*) AS sells, avg((gain >= 0)::int) AS win_rate FROM (SELECT account, realized - coalesce(lag(realized) OVER (PARTITION BY account, ticker ORDER BY date, id), 0) AS gain FROM walks WHERE NOT closes) GROUP BY account) USING (account)""",
     "evt_15_rank_correlation": """SELECT session, round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT session, rank() OVER (PARTITION BY session ORDER BY pre) + (count(*) OVER (PARTITION BY session, pre) - 1) / 2 AS a,
         rank() OVER (PARTITION BY session ORDER BY react) + (count(*) OVER (PARTITION BY session, react) - 1) / 2 AS b FROM (SELECT m.*, r.session FROM measured m JOIN reacted r ON r.ticker = m.ticker AND r.date = m.date) WHERE pre IS NOT NULL AND react IS NOT NULL) GROUP BY session""",
-    "scn_01_features": """SELECT f.ticker, f.date, round(pre, 6) AS pre, round(vol, 6) AS vol, round(vol_last, 6) AS vol_last, round(react, 6) AS react, round(fiveday, 6) AS fiveday, round(drift, 6) AS drift, round(prev_react, 6) AS prev_react
-        FROM feats f JOIN vmeans v ON v.ticker = f.ticker AND v.date = f.date""",
-    "scn_02_peer_reactions": "SELECT ticker, date, peers, round(peer_react, 6) AS peer_react FROM peered",
-    "scn_06_demeaned": "SELECT ticker, date, round(react - avg(react) OVER (PARTITION BY week), 6) AS react FROM feats WHERE react IS NOT NULL",
-    "scn_10_baselines": """SELECT outcome, count(*) AS n, round(avg(y), 6) AS mean, round(avg((y > 0)::int), 6) AS up FROM (SELECT 'react' AS outcome, react AS y FROM feats UNION ALL SELECT 'fiveday', fiveday FROM feats UNION ALL SELECT 'drift', drift FROM feats UNION ALL SELECT 'size', abs(react) FROM feats)
+    "scn_01_features": """SELECT f.ticker, f.rdate, round(pre, 6) AS pre, round(vol, 6) AS vol, round(vol_last, 6) AS vol_last, round(react, 6) AS react, round(week, 6) AS week, round(drift, 6) AS drift, round(prev_react, 6) AS prev_react, round(range_ratio, 6) AS range_ratio,
+        round(gap_last, 6) AS gap_last, gaps_big::int AS gaps_big, round(ma50_gap, 6) AS ma50_gap, round(ma200_gap, 6) AS ma200_gap FROM feats f JOIN vmeans v ON v.ticker = f.ticker AND v.date = f.date JOIN gaps g ON g.ticker = f.ticker AND g.date = f.date LEFT JOIN mas m ON m.ticker = f.ticker AND m.idx = f.ridx - 1""",
+    "scn_01_trade_features": "SELECT ticker, rdate, entry_date, round(pre, 6) AS pre, round(react, 6) AS react, round(skip, 6) AS skip, round(through, 6) AS through, round(after5, 6) AS after5, round(prev_react, 6) AS prev_react FROM xfeats",
+    "scn_02_peer_reactions": "SELECT ticker, rdate, peer_n, round(peer_react, 6) AS peer_react, sector_n, round(sector_react, 6) AS sector_react FROM peered",
+    "scn_06_demeaned": "SELECT ticker, rdate, round(react, 6) + 0.0 AS react, round(week, 6) + 0.0 AS week, round(drift, 6) + 0.0 AS drift, round(size, 6) + 0.0 AS size FROM resids",
+    "scn_10_baselines": """SELECT outcome, count(*) AS n, round(avg(y), 6) AS mean, round(avg((y > 0)::int), 6) AS up FROM (SELECT 'react' AS outcome, react AS y FROM feats UNION ALL SELECT 'week', week FROM feats UNION ALL SELECT 'drift', drift FROM feats UNION ALL SELECT 'size', size FROM feats)
         WHERE y IS NOT NULL GROUP BY outcome""",
     "evt_06_average_gaps": """SELECT ticker, idx, CASE WHEN count(*) OVER a = 5 AND min(idx) OVER a = idx - 4 THEN round(close / avg(close) OVER a - 1, 6) END AS gap_5, CASE WHEN count(*) OVER b = 20 AND min(idx) OVER b = idx - 19 THEN round(close / avg(close) OVER b - 1, 6) END AS gap_20
         FROM px WINDOW a AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
@@ -276,16 +364,19 @@ _SQL = {
     "evt_19_shapes": "SELECT ticker, date, array_to_string(shapes, ',') AS shapes FROM shaped",
     "scn_04_conditions": "SELECT c[1] AS family, c[2] AS key, count(*) AS n FROM keyed GROUP BY ALL",
     "scn_05_cuts": "SELECT cut, count(*) AS n FROM cutrows GROUP BY cut",
-    "scn_07_cut_effects": "SELECT cut, outcome, half, n, round(mean, 6) AS mean, round(t, 6) AS t, round(up, 6) AS up FROM effected",
-    "scn_09_discovery_rates": """SELECT cut, outcome, round(least(1, min(raw) OVER (ORDER BY p, cut, outcome ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM (
-        SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, cut, outcome) AS raw FROM (SELECT cut, outcome, 1 / (1 + abs(t)) AS p FROM effected WHERE half = 'search') WHERE p IS NOT NULL)""",
+    "scn_07_cut_effects": "SELECT cut, outcome, half, n, round(mean, 6) + 0.0 AS mean, round(t, 6) + 0.0 AS t FROM effected",
+    "scn_08_two_sided": "SELECT cut, outcome, half, round(p, 6) AS p FROM tested",
+    "scn_10_verdicts": f"""WITH found AS (SELECT * FROM rated WHERE q < {LEVEL}), k AS (SELECT greatest(count(*), 1) AS k FROM found)
+        SELECT s.cut, s.outcome, s.n, round(s.mean, 6) AS mean, round(s.t, 6) AS t, round(s.q, 6) AS q, round(c.mean, 6) AS check_mean, round(c.t, 6) AS check_t, round(c.p, 6) AS check_p,
+        CASE WHEN sign(s.mean) = sign(c.mean) AND c.p < 0.05 / k THEN 'confirmed' WHEN sign(s.mean) = sign(c.mean) AND c.p < 0.05 THEN 'same direction' ELSE 'did not hold' END AS verdict
+        FROM found s JOIN tested c ON c.cut = s.cut AND c.outcome = s.outcome AND c.half = 'check' CROSS JOIN k""",
+    "scn_09_discovery_rates": "SELECT cut, outcome, round(q, 6) AS q FROM rated",
     "evt_12_register": """SELECT ticker, min(date) AS date FROM (SELECT ticker, date + (day(date) * 2 - 25)::int AS date FROM reacted) s WHERE date BETWEEN date '2000-05-02' AND date '2000-05-02' + 40
         AND NOT EXISTS (SELECT 1 FROM reacted l WHERE l.ticker = s.ticker AND l.date < date '2000-05-01' AND abs(s.date - l.date) <= 20) GROUP BY ticker""",
-    "scn_03_analyst_signals": """SELECT ticker, date, (count(*) FILTER (k >= -21 AND code = 'up'))::int AS up, (count(*) FILTER (k >= -21 AND code = 'down'))::int AS down, (count(*) FILTER (k >= -21 AND pt > 0) - count(*) FILTER (k >= -21 AND pt < 0))::int AS pt_net,
-        (count(*) FILTER (k >= -21))::int AS n FROM acts GROUP BY ALL""",
-    "scn_11_weekly_rank_scores": """SELECT week, count(*) AS n, round(corr(a, b), 6) AS ic, round(avg(y) FILTER (x >= hi) - avg(y) FILTER (x <= lo), 6) AS spread, round(avg(y) FILTER (x >= hi), 6) AS top FROM (
-        SELECT f.week, pre AS x, react AS y, rank() OVER (PARTITION BY f.week ORDER BY pre) + (count(*) OVER (PARTITION BY f.week, pre) - 1) / 2 AS a, rank() OVER (PARTITION BY f.week ORDER BY react) + (count(*) OVER (PARTITION BY f.week, react) - 1) / 2 AS b, hi, lo
-        FROM feats f JOIN (SELECT week, quantile_cont(pre, 0.8) AS hi, quantile_cont(pre, 0.2) AS lo, count(*) AS c FROM feats WHERE pre IS NOT NULL AND react IS NOT NULL GROUP BY week) e ON e.week = f.week WHERE pre IS NOT NULL AND react IS NOT NULL AND c >= 3) GROUP BY week""",
+    "scn_03_analyst_signals": "SELECT a.ticker, f.rdate, an_n, an_up, an_down, an_init, pt_net, round(pt_avg, 6) AS pt_avg FROM an a JOIN feats f ON f.ticker = a.ticker AND f.date = a.date WHERE an_n > 0",
+    "scn_11_weekly_rank_scores": """SELECT week_id, count(*) AS n, round(corr(a, b), 6) AS ic, round(avg(y) FILTER (x >= hi) - avg(y) FILTER (x <= lo), 6) AS spread, round(avg(y) FILTER (x >= hi), 6) AS top FROM (
+        SELECT f.week_id, pre AS x, react AS y, rank() OVER (PARTITION BY f.week_id ORDER BY pre) + (count(*) OVER (PARTITION BY f.week_id, pre) - 1) / 2 AS a, rank() OVER (PARTITION BY f.week_id ORDER BY react) + (count(*) OVER (PARTITION BY f.week_id, react) - 1) / 2 AS b, hi, lo
+        FROM feats f JOIN (SELECT week_id, quantile_cont(pre, 0.8) AS hi, quantile_cont(pre, 0.2) AS lo, count(*) AS c FROM feats WHERE pre IS NOT NULL AND react IS NOT NULL GROUP BY week_id) e ON e.week_id = f.week_id WHERE pre IS NOT NULL AND react IS NOT NULL AND c >= 3) GROUP BY week_id""",
     "evt_09_insider_context": "SELECT * FROM context",
     "evt_10_caps": "SELECT ticker, date, round(cap, 1) AS cap, tier FROM caps",
     "evt_11_daily_returns": "SELECT date, round(ret, 6) AS ret FROM (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM bench) WHERE date >= date '1997-01-01'",
