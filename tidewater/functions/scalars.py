@@ -10,12 +10,19 @@ LEGAL_WORDS = (
     "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "PLC", "HOLDINGS", "HLDGS", "GROUP", "GRP",
     "LLC", "LP", "TRUST", "N V", "NV", "SA", "AG", "TR", "CL A", "CL B", "CLASS A", "CLASS B", "COM", "ORD", "ORDINARY", "SHARES",
 )
-LEGAL = r"\b(?:" + "|".join(sorted(LEGAL_WORDS, key=len, reverse=True)) + r")\b"
+LEGAL = r"\b(?:" + "|".join(LEGAL_WORDS) + r")\b"
 
 #: Labels of reported event items, and those shown first.
 ITEMS = {
-    "1.01": "Material agreement", "1.02": "Agreement ended", "2.01": "Acquisition or disposal", "2.02": "Results",
-    "5.02": "Leadership change", "7.01": "Disclosure", "8.01": "Other event", "9.01": "Exhibits",
+    "1.01": "Material agreement (M&A, partnership, etc.)",
+    "1.02": "Termination of material agreement",
+    "2.01": "Acquisition completed",
+    "2.02": "Earnings results",
+    "5.02": "Officer / director change (CEO, CFO, board)",
+    "5.07": "Shareholder vote results",
+    "7.01": "Reg FD disclosure",
+    "8.01": "Other material event",
+    "9.01": "Exhibits (supporting documents)",
 }
 PRIORITY_ITEMS = ("1.01", "2.01", "5.02", "8.01")
 
@@ -89,21 +96,33 @@ def html_to_text(html: Column, n: int) -> Column:
 
 
 def item_labels(items: Column) -> Column:
-    """Labels of a comma list of items; an unknown item keeps its number."""
-    known = F.create_map(*[F.lit(x) for kv in ITEMS.items() for x in kv])
-    return F.transform(F.split(items, ","), lambda i: F.coalesce(F.element_at(known, F.trim(i)), F.trim(i)))
+    """Number and label of each of a comma list's items; an unknown item keeps its number, empty ones are left out."""
+    known = F.create_map(*[F.lit(x) for k, v in ITEMS.items() for x in (k, f"{k} — {v}")])
+    named = F.filter(F.transform(F.split(items, ","), lambda i: F.trim(i)), lambda i: i != "")
+    return F.transform(named, lambda i: F.coalesce(F.try_element_at(known, i), i))
 
 
 def priority_items(items: Column) -> Column:
     return F.exists(F.split(items, ","), lambda i: F.trim(i).isin(*PRIORITY_ITEMS))
 
 
+#: Labels of forms, as they are and amended, and of insider trades by direction.
+FORM_LABELS = {
+    "13D": ("Activist stake", "Activist stake — updated"),
+    "13G": ("Passive 5%+ stake", "Passive 5%+ — updated"),
+    "13F": ("Quarterly portfolio", "Portfolio — amended"),
+}
+TRADE_LABELS = {"BUY": "Insider buy", "SELL": "Insider sell", "MIXED": "Insider buy + sell"}
+
+
 def filing_label(form: Column, direction: Column) -> Column:
-    return (
-        F.when(form.startswith("13F"), "Holdings report").when(form.startswith("13D"), "Activist stake").when(form.startswith("13G"), "Passive stake")
-        .when((form == "4") & (direction == "BUY"), "Insider buy").when((form == "4") & (direction == "SELL"), "Insider sale")
-        .when(form == "4", "Insider trade").when(form.startswith("8-K"), "Corporate event").otherwise(form)
-    )
+    """A form's label; insider trades by direction (BUY, SELL, MIXED or null), any other form is its own."""
+    name = F.upper(form)
+    trade = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TRADE_LABELS.items() for x in kv]), direction), F.lit("Insider trade"))
+    out = F.when(name.startswith("4"), trade)
+    for code, (own, amended) in FORM_LABELS.items():
+        out = out.when(name.contains(code), F.when(name.contains("/A"), amended).otherwise(own))
+    return out.when(name.startswith("8-K"), "Corporate event").otherwise(form)
 
 
 def universe_class(cap: Column, adv20: Column, ret_6m: Column) -> Column:

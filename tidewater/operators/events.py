@@ -50,13 +50,16 @@ def indexed_bars(bars: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def windows(reports: DataFrame, bars: DataFrame, back: int = 91, ahead: int = PATH) -> DataFrame:
-    """Each report with a map from offset to bar, from one join on ticker with positions inside the window.
+    """Each report with a map from offset to bar, from one join on ticker and buckets of positions.
 
-    Every measure below reads the map, so bars meet reports in one shuffle.
+    A report goes to the one or two buckets that its window touches. Every measure below reads the map,
+    so bars meet reports in one shuffle.
     """
-    r = reports.where("ridx IS NOT NULL").select("ticker", "date", "session", "surprise", "ridx")
-    b = bars.select("ticker", "idx", "close", "volume", "prev_close", "open", "high", "low")
-    near = r.join(b, (r["ticker"] == b["ticker"]) & F.col("idx").between(F.col("ridx") - back, F.col("ridx") + ahead), "left").drop(b["ticker"])
+    width = back + ahead + 1
+    touched = F.sequence(F.floor((F.col("ridx") - back) / width), F.floor((F.col("ridx") + ahead) / width))
+    r = reports.where("ridx IS NOT NULL").select("ticker", "date", "session", "surprise", "ridx", F.explode(touched).alias("bucket"))
+    b = bars.select(F.col("ticker").alias("its"), "idx", F.floor(F.col("idx") / width).alias("at"), "close", "volume", "prev_close", "open", "high", "low")
+    near = r.join(b, (r["ticker"] == b["its"]) & (F.col("bucket") == F.col("at")) & F.col("idx").between(F.col("ridx") - back, F.col("ridx") + ahead), "left").drop("its", "bucket", "at")
     bar = F.struct("close", "volume", "prev_close", "open", "high", "low")
     found = near.groupBy("ticker", "date", "session", "surprise", "ridx").agg(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct((F.col("idx") - F.col("ridx")).alias("k"), bar.alias("bar")))).alias("rows"))
     return found.withColumn("at", F.map_from_entries("rows")).drop("rows")
@@ -121,8 +124,10 @@ def analyst_actions(reports: DataFrame, actions: DataFrame, cal: DataFrame, back
     """Actions public in the so many trading days up to the reaction day, as (k, code, pt); from 16:00 on they are public a day later."""
     public = F.when(F.hour("ts") >= 16, F.date_add(F.col("ts").cast("date"), 1)).otherwise(F.col("ts").cast("date"))
     a = actions.withColumn("day", public).join(F.broadcast(day_index(cal)), "day").select("ticker", "idx", "code", "pt")
-    r = reports.where("ridx IS NOT NULL").select("ticker", "date", "ridx")
-    near = r.join(a, (r["ticker"] == a["ticker"]) & F.col("idx").between(F.col("ridx") - back, F.col("ridx") - 1)).drop(a["ticker"])
+    a = a.withColumn("bucket", F.floor(F.col("idx") / back))
+    touched = F.sequence(F.floor((F.col("ridx") - back) / back), F.floor((F.col("ridx") - 1) / back))
+    r = reports.where("ridx IS NOT NULL").select("ticker", "date", "ridx", F.explode(touched).alias("bucket"))
+    near = r.join(a, ["ticker", "bucket"]).where(F.col("idx").between(F.col("ridx") - back, F.col("ridx") - 1))
     return near.groupBy("ticker", "date").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") - F.col("ridx")).alias("k"), "code", "pt"))).alias("actions"))
 
 
@@ -159,15 +164,27 @@ def daily_returns(bench: DataFrame, since: date) -> DataFrame:
 def register(scheduled: DataFrame, logged: DataFrame, today: date, start: date, ahead: int = 7, apart: int = 20) -> DataFrame:
     """Scheduled reports of the coming days, none logged nearby; the first of those near each other in the batch."""
     s = scheduled.where(F.col("date").between(F.greatest(F.lit(today), F.lit(start)), F.date_add(F.lit(today), ahead)))
-    near = (s["ticker"] == logged["ticker"]) & (F.abs(F.datediff(s["date"], logged["date"])) <= apart)
-    return s.join(logged, near, "left_anti").groupBy("ticker").agg(F.min("date").alias("date"))
+    known = logged.select("ticker", F.col("date").alias("other"), *_bucket("date", apart))
+    near = s.select("ticker", "date", *_touched("date", apart)).join(known, ["ticker", "bucket"]).where(F.abs(F.datediff("date", "other")) <= apart)
+    return s.join(near.select("ticker", "date").distinct(), ["ticker", "date"], "left_anti").groupBy("ticker").agg(F.min("date").alias("date"))
+
+
+def _bucket(day: str, apart: int) -> list[Column]:
+    return [F.floor(F.datediff(F.col(day), F.lit(date(1970, 1, 1))) / (2 * apart + 1)).alias("bucket")]
+
+
+def _touched(day: str, apart: int) -> list[Column]:
+    """The buckets that days within `apart` of a day can be in, a row each."""
+    at = F.datediff(F.col(day), F.lit(date(1970, 1, 1)))
+    return [F.explode(F.sequence(F.floor((at - apart) / (2 * apart + 1)), F.floor((at + apart) / (2 * apart + 1)))).alias("bucket")]
 
 
 def match_reports(scheduled: DataFrame, reports: DataFrame, as_of: date, apart: int = 20, patience: int = 30) -> DataFrame:
     """Each scheduled date's nearest report within so many days; no_report once it is long past."""
-    s, r = scheduled.select("ticker", "scheduled"), reports.select("ticker", "date")
-    near = (s["ticker"] == r["ticker"]) & (F.abs(F.datediff("scheduled", "date")) <= apart)
-    m = s.join(r, near, "left").groupBy(s["ticker"], "scheduled").agg(F.min_by("date", F.struct(F.abs(F.datediff("scheduled", "date")), "date")).alias("matched"))
+    s, r = scheduled.select("ticker", "scheduled", *_touched("scheduled", apart)), reports.select("ticker", "date", *_bucket("date", apart))
+    gap = F.abs(F.datediff("scheduled", "date"))
+    found = s.join(r, ["ticker", "bucket"], "left").withColumn("date", F.when(gap <= apart, F.col("date")))
+    m = found.groupBy("ticker", "scheduled").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.struct(gap, "date"))).alias("matched"))
     late = F.datediff(F.lit(as_of), "scheduled") > patience
     return m.withColumn("status", F.when(F.col("matched").isNotNull(), "reported").when(late, "no_report").otherwise("waiting"))
 
@@ -222,7 +239,7 @@ def rank_correlation(rows: DataFrame, x: str, y: str, by: str) -> DataFrame:
 def stratified_sample(securities: DataFrame, done: DataFrame, n: int, seed: int) -> DataFrame:
     """So many tickers of each size tier at random, none of those done; the seed fixes them."""
     rows = securities.join(done, "ticker", "left_anti").withColumn("tier", size_tier(F.col("market_cap"))).where("tier IS NOT NULL")
-    w = Window.partitionBy("tier").orderBy(F.xxhash64("ticker", F.lit(seed)), "ticker")
+    w = Window.partitionBy("tier").orderBy(F.md5(F.concat_ws(":", "ticker", F.lit(seed))), "ticker")
     return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
 
 

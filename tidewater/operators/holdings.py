@@ -51,7 +51,7 @@ def classified(filings: DataFrame, holdings: DataFrame) -> DataFrame:
 def effective_holdings(roles: DataFrame, holdings: DataFrame) -> DataFrame:
     """Rows of the base and of extras, without options, principal amounts and copies; roles: from classified()."""
     f = roles.where("is_base OR is_extra").select("filing_id", "filed", "accession", "is_base")
-    rows = holdings.join(F.broadcast(f), "filing_id")
+    rows = holdings.join(f, "filing_id")
     amended = rows.where("NOT is_base").select(*QUARTER).distinct()
     other = rows.join(amended, QUARTER, "left_semi").select(
         *QUARTER, *[F.col(c).alias(f"o_{c}") for c in ("cusip", "put_call", "shares", "filed", "accession", "is_base", "filing_id")]
@@ -156,7 +156,7 @@ def position_changes(snapshots: DataFrame, filers: DataFrame, splits: DataFrame,
     pairs = filing_pairs(snapshots).join(counted, "cik", "left_semi")
     sides = pairs.withColumn("side", F.explode(F.array(F.struct(F.col("period").alias("at"), F.lit(True).alias("now")), F.struct(F.col("prev_period").alias("at"), F.lit(False).alias("now")))))
     sides = sides.select("cik", "lag", "pair_rank", "period", "prev_period", F.col("side.at").alias("at"), F.col("side.now").alias("now"))
-    rows = snapshots.withColumnRenamed("period", "at").join(F.broadcast(sides), ["cik", "at"])
+    rows = snapshots.withColumnRenamed("period", "at").join(sides, ["cik", "at"])
     of = lambda c, now: F.max(F.when(F.col("now") == now, F.col(c)))
     both = rows.groupBy("cik", "lag", "pair_rank", "period", "prev_period", "ticker").agg(
         of("shares", False).alias("shares_prev"), of("shares", True).alias("shares_cur"), of("value_usd", False).alias("value_prev"),
@@ -193,7 +193,7 @@ def fund_flows(changes: DataFrame, filers: DataFrame, lag: int = 1, tiers=None,
     if categories:
         f = f.where(F.col("category").isin(*categories))
     of = F.create_map(*[F.lit(x) for kv in TIER.items() for x in kv])
-    rows = changes.join(F.broadcast(f), "cik").withColumn("buy", F.col("event").isin("opened", "added"))
+    rows = changes.join(f, "cik").withColumn("buy", F.col("event").isin("opened", "added"))
     rows = rows.withColumn("sign", F.when(F.col("buy"), 1).otherwise(-1)).withColumn("mult", F.coalesce(F.element_at(of, F.col("tier")), F.lit(1.0)))
     count = lambda e: F.count_if(F.col("event") == e)
     conviction = F.struct(F.col("pct_of_fund"), F.col("filer_name"), F.col("cik"))
@@ -250,7 +250,7 @@ def stock_pivot(effective: DataFrame, filers: DataFrame, least: int = 2, top: in
     """Per security: each fund's latest position; the most held first. Lots of a period are summed."""
     funds = filers.where("category <> 'corporate'").select("cik")
     n_funds = funds.count()
-    lots = effective.join(F.broadcast(funds), "cik").groupBy("cusip", "cik", "period").agg(F.sum("shares").alias("shares"), F.sum("value_usd").alias("value_usd"))
+    lots = effective.join(funds, "cik").groupBy("cusip", "cik", "period").agg(F.sum("shares").alias("shares"), F.sum("value_usd").alias("value_usd"))
     w = Window.partitionBy("cusip", "cik").orderBy(F.desc("period"))
     last = lots.withColumn("k", F.row_number().over(w)).where("k = 1")
     out = last.groupBy("cusip").agg(
@@ -287,7 +287,7 @@ def thousands(effective: DataFrame, top: int = 10, floor: float = 5.0) -> DataFr
 def stock_holders(snapshots: DataFrame, filers: DataFrame, ticker: str | None = None) -> DataFrame:
     """Current holders with what they did in their newest filing, and who left in it; strict 10 % limits."""
     funds = filers.where("category <> 'corporate'").select("cik")
-    rows = snapshots.join(F.broadcast(funds), "cik")
+    rows = snapshots.join(funds, "cik")
     if ticker:
         rows = rows.where(F.col("ticker") == ticker)
     w = Window.partitionBy("cik").orderBy(F.desc("period"))

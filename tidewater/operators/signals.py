@@ -22,7 +22,7 @@ class Rules:
 
 def trajectories(resolved: DataFrame, weights: DataFrame, as_of: date) -> DataFrame:
     """(cik, ticker, period, shares, filed) of tracked filers' rows filed by as_of."""
-    rows = resolved.where((F.col("filed") <= F.lit(as_of)) & F.col("resolved").isNotNull()).join(F.broadcast(weights.select("cik")), "cik", "left_semi")
+    rows = resolved.where((F.col("filed") <= F.lit(as_of)) & F.col("resolved").isNotNull()).join(weights.select("cik"), "cik", "left_semi")
     return rows.groupBy("cik", F.col("resolved").alias("ticker"), F.coalesce("period", "filed").alias("period")).agg(F.sum("shares").alias("shares"), F.max("filed").alias("filed"))
 
 
@@ -54,7 +54,7 @@ def moves(latest: DataFrame) -> DataFrame:
 def cross_quarter(latest: DataFrame) -> DataFrame:
     """(ticker, starters): filers that first appear in the newest or second newest of all last periods."""
     tops = latest.select("last").distinct().orderBy(F.desc("last")).limit(2)
-    return latest.join(F.broadcast(tops.withColumnRenamed("last", "first")), "first", "left_semi").groupBy("ticker").agg(F.count_distinct("cik").alias("starters"))
+    return latest.join(tops.withColumnRenamed("last", "first"), "first", "left_semi").groupBy("ticker").agg(F.count_distinct("cik").alias("starters"))
 
 
 def insider_people(trades: DataFrame, as_of: date, rules: Rules) -> DataFrame:
@@ -95,7 +95,7 @@ def insider_clusters(people: DataFrame) -> DataFrame:
 def activists(stakes: DataFrame, weights: DataFrame, as_of: date, rules: Rules) -> DataFrame:
     """Initial 13D rows of tracked filers in the window, by ticker; rows count, not filers."""
     d = F.lit(as_of)
-    t = stakes.where((F.col("subtype") == "13D") & F.col("filed").between(F.date_sub(d, rules.stake_days), d)).join(F.broadcast(weights), "cik")
+    t = stakes.where((F.col("subtype") == "13D") & F.col("filed").between(F.date_sub(d, rules.stake_days), d)).join(weights, "cik")
     return t.groupBy("ticker").agg(
         F.count("*").alias("stakes"), F.sum("weight").alias("stake_weight"), F.max("filed").alias("last_stake"),
         F.array_join(F.array_sort(F.collect_set("cik")), "; ").alias("filers"),
@@ -114,7 +114,7 @@ def scores(moved: DataFrame, starters: DataFrame, clusters: DataFrame, stakes: D
     def part(df, **values):
         return df.select("ticker", *[values.get(c, zero).cast("double").alias(c) for c in cols])
 
-    m = moved.join(F.broadcast(weights), "cik")
+    m = moved.join(weights, "cik")
     of = lambda k: F.when(F.col("move") == k, F.col("weight")).otherwise(0.0)
     rows = part(m, new=of("new"), add=of("add"), velocity=of("velocity")).unionByName(part(stakes, stake=F.col("stake_weight")))
     rows = rows.unionByName(part(clusters, buyers=F.col("buyers"))).unionByName(part(starters, starters=F.col("starters")))
@@ -123,7 +123,7 @@ def scores(moved: DataFrame, starters: DataFrame, clusters: DataFrame, stakes: D
     kinds = sum(F.when(c, 1).otherwise(0) for c in (F.col("new") > 0, (F.col("add") > 0) | (F.col("velocity") > 0), F.col("stake") > 0, F.col("buyers") > 0, F.col("starters") >= 3))
     score = insider_points(F.col("buyers")) + F.col("new") * 2 + F.col("add") * 0.5 + F.col("velocity") * 2 + F.col("stake") * 5 + cross + F.when(kinds >= 3, 5.0).otherwise(0.0)
     big = securities.where(F.col("market_cap") >= rules.cap_floor).select("ticker")
-    out = s.join(F.broadcast(big), "ticker", "left_semi").select("*", kinds.alias("kinds"), F.round(score, 6).alias("score"))
+    out = s.join(big, "ticker", "left_semi").select("*", kinds.alias("kinds"), F.round(score, 6).alias("score"))
     return out.where(F.col("score") >= rules.score_floor)
 
 
@@ -168,7 +168,7 @@ def filings_log(filings: DataFrame, trades: DataFrame, top: int = 50) -> DataFra
 def held_activity(held: DataFrame, trades: DataFrame, stakes: DataFrame, changes: DataFrame, scored: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """What insiders, activists and funds did lately in each held stock."""
     since = F.date_sub(F.lit(as_of), days)
-    t = trades.join(F.broadcast(held), "ticker", "left_semi").where((F.col("date") >= since) & (F.col("date") <= F.lit(as_of)))
+    t = trades.join(held, "ticker", "left_semi").where((F.col("date") >= since) & (F.col("date") <= F.lit(as_of)))
     i = t.groupBy("ticker").agg(F.count_if(F.col("code") == "P").alias("buys"), F.count_if(F.col("code") == "S").alias("sells"), F.max(F.when(F.col("code").isin("P", "S"), F.col("date"))).alias("last_trade"))
     s = stakes.where((F.col("filed") >= since) & (F.col("filed") <= F.lit(as_of))).groupBy("ticker").agg(F.max("filed").alias("last_stake"))
     c = changes.where("lag = 1 AND pair_rank = 0").groupBy("ticker").agg(F.count_if(F.col("event").isin("opened", "added")).alias("adds"), F.count_if(F.col("event").isin("trimmed", "exited")).alias("trims"))

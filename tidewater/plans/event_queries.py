@@ -361,13 +361,15 @@ _SQL = {
     "evt_07_gap_range_path": """SELECT ticker, date, string_agg(coalesce(gap::varchar, '-') || ':' || coalesce(range::varchar, '-'), ',' ORDER BY k) AS gap_range FROM (
         SELECT r.ticker, r.date, g.k, round((p.open / q.close - 1) * 100000)::int AS gap, round((p.high - p.low) / q.close * 100000)::int AS range FROM reacted r CROSS JOIN (SELECT unnest(range(-30, 0)) AS k) g
         LEFT JOIN (SELECT b.*, c.idx FROM bars b JOIN cal c ON c.date = b.date) p ON p.ticker = r.ticker AND p.idx = r.ridx + g.k LEFT JOIN px q ON q.ticker = r.ticker AND q.idx = r.ridx + g.k - 1 WHERE r.ridx IS NOT NULL) GROUP BY ALL""",
+    "evt_16_stratified_sample": """SELECT ticker, tier, k FROM (SELECT ticker, tier, row_number() OVER (PARTITION BY tier ORDER BY md5(ticker || ':11'), ticker)::int AS k FROM (SELECT ticker, CASE WHEN market_cap < 3e8 THEN 'micro' WHEN market_cap < 2e9 THEN 'small'
+        WHEN market_cap < 1e10 THEN 'mid' WHEN market_cap < 2e11 THEN 'large' WHEN market_cap IS NOT NULL THEN 'mega' END AS tier FROM securities WHERE ticker NOT IN (SELECT ticker FROM reports WHERE ticker < 'T3')) WHERE tier IS NOT NULL) WHERE k <= 2""",
     "evt_19_shapes": "SELECT ticker, date, array_to_string(shapes, ',') AS shapes FROM shaped",
     "scn_04_conditions": "SELECT c[1] AS family, c[2] AS key, count(*) AS n FROM keyed GROUP BY ALL",
     "scn_05_cuts": "SELECT cut, count(*) AS n FROM cutrows GROUP BY cut",
     "scn_07_cut_effects": "SELECT cut, outcome, half, n, round(mean, 6) + 0.0 AS mean, round(t, 6) + 0.0 AS t FROM effected",
     "scn_08_two_sided": "SELECT cut, outcome, half, round(p, 6) AS p FROM tested",
     "scn_10_verdicts": f"""WITH found AS (SELECT * FROM rated WHERE q < {LEVEL}), k AS (SELECT greatest(count(*), 1) AS k FROM found)
-        SELECT s.cut, s.outcome, s.n, round(s.mean, 6) AS mean, round(s.t, 6) AS t, round(s.q, 6) AS q, round(c.mean, 6) AS check_mean, round(c.t, 6) AS check_t, round(c.p, 6) AS check_p,
+        SELECT s.cut, s.outcome, s.n, round(s.mean, 6) AS mean, round(s.t, 6) AS t, round(s.q, 6) AS q, round(c.mean, 6) + 0.0 AS check_mean, round(c.t, 6) AS check_t, round(c.p, 6) AS check_p,
         CASE WHEN sign(s.mean) = sign(c.mean) AND c.p < 0.05 / k THEN 'confirmed' WHEN sign(s.mean) = sign(c.mean) AND c.p < 0.05 THEN 'same direction' ELSE 'did not hold' END AS verdict
         FROM found s JOIN tested c ON c.cut = s.cut AND c.outcome = s.outcome AND c.half = 'check' CROSS JOIN k""",
     "scn_09_discovery_rates": "SELECT cut, outcome, round(q, 6) AS q FROM rated",

@@ -119,6 +119,8 @@ def _read(spark, d, t):
     return spark.read.parquet(f"{d}/{t}.parquet")
 
 
+_FORMS = ["13F-HR", "13F-HR/A", "SC 13D", "SC 13D/A", "SCHEDULE 13G", "SC 13G/A", "4", "4/A", "8-K", "10-K"]
+
 QUERIES = {
     "fn_01_cik10": lambda s, d: _read(s, d, "supplier").select("s_suppkey", S.cik10(F.col("s_suppkey")).alias("cik")),
     "fn_02_normalize_name": lambda s, d: _read(s, d, "part").select("p_partkey", S.normalize_name(F.concat("p_name", F.lit(" & Co., Holdings (Class A) "), "p_type", F.lit(" Inc."))).alias("name")),
@@ -140,8 +142,8 @@ QUERIES = {
         S.priority_items(F.concat(F.col("user_id") % 9 + 1, F.lit(".01, 9.0"), F.col("event_id") % 3)).alias("priority"),
     ),
     "fn_12_filing_label": lambda s, d: _read(s, d, "orders").select("o_orderkey", S.filing_label(
-        F.when(F.col("o_orderkey") % 5 == 0, "13F-HR").when(F.col("o_orderkey") % 5 == 1, "13D/A").when(F.col("o_orderkey") % 5 == 2, "4").when(F.col("o_orderkey") % 5 == 3, "8-K").otherwise("10-K"),
-        F.when(F.col("o_orderstatus") == "F", "BUY").when(F.col("o_orderstatus") == "O", "SELL"),
+        F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (F.col("o_orderkey") % len(_FORMS) + 1).cast("int")),
+        F.when(F.col("o_orderstatus") == "F", "BUY").when(F.col("o_orderstatus") == "O", "SELL").when(F.col("o_custkey") % 2 == 0, "MIXED"),
     ).alias("label")),
     "fn_13_universe_class": lambda s, d: table(s, d, "securities").groupBy(S.universe_class(F.col("market_cap"), F.col("adv20"), F.col("ret_6m")).alias("class")).agg(F.count("*").alias("n")),
     "src_12_filer_weights": lambda s, d: _rounded(H.filer_weights(table(s, d, "filers")), "weight"),
@@ -190,10 +192,10 @@ _SQL = {
     "fn_09_session": """SELECT event_id, CASE WHEN m = 0 THEN 'unknown' WHEN m < 570 THEN 'bmo' WHEN m >= 960 THEN 'amc' ELSE 'intraday' END AS session
         FROM (SELECT event_id, hour(ts - INTERVAL 5 HOUR) * 60 + minute(ts - INTERVAL 5 HOUR) AS m FROM events)""",
     "fn_10_html_to_text": "SELECT page_id, substring(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 300) AS text FROM pages",
-    "fn_11_items": """SELECT event_id, CASE u WHEN 1 THEN 'Material agreement' WHEN 2 THEN 'Acquisition or disposal' WHEN 7 THEN 'Disclosure' WHEN 8 THEN 'Other event' WHEN 9 THEN 'Exhibits' ELSE u || '.01' END
-        || '|' || CASE v WHEN 1 THEN 'Exhibits' ELSE '9.0' || v END AS labels, u IN (1, 2, 8) AS priority FROM (SELECT event_id, user_id % 9 + 1 AS u, event_id % 3 AS v FROM events)""",
-    "fn_12_filing_label": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Holdings report' WHEN 1 THEN 'Activist stake' WHEN 2 THEN CASE o_orderstatus WHEN 'F' THEN 'Insider buy'
-        WHEN 'O' THEN 'Insider sale' ELSE 'Insider trade' END WHEN 3 THEN 'Corporate event' ELSE '10-K' END AS label FROM orders""",
+    "fn_11_items": """SELECT event_id, CASE u WHEN 1 THEN '1.01 — Material agreement (M&A, partnership, etc.)' WHEN 2 THEN '2.01 — Acquisition completed' WHEN 7 THEN '7.01 — Reg FD disclosure' WHEN 8 THEN '8.01 — Other material event' WHEN 9 THEN '9.01 — Exhibits (supporting documents)' ELSE u || '.01' END
+        || '|' || CASE v WHEN 1 THEN '9.01 — Exhibits (supporting documents)' ELSE '9.0' || v END AS labels, u IN (1, 2, 8) AS priority FROM (SELECT event_id, user_id % 9 + 1 AS u, event_id % 3 AS v FROM events)""",
+    "fn_12_filing_label": """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'Quarterly portfolio' WHEN 1 THEN 'Portfolio — amended' WHEN 2 THEN 'Activist stake' WHEN 3 THEN 'Activist stake — updated' WHEN 4 THEN 'Passive 5%+ stake' WHEN 5 THEN 'Passive 5%+ — updated'
+        WHEN 8 THEN 'Corporate event' WHEN 9 THEN '10-K' ELSE CASE WHEN o_orderstatus = 'F' THEN 'Insider buy' WHEN o_orderstatus = 'O' THEN 'Insider sell' WHEN o_custkey % 2 = 0 THEN 'Insider buy + sell' ELSE 'Insider trade' END END AS label FROM orders""",
     "fn_13_universe_class": """SELECT CASE WHEN market_cap IS NULL OR ret_6m IS NULL THEN 'untracked' WHEN market_cap < 3e8 OR coalesce(adv20, 0) < 5e6 THEN 'too_illiquid' WHEN ret_6m > 0.6 THEN 'late_stage'
         ELSE 'tradeable' END AS class, count(*) AS n FROM securities GROUP BY 1""",
     "src_12_filer_weights": "SELECT cik, round((multiplier * CASE tier WHEN 'S' THEN 1.5 WHEN 'A' THEN 1.2 WHEN 'C' THEN 0.7 ELSE 1.0 END)::double, 6) AS weight FROM filers",

@@ -43,16 +43,16 @@ def submissions(s, d):
 
 def info_tables(s, d):
     """An order's lines as an information table; a line without a discount has no name, an odd one a bad number."""
-    r = _read(s, d, "lineitem").where("l_orderkey % 10 = 0")
+    r = _read(s, d, "lineitem")
     one = _cat("<n1:infoTable>", F.when(F.col("l_discount") == 0, F.lit("")).otherwise(_cat("<n1:nameOfIssuer>P ", _s("l_partkey"), "</n1:nameOfIssuer>")), "<n1:cusip>C", _s("l_suppkey"), "</n1:cusip><n1:value>", F.when(F.col("l_linenumber") == 3, "n/a").otherwise(_s("l_linenumber")),
-               "</n1:value><n1:shrsOrPrnAmt><n1:sshPrnamt>", F.col("l_quantity").cast("bigint").cast("string"), "</n1:sshPrnamt><n1:sshPrnamtType>", F.when(F.col("l_linenumber") == 6, "PRN").otherwise("SH"), "</n1:sshPrnamtType></n1:shrsOrPrnAmt>",
+               "</n1:value><n1:shrsOrPrnAmt><n1:sshPrnamt>", F.col("l_quantity").cast("bigint").cast("string"), "</n1:sshPrnamt><n1:sshPrnamtType>", F.when(F.col("l_linenumber") == 6, "prn").otherwise(" SH "), "</n1:sshPrnamtType></n1:shrsOrPrnAmt>",
                F.when(F.col("l_linenumber") == 7, "<n1:putCall>Call</n1:putCall>").otherwise(""), "</n1:infoTable>")
     return r.groupBy(F.col("l_orderkey").alias("filing_id")).agg(_cat('<n1:informationTable xmlns:n1="urn:t">', F.array_join(F.collect_list(one), ""), "</n1:informationTable>").alias("xml"))
 
 
 def covers(s, d):
     o = _read(s, d, "orders")
-    kind = F.when(F.col("o_orderstatus") == "F", "Restatement").when(F.col("o_orderstatus") == "O", "NEW HOLDINGS").otherwise("?")
+    kind = F.when(F.col("o_orderstatus") == "F", "Restatement").when(F.col("o_orderstatus") == "O", "NEW\n  HOLDINGS").otherwise("?</e:broken>")
     return o.select(F.col("o_orderkey").alias("filing_id"), F.when(F.col("o_orderkey") % 2 == 0, "13F-HR").otherwise("13F-HR/A").alias("form_type"), _cat('<e:cover xmlns:e="urn:e"><e:amendmentInfo><e:amendmentType>', kind, "</e:amendmentType></e:amendmentInfo></e:cover>").alias("cover"))
 
 
@@ -166,7 +166,7 @@ def _landing(s, d):
     path = f"{folder(s)}/landing-{uuid.uuid4().hex}"
     e = _read(s, d, "events")
     for part in range(4):
-        e.where(F.floor(F.dayofmonth("ts") / 8) == part).coalesce(1).write.mode("append").parquet(path)
+        e.where(F.floor(F.dayofmonth("ts") / 8) == part).write.mode("append").parquet(path)
     return path
 
 
@@ -259,7 +259,7 @@ _SQL = {
     "src_01_submissions": """SELECT lpad(o_custkey::varchar, 10, '0') AS cik, o_orderkey::varchar AS accession, CASE o_orderkey % 5 WHEN 0 THEN '13F-HR' WHEN 1 THEN '8-K' WHEN 2 THEN '4' ELSE 'SC 13D' END AS form_type, o_orderdate::date AS filed
         FROM orders WHERE o_orderkey % 5 <> 3 AND o_orderdate::date >= date '1998-07-30' AND (o_orderkey % 5 <> 1 OR o_custkey % 9 + 1 IN (1, 2, 8))""",
     "src_02_info_table": """SELECT l_orderkey AS filing_id, 'P ' || l_partkey AS issuer_name, 'C' || l_suppkey AS cusip, CASE WHEN l_linenumber <> 3 THEN l_linenumber::double END AS value_usd, l_quantity::bigint AS shares,
-        CASE WHEN l_linenumber = 6 THEN 'PRN' ELSE 'SH' END AS sh_type, CASE WHEN l_linenumber = 7 THEN 'Call' END AS put_call FROM lineitem WHERE l_orderkey % 10 = 0 AND l_discount <> 0""",
+        CASE WHEN l_linenumber = 6 THEN 'PRN' ELSE 'SH' END AS sh_type, CASE WHEN l_linenumber = 7 THEN 'Call' END AS put_call FROM lineitem WHERE l_discount <> 0""",
     "src_03_amendment_type": """SELECT * FROM (SELECT o_orderkey AS filing_id, CASE WHEN o_orderkey % 7 = 0 THEN 'RESTATEMENT' WHEN o_orderstatus = 'F' THEN 'RESTATEMENT' WHEN o_orderstatus = 'O' THEN 'NEW HOLDINGS' END AS amendment_type FROM orders)
         WHERE filing_id % 2 = 0 OR amendment_type IS NOT NULL""",
     "src_04_form4": "SELECT accession, ticker, is_10b5_1, reporter_cik, is_officer, date, code, shares::double AS shares, price, CASE WHEN shares > 0 THEN shares * price END AS value, direct FROM insiders",

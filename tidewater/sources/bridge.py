@@ -73,11 +73,11 @@ _VIEWS = {
         SELECT concat('STK', cast(o_orderkey AS string)) AS filing_id, lpad(cast(o_orderkey % 40 AS string), 10, '0') AS cik,
                concat('T', cast(o_custkey % 16 AS string)) AS ticker, cast(o_orderdate AS date) AS filed,
                CASE o_orderkey % 3 WHEN 0 THEN '13D' WHEN 1 THEN '13D/A' ELSE '13G' END AS subtype, 5 + o_totalprice % 20 AS percent_owned
-        FROM {orders} WHERE o_orderkey % 23 = 0""",
+        FROM {orders}""",
     "reports": """
         SELECT concat('T', cast(o_custkey % 8 AS string)) AS ticker, cast(o_orderdate AS date) AS date, min(CASE o_orderstatus WHEN 'F' THEN 'bmo' WHEN 'O' THEN 'amc' ELSE 'intraday' END) AS session,
                max(o_totalprice % 40 - 15) AS surprise
-        FROM {orders} WHERE o_orderkey % 5 = 0 GROUP BY concat('T', cast(o_custkey % 8 AS string)), cast(o_orderdate AS date)""",
+        FROM {orders} GROUP BY concat('T', cast(o_custkey % 8 AS string)), cast(o_orderdate AS date)""",
     "etf_daily": """
         SELECT ticker, date, close AS nav, sum(volume) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS shares_out FROM bars""",
     "ledger": """

@@ -34,20 +34,27 @@ _POSITION = "nameOfIssuer string, cusip string, value string, shrsOrPrnAmt struc
 def parse_info_table(docs: DataFrame) -> DataFrame:
     """(filing_id, issuer_name, cusip, value_usd, shares, sh_type, put_call) of an information table (xml).
 
-    Rows without a name or security id are skipped, bad numbers are null, bad XML has no rows.
+    Rows without a name or security id are skipped, bad numbers (also ones with commas) are null, bad XML has no rows.
     """
     x = F.from_xml("xml", f"struct<infoTable array<struct<{_POSITION}>>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
     rows = docs.select("filing_id", F.explode(x["infoTable"]).alias("p"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    whole = F.trim("p.shrsOrPrnAmt.sshPrnamt")
     return rows.select(
-        "filing_id", blank(F.col("p.nameOfIssuer")).alias("issuer_name"), blank(F.col("p.cusip")).alias("cusip"), F.expr("try_cast(replace(p.value, ',', '') AS double)").alias("value_usd"),
-        F.expr("try_cast(p.shrsOrPrnAmt.sshPrnamt AS bigint)").alias("shares"), F.col("p.shrsOrPrnAmt.sshPrnamtType").alias("sh_type"), blank(F.col("p.putCall")).alias("put_call"),
+        "filing_id", blank(F.col("p.nameOfIssuer")).alias("issuer_name"), blank(F.col("p.cusip")).alias("cusip"), F.expr("try_cast(trim(p.value) AS double)").alias("value_usd"),
+        F.when(whole.rlike(r"^[+-]?[0-9]+$"), whole.try_cast("bigint")).alias("shares"), F.upper(blank(F.col("p.shrsOrPrnAmt.sshPrnamtType"))).alias("sh_type"), blank(F.col("p.putCall")).alias("put_call"),
     ).where("issuer_name IS NOT NULL AND cusip IS NOT NULL")
 
 
+def text_at(xml: Column, path: str) -> Column:
+    """The text at a path; null where the document isn't well-formed, for xpath fails there."""
+    broken = F.from_xml(xml, "struct<_corrupt_record string, _none string>", {"mode": "PERMISSIVE"})["_corrupt_record"]
+    return F.when(xml.isNotNull() & broken.isNull(), F.xpath_string(xml, F.lit(path)))
+
+
 def amendment_type(xml: Column) -> Column:
-    """RESTATEMENT, NEW HOLDINGS, or null where the cover has neither."""
-    found = F.upper(F.trim(F.xpath_string(xml, F.lit("//*[local-name()='amendmentType']"))))
+    """RESTATEMENT, NEW HOLDINGS, or null where the cover has neither or can't be read; runs of blanks count as one."""
+    found = F.upper(F.trim(F.regexp_replace(text_at(xml, "//*[local-name()='amendmentType']"), r"\s+", " ")))
     return F.when(found.isin("RESTATEMENT", "NEW HOLDINGS"), found)
 
 
@@ -108,7 +115,7 @@ def monthly_flows(reports: DataFrame, by_series: DataFrame, by_cik: DataFrame) -
 
 def parse_fund_report(docs: DataFrame) -> DataFrame:
     """Series, period, net assets and three monthly returns of a fund's report (xml)."""
-    at = lambda p: F.nullif(F.xpath_string("xml", F.lit(p)), F.lit(""))
+    at = lambda p: F.nullif(text_at(F.col("xml"), p), F.lit(""))
     names = [f"//*[local-name()='monthlyTotReturn']/@rtn{k}" for k in (1, 2, 3)]
     return docs.select("id", at("//*[local-name()='seriesId']").alias("series_id"), F.try_to_date(at("//*[local-name()='repPdDate']")).alias("period"), at("//*[local-name()='netAssets']").try_cast("double").alias("net_assets"), F.array(*[at(n).try_cast("double") for n in names]).alias("returns"))
 
@@ -131,7 +138,7 @@ def parse_daily_index(lines: DataFrame) -> DataFrame:
 
 def parse_stake(docs: DataFrame) -> DataFrame:
     """Issuer, security, percent and event date of a stake's filing (doc), structured or else by its text; the date falls back to the filing's."""
-    at = lambda n: F.nullif(F.trim(F.when(F.col("doc").startswith("<?xml"), F.xpath_string("doc", F.lit(f"//*[local-name()='{n}']")))), F.lit(""))
+    at = lambda n: F.nullif(F.trim(F.when(F.col("doc").startswith("<?xml"), text_at(F.col("doc"), f"//*[local-name()='{n}']"))), F.lit(""))
     text = F.regexp_replace(F.regexp_replace("doc", "<[^>]*>", " "), r"\s+", " ")
     found = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
     subtype = F.create_map(*[F.lit(x) for kv in SUBTYPES.items() for x in kv])

@@ -1,76 +1,102 @@
-"""Keyed sinks over Parquet tables: each write is a new version of the table, swapped in when it is whole."""
+"""Keyed sinks over Parquet tables, dealt into buckets by a hash of the key; a batch rewrites the buckets that it touches."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 class Table:
-    """A Parquet table in versions under a path; a small pointer table names the current one.
+    """A Parquet table under a path, partitioned by bucket of its keys; one writer at a time.
 
-    Readers keep their version while a writer makes the next, and a failed write changes nothing.
+    Spark's dynamic partition overwrite swaps a job's partitions in when all are written, so a failed write changes nothing.
+    Readers list files when they start: as with any plain Parquet table, one that is reading while a
+    bucket is replaced fails and is run again.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _pointer(self):
+    def _stored(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("seq long, version string").json(f"{self.path}/current")
+            return self.spark.read.parquet(self.path)
         except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             return None
 
-    def read(self) -> DataFrame | None:
-        p = self._pointer()
-        row = p.orderBy(F.desc("seq")).first() if p is not None else None
-        return self.spark.read.parquet(f"{self.path}/{row['version']}") if row else None
+    def bucket(self, keys: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
-    def write(self, df: DataFrame) -> None:
-        p = self._pointer()
-        last = p.agg(F.max("seq")).first()[0] if p is not None else None
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([((last or 0) + 1, version)], "seq long, version string").coalesce(1).write.mode("append").json(f"{self.path}/current")
+    def read(self) -> DataFrame | None:
+        """All rows; None before the first write."""
+        df = self._stored()
+        return None if df is None else df.drop("_bucket")
+
+    def replace(self, df: DataFrame) -> None:
+        """These rows and no others."""
+        df.withColumn("_bucket", F.lit(0)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(self.path)
+
+    def merge(self, batch: DataFrame, keys: list[str], join) -> None:
+        """Rewrite the buckets of a batch's keys as join(stored rows or None, batch); the others stay as they are."""
+        dealt = batch.withColumn("_bucket", self.bucket(keys)).persist()
+        touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # at most `buckets`
+        old = self._stored()
+        if old is not None:
+            old = old.where(F.col("_bucket").isin(touched)).drop("_bucket")
+        rows = join(old, dealt.drop("_bucket")).withColumn("_bucket", self.bucket(keys))
+        rows.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        dealt.unpersist()
 
 
 def newest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(version))
+    """The row of each key of the highest version; of equal versions the largest row in the order of the other columns."""
+    rest = [F.desc(c) for c in df.columns if c not in (*keys, version)]
+    w = Window.partitionBy(*keys).orderBy(F.desc(version), *rest)
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
 def upsert(table: Table, batch: DataFrame, keys: list[str], version: str) -> None:
-    """The newest row of each key stays; of equal keys in a batch the last."""
-    old = table.read()
-    table.write(newest(batch if old is None else old.unionByName(batch), keys, version))
+    """The newest row of each key stays; a batch replaces rows of its own version."""
+
+    def join(old, rows):
+        if old is None:
+            return newest(rows, keys, version)
+        both = old.withColumn("_new", F.lit(0)).unionByName(newest(rows, keys, version).withColumn("_new", F.lit(1)))
+        w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"))
+        return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_new")
+
+    table.merge(batch, keys, join)
 
 
 def replace_run(table: Table, rows: DataFrame, run_id: str) -> None:
     """Only this run's rows stay; a run without rows is refused."""
     if rows.isEmpty():
         raise ValueError("a run without rows doesn't replace a table")
-    table.write(rows.withColumn("run_id", F.lit(run_id)))
+    table.replace(rows.withColumn("run_id", F.lit(run_id)))
 
 
 def replace_latest(table: Table, rows: DataFrame, run_time) -> None:
     """Keys that this run lacks go; all rows carry its time."""
-    table.write(rows.withColumn("run_at", F.lit(run_time)))
+    table.replace(rows.withColumn("run_at", F.lit(run_time)))
 
 
 def append_frozen(table: Table, rows: DataFrame, keys: list[str]) -> None:
-    """Only unstored keys are added; a stored row never changes but for an action that was null."""
-    old = table.read()
-    if old is None:
-        table.write(rows.dropDuplicates(keys))
-        return
-    fresh = rows.dropDuplicates(keys)
-    late = fresh.select(*keys, F.col("action").alias("_late"))
-    kept = old.join(late, keys, "left").withColumn("action", F.coalesce("action", "_late")).drop("_late")
-    table.write(kept.unionByName(fresh.join(old.select(*keys), keys, "left_anti")))
+    """Only unstored keys are added; a stored row never changes but for an action that was null.
+
+    Of a batch's rows of one key the smallest in the order of its columns counts.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    fresh = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(rows.columns)
+
+    def join(old, new):
+        if old is None:
+            return new
+        late = new.select(*keys, F.col("action").alias("_late"))
+        kept = old.join(late, keys, "left").withColumn("action", F.coalesce("action", "_late")).drop("_late")
+        return kept.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+
+    table.merge(fresh, keys, join)
 
 
 def export(df: DataFrame, path: str, form: str = "csv") -> None:
