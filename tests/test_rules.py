@@ -152,3 +152,42 @@ def test_sinks_are_idempotent(spark, tmp_path):
     append_frozen(f, row(1, "b", "buy"), ["k"])
     append_frozen(f, row(1, "c", "sell"), ["k"])
     assert [tuple(r) for r in f.read().collect()] == [(1, "a", "buy")]
+
+
+def test_covers_and_numbers_of_filings(spark):
+    cover = "<a><x>1</x><amendmentType>New\n   Holdings</amendmentType></a>"
+    assert one(spark, X.amendment_type(F.lit(cover))) == "NEW HOLDINGS"
+    for broken in ("<a><amendmentType>RESTATEMENT</amendmentType>", "<a><b></a>", "", "no xml"):
+        assert one(spark, X.amendment_type(F.lit(broken))) is None
+    row = lambda v, n, t: f"<infoTable><nameOfIssuer>A</nameOfIssuer><cusip>1</cusip><value>{v}</value><shrsOrPrnAmt><sshPrnamt>{n}</sshPrnamt><sshPrnamtType>{t}</sshPrnamtType></shrsOrPrnAmt></infoTable>"
+    xml = "<t>" + row("1,000", "1,000", "prn") + row("12.5", "7", "SH") + row("3", "7.0", "") + "</t>"
+    got = X.parse_info_table(spark.createDataFrame([("f", xml), ("g", "<t><infoTable>")], "filing_id string, xml string")).collect()
+    assert sorted(((r["value_usd"], r["shares"], r["sh_type"]) for r in got), key=str) == [(12.5, 7, "SH"), (3.0, None, None), (None, None, "PRN")]
+
+
+def test_labels(spark):
+    label = lambda form, way=None: one(spark, S.filing_label(F.lit(form), F.lit(way).cast("string")))
+    assert label("SC 13D") == "Activist stake" and label("SCHEDULE 13D/A") == "Activist stake — updated" and label("4/A", "MIXED") == "Insider buy + sell"
+    assert label("4") == "Insider trade" and label("13F-HR/A") == "Portfolio — amended" and label("10-Q") == "10-Q"
+    assert one(spark, S.item_labels(F.lit("5.07, 3.03,"))) == ["5.07 — Shareholder vote results", "3.03"]
+
+
+def test_sink_rewrites_touched_buckets_only(spark, tmp_path):
+    import os
+
+    t = Table(spark, str(tmp_path / "b"), buckets=4)
+    upsert(t, spark.createDataFrame([(k, 1, "a") for k in range(40)], "key long, version int, v string"), ["key"], "version")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(tmp_path / "b") for f in names if f.endswith(".parquet")}
+    before = files()
+    upsert(t, spark.createDataFrame([(3, 2, "b"), (3, 0, "old"), (3, 2, "a")], "key long, version int, v string"), ["key"], "version")
+    assert len(before & files()) >= 3 and {r["key"]: r["v"] for r in t.read().collect()}[3] == "b" and t.read().count() == 40
+
+
+def test_flow_filters_and_order(spark):
+    rows = [("A", 3, 2e9, "Tech", 5e6, 0.2, "Strong", 2.0), ("B", 1, None, None, None, None, "Weak", 5.0), ("C", 3, 1e9, "Tech", 9e6, -0.1, "Weak", 7.0), ("D", 0, 5e9, "Oil", 1e6, 0.9, None, None)]
+    df = spark.createDataFrame(rows, "ticker string, net int, market_cap double, industry string, adv20 double, ret_6m double, label string, conviction_sum double")
+    names = lambda x: [r["ticker"] for r in x.collect()]
+    assert names(H.sort_flows(df, "label")) == ["A", "C", "B", "D"] and names(H.sort_flows(df, "market_cap", False)) == ["C", "A", "D", "B"]
+    assert names(H.filter_flows(df, industry="Unclassified")) == ["B"] and names(H.filter_flows(df, no_label=True)) == ["D"]
+    assert names(H.filter_flows(df, min_adv=4e6, max_ret=0.5)) == ["A", "C"]
+    assert names(H.filter_flows(df, watchlist=spark.createDataFrame([("C",), ("C",)], "ticker string"))) == ["C"]

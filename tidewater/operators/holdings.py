@@ -221,15 +221,34 @@ def strength(net: Column, top: Column, streak: Column) -> Column:
     )
 
 
-def filter_flows(flows: DataFrame, min_net: int | None = None, min_cap: float | None = None, max_cap: float | None = None, labels=None) -> DataFrame:
-    """An unknown value fails a filter that is set."""
-    for cond in (
-        min_net is not None and F.col("net") >= min_net, min_cap is not None and F.col("market_cap") >= min_cap,
-        max_cap is not None and F.col("market_cap") <= max_cap, labels is not None and F.col("label").isin(*(labels or [""])),
-    ):
-        if cond is not False:
-            flows = flows.where(cond)
-    return flows
+def filter_flows(
+    flows: DataFrame, min_net: int | None = None, min_cap: float | None = None, max_cap: float | None = None, labels=None, industry: str | None = None,
+    min_adv: float | None = None, min_ret: float | None = None, max_ret: float | None = None, no_label: bool = False, watchlist: DataFrame | None = None,
+) -> DataFrame:
+    """An unknown value fails a filter that is set; an industry that isn't known is Unclassified. watchlist: a table with ticker."""
+    for limit, column, least in ((min_net, "net", True), (min_cap, "market_cap", True), (max_cap, "market_cap", False), (min_adv, "adv20", True), (min_ret, "ret_6m", True), (max_ret, "ret_6m", False)):
+        if limit is not None:
+            flows = flows.where(F.col(column) >= limit if least else F.col(column) <= limit)
+    if labels is not None:
+        flows = flows.where(F.col("label").isin(*(labels or [""])))
+    if no_label:
+        flows = flows.where("label IS NULL")
+    if industry is not None:
+        flows = flows.where(F.coalesce("industry", F.lit("Unclassified")) == industry)
+    return flows if watchlist is None else flows.join(watchlist.select("ticker").distinct(), "ticker", "left_semi")
+
+
+#: Labels from the strongest down.
+LABEL_ORDER = ("Strong", "Moderate", "Weak", "Net selling")
+
+
+def sort_flows(flows: DataFrame, key: str, descending: bool = True) -> DataFrame:
+    """In the order of a column, or of label by strength and then conviction_sum; nulls come last either way, and ticker breaks ties."""
+    by = F.col(key)
+    if key == "label":
+        by = F.coalesce(*[F.when(F.col("label") == x, len(LABEL_ORDER) - k) for k, x in enumerate(LABEL_ORDER)])
+    first = by.desc_nulls_last() if descending else by.asc_nulls_last()
+    return flows.orderBy(first, *[F.col("conviction_sum").desc_nulls_last()] * (key == "label"), "ticker")
 
 
 def industry_rollup(flows: DataFrame) -> DataFrame:

@@ -92,6 +92,16 @@ def cost_basis(added: DataFrame, vwap: DataFrame) -> DataFrame:
     return out.where("shares > 0 AND quarters > 0")
 
 
+def accumulations(added: DataFrame, vwap: DataFrame) -> DataFrame:
+    """The priced quarters behind a position's cost, in order, with its total cost and shares bought; a position has a few dozen at most."""
+    rows = added.where("added > 0").join(vwap.where("vwap IS NOT NULL"), ["ticker", "period"])
+    paid = F.col("added") * F.col("vwap")
+    one = F.struct("period", F.col("added").alias("delta_shares"), F.round("vwap", 4).alias("quarter_vwap"), F.round(paid, 2).alias("contribution_usd"))
+    held = added.groupBy("cik", "ticker").agg(F.max_by("shares", "period").alias("shares"), F.max("period").alias("as_of")).where("shares > 0")
+    bought = rows.groupBy("cik", "ticker").agg(F.sum(paid).alias("total_cost"), F.sum("added").alias("total_bought"), F.sort_array(F.collect_list(one)).alias("accumulations"))
+    return bought.join(held, ["cik", "ticker"])
+
+
 def clone_returns(snapshots: DataFrame, vwap: DataFrame, prices: DataFrame, back: int = 4, least: float = 0.6) -> DataFrame:
     """Return of holding each fund's positions of `back` periods ago, by value; null under 60 % coverage.
 

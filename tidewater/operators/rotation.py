@@ -87,6 +87,21 @@ def actual_position(ledger: DataFrame, dust: float = 1e-6) -> DataFrame:
     return out.withColumn("qty", F.when(F.abs("qty") < dust, 0).otherwise(F.col("qty")))
 
 
+def proposed_orders(positions: DataFrame, pick: str, last: DataFrame, capital: float) -> DataFrame:
+    """Orders that leave an account holding only the pick: sell all else, then put its cash, capital and what the sales bring, into the pick.
+
+    Amounts are at the last close; a sale without one brings nothing, and under 1 of cash nothing is bought.
+    """
+    p = positions.join(last, "ticker", "left")
+    amount = F.when((F.col("ticker") != pick) & (F.col("qty") > 0), F.col("qty") * F.coalesce("last", F.lit(0.0)))
+    p = p.withColumn("amount", amount)
+    sells = p.where("amount IS NOT NULL").select("account", F.lit("sell").alias("side"), "ticker", F.col("qty").cast("double").alias("shares"), "amount")
+    cash = p.groupBy("account").agg((F.lit(capital) + F.sum("cash") + F.coalesce(F.sum("amount"), F.lit(0.0))).alias("amount")).where("amount >= 1")
+    price = last.where((F.col("ticker") == pick) & (F.col("last") > 0))
+    buys = cash.crossJoin(F.broadcast(price)).select("account", F.lit("buy").alias("side"), F.lit(pick).alias("ticker"), (F.col("amount") / F.col("last")).alias("shares"), "amount")
+    return sells.unionByName(buys)
+
+
 def average_cost(ledger: DataFrame) -> DataFrame:
     """A row for each counted sell and a closing row (closes) for each account and ticker, in order of (date, id).
 

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..operators import events as V
+from ..operators import explore as X
 from ..operators import rotation as R
 from ..operators import scan as C
 from ..sources.bridge import oracle, table
@@ -154,6 +155,8 @@ VIEWS = Sig.VIEWS | {
     "vpath": "SELECT ticker, date, k, CASE WHEN n >= 40 THEN round(100 * volume::double / m)::int END AS v, n FROM vols WHERE k >= -30",
     "feats": _feats(-10, -1, 1, {"week": (0, 4), "drift": (1, 20)}),
     "xfeats": _feats(-14, -5, 5, {"skip": (-4, -1), "through": (-4, 0), "after5": (-4, 5)}),
+    "looked": """SELECT *, CASE WHEN n < 15 THEN 0 ELSE (floor((rank - 1) * 3 / n) + 1)::bigint END AS grp FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY x, ticker, rdate) AS rank, count(*) OVER (PARTITION BY season) AS n FROM (
+        SELECT *, pre AS x, week AS y, year(rdate) || 'Q' || quarter(rdate) AS season FROM feats WHERE surprise > 0 AND pre IS NOT NULL AND week IS NOT NULL))""",
     "vmeans": "SELECT ticker, date, avg(v) FILTER (k BETWEEN -10 AND -1) / 100 AS vol, max(v) FILTER (k = -1) / 100 AS vol_last FROM vpath GROUP BY ALL",
 }
 
@@ -229,7 +232,7 @@ def scan_rows(s, d):
     def build():
         keys = ["ticker", "date"]
         w = windows(s, d)
-        tiers = V.caps_at_report(w, table(s, d, "securities"), last_prices(s, d)).select(*keys, "tier")
+        tiers = V.caps_at_report(w, table(s, d, "securities"), last_prices(s, d)).select(*keys, "tier", "cap")
         buyers = V.insider_context(reports(s, d), table(s, d, "insiders")).select(*keys, "buyers")
         acted = V.analyst_actions(reports(s, d), actions(s, d), cal(s, d))
         scaled = F.transform("actions", lambda a: F.struct(a["k"].alias("k"), a["code"].alias("code"), (a["pt"] / 16).alias("pt")))
@@ -249,6 +252,15 @@ def events(s, d, entry=None):
     return staged(s, d, f"events_{entry}", build)
 
 
+def explored(s, d):
+    """Reports with moves less the benchmark's, in three groups within seasons."""
+    def build():
+        rows = scan_rows(s, d).join(C.marks(bench(s, d), cal(s, d)), "ridx")
+        return X.grouped(X.moves(rows, (-10, -1), (0, 4), True, surprise="beat"), 3)
+
+    return staged(s, d, "explored", build)
+
+
 def cut_rows(s, d):
     """Cuts of demeaned outcomes; the keys are those of the events as they are."""
     return C.cuts(C.demeaned(C.with_keys(events(s, d), INDUSTRY), OUTCOMES), 2)
@@ -278,6 +290,7 @@ QUERIES = {
     "rot_05_sleeve_trades": lambda s, d: _r(trades(s, d).drop("shares"), "price", "capital", n=4),
     "rot_06_equity": lambda s, d: _r(R.equity(trades(s, d), bars(s, d), bench(s, d), CORE, R.month_ends(bench(s, d)), 100000.0), "sleeve", "core", "benchmark", n=3),
     "rot_07_actual_position": lambda s, d: _r(R.actual_position(ledger(s, d)), "cash", n=3),
+    "rot_07_proposed_orders": lambda s, d: _r(R.proposed_orders(R.actual_position(ledger(s, d)), "T1", last_prices(s, d), 100000.0), "shares", "amount", n=3),
     "led_01_average_cost": lambda s, d: _r(walked(s, d), "avg", "realized", n=6),
     "led_02_account_summary": lambda s, d: _r(R.account_summary(walked(s, d), last_prices(s, d)), "invested", "value", "realized", "unrealized", "win_rate", n=6),
     "led_03_cash_summary": lambda s, d: _r(R.cash_summary(
@@ -303,6 +316,11 @@ QUERIES = {
     "evt_15_rank_correlation": lambda s, d: _r(V.rank_correlation(measured(s, d), "pre", "react", "session"), "rho"),
     "evt_16_stratified_sample": lambda s, d: V.stratified_sample(table(s, d, "securities"), table(s, d, "reports").select("ticker").distinct().where("ticker < 'T3'"), 2, 11).select("ticker", "tier", "k"),
     "evt_17_explore": lambda s, d: _r(V.explore(paths(s, d), (-10, -1), (0, 4), 2), "x", "y", "median", "up"),
+    "evt_17_filtered_groups": lambda s, d: _r(X.group_table(explored(s, d)), "x", "y", "median", "up"),
+    "evt_17_season_halves": lambda s, d: _r(X.season_halves(explored(s, d), 3), "spread"),
+    "evt_17_average_path": lambda s, d: _r(X.average_path(explored(s, d), 3, True), "top", "bottom", "all"),
+    "evt_18_answers": lambda s, d: _r(X.answers(explored(s, d), (-10, -1), True), "up", "noise", "mean", "median", "size"),
+    "evt_18_correlations": lambda s, d: _r(X.correlations(explored(s, d)), "direction", "size", "noise"),
     "evt_18_direction_table": lambda s, d: _r(V.direction_table(paths(s, d), (-10, -1), (0, 4)), "up", "band", "mean", "median", "size"),
     "evt_19_shapes": lambda s, d: paths(s, d).select("ticker", "date", F.array_join(V.shapes(F.transform(F.slice("path", 21, 10), lambda x: x / 100000)), ",").alias("shapes")),
     "evt_20_wire_rows": lambda s, d: V.wire_rows(measured(s, d), table(s, d, "securities").select("ticker", "sector")),
@@ -335,6 +353,10 @@ _SQL = {
         JOIN bars b ON b.ticker = s.ticker AND b.date = e.date JOIN bench q ON q.date = e.date JOIN bench q0 ON q0.date = f.first
         JOIN (SELECT b.date, avg(b.close / b0.close) AS v FROM bars b CROSS JOIN f JOIN bars b0 ON b0.ticker = b.ticker AND b0.date = f.first WHERE b.ticker IN ({_CORE}) GROUP BY b.date HAVING count(*) = {len(CORE)}) c ON c.date = e.date WHERE e.date >= f.first""",
     "rot_07_actual_position": "SELECT account, ticker, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END)::bigint AS qty, round(sum(CASE side WHEN 'buy' THEN -qty ELSE qty END * price), 3) AS cash FROM ledger GROUP BY ALL",
+    "rot_07_proposed_orders": """WITH p AS (SELECT account, ticker, sum(CASE side WHEN 'buy' THEN qty ELSE -qty END)::bigint AS qty, sum(CASE side WHEN 'buy' THEN -qty ELSE qty END * price) AS cash FROM ledger GROUP BY ALL), l AS (SELECT ticker, max_by(close, date) AS last FROM bars GROUP BY ticker),
+        sells AS (SELECT p.account, p.ticker, qty, qty * coalesce(last, 0) AS amount FROM p LEFT JOIN l ON l.ticker = p.ticker WHERE p.ticker <> 'T1' AND qty > 0), c AS (SELECT account, 100000 + sum(cash) AS cash FROM p GROUP BY account)
+        SELECT account, 'sell' AS side, ticker, round(qty::double, 3) AS shares, round(amount, 3) AS amount FROM sells UNION ALL
+        SELECT account, 'buy', 'T1', round(have / last, 3), round(have, 3) FROM (SELECT c.account, c.cash + coalesce(sum(amount), 0) AS have FROM c LEFT JOIN sells s ON s.account = c.account GROUP BY c.account, c.cash), l WHERE l.ticker = 'T1' AND last > 0 AND have >= 1""",
     "led_01_average_cost": "SELECT account, ticker, date, id, qty, round(avg, 6) AS avg, round(realized, 6) AS realized, sold, closes FROM walks",
     "led_03_cash_summary": """SELECT account, round(coalesce(p, 0), 3) AS deposited, round(coalesce(n, 0), 3) AS withdrawn, round(net, 3) AS net, round(v * 1.25 - net, 3) AS gain, CASE WHEN net > 0 THEN round(100 * (v * 1.25 - net) / net, 3) END AS pct FROM (
         SELECT account, sum(amount) FILTER (amount > 0) AS p, sum(-amount) FILTER (amount < 0) AS n, sum(amount) AS net, sum(qty) AS v FROM (SELECT account, qty, (CASE side WHEN 'buy' THEN qty ELSE -qty END * floor(price * 10))::double AS amount FROM ledger) GROUP BY account)""",
@@ -393,6 +415,24 @@ _SQL = {
         / count(*) OVER (PARTITION BY year(date), quarter(date))) + 1)::bigint AS grp, count(*) OVER (PARTITION BY year(date), quarter(date)) AS c FROM moves WHERE x IS NOT NULL AND y IS NOT NULL) WHERE c >= 10 GROUP BY grp""",
     "evt_18_direction_table": """SELECT CASE WHEN x > 0 THEN 'up' ELSE 'down' END AS before, count(*) AS n, round(avg((y > 0)::int), 6) AS up, round(1.96 * sqrt(avg((y > 0)::int) * (1 - avg((y > 0)::int)) / count(*)), 6) AS band, round(avg(y), 6) AS mean, round(median(y), 6) AS median,
         round(avg(abs(y)), 6) AS size FROM moves WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""",
+    "evt_17_filtered_groups": "SELECT grp, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(median(y), 6) AS median, round(avg((y > 0)::int), 6) AS up FROM looked WHERE grp > 0 GROUP BY grp",
+    "evt_17_season_halves": """SELECT season, events, round(spread, 6) AS spread, CASE WHEN spread IS NOT NULL THEN CASE WHEN count(spread) OVER (ORDER BY season) <= ceil(count(spread) OVER () / 2) THEN 'early' ELSE 'late' END END AS half
+        FROM (SELECT season, count(*) AS events, avg(y) FILTER (grp = 3) - avg(y) FILTER (grp = 1) AS spread FROM looked GROUP BY season)""",
+    "evt_17_average_path": """WITH one AS (SELECT l.ticker, l.rdate, l.grp, d.k, CASE WHEN d.k = -1 THEN 0 WHEN d.k >= 0 THEN CASE WHEN count(d.v) FILTER (d.k >= 0) OVER a = d.k + 1 THEN exp(sum(ln(1 + d.v / 100000)) FILTER (d.k >= 0) OVER a) - 1 - (q.close / q1.close - 1) END
+        ELSE CASE WHEN count(d.v) FILTER (d.k < 0) OVER b = -1 - d.k THEN exp(-sum(ln(1 + d.v / 100000)) FILTER (d.k < 0) OVER b) - 1 - (q.close / q1.close - 1) END END AS v
+        FROM looked l JOIN daily d ON d.ticker = l.ticker AND d.date = l.date LEFT JOIN bx q ON q.idx = l.ridx + d.k LEFT JOIN bx q1 ON q1.idx = l.ridx - 1
+        WINDOW a AS (PARTITION BY l.ticker, l.rdate ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY l.ticker, l.rdate ORDER BY d.k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+        SELECT k::int AS day, round(avg(v) FILTER (grp = 3), 6) AS top, round(avg(v) FILTER (grp = 1), 6) AS bottom, round(avg(v), 6) AS "all" FROM one GROUP BY k""",
+    "evt_18_answers": """WITH m AS (SELECT l.x, l.y, h.shapes, v.vol, t.tier, i.buyers, a.ma50_gap, a.ma200_gap, l.surprise FROM looked l JOIN xshaped h ON h.ticker = l.ticker AND h.date = l.date JOIN vmeans v ON v.ticker = l.ticker AND v.date = l.date
+          JOIN caps t ON t.ticker = l.ticker AND t.date = l.date LEFT JOIN context i ON i.ticker = l.ticker AND i.date = l.date LEFT JOIN mas a ON a.ticker = l.ticker AND a.idx = l.ridx - 1),
+        k AS (SELECT y, unnest(list_concat([('all', 'all'), ('before', CASE WHEN x > 0 THEN 'up' ELSE 'down' END), ('bucket', CASE WHEN x < -0.1 THEN 'fell_big' WHEN x < -0.03 THEN 'fell' WHEN x < 0.03 THEN 'flat' WHEN x < 0.1 THEN 'rose' ELSE 'rose_big' END),
+          ('context', CASE WHEN tier <> 'micro' THEN 'cap_' || tier END), ('context', CASE WHEN buyers > 0 THEN 'ins_yes' WHEN buyers IS NOT NULL THEN 'ins_no' END), ('context', CASE WHEN vol < 0.8 THEN 'vol_low' WHEN vol < 1.25 THEN 'vol_norm' WHEN vol < 2 THEN 'vol_high' WHEN vol IS NOT NULL THEN 'vol_vhigh' END),
+          ('context', CASE WHEN ma50_gap > 0 THEN 'ma50_above' WHEN ma50_gap IS NOT NULL THEN 'ma50_below' END), ('context', CASE WHEN ma200_gap > 0 THEN 'ma200_above' WHEN ma200_gap IS NOT NULL THEN 'ma200_below' END),
+          ('context', CASE WHEN surprise < 0 THEN 'eps_miss' WHEN surprise < 5 THEN 'eps_small' WHEN surprise < 15 THEN 'eps_mid' WHEN surprise IS NOT NULL THEN 'eps_big' END)], list_transform(shapes, lambda z: ('shape', z)))) AS c FROM m)
+        SELECT c[1] AS kind, c[2] AS key, count(*) AS n, round(avg((y > 0)::int), 6) AS up, round(1.96 * sqrt(avg((y > 0)::int) * (1 - avg((y > 0)::int)) / count(*)), 6) AS noise, round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(avg(abs(y)), 6) AS size
+        FROM k WHERE c[2] IS NOT NULL GROUP BY ALL""",
+    "evt_18_correlations": """SELECT count(*) AS n, round(corr(a, b), 6) AS direction, round(corr(c, d), 6) AS size, round(1.96 / sqrt(count(*)), 6) AS noise FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b,
+        rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2 AS c, rank() OVER (ORDER BY abs(y)) + (count(*) OVER (PARTITION BY abs(y)) - 1) / 2 AS d FROM looked)""",
     "evt_20_wire_rows": """SELECT m.ticker, m.date, s.s, round(pre, 4) AS pre, round(react, 4) AS react, round(drift, 4) AS drift FROM measured m LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY sector) - 1 AS s FROM securities) s ON s.ticker = m.ticker""",
 }
 

@@ -77,7 +77,7 @@ VIEWS = {
                count(*) FILTER (buy AND tier IN ('S', 'A')) AS top_buyers, max(pct_of_fund) FILTER (buy) AS conviction_max,
                arg_max(filer_name, (pct_of_fund, filer_name, cik)) FILTER (buy) AS conviction_filer, sum(pct_of_fund) FILTER (buy) AS conviction_sum,
                min(period) AS first_period, max(period) AS last_period FROM flow_rows WHERE lag = 1 AND pair_rank = 0 GROUP BY ticker) n LEFT JOIN streak s ON s.ticker = n.ticker""",
-    "facts": """SELECT f.*, s.industry, s.sector, s.market_cap, CASE WHEN net >= 3 AND top_buyers >= 1 AND streak >= 2 THEN 'Strong' WHEN net >= 3 THEN 'Moderate' WHEN net >= 1 THEN 'Weak'
+    "facts": """SELECT f.*, s.industry, s.sector, s.market_cap, s.adv20, s.ret_6m, CASE WHEN net >= 3 AND top_buyers >= 1 AND streak >= 2 THEN 'Strong' WHEN net >= 3 THEN 'Moderate' WHEN net >= 1 THEN 'Weak'
         WHEN net <= -2 THEN 'Net selling' END AS label FROM flows f LEFT JOIN securities s ON s.ticker = f.ticker""",
 }
 
@@ -106,7 +106,7 @@ def flows(spark, d):
 
 
 def facts(spark, d):
-    s = table(spark, d, "securities").select("ticker", "industry", "sector", "market_cap")
+    s = table(spark, d, "securities").select("ticker", "industry", "sector", "market_cap", "adv20", "ret_6m")
     out = flows(spark, d).join(s, "ticker", "left")
     return out.withColumn("label", H.strength(F.col("net"), F.col("top_buyers"), F.col("streak")))
 
@@ -158,6 +158,7 @@ QUERIES = {
     "hld_09_fund_flows": lambda s, d: _rounded(flows(s, d), "weighted_net", "conviction_max", "conviction_sum"),
     "hld_10_streak": lambda s, d: flows(s, d).select("ticker", "streak"),
     "hld_11_strength": lambda s, d: facts(s, d).select("ticker", "net", "label"),
+    "hld_12_more_filters": lambda s, d: H.filter_flows(facts(s, d), min_adv=3e6, min_ret=-0.3, max_ret=1.0, watchlist=table(s, d, "insiders").select("ticker")).select("ticker", "net", "adv20", F.round("ret_6m", 6).alias("ret_6m")),
     "hld_12_filters": lambda s, d: H.filter_flows(facts(s, d), min_net=-2, min_cap=1e7).select("ticker", "net", "market_cap", "label"),
     "hld_13_industry_rollup": lambda s, d: H.industry_rollup(facts(s, d)),
     "hld_14_quarter_coverage": lambda s, d: H.quarter_coverage(changes(s, d)),
@@ -214,6 +215,7 @@ _SQL = {
     "hld_09_fund_flows": "SELECT * REPLACE (round(weighted_net, 6) AS weighted_net, round(conviction_max, 6) AS conviction_max, round(conviction_sum, 6) AS conviction_sum) FROM flows",
     "hld_10_streak": "SELECT ticker, streak FROM flows",
     "hld_11_strength": "SELECT ticker, net, label FROM facts",
+    "hld_12_more_filters": "SELECT ticker, net, adv20, round(ret_6m, 6) AS ret_6m FROM facts WHERE adv20 >= 3e6 AND ret_6m >= -0.3 AND ret_6m <= 1.0 AND ticker IN (SELECT ticker FROM insiders)",
     "hld_12_filters": "SELECT ticker, net, market_cap, label FROM facts WHERE net >= -2 AND market_cap >= 1e7",
     "hld_13_industry_rollup": """SELECT CASE WHEN trim(coalesce(industry, '')) = '' THEN 'Unclassified' ELSE industry END AS industry, count(*) AS stocks, count(*) FILTER (net > 0) AS bought, count(*) FILTER (net < 0) AS sold,
         sum(net)::bigint AS total_net, min(sector) AS sector, coalesce(array_to_string((list(ticker ORDER BY net DESC, ticker) FILTER (net > 0))[1:3], ','), '') AS top FROM facts GROUP BY 1""",

@@ -185,6 +185,8 @@ QUERIES = {
     "prc_06_next_event": lambda s, d: P.next_event(table(s, d, "reports"), AS_OF),
     "prc_07_quarter_vwap": lambda s, d: _r(vwap(s, d), "vwap"),
     "prc_08_missing_vwap": lambda s, d: P.missing_vwap(added(s, d), vwap(s, d)),
+    "prc_09_accumulations": lambda s, d: P.accumulations(added(s, d), vwap(s, d)).select("cik", "ticker", "as_of", F.round("total_cost", 2).alias("total_cost"), "total_bought", F.size("accumulations").cast("long").alias("quarters"),
+        F.array_join(F.transform("accumulations", lambda a: F.concat_ws(":", a["period"], a["delta_shares"])), ",").alias("parts"), F.aggregate("accumulations", F.lit(0).cast("decimal(28,2)"), lambda t, a: (t + a["contribution_usd"].cast("decimal(18,2)")).cast("decimal(28,2)")).cast("double").alias("parts_usd")),
     "prc_09_cost_basis": lambda s, d: _r(P.cost_basis(added(s, d), vwap(s, d)), "cost"),
     "prc_10_clone_returns": lambda s, d: _r(P.clone_returns(Fund.snapshots(s, d), vwap(s, d), P.trailing_returns(bars(s, d)), 4, 0.3), "coverage", "gain"),
     "etf_01_issuer_flows": lambda s, d: _r(etf_flows(s, d).select("ticker", "date", "flow"), "flow", n=4),
@@ -245,6 +247,9 @@ _SQL = {
     "prc_06_next_event": f"SELECT ticker, coalesce(min(date) FILTER (date >= {D}), max(date)) AS next FROM reports GROUP BY ticker",
     "prc_07_quarter_vwap": "SELECT ticker, period, round(vwap, 6) AS vwap, bars FROM vwap",
     "prc_08_missing_vwap": "SELECT DISTINCT ticker, period FROM added a WHERE added > 0 AND NOT EXISTS (SELECT 1 FROM vwap v WHERE v.ticker = a.ticker AND v.period = a.period)",
+    "prc_09_accumulations": """SELECT p.cik, p.ticker, h.as_of, round(sum(added * vwap), 2) AS total_cost, sum(added)::bigint AS total_bought, count(*) AS quarters, string_agg(p.period || ':' || added, ',' ORDER BY p.period) AS parts, sum(round(added * vwap, 2)::decimal(18,2))::double AS parts_usd
+        FROM (SELECT a.*, v.vwap FROM added a JOIN vwap v ON v.ticker = a.ticker AND v.period = a.period WHERE added > 0 AND vwap IS NOT NULL) p
+        JOIN (SELECT cik, ticker, max_by(shares, period) AS shares, max(period) AS as_of FROM added GROUP BY ALL) h ON h.cik = p.cik AND h.ticker = p.ticker WHERE h.shares > 0 GROUP BY p.cik, p.ticker, h.as_of""",
     "prc_09_cost_basis": """SELECT * FROM (SELECT a.cik, a.ticker, round(sum(added * vwap) / sum(added) FILTER (vwap IS NOT NULL AND added > 0), 6)::double AS cost, max_by(shares, a.period)::bigint AS shares, min(a.period) AS first_seen,
         count(*) FILTER (vwap IS NOT NULL AND added > 0) AS quarters FROM added a LEFT JOIN vwap v ON v.ticker = a.ticker AND v.period = a.period GROUP BY ALL) WHERE shares > 0 AND quarters > 0""",
     "prc_10_clone_returns": """SELECT cik, round(coalesce(covered / total, 0), 6) AS coverage, CASE WHEN covered / total >= 0.3 THEN round(gains / covered, 6) END AS gain FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import monitor as M
 from ..sources import filings as X
 from ..sources.bridge import oracle, table
-from ..sources.sinks import Table, append_frozen, replace_latest, replace_run, upsert
+from ..sources.sinks import Table, append_frozen, export, replace_latest, replace_run, upsert
 from ..sources.staging import folder
 from ..streaming import jobs as J
 from . import fund_queries as Fund
@@ -129,6 +129,15 @@ def upserted(s, d):
     return t.read()
 
 
+def exported(s, d):
+    """The orders as CSV and as JSON lines, both read back."""
+    o, path = _read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority")), f"{folder(s)}/export-{uuid.uuid4().hex}"
+    for form in ("csv", "json"):
+        export(o, f"{path}/{form}", form)
+    csv, json = s.read.schema(o.schema).option("header", True).csv(f"{path}/csv"), s.read.schema(o.schema).json(f"{path}/json")
+    return csv.select(F.lit("csv").alias("form"), "*").unionByName(json.select(F.lit("json").alias("form"), "*"))
+
+
 def replaced(s, d):
     t = _table(s, "run")
     o = _read(s, d, "orders").select("o_orderkey")
@@ -241,6 +250,7 @@ QUERIES = {
     "src_09_daily_index": index_lines,
     "src_10_stakes": stakes,
     "src_11_load_bars": lambda s, d: X.load_bars(table(s, d, "bars"), "T0", date(2000, 1, 1)).select("ticker", "date", "volume"),
+    "snk_05_export": exported,
     "snk_01_upsert": upserted,
     "snk_02_replace_run": replaced,
     "snk_03_replace_latest": latest,
@@ -274,6 +284,7 @@ _SQL = {
     "src_10_stakes": """SELECT filing_id, CASE subtype WHEN '13D' THEN '13D' ELSE '13G/A' END AS subtype, CASE subtype WHEN '13D' THEN 'ABC123' ELSE '12345' || substring(ticker, 2, 2) || 'A' END AS cusip, CASE subtype WHEN '13D' THEN ticker ELSE 'Company ' || ticker || ', Inc.' END AS issuer,
         round(percent_owned, 2) AS percent_owned, filed AS event_date FROM stakes""",
     "src_11_load_bars": "SELECT ticker, date, volume::bigint AS volume FROM bars WHERE date IN (SELECT date FROM bars WHERE ticker = 'T0' AND date <= date '2000-01-01')",
+    "snk_05_export": "SELECT form, o_orderkey AS key, o_orderpriority AS priority FROM orders, (VALUES ('csv'), ('json')) t(form)",
     "snk_01_upsert": "SELECT o_custkey AS key, max(o_orderkey) AS version, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey",
     "snk_02_replace_run": "SELECT o_orderkey, 'second' AS run_id FROM orders WHERE o_orderkey % 2 = 1",
     "snk_03_replace_latest": "SELECT o_custkey AS key, max(o_orderkey) AS top FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey",
