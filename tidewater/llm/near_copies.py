@@ -61,19 +61,30 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(xor, F.lit(0).cast("long"), lambda n, x: n + x)
 
 
-def differing_bits(bits: list[np.ndarray], k: int, at: np.ndarray) -> np.ndarray:
-    """The same for one parity against several, in numpy."""
-    own, out = bits[k], np.zeros(len(at), dtype=np.int64)
-    sizes = np.array([len(bits[i]) for i in at])
-    for size in np.unique(sizes).tolist():
-        some = np.flatnonzero(sizes == size)
-        theirs, mine = np.stack([bits[i] for i in at[some]]), own
-        if size > len(own):
-            theirs = theirs[:, : len(own)] ^ theirs[:, len(own) :]
-        elif size < len(own):
-            mine = own[:size] ^ own[size:]
-        out[some] = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-    return out
+class Parities:
+    """Many parities in one matrix for each length, to compare one with any of them."""
+
+    def __init__(self, bits: list[np.ndarray]):
+        sizes = np.array([len(b) for b in bits])
+        self.bits = bits
+        self.of = [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
+        self.rows = {n: np.stack([bits[i] for i in at]) for n, at in self.of}
+
+    def differing(self, k: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the wanted places (booleans) those of the same or the next length, and in how many bits each differs from the k-th."""
+        own, places, counts = self.bits[k], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, at in self.of:
+            some = wanted[at]
+            if not some.any() or n not in (len(own) // 2, len(own), 2 * len(own)):
+                continue
+            theirs, mine = self.rows[n][some], own
+            if n > len(own):
+                theirs = theirs[:, : len(own)] ^ theirs[:, len(own) :]
+            elif n < len(own):
+                mine = own[:n] ^ own[n:]
+            places.append(at[some])
+            counts.append(np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64))
+        return np.concatenate(places), np.concatenate(counts)
 
 
 def common_shingles(docs: DataFrame, sample: int = 16_384, least: int = 8) -> np.ndarray:
@@ -167,7 +178,7 @@ def divided(members: DataFrame, groups: DataFrame) -> DataFrame:
     return store(found.join(counts.select("h", "rows"), "h"), "divided")
 
 
-def across(rows: DataFrame, every: bool, side: int = 1024) -> DataFrame:
+def across(rows: DataFrame, every: bool, side: int = 2048) -> DataFrame:
     """(a, b): pairs in buckets of `divided` that are in different groups and can be similar; sides are compared in tasks of their own.
 
     Without `every` a task gives only as many of them as unite its groups, those of the nearest parities.
@@ -185,15 +196,15 @@ def across(rows: DataFrame, every: bool, side: int = 1024) -> DataFrame:
             change = np.append(True, np.any([c[k][1:] != c[k][:-1] for k in keys], axis=0))
             begin = np.flatnonzero(change)
             for s, e in zip(begin.tolist(), np.append(begin[1:], len(change)).tolist()):
-                sig, n, top, own, bits = c["sig"][s:e], c["n"][s:e].astype(np.int64), c["top"][s:e], c["own"][s:e], [x.view(np.uint64) for x in c["bits"][s:e]]
+                sig, n, top, own = c["sig"][s:e], c["n"][s:e].astype(np.int64), c["top"][s:e], c["own"][s:e]
+                bits = Parities([x.view(np.uint64) for x in c["bits"][s:e]])
                 crossing, out = c["i"][s] != c["j"][s], []
                 for k in range(e - s - 1):
-                    rest = slice(k + 1, None)
-                    ok = (top[rest] != top[k]) & (5 * np.minimum(n[rest], n[k]) >= 4 * np.maximum(n[rest], n[k]))
+                    ok = (top != top[k]) & (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k]))
+                    ok[: k + 1] = False
                     if crossing:
-                        ok &= own[rest] != own[k]
-                    at = np.flatnonzero(ok) + k + 1
-                    differ = differing_bits(bits, k, at)
+                        ok &= own != own[k]
+                    at, differ = bits.differing(k, ok)
                     ok = 9 * differ <= n[at] + n[k]
                     at, differ = at[ok], differ[ok]
                     if not every and len(at) > 1:  # the nearest of each group
