@@ -162,7 +162,7 @@ VIEWS = Sig.VIEWS | {
 
 
 def _r(df, *cols, n=6):
-    return df.select(*[(F.round(c, n) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, n).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def bars(s, d):
@@ -431,7 +431,7 @@ _SQL = {
           ('context', CASE WHEN surprise < 0 THEN 'eps_miss' WHEN surprise < 5 THEN 'eps_small' WHEN surprise < 15 THEN 'eps_mid' WHEN surprise IS NOT NULL THEN 'eps_big' END)], list_transform(shapes, lambda z: ('shape', z)))) AS c FROM m)
         SELECT c[1] AS kind, c[2] AS key, count(*) AS n, round(avg((y > 0)::int), 6) AS up, round(1.96 * sqrt(avg((y > 0)::int) * (1 - avg((y > 0)::int)) / count(*)), 6) AS noise, round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(avg(abs(y)), 6) AS size
         FROM k WHERE c[2] IS NOT NULL GROUP BY ALL""",
-    "evt_18_correlations": """SELECT count(*) AS n, round(corr(a, b), 6) AS direction, round(corr(c, d), 6) AS size, round(1.96 / sqrt(count(*)), 6) AS noise FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b,
+    "evt_18_correlations": """SELECT count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(a, b), 6) END AS direction, CASE WHEN count(*) >= 3 THEN round(corr(c, d), 6) END AS size, CASE WHEN count(*) >= 3 THEN round(1.96 / sqrt(count(*)), 6) END AS noise FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b,
         rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2 AS c, rank() OVER (ORDER BY abs(y)) + (count(*) OVER (PARTITION BY abs(y)) - 1) / 2 AS d FROM looked)""",
     "evt_20_wire_rows": """SELECT m.ticker, m.date, s.s, round(pre, 4) AS pre, round(react, 4) AS react, round(drift, 4) AS drift FROM measured m LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY sector) - 1 AS s FROM securities) s ON s.ticker = m.ticker""",
 }
