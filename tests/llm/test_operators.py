@@ -348,50 +348,50 @@ def test_language_model(docs, texts, empty):
     assert rows(lm.score(empty)) == []
 
 
+def plain_language_model(train, rates=((0.4, 0.2), (0.4, 0.3))):
+    """Probability of a word after at most two others, by the recursive definition over plain counts."""
+    c = Counter(tuple(t[i : i + k]) for t in train for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def prob(before, w):
+        if not before:
+            return (c[w,] + 1) / (n + v + 1)
+        rate, power = rates[len(before) - 1]
+        seen, less = c[before], prob(before[1:], w)
+        fail = 1 / (1 + rate * seen**power)
+        return (1 - fail) * c[(*before, w)] / seen + fail * less if seen else less
+
+    return prob, c
+
+
+def test_language_model_is_plain_backoff(docs, texts, empty):
+    """Scores of every text in chunks and shards of any size against the recursive definition."""
+    all_words = {i: lm.words(t) for i, t in enumerate(texts)}
+    prob, _ = plain_language_model([w for i, w in all_words.items() if zlib.crc32(str(i).encode()) % 7 != 2] + [lm.words("no id here")])
+    for tokens, shard in ((1 << 21, 1 << 22), (50, 300), (1, 1 << 22)):
+        got = by_id(lm.score(docs, tokens=tokens, shard=shard))
+        for i, w in all_words.items():
+            want = sum(np.log10(prob(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w))
+            assert abs(got[i]["score"] - want) < 1e-6 * max(1, abs(want)), i
+    one = docs.where("doc_id = 1")
+    none = one.unionByName(one).select(F.lit(next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)).cast("long").alias("doc_id"), "text", F.lit(1).alias("c"))
+    assert [(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows(lm.score(none))] == [(0, 0, 0.0, 0.0)] * 2
+
+
 def test_language_model_probabilities_sum_to_one():
-    head = [(b"a", 50), (b"b", 30), (b"\n", 10), (b"c", 10)]
-    key = lambda *ids: sum((i + 1) * lm._STEP ** (len(ids) - 1 - k) for k, i in enumerate(ids))
-    grams = {key(0, 1): 20, key(0, 0): 15, key(1, 0): 25, key(0, 1, 0): 12, key(0, 0, 1): 5}
-    m = lm.build(head, 100, 4, 3, grams)
-    for before in ([], [0], [1], [0, 1], [0, 0], [1, 0], [3], [3, 0], [-1, 0, 1]):
-        total = 0.0
-        for w in (0, 1, 2, 3, -1):
-            logs = []
-            for ids in (before, [*before, w]):
-                got, due = m.walk(ids)
-                logs.append(got + sum(np.log10(1 / 105) if ids[i] < 0 else m.log[ids[i]] for i in due))
-            total += 10 ** (logs[1] - logs[0])
-        assert abs(total - 1) < 1e-6, before
-
-
-def test_language_model_traversal_is_plain_backoff():
-    """Against the recursive definition: the longest kept n-gram, else its failure weight and the shorter context."""
     rng = np.random.default_rng(17)
-    text = [int(x) for x in rng.integers(0, 6, 3000)]
-    c1, c2 = Counter(text), Counter(zip(text, text[1:]))
-    c3 = Counter(zip(text, text[1:], text[2:]))
-    key = lambda *ids: sum((i + 1) * lm._STEP ** (len(ids) - 1 - k) for k, i in enumerate(ids))
-    grams = {key(*g): n for c in (c2, c3) for g, n in c.items() if n > 12 and max(g) < 5}
-    head = [(bytes([97 + i]), c1[i]) for i in range(6)]
-    m = lm.build(head, 3000, 6, 5, grams)
-    two, three = dict(zip(m.pair.tolist(), m.pair_log)), dict(zip(m.triple.tolist(), m.triple_log))
-    place = {k: i for i, k in enumerate(m.pair.tolist())}
-
-    def plain(before, w):
-        if len(before) == 2:
-            if key(*before, w) in three:
-                return three[key(*before, w)]
-            return (m.fail2[place[key(*before)]] if key(*before) in two else 0.0) + plain(before[1:], w)
-        if len(before) == 1:
-            if key(before[0], w) in two:
-                return two[key(before[0], w)]
-            return (m.fail1[before[0]] if 0 <= before[0] < m.core else 0.0) + plain((), w)
-        return m.log[w] if w >= 0 else 0.0
-
-    ids = [*text[:300], -1, 5, *text[300:400]]
-    want = sum(plain(tuple(ids[max(0, i - 2) : i]), w) for i, w in enumerate(ids))
-    got, due = m.walk(ids)
-    assert abs(got + sum(m.log[ids[i]] for i in due if ids[i] >= 0) - want) < 1e-6
+    train = [[*(bytes([97 + x]) for x in rng.integers(0, 6, 40)), lm.END] for _ in range(30)]
+    prob, c = plain_language_model(train)
+    for before in [(), (b"a",), (b"b", b"a"), (b"a", b"f"), (b"?", b"c"), (b"?", b"?")]:
+        assert abs(sum(prob(before, g[0]) for g in c if len(g) == 1) + prob(before, b"?") - 1) < 1e-9
+
+
+def test_language_model_grows_with_its_input():
+    """Every n-gram is asked for, none is cut."""
+    texts = [lm.words(" ".join(f"w{i * k % 97}" for k in range(200))) for i in range(30)]
+    keys, n = lm.chunk_of(texts, [False] * 30).asked()
+    _, c = plain_language_model(texts)
+    assert len(keys) == len(c) and sorted(n.tolist()) == sorted(c.values())
 
 
 def plain_secrets(text):

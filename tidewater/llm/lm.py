@@ -1,29 +1,42 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the n-grams kept, up to two words long; an arc from a state reads a word and carries the
-discounted log-probability, and the failure arc to the next shorter suffix carries the backoff
-weight. A word's unigram probability comes from its exact count in all training texts.
-
-Words of at least a share `head` of all tokens, training or not (at most 1 / head of them), and n-grams of at
-least N * arcs occurrences among words of at least N * core (at most 1 / arcs of each length) go to
-every task; these shares bound what is sent, at any size. All other words meet their counts in a
-join, in which none of them is frequent.
+States are the contexts of up to two words that training texts hold. An arc reads a word and carries
+the smoothed log-probability of the n-gram; the failure arc of a state carries the weight of going on
+from the context shorter by a word. All n-grams of one to three words are counted, without a cutoff.
+
+The model grows with the corpus, so no task holds it. Texts are dealt in chunks of about `tokens`
+tokens. A chunk sends each of its different n-grams once, with its own count, to the shard of the
+n-gram's hash; a shard adds up what all chunks sent and answers each in the order it was asked; the
+chunk compiles its part of the automaton from the answers and traverses its texts. So a frequent
+n-gram is a row a chunk, shards have a like number of n-grams at any size, and only 62-bit hashes,
+counts and the texts as numbers are shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, remainder, store
+from .shared import arrow_schema, remainder, small_batches, store
 
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
+#: An n-gram's key is its hash with two bits of its own: whether it is one word, whether a held-out text holds it.
+_BITS = np.uint64(3)
+_ONE = np.uint64(2)
+_MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+#: The rows that travel. shard -1: a chunk's texts (its words' hashes as keys, their numbers as counts); -2: sums of a shard.
+DDL = "place long, chunk long, shard long, keys binary, counts binary, ids array<long>, held array<boolean>, lengths array<long>, total long, kinds long"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -33,235 +46,231 @@ def words(text: str | None) -> list[bytes]:
     return found
 
 
-def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, c, every): counts in training texts and in all of docs (held_out, text), as binary words; each task sums up to `most` words before it sends them."""
-
-    def run(batches):
-        train: Counter = Counter()
-        held: Counter = Counter()
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, which compress well."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
-        def sent():
-            every = list(train | held)
-            c = [train[w] for w in every]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(every, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held[w] for n, w in zip(c, every)], pa.int64())], names=["word", "c", "every"]
-            )
 
-        for batch in batches:
-            for out, text in zip(batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
-                (held if out else train).update(words(text))
-                if len(train) + len(held) > most:
-                    yield sent()
-                    train, held = Counter(), Counter()
-        yield sent()
+def spread(packed: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
-    counts = docs.select("held_out", "text").mapInArrow(run, "word binary, c long, every long")
-    return counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
 
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = x * _MULTIPLIERS[0] + (y ^ (y >> np.uint64(31))) * _MULTIPLIERS[1]
+    z ^= z >> np.uint64(29)
+    z *= _MULTIPLIERS[2]
+    z ^= z >> np.uint64(32)
+    return z
 
-def ngram_counts(docs: DataFrame, core: dict[bytes, int], most: int = 1_500_000) -> DataFrame:
-    """(key, c) of the pairs and triples of neighbours that are all among the core words."""
-    box = docs.sparkSession.sparkContext.broadcast(core)
-
-    def run(batches):
-        number, kept, size = box.value.get, [], 0
-
-        def sent():
-            keys, c = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["key", "c"])
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                ids = np.fromiter([number(w, -1) for w in found], dtype=np.int64, count=len(found))
-                two, three = pair_keys(ids), triple_keys(ids)
-                kept += [two[two >= 0], three[three >= 0]]
-                size += len(kept[-1]) + len(kept[-2])
-                if size > most:
-                    yield sent()
-                    kept, size = [], 0
-        if kept:
-            yield sent()
+@dataclass
+class Chunk:
+    """Texts as numbers of their words; hashes has one of each different word, lengths and held are by text."""
+
+    hashes: np.ndarray
+    tokens: np.ndarray
+    lengths: np.ndarray
+    held: np.ndarray
+
+    def __post_init__(self):
+        at = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.two, self.three = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
+        h = self.hashes[self.tokens]
+        pair = mixed(h[self.two - 1], h[self.two])
+        triple = mixed(mixed(h[self.three - 2], h[self.three - 1]), h[self.three] + _MULTIPLIERS[0])
+        self.longer = np.concatenate([pair, triple]) & ~_BITS
+        self.single = (self.hashes & ~_BITS) | _ONE
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the different n-grams in order, and how often the chunk's training texts hold each."""
+        out = np.repeat(self.held, self.lengths)
+        n = np.bincount(self.tokens[~out], minlength=len(self.hashes))
+        each = self.longer | np.concatenate([out[self.two], out[self.three]]).astype(np.uint64)
+        each.sort()
+        begin = np.flatnonzero(np.diff(each >> np.uint64(1), prepend=np.uint64(0)) != 0)
+        if len(each) and (not len(begin) or begin[0]):
+            begin = np.append(0, begin)
+        more = np.add.reduceat((~each & np.uint64(1)).astype(np.int64), begin) if len(begin) else n[:0]
+        keys = np.concatenate([self.single, each[begin] & ~np.uint64(1)])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([n, more])[order]
+
+    def counts(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By place, the counts of the word, of the pair and of the triple that end there, from answers in the order asked."""
+        order = np.argsort(self.longer)
+        each = self.longer[order]
+        first = np.append(True, each[1:] != each[:-1])[: len(each)]
+        place = np.argsort(np.concatenate([self.single, each[first]]), kind="stable")
+        if len(place) != len(answers):
+            raise RuntimeError("a chunk's texts changed between its question and its answers")
+        found = np.empty(len(place), dtype=np.int64)
+        found[place] = answers
+        longer = np.empty(len(each), dtype=np.int64)
+        longer[order] = found[len(self.single) :][np.cumsum(first) - 1]
+        two, three = np.zeros((2, len(self.tokens)), dtype=np.int64)
+        two[self.two], three[self.three] = longer[: len(self.two)], longer[len(self.two) :]
+        return found[: len(self.single)][self.tokens], two, three
+
+
+def chunk_of(texts: list[list[bytes]], held: list[bool]) -> Chunk:
+    number: defaultdict = defaultdict()
+    number.default_factory = number.__len__
+    tokens = np.array([number[w] for found in texts for w in found], dtype=np.uint32)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
+    return Chunk(hashes, tokens, np.array([len(found) for found in texts], dtype=np.int64), np.array(held, dtype=bool))
+
+
+def left_over(context: np.ndarray, rate: float, power: float) -> np.ndarray:
+    """Weight of a state's failure arc by how often training texts hold its context; an unseen one has weight 1."""
+    return 1.0 / (1.0 + rate * context.astype(np.float64) ** power)
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+@dataclass
+class Automaton:
+    """The part of the automaton that a chunk's texts can meet, by place.
 
-#: Core words have numbers below 2**20; a key holds each number plus one, so that pairs stay below triples.
-_STEP = 1 << 20
+    order: the longest n-gram known that ends here, whose arc has log-probability `arc`; fail1 and fail2:
+    the weights of the failure arcs of the states of one and of two words that stand before this place.
+    An n-gram's probability is (1 - f) * c / context + f * that of the n-gram shorter by its first word,
+    f being the state's failure weight; so the words' probabilities sum to one in every state.
+    """
 
+    order: np.ndarray
+    arc: np.ndarray
+    fail1: np.ndarray
+    fail2: np.ndarray
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """Keys of neighbours, by the place of the first; -1 where a word isn't core."""
-    a, b = ids[:-1], ids[1:]
-    return np.where((a >= 0) & (b >= 0), (a + 1) * _STEP + b + 1, -1)
+    @staticmethod
+    def build(chunk: Chunk, one: np.ndarray, two: np.ndarray, three: np.ndarray, total: int, kinds: int, rates=((0.4, 0.2), (0.4, 0.3))) -> Automaton:
+        before, pair = np.zeros((2, len(one)), dtype=np.int64)
+        before[chunk.two], pair[chunk.three] = one[chunk.two - 1], two[chunk.three - 1]
+        f1, f2 = (left_over(c, *r) for c, r in zip((before, pair), rates))
+        p = (one + 1.0) / (total + kinds + 1)
+        p2 = (1 - f1) * two / np.maximum(before, 1) + f1 * p
+        p3 = (1 - f2) * three / np.maximum(pair, 1) + f2 * p2
+        order = np.where(three > 0, 3, np.where(two > 0, 2, np.where(one > 0, 1, 0)))
+        arc = np.log10(np.where(order == 3, p3, np.where(order == 2, p2, p)))
+        return Automaton(order, arc, np.log10(f1), np.log10(f2))
+
+    def walk(self, start: int, end: int) -> float:
+        """One traversal of a text from left to right, which carries the state: the sum of its arcs and failure weights."""
+        state, total, at = 0, 0.0, slice(start, end)
+        for n, arc, one, two in zip(self.order[at].tolist(), self.arc[at].tolist(), self.fail1[at].tolist(), self.fail2[at].tolist()):
+            if state == 2 and n < 3:
+                total += two
+                state = 1
+            if state == 1 and n < 2:
+                total += one
+            total += arc
+            state = n if n < 2 else 2
+        return total
+
+
+def questions(docs: DataFrame, shards: int, tokens: int) -> DataFrame:
+    """Each chunk's texts as numbers and, for each shard, its different n-grams with their counts."""
+    schema = arrow_schema(DDL)
+
+    def sent(number, ids, held, texts):
+        chunk = chunk_of(texts, held)
+        keys, counts = chunk.asked()
+        cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64)).tolist()
+        yield pa.RecordBatch.from_pylist([{
+            "place": -1 - number, "chunk": number, "shard": -1, "keys": squeezed(chunk.hashes), "counts": squeezed(chunk.tokens),
+            "ids": ids, "held": held, "lengths": chunk.lengths.tolist(),
+        }], schema=schema)
+        rows = []
+        for shard, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            if e > s:
+                rows.append({"place": shard, "chunk": number, "shard": shard, "keys": squeezed(np.diff(keys[s:e], prepend=np.uint64(0))), "counts": squeezed(counts[s:e])})
+            if rows and (len(rows) == 256 or shard == shards - 1):
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    def run(batches):
+        number, size, ids, held, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
+        for batch in batches:
+            for doc_id, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                found = words(text)
+                if texts and size + len(found) > tokens:
+                    yield from sent(number, ids, held, texts)
+                    number, size, ids, held, texts = number + 1, 0, [], [], []
+                ids.append(doc_id)
+                held.append(out)
+                texts.append(found)
+                size += len(found)
+        if texts:
+            yield from sent(number, ids, held, texts)
 
-def triple_keys(ids: np.ndarray) -> np.ndarray:
-    a, b, c = ids[:-2], ids[1:-1], ids[2:]
-    return np.where((a >= 0) & (b >= 0) & (c >= 0), ((a + 1) * _STEP + b + 1) * _STEP + c + 1, -1)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, DDL)
 
 
-@dataclass
-class Automaton:
-    """total, kinds: N and V; head: number of each frequent word, those of the core first; count, log: of its unigram.
+def each_row(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
-    State 0 is the empty context, state i + 1 that of core word i, and the states after them are those of
-    the pairs, in the order of `pair`. fail1 and fail2 are the weights of the failure arcs of both kinds.
-    """
 
-    total: int
-    kinds: int
-    head: dict[bytes, int]
-    count: np.ndarray
-    log: np.ndarray
-    core: int
-    pair: np.ndarray
-    pair_log: np.ndarray
-    triple: np.ndarray
-    triple_log: np.ndarray
-    fail1: np.ndarray
-    fail2: np.ndarray
+def answers(asked: DataFrame, shards: int) -> DataFrame:
+    """Each chunk's texts, its n-grams' counts in all training texts by shard, and each shard's tokens and different words."""
+    schema = arrow_schema(DDL)
 
-    def arcs(self) -> tuple[dict[int, tuple[int, float]], list[int], list[float]]:
-        """Arcs by state * 2**20 + word: (next state, log-probability); each state's failure state and its weight."""
-        n = self.core + 1
-        state = {k: n + i for i, k in enumerate(self.pair.tolist())}
-        last = (self.pair % _STEP).tolist()  # the number of the second word, plus one: its own state
-        out = {k // _STEP * _STEP + w - 1: (s, p) for (k, s), w, p in zip(state.items(), last, self.pair_log.tolist())}
-        for k, p in zip(self.triple.tolist(), self.triple_log.tolist()):
-            w = k % _STEP
-            out[state[k // _STEP] * _STEP + w - 1] = (state.get(k // _STEP % _STEP * _STEP + w, w), p)
-        return out, [0] * n + last, [0.0, *self.fail1[: self.core].tolist(), *self.fail2.tolist()]
-
-    def walk(self, ids: list[int], arcs=None) -> tuple[float, list[int]]:
-        """One traversal from left to right: the sum of failure weights and of arcs, and the places where the unigram is due.
-
-        A word without an arc from the state takes the failure arc to the shorter context and is read
-        again there; in the empty context every word is read by its unigram.
-        """
-        found, fail, weight = arcs or self.arcs()
-        get, core, state, total, due = found.get, self.core, 0, 0.0, []
-        for i, w in enumerate(ids):
-            if 0 <= w < core:
-                while state:
-                    arc = get(state * _STEP + w)
-                    if arc is not None:
-                        state, p = arc
-                        total += p
-                        break
-                    total += weight[state]
-                    state = fail[state]
-                else:
-                    due.append(i)
-                    state = w + 1
-            else:
-                while state:
-                    total += weight[state]
-                    state = fail[state]
-                due.append(i)
-        return total, due
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hit, at = np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.int64)
-    if len(keys):
-        place = np.flatnonzero(wanted >= 0)
-        at[place] = np.minimum(np.searchsorted(keys, wanted[place]), len(keys) - 1)
-        hit[place] = keys[at[place]] == wanted[place]
-    return at, hit
-
-
-def build(head: list[tuple[bytes, int]], total: int, kinds: int, core: int, grams: dict[int, int], discount: float = 0.5) -> Automaton:
-    """Arcs and failure weights: absolute discounting, what is left goes to the shorter state's other words."""
-    number = {w: i for i, (w, _) in enumerate(head)}
-    count = np.array([c for _, c in head], dtype=np.float64)
-    unigram = (count + 1) / (total + kinds + 1)
-    keys = np.array(sorted(grams), dtype=np.int64)
-    c = np.array([grams[k] for k in keys.tolist()], dtype=np.float64)
-    end = number.get(END, -2)
-    pair, triple = keys[keys < _STEP * _STEP], keys[keys >= _STEP * _STEP]
-    c2, c3 = c[: len(pair)], c[len(pair) :]
-    first, second = pair // _STEP - 1, pair % _STEP - 1
-    p2 = (c2 - discount) / count[first] if len(pair) else c2
-    left, lower = np.ones(max(core, 1)), np.ones(max(core, 1))
-    np.subtract.at(left, first, p2)
-    np.subtract.at(lower, first, unigram[second] if len(pair) else p2)
-    fail1 = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
-    state, last = triple // _STEP, triple % _STEP - 1
-    at, hit = _find(pair, state)
-    triple, c3, last, at = triple[hit], c3[hit], last[hit], at[hit]
-    p3 = (c3 - discount) / c2[at] if len(triple) else c3
-    middle = pair[at] % _STEP - 1 if len(triple) else last
-    low_at, low_hit = _find(pair, (middle + 1) * _STEP + last + 1)
-    shorter = (
-        np.where(low_hit, p2[low_at], 10 ** fail1[middle] * unigram[last]) if len(triple) else p3
-    )
-    left, lower = np.ones(len(pair)), np.ones(len(pair))
-    np.subtract.at(left, at, p3)
-    np.subtract.at(lower, at, shorter)
-    fail2 = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
-    if 0 <= end < core:
-        fail1[end] = 0.0
-    return Automaton(total, kinds, number, count, np.log10(unigram), core, pair, np.log10(p2), triple, np.log10(p3), fail1, fail2)
-
-
-def score(
-    docs: DataFrame, fold: int = 7, held: int = 2, head: float = 2.0**-19, core: float = 2.0**-12, arcs: float = 2.0**-20,
-) -> DataFrame:
+    def run(batches):
+        for place, rows in groupby(each_row(batches), lambda r: r["place"]):
+            if place < 0:
+                yield pa.RecordBatch.from_pylist(list(rows), schema=schema)
+                continue
+            rows = list(rows)
+            keys = [np.cumsum(spread(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
+            sizes = [len(k) for k in keys]
+            keys = np.concatenate(keys)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.append(True, keys[1:] != keys[:-1])
+            begin = np.flatnonzero(first)
+            sums = np.add.reduceat(np.concatenate([spread(r["counts"], "<i8") for r in rows])[order], begin)
+            single = keys[begin] & _ONE > 0
+            out = [{"place": -1, "shard": -2, "total": int(sums[single].sum()), "kinds": int((sums[single] > 0).sum())}]
+            found = np.empty(len(keys), dtype=np.int64)
+            found[order] = sums[np.cumsum(first) - 1]
+            for r, own in zip(rows, np.split(found, np.cumsum(sizes)[:-1])):
+                out.append({"place": place, "chunk": r["chunk"], "shard": place, "counts": squeezed(own)})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return asked.repartition(shards, "place").sortWithinPartitions("place").mapInArrow(run, DDL)
+
+
+def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 21, shard: int = 1 << 22) -> DataFrame:
     """Counts, the unigram base and the automaton's log10 probability of every whole text.
 
     It learns from texts whose crc32(doc_id as text) mod fold isn't `held`, a null id's among
     them; a null text is an empty one, which has its end alone. Repeated rows are rows of their
-    own. Without training texts N and V are 0 and each token has probability 1.
+    own. Without training texts N and V are 0 and each token has probability 1. A chunk has about
+    `tokens` tokens, or one longer text; a shard some `shard` n-grams.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"))
-    counts = store(word_counts(docs), "words")
-    total, kinds, every = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
-    top = counts.where(F.col("every") >= F.lit(max(every * head, 1.0))).toArrow()
-    top = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
-    n_core = sum(c >= max(total * core, 1.0) for _, c in top)
-    named = {w: i for i, (w, _) in enumerate(top[:n_core])}
-    kept = ngram_counts(docs.where("NOT held_out"), named).where(F.col("c") >= F.lit(max(total * arcs, 2.0))).toArrow()
-    grams = dict(zip(kept.column("key").to_pylist(), kept.column("c").to_pylist()))
-    model = build(top, total, kinds, n_core, grams)
-    box = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = (
-        "doc_id long, held_out boolean, n_tokens long, head_known long, base double, extra double, "
-        "words array<binary>, times array<int>"
-    )
-
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 + size // 2 // shard  # three n-grams for each token of about six bytes
+    found = store(answers(questions(docs, shards, tokens), shards), "counts")
+    total, kinds, chunks = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.count_if(F.col("shard") == -1)).first()
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        m = box.value
-        number, log, arcs, seen = m.head.get, np.append(m.log, 0.0), m.arcs(), np.append(m.count > 0, False)
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                ids = [number(w, -1) for w in found]
-                extra, due = m.walk(ids, arcs)
-                at = np.array(ids, dtype=np.int64)
-                own = log[at]
-                rare = Counter([w for w, i in zip(found, ids) if i < 0])
-                rows.append((
-                    len(found), int(seen[at].sum()), float(own.sum()), float(extra + own[due].sum() - own.sum()),
-                    list(rare), list(rare.values()),
-                ))
-            cols = [batch.column("doc_id"), batch.column("held_out")]
-            cols += [pa.array(c, schema.field(k + 2).type) for k, c in enumerate(zip(*rows))] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    parts = store(docs.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "walked")
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
-    met = rare.join(counts.withColumnRenamed("word", "words"), "words", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(float(total + kinds + 1)))
-    tails = met.groupBy("row").agg(
-        F.sum(F.col("times") * log).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known")
-    )
-    base = F.col("base") + F.coalesce("tail", F.lit(0.0))
-    return parts.drop("words", "times").join(tails, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("extra")).alias("score"),
-    )
+        for _, rows in groupby(each_row(batches), lambda r: r["chunk"]):
+            head = next(rows)
+            lengths = np.array(head["lengths"], dtype=np.int64)
+            chunk = Chunk(spread(head["keys"], "<u8"), spread(head["counts"], "<u4"), lengths, np.array(head["held"], dtype=bool))
+            counts = chunk.counts(np.concatenate([spread(r["counts"], "<i8") for r in rows]))
+            model = Automaton.build(chunk, *counts, total, kinds)
+            ends = np.cumsum(lengths)
+            base = np.add.reduceat(np.log10((counts[0] + 1.0) / (total + kinds + 1)), ends - lengths)
+            known = np.add.reduceat((counts[0] > 0).astype(np.int64), ends - lengths)
+            scores = [model.walk(s, e) for s, e in zip((ends - lengths).tolist(), ends.tolist())]
+            cols = [head["ids"], head["held"], lengths, known, np.full(len(lengths), total), base, scores]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return found.where("shard <> -2").repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, ddl)
