@@ -5,11 +5,12 @@ the smoothed log-probability of the n-gram; the failure arc of a state carries t
 from the context shorter by a word. All n-grams of one to three words are counted, without a cutoff.
 
 The model grows with the corpus, so no task holds it. Texts are dealt in chunks of about `tokens`
-tokens. A chunk sends each of its different n-grams once, with its own count, to the shard of the
-n-gram's hash; a shard adds up what all chunks sent and answers each in the order it was asked; the
-chunk compiles its part of the automaton from the answers and traverses its texts. So a frequent
-n-gram is a row a chunk, shards have a like number of n-grams at any size, and only 62-bit hashes,
-counts and the texts as numbers are shuffled.
+tokens and kept as numbers of words. A chunk sends each of its different n-grams once, with its own
+count, to the shard of the n-gram's hash; a shard adds up what all chunks sent and answers each in the
+order it was asked; the chunk compiles its part of the automaton from the answers and traverses its
+texts. So a frequent n-gram is one key a chunk, shards have a like number of n-grams at any size, and
+only hashes, counts and numbers are shuffled. Words have hashes of 64 bits; pairs and triples have so
+many bits that about one in 2**18 shares its hash, and so its count, with another, at any size.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ from .shared import arrow_schema, remainder, small_batches, store
 
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
-#: An n-gram's key is its hash with two bits of its own: whether it is one word, whether a held-out text holds it.
-_BITS = np.uint64(3)
-_ONE = np.uint64(2)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
-#: The rows that travel. shard -1: a chunk's texts (its words' hashes as keys, their numbers as counts); -2: sums of a shard.
-DDL = "place long, chunk long, shard long, keys binary, counts binary, ids array<long>, held array<boolean>, lengths array<long>, total long, kinds long"
+#: A chunk: its words' hashes, texts as numbers of words, and by text the id, fold and length.
+TEXTS = "chunk long, hashes binary, numbers binary, ids array<long>, held array<boolean>, lengths array<long>, tokens long"
+#: Questions and answers of a chunk and a shard; an answer has no keys, and a shard's sums have no chunk.
+ASKED = "chunk long, shard long, keys binary, counts binary, total long, kinds long"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -48,7 +48,7 @@ def words(text: str | None) -> list[bytes]:
 
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers by planes of bytes, which compress well."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
 
 def spread(packed: bytes, dtype: str) -> np.ndarray:
@@ -66,12 +66,13 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """Texts as numbers of their words; hashes has one of each different word, lengths and held are by text."""
+    """Texts as numbers of their words; hashes has one of each different word, lengths and held are by text; keys of longer n-grams have so many bits."""
 
     hashes: np.ndarray
     tokens: np.ndarray
     lengths: np.ndarray
     held: np.ndarray
+    bits: int = 62
 
     def __post_init__(self):
         at = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
@@ -79,46 +80,44 @@ class Chunk:
         h = self.hashes[self.tokens]
         pair = mixed(h[self.two - 1], h[self.two])
         triple = mixed(mixed(h[self.three - 2], h[self.three - 1]), h[self.three] + _MULTIPLIERS[0])
-        self.longer = np.concatenate([pair, triple]) & ~_BITS
-        self.single = (self.hashes & ~_BITS) | _ONE
+        self.longer = np.concatenate([pair, triple]) >> np.uint64(64 - self.bits)
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the different n-grams in order, and how often the chunk's training texts hold each."""
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the different pairs and triples in order, and how often the chunk's training texts hold each; the same of words."""
         out = np.repeat(self.held, self.lengths)
-        n = np.bincount(self.tokens[~out], minlength=len(self.hashes))
-        each = self.longer | np.concatenate([out[self.two], out[self.three]]).astype(np.uint64)
+        each = self.longer << np.uint64(1) | np.concatenate([out[self.two], out[self.three]]).astype(np.uint64)
         each.sort()
-        begin = np.flatnonzero(np.diff(each >> np.uint64(1), prepend=np.uint64(0)) != 0)
-        if len(each) and (not len(begin) or begin[0]):
-            begin = np.append(0, begin)
-        more = np.add.reduceat((~each & np.uint64(1)).astype(np.int64), begin) if len(begin) else n[:0]
-        keys = np.concatenate([self.single, each[begin] & ~np.uint64(1)])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([n, more])[order]
+        keys = each >> np.uint64(1)
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        n = np.add.reduceat((~each & np.uint64(1)).astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+        order = np.argsort(self.hashes, kind="stable")
+        return keys[begin], n, self.hashes[order], np.bincount(self.tokens[~out], minlength=len(order))[order]
 
     def counts(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By place, the counts of the word, of the pair and of the triple that end there, from answers in the order asked."""
         order = np.argsort(self.longer)
-        each = self.longer[order]
-        first = np.append(True, each[1:] != each[:-1])[: len(each)]
-        place = np.argsort(np.concatenate([self.single, each[first]]), kind="stable")
-        if len(place) != len(answers):
-            raise RuntimeError("a chunk's texts changed between its question and its answers")
-        found = np.empty(len(place), dtype=np.int64)
-        found[place] = answers
-        longer = np.empty(len(each), dtype=np.int64)
-        longer[order] = found[len(self.single) :][np.cumsum(first) - 1]
+        keys = self.longer[order]
+        first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        cut = int(first.sum())
+        longer = np.empty(len(keys), dtype=np.int64)
+        longer[order] = answers[:cut][np.cumsum(first) - 1]
         two, three = np.zeros((2, len(self.tokens)), dtype=np.int64)
         two[self.two], three[self.three] = longer[: len(self.two)], longer[len(self.two) :]
-        return found[: len(self.single)][self.tokens], two, three
+        single = np.empty(len(self.hashes), dtype=np.int64)
+        single[np.argsort(self.hashes, kind="stable")] = answers[cut:]
+        return single[self.tokens], two, three
 
 
-def chunk_of(texts: list[list[bytes]], held: list[bool]) -> Chunk:
+def chunk_of(texts: list[list[bytes]], held: list[bool], bits: int = 62) -> Chunk:
+    """Words are numbered by how often they occur."""
     number: defaultdict = defaultdict()
     number.default_factory = number.__len__
     tokens = np.array([number[w] for found in texts for w in found], dtype=np.uint32)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
-    return Chunk(hashes, tokens, np.array([len(found) for found in texts], dtype=np.int64), np.array(held, dtype=bool))
+    often = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+    rank = np.empty(len(often), dtype=np.uint32)
+    rank[often] = np.arange(len(often), dtype=np.uint32)
+    return Chunk(hashes[often], rank[tokens], np.array([len(found) for found in texts], dtype=np.int64), np.array(held, dtype=bool), bits)
 
 
 def left_over(context: np.ndarray, rate: float, power: float) -> np.ndarray:
@@ -167,27 +166,14 @@ class Automaton:
         return total
 
 
-def questions(docs: DataFrame, shards: int, tokens: int) -> DataFrame:
-    """Each chunk's texts as numbers and, for each shard, its different n-grams with their counts."""
-    schema = arrow_schema(DDL)
+def numbered(docs: DataFrame, tokens: int) -> DataFrame:
+    """Chunks of docs (doc_id, held_out, text)."""
+    schema = arrow_schema(TEXTS)
 
     def sent(number, ids, held, texts):
-        chunk = chunk_of(texts, held)
-        keys, counts = chunk.asked()
-        cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64)).tolist()
-        yield pa.RecordBatch.from_pylist([{
-            "place": -1 - number, "chunk": number, "shard": -1, "keys": squeezed(chunk.hashes), "counts": squeezed(chunk.tokens),
-            "ids": ids, "held": held, "lengths": chunk.lengths.tolist(),
-        }], schema=schema)
-        rows = []
-        for shard, (s, e) in enumerate(zip(cuts, cuts[1:])):
-            if e > s:
-                rows.append({"place": shard, "chunk": number, "shard": shard, "keys": squeezed(np.diff(keys[s:e], prepend=np.uint64(0))), "counts": squeezed(counts[s:e])})
-            if rows and (len(rows) == 256 or shard == shards - 1):
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        c = chunk_of(texts, held)
+        row = {"chunk": number, "hashes": squeezed(c.hashes), "numbers": squeezed(c.tokens), "ids": ids, "held": held, "lengths": c.lengths.tolist(), "tokens": len(c.tokens)}
+        return pa.RecordBatch.from_pylist([row], schema=schema)
 
     def run(batches):
         number, size, ids, held, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
@@ -195,16 +181,22 @@ def questions(docs: DataFrame, shards: int, tokens: int) -> DataFrame:
             for doc_id, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
                 found = words(text)
                 if texts and size + len(found) > tokens:
-                    yield from sent(number, ids, held, texts)
+                    yield sent(number, ids, held, texts)
                     number, size, ids, held, texts = number + 1, 0, [], [], []
                 ids.append(doc_id)
                 held.append(out)
                 texts.append(found)
                 size += len(found)
         if texts:
-            yield from sent(number, ids, held, texts)
+            yield sent(number, ids, held, texts)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, DDL)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, TEXTS)
+
+
+def unpacked(row: dict, bits: int) -> tuple[dict, Chunk]:
+    """A row of `numbered` and its chunk."""
+    lengths, held = np.array(row["lengths"], dtype=np.int64), np.array(row["held"], dtype=bool)
+    return row, Chunk(spread(row["hashes"], "<u8"), spread(row["numbers"], "<u4"), lengths, held, bits)
 
 
 def each_row(batches):
@@ -213,33 +205,47 @@ def each_row(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def questions(chunks: DataFrame, shards: int, bits: int) -> DataFrame:
+    """For each chunk and shard its different n-grams with their counts; shards of words follow those of pairs and triples."""
+    schema = arrow_schema(ASKED)
+
+    def run(batches):
+        for row, chunk in (unpacked(r, bits) for r in each_row(batches)):
+            longer, n, single, m = chunk.asked()
+            for start, keys, counts, width in ((0, longer, n, bits), (shards, single, m, 64)):
+                of = (keys >> np.uint64(width - 32)) * np.uint64(shards) >> np.uint64(32)
+                cuts = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64)).tolist()
+                for shard, (s, e) in enumerate(zip(cuts, cuts[1:]), start):
+                    if e > s:
+                        packed = squeezed(np.diff(keys[s:e], prepend=np.uint64(0)))
+                        out = {"chunk": row["chunk"], "shard": shard, "keys": packed, "counts": squeezed(counts[s:e])}
+                        yield pa.RecordBatch.from_pylist([out], schema=schema)
+
+    return chunks.mapInArrow(run, ASKED)
+
+
 def answers(asked: DataFrame, shards: int) -> DataFrame:
-    """Each chunk's texts, its n-grams' counts in all training texts by shard, and each shard's tokens and different words."""
-    schema = arrow_schema(DDL)
+    """To each question the counts in all training texts, and each word shard's tokens and different words."""
+    schema = arrow_schema(ASKED)
 
     def run(batches):
-        for place, rows in groupby(each_row(batches), lambda r: r["place"]):
-            if place < 0:
-                yield pa.RecordBatch.from_pylist(list(rows), schema=schema)
-                continue
+        for shard, rows in groupby(each_row(batches), lambda r: r["shard"]):
             rows = list(rows)
             keys = [np.cumsum(spread(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-            sizes = [len(k) for k in keys]
+            ends = np.cumsum([len(k) for k in keys])[:-1]
             keys = np.concatenate(keys)
             order = np.argsort(keys)
             keys = keys[order]
             first = np.append(True, keys[1:] != keys[:-1])
-            begin = np.flatnonzero(first)
-            sums = np.add.reduceat(np.concatenate([spread(r["counts"], "<i8") for r in rows])[order], begin)
-            single = keys[begin] & _ONE > 0
-            out = [{"place": -1, "shard": -2, "total": int(sums[single].sum()), "kinds": int((sums[single] > 0).sum())}]
+            sums = np.add.reduceat(np.concatenate([spread(r["counts"], "<i8") for r in rows])[order], np.flatnonzero(first))
             found = np.empty(len(keys), dtype=np.int64)
             found[order] = sums[np.cumsum(first) - 1]
-            for r, own in zip(rows, np.split(found, np.cumsum(sizes)[:-1])):
-                out.append({"place": place, "chunk": r["chunk"], "shard": place, "counts": squeezed(own)})
+            out = [{"chunk": r["chunk"], "shard": shard, "counts": squeezed(own)} for r, own in zip(rows, np.split(found, ends))]
+            if shard >= shards:
+                out.append({"total": int(sums.sum()), "kinds": int((sums > 0).sum())})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return asked.repartition(shards, "place").sortWithinPartitions("place").mapInArrow(run, DDL)
+    return asked.repartition(2 * shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ASKED)
 
 
 def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 21, shard: int = 1 << 22) -> DataFrame:
@@ -252,25 +258,26 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 21,
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + size // 2 // shard  # three n-grams for each token of about six bytes
-    found = store(answers(questions(docs, shards, tokens), shards), "counts")
-    total, kinds, chunks = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.count_if(F.col("shard") == -1)).first()
+    texts = store(numbered(docs, tokens), "texts")
+    chunks, size = texts.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    shards, bits = 1 + 2 * size // shard, min(62, max(40, 18 + (2 * size).bit_length()))
+    found = store(answers(questions(texts, shards, bits), shards), "answers")
+    total, kinds = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for _, rows in groupby(each_row(batches), lambda r: r["chunk"]):
-            head = next(rows)
-            lengths = np.array(head["lengths"], dtype=np.int64)
-            chunk = Chunk(spread(head["keys"], "<u8"), spread(head["counts"], "<u4"), lengths, np.array(head["held"], dtype=bool))
+            head, chunk = unpacked(next(rows), bits)
             counts = chunk.counts(np.concatenate([spread(r["counts"], "<i8") for r in rows]))
             model = Automaton.build(chunk, *counts, total, kinds)
-            ends = np.cumsum(lengths)
-            base = np.add.reduceat(np.log10((counts[0] + 1.0) / (total + kinds + 1)), ends - lengths)
-            known = np.add.reduceat((counts[0] > 0).astype(np.int64), ends - lengths)
-            scores = [model.walk(s, e) for s, e in zip((ends - lengths).tolist(), ends.tolist())]
-            cols = [head["ids"], head["held"], lengths, known, np.full(len(lengths), total), base, scores]
+            ends = np.cumsum(chunk.lengths)
+            starts = ends - chunk.lengths
+            base = np.add.reduceat(np.log10((counts[0] + 1.0) / (total + kinds + 1)), starts)
+            known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
+            scores = [model.walk(s, e) for s, e in zip(starts.tolist(), ends.tolist())]
+            cols = [head["ids"], head["held"], chunk.lengths, known, np.full(len(starts), total), base, scores]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return found.where("shard <> -2").repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, ddl)
+    both = texts.withColumn("shard", F.lit(-1).cast("long")).unionByName(found.where("chunk IS NOT NULL").select("chunk", "shard", "counts"), allowMissingColumns=True)
+    return both.repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, ddl)
