@@ -368,7 +368,7 @@ def test_language_model_is_plain_backoff(docs, texts, empty):
     """Scores of every text in chunks and shards of any size against the recursive definition."""
     all_words = {i: lm.words(t) for i, t in enumerate(texts)}
     prob, _ = plain_language_model([w for i, w in all_words.items() if zlib.crc32(str(i).encode()) % 7 != 2] + [lm.words("no id here")])
-    for tokens, shard in ((1 << 21, 1 << 22), (50, 300), (1, 1 << 22)):
+    for tokens, shard in ((1 << 20, 1 << 22), (50, 300), (1, 1 << 22)):
         got = by_id(lm.score(docs, tokens=tokens, shard=shard))
         for i, w in all_words.items():
             want = sum(np.log10(prob(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w))
@@ -389,7 +389,10 @@ def test_language_model_probabilities_sum_to_one():
 def test_language_model_grows_with_its_input():
     """Every n-gram is asked for, none is cut."""
     texts = [lm.words(" ".join(f"w{i * k % 97}" for k in range(200))) for i in range(30)]
-    keys, n, single, m = lm.chunk_of(texts, [False] * 30).asked()
+    numbers = lm.Numbers()
+    for t in texts:
+        numbers.add(t, False)
+    keys, n, single, m = numbers.chunk().asked()
     _, c = plain_language_model(texts)
     assert len(keys) + len(single) == len(c) and sorted([*n.tolist(), *m.tolist()]) == sorted(c.values())
 

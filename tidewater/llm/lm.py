@@ -15,6 +15,7 @@ many bits that about one in 2**18 shares its hash, and so its count, with anothe
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 from itertools import groupby
@@ -108,16 +109,27 @@ class Chunk:
         return single[self.tokens], two, three
 
 
-def chunk_of(texts: list[list[bytes]], held: list[bool], bits: int = 62) -> Chunk:
-    """Words are numbered by how often they occur."""
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__
-    tokens = np.array([number[w] for found in texts for w in found], dtype=np.uint32)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], dtype=np.uint64)
-    often = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
-    rank = np.empty(len(often), dtype=np.uint32)
-    rank[often] = np.arange(len(often), dtype=np.uint32)
-    return Chunk(hashes[often], rank[tokens], np.array([len(found) for found in texts], dtype=np.int64), np.array(held, dtype=bool), bits)
+class Numbers:
+    """Numbers texts' words as they come; a chunk's words are numbered by how often they occur."""
+
+    def __init__(self):
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.tokens, self.lengths, self.held, self.ids = array("I"), [], [], []
+
+    def add(self, found: list[bytes], held: bool, doc_id: int | None = None) -> None:
+        self.tokens.extend([self.number[w] for w in found])
+        self.lengths.append(len(found))
+        self.held.append(held)
+        self.ids.append(doc_id)
+
+    def chunk(self, bits: int = 62) -> Chunk:
+        tokens = np.frombuffer(self.tokens, dtype=np.uint32)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.number], dtype=np.uint64)
+        often = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+        rank = np.empty(len(often), dtype=np.uint32)
+        rank[often] = np.arange(len(often), dtype=np.uint32)
+        return Chunk(hashes[often], rank[tokens], np.array(self.lengths, dtype=np.int64), np.array(self.held, dtype=bool), bits)
 
 
 def left_over(context: np.ndarray, rate: float, power: float) -> np.ndarray:
@@ -170,25 +182,22 @@ def numbered(docs: DataFrame, tokens: int) -> DataFrame:
     """Chunks of docs (doc_id, held_out, text)."""
     schema = arrow_schema(TEXTS)
 
-    def sent(number, ids, held, texts):
-        c = chunk_of(texts, held)
-        row = {"chunk": number, "hashes": squeezed(c.hashes), "numbers": squeezed(c.tokens), "ids": ids, "held": held, "lengths": c.lengths.tolist(), "tokens": len(c.tokens)}
+    def sent(number, some):
+        c = some.chunk()
+        row = {"chunk": number, "hashes": squeezed(c.hashes), "numbers": squeezed(c.tokens), "ids": some.ids, "held": some.held, "lengths": some.lengths, "tokens": len(c.tokens)}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
     def run(batches):
-        number, size, ids, held, texts = TaskContext.get().partitionId() << 32, 0, [], [], []
+        number, some = TaskContext.get().partitionId() << 32, Numbers()
         for batch in batches:
             for doc_id, out, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
                 found = words(text)
-                if texts and size + len(found) > tokens:
-                    yield sent(number, ids, held, texts)
-                    number, size, ids, held, texts = number + 1, 0, [], [], []
-                ids.append(doc_id)
-                held.append(out)
-                texts.append(found)
-                size += len(found)
-        if texts:
-            yield sent(number, ids, held, texts)
+                if some.ids and len(some.tokens) + len(found) > tokens:
+                    yield sent(number, some)
+                    number, some = number + 1, Numbers()
+                some.add(found, out, doc_id)
+        if some.ids:
+            yield sent(number, some)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, TEXTS)
 
@@ -248,7 +257,7 @@ def answers(asked: DataFrame, shards: int) -> DataFrame:
     return asked.repartition(2 * shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ASKED)
 
 
-def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 21, shard: int = 1 << 22) -> DataFrame:
+def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 20, shard: int = 1 << 22) -> DataFrame:
     """Counts, the unigram base and the automaton's log10 probability of every whole text.
 
     It learns from texts whose crc32(doc_id as text) mod fold isn't `held`, a null id's among
