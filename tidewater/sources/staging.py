@@ -24,6 +24,13 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table, written in the shared folder and read again: it cuts lineage and survives lost executors."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget(spark: SparkSession, sf_dir: str) -> None:
     """Build the folder's tables anew at their next use; call it when its inputs have changed within a session."""
     for key in [k for k in _STAGED if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
