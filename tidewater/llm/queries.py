@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprint, licenses, lm, packing, pii, secrets, simhash, toxicity
+from . import align, bpe, embeddings, fingerprint, licenses, lm, packing, pii, quality, resample, secrets, simhash, toxicity
 from .shared import documents, remainder
 
 
@@ -59,10 +59,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignment(documents(spark, sf_dir), a, b, public_tokenizers.PATTERN)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.kept(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     found = [
         op1_bpe_codec, op2_embedding_near_dedup, op3_best_fit_packing, op4_toxicity, op5_simhash_near_dedup, op6_pii,
         op7_lm_scoring, op8_secret_scan, op9_fingerprints, op10_license_scan,
+        op11_tokenizer_alignment, op12_importance_resampling, op13_quality_rules,
     ]
     return {f.__name__: f for f in found}
 
@@ -98,4 +112,45 @@ def oracle_sql() -> dict[str, str]:
                    array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
                    CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(more.share, 0.0) END::double AS score
             FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN more ON more.doc_id = d.doc_id""",
+        "op12_importance_resampling": f"""
+            WITH RECURSIVE bits AS (SELECT b, b AS v, 0 AS k FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+            c AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8), chars AS (SELECT chr(i) AS c, i FROM range(1, 128) t(i)),
+            d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+            m AS (SELECT {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+            w AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, w FROM d UNION ALL SELECT -1, w FROM m)),
+            f AS (SELECT r, array_to_string(w[i : i + n - 1], ' ') AS f FROM w, range(1, 4) t(n) WHERE i + n - 1 <= len(w)),
+            g AS (SELECT r, f, count(*) AS n FROM f GROUP BY r, f),
+            x AS (SELECT f, list_transform(list_filter(string_split(regexp_replace(hex(encode(f)), '(..)', '\\1,', 'g'), ','), lambda h: h <> ''), lambda h: ('0x' || h)::BIGINT) AS b FROM (SELECT DISTINCT f FROM f)),
+            h AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, y: xor(a >> 8, t[xor(a & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM x, c),
+            k AS (SELECT bucket, sum(n) FILTER (r > 0) AS s, sum(n) FILTER (r < 0) AS t FROM g JOIN h USING (f) GROUP BY bucket),
+            z AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM k),
+            gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain FROM k, z),
+            p AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM g JOIN h USING (f) JOIN gain USING (bucket) WHERE r > 0 GROUP BY r),
+            q AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN p USING (r)),
+            o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (n_words >= 20) OVER () AS fit FROM q)
+            SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * fit // 100 THEN place END AS rank FROM o""",
+        "op13_quality_rules": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents)),
+            g AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+            again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+            covered AS (SELECT r, sum(least(8, i - before))::BIGINT AS n FROM (SELECT r, i, lag(i, 1, -8) OVER (PARTITION BY r ORDER BY i) AS before FROM again) GROUP BY r),
+            m AS (SELECT r, doc_id, lang, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(regexp_replace(text, '[^!-/:-@\x5B-\x60\x7B-\x7E]+', '', 'g')) AS n_marks,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+            n AS (SELECT m.* EXCLUDE (lines), len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM m LEFT JOIN covered USING (r)),
+            v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, unnest([
+                  {{'measure': 'symbols', 'v': coalesce(1000 * n_symbols // nullif(word_chars, 0), 0)}}, {{'measure': 'marks', 'v': coalesce(1000 * n_marks // nullif(word_chars, 0), 0)}},
+                  {{'measure': 'word_length', 'v': coalesce(100 * word_chars // nullif(n_words, 0), 0)}}, {{'measure': 'dup_lines', 'v': coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)}},
+                  {{'measure': 'repeats', 'v': coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)}}]) AS u FROM n),
+            s AS (SELECT lang, source, u.measure AS measure, ((u.v >> greatest(0, len(bin(u.v)) - 6)) << greatest(0, len(bin(u.v)) - 6)) AS low, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+            size AS (SELECT lang, source, CASE WHEN n >= 50 THEN 0 WHEN sum(n) OVER (PARTITION BY lang) >= 50 THEN 1 ELSE 2 END AS level FROM (SELECT lang, source, sum(n) AS n FROM s WHERE measure = 'symbols' GROUP BY ALL)),
+            l AS (SELECT k AS level, CASE WHEN k < 2 THEN lang END AS lang, CASE WHEN k < 1 THEN source END AS source, measure, low, sum(n) AS n FROM s, range(3) t(k) GROUP BY ALL),
+            c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS whole FROM l),
+            q AS (SELECT level, lang, source, measure, min(low) FILTER (4 * upto >= whole) AS q1, min(low) FILTER (4 * upto >= 3 * whole) AS q3 FROM c GROUP BY ALL),
+            b AS (SELECT q.level, q.lang, q.source, q.measure, CASE WHEN measure = 'word_length' THEN q1 - greatest(3 * (q3 - q1), room) ELSE 0 END AS a, q3 + greatest(3 * (q3 - q1), room) AS z
+                  FROM q JOIN (VALUES {", ".join(f"('{name}', {room})" for name, _, room in quality.RULES)}) t(measure, room) USING (measure)),
+            f AS (SELECT size.lang, size.source, b.measure, b.a, b.z FROM size JOIN b ON b.level = size.level AND b.lang IS NOT DISTINCT FROM CASE WHEN size.level < 2 THEN size.lang END AND b.source IS NOT DISTINCT FROM CASE WHEN size.level < 1 THEN size.source END)
+            SELECT v.doc_id, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words,
+                   any_value(base_failed) AS base_failed, NOT any_value(base_failed) AND bool_and(coalesce(v.u.v BETWEEN f.a AND f.z, false)) AS kept
+            FROM v LEFT JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.measure = v.u.measure GROUP BY v.r, v.doc_id""",
     }
