@@ -90,3 +90,30 @@ def rotating(metrics: DataFrame, top: int = 8) -> DataFrame:
     in_ = metrics.where("f1 > 2 AND f1 > f6").orderBy(F.desc("f1"), "ticker").limit(top).withColumn("way", F.lit("in"))
     out = metrics.where("f1 < -1.5 AND f1 < f6").orderBy("f1", "ticker").limit(top).withColumn("way", F.lit("out"))
     return in_.unionByName(out)
+
+
+#: The order of themes.
+THEMES = ("broad", "growth_long_duration", "cyclical", "defensive", "rate_sensitive")
+
+
+def insight_picks(metrics: DataFrame) -> DataFrame:
+    """(pick, ticker): the fund that leads each of six lists, if any; f are flows in percent of assets, p price returns.
+
+    Ties go to the first ticker. Each list is one bounded sort.
+    """
+    lists = {
+        "fresh inflow": ("f1 > 3", F.desc("f1")), "fresh outflow": ("f1 < -2", F.asc("f1")), "flipped in": ("f1 > 1 AND f6 < -1", F.asc("f6")), "flipped out": ("f1 < -1 AND f6 > 1", F.desc("f6")),
+        "distribution": ("p1 > 0.03 AND f1 < -1", F.asc("f1")), "accumulation": ("p1 < -0.03 AND f1 > 1", F.desc("f1")),
+    }
+    found = [metrics.where(cond).orderBy(order, "ticker").limit(1).select(F.lit(pick).alias("pick"), "ticker") for pick, (cond, order) in lists.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def by_theme(metrics: DataFrame, themes: DataFrame) -> DataFrame:
+    """Funds with their theme (ticker, theme), the theme's place among THEMES and the fund's in it: most money of the last month first, unknown last."""
+    w = Window.partitionBy("theme").orderBy(F.desc_nulls_last("f1"), "ticker")
+    at = F.array_position(F.array(*[F.lit(t) for t in THEMES]), F.col("theme"))
+    return metrics.join(themes, "ticker").where(at > 0).select("theme", at.alias("group_place"), F.row_number().over(w).alias("place"), "ticker", "f1")

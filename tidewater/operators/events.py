@@ -25,7 +25,12 @@ def dedupe_reports(reports: DataFrame, as_of: date, days: int = 25) -> DataFrame
 
 def calendar(bench: DataFrame) -> DataFrame:
     """(date, idx): trading days in order; a row a day, so one small window."""
-    return bench.select("date", F.row_number().over(Window.orderBy("date")).cast("int").alias("idx"))
+    return bench.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).cast("int").alias("idx"))
+
+
+def closes_by_day(bench: DataFrame, cal: DataFrame) -> DataFrame:
+    """(idx, close) of the benchmark; of repeated rows of a day the highest close counts."""
+    return bench.join(cal, "date").groupBy("idx").agg(F.max("close").alias("close"))
 
 
 def day_index(cal: DataFrame) -> DataFrame:
@@ -42,9 +47,14 @@ def reaction_days(reports: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def indexed_bars(bars: DataFrame, cal: DataFrame) -> DataFrame:
-    """Bars on the calendar's days, with positions and each bar's changes."""
+    """Bars on the calendar's days, with positions and each bar's changes.
+
+    Of repeated bars of one ticker and day the one with the largest volume counts, then that with the highest close, high,
+    low and open: a corrected bar has more of the day's trades in it.
+    """
     w = Window.partitionBy("ticker").orderBy("idx")
-    b = bars.join(F.broadcast(cal), "date")
+    again = Window.partitionBy("ticker").orderBy("idx", *[F.desc_nulls_last(c) for c in ("volume", "close", "high", "low", "open")])
+    b = bars.join(F.broadcast(cal), "date").withColumn("_before", F.lag("idx").over(again)).where("_before IS NULL OR _before <> idx")
     prev = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag("close").over(w))
     return b.select("ticker", "date", "idx", "open", "high", "low", "close", "volume", prev.alias("prev_close"))
 
@@ -71,7 +81,7 @@ def close_at(k) -> Column:
 
 def measures(win: DataFrame, bench: DataFrame, cal: DataFrame) -> DataFrame:
     """Returns before, on and after the reaction day, the benchmark's over the same days, and the excess."""
-    b = bench.join(cal, "date").select("idx", "close")
+    b = closes_by_day(bench, cal)
     spans = {"pre": (-PRE - 1, -1), "react": (-1, 0), "drift": (0, DRIFT)}
     out = win
     for k in sorted({k for s in spans.values() for k in s}):

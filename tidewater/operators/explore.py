@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import season
+from ..sources.staging import stored
 from .events import PATH, shapes, size_tier, window_return
+from .running import average_ranks, running
 from .scan import excess as less_benchmark
 
 #: A group needs so many reports, and the groups of the move before. A bucket is (at least, below).
@@ -28,10 +30,20 @@ def moves(events: DataFrame, pre: tuple[int, int], post: tuple[int, int], excess
 
 
 def grouped(rows: DataFrame, groups: int = 5, within_season: bool = True) -> DataFrame:
-    """Add grp, 1 for the lowest moves before; 0 where a season, or the whole, has too few reports to be split."""
-    w = Window.partitionBy("season") if within_season else Window.partitionBy(F.lit(0))
-    rank, n = F.row_number().over(w.orderBy("x", "ticker", "rdate")) - 1, F.count("*").over(w)
-    return rows.withColumn("grp", F.when(n < groups * PER_GROUP, 0).otherwise(F.floor(rank * groups / n) + 1).cast("long"))
+    """Add grp, 1 for the lowest moves before; 0 where a season, or the whole, has too few reports to be split.
+
+    Over the whole, places come from ranges of the order, so that no task holds all reports.
+    """
+    order = [F.col("x"), F.col("ticker"), F.col("rdate")]
+    if within_season:
+        w = Window.partitionBy("season")
+        rows = rows.withColumns({"_place": F.row_number().over(w.orderBy(*order)), "_all": F.count("*").over(w)})
+    else:
+        rows = running(rows.withColumn("_one", F.lit(1)), order, {"_place": (F.sum, "_one")})
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all")))).drop("_one")
+    n = F.col("_all")
+    grp = F.when(n < groups * PER_GROUP, 0).otherwise(F.floor((F.col("_place") - 1) * groups / n) + 1).cast("long")
+    return rows.withColumn("grp", grp).drop("_place", "_all")
 
 
 def group_table(rows: DataFrame) -> DataFrame:
@@ -78,6 +90,17 @@ def context_keys(pre: tuple[int, int]) -> Column:
     ))
 
 
+def with_context(rows: DataFrame, pre: tuple[int, int], key: str) -> DataFrame:
+    """Reports for which one context holds, by its key; what isn't known isn't among them."""
+    return rows.where(F.array_contains(context_keys(pre), key))
+
+
+def in_cohort(events: DataFrame, cohort: str) -> DataFrame:
+    """live: reports that were on the schedule before they came; backfill: all others; all. Without a source a report is backfill."""
+    live = F.col("source").eqNullSafe(F.lit("live"))
+    return events if cohort == "all" else events.where(live if cohort == "live" else ~live)
+
+
 def answers(rows: DataFrame, pre: tuple[int, int], excess: bool) -> DataFrame:
     """Reports, share up with its noise, mean, median and mean size after, for each direction, bucket, shape and context before.
 
@@ -98,11 +121,10 @@ def answers(rows: DataFrame, pre: tuple[int, int], excess: bool) -> DataFrame:
 def correlations(rows: DataFrame) -> DataFrame:
     """Rank correlations of the moves and of their sizes, with the noise of chance; null under three reports.
 
-    Ranks are over all reports in one window: a row a report, of companies times quarters.
+    Equal values share their average rank. Values are counted and ranked over ranges of their order, and joined back.
     """
-    def rank(c: Column) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    r = rows.select(rank(F.col("x")).alias("a"), rank(F.col("y")).alias("b"), rank(F.abs("x")).alias("c"), rank(F.abs("y")).alias("d"))
+    r = stored(rows.select("x", "y", F.abs("x").alias("ax"), F.abs("y").alias("ay")), "moves")
+    for value, rank in (("x", "a"), ("y", "b"), ("ax", "c"), ("ay", "d")):
+        r = r.join(average_ranks(r.select(value), value, [], rank), value)
     enough = lambda v: F.when(F.count("*") >= 3, v)
     return r.agg(F.count("*").alias("n"), enough(F.corr("a", "b")).alias("direction"), enough(F.corr("c", "d")).alias("size"), enough(1.96 / F.sqrt(F.count("*"))).alias("noise"))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from .running import running
 @dataclass(frozen=True)
 class Rules:
     insider_days: int = 30
@@ -51,10 +51,15 @@ def moves(latest: DataFrame) -> DataFrame:
     return latest.select("*", F.round(ratio, 1).alias("ratio"), move.alias("move")).where("move IS NOT NULL")
 
 
-def cross_quarter(latest: DataFrame) -> DataFrame:
-    """(ticker, starters): filers that first appear in the newest or second newest of all last periods."""
+def starters(latest: DataFrame) -> DataFrame:
+    """(ticker, cik): filers that first appear in the newest or second newest of all last periods."""
     tops = latest.select("last").distinct().orderBy(F.desc("last")).limit(2)
-    return latest.join(tops.withColumnRenamed("last", "first"), "first", "left_semi").groupBy("ticker").agg(F.count_distinct("cik").alias("starters"))
+    return latest.join(tops.withColumnRenamed("last", "first"), "first", "left_semi").select("ticker", "cik").distinct()
+
+
+def cross_quarter(latest: DataFrame) -> DataFrame:
+    """(ticker, starters): how many filers begin in the newest two quarters."""
+    return starters(latest).groupBy("ticker").agg(F.count("*").alias("starters"))
 
 
 def insider_people(trades: DataFrame, as_of: date, rules: Rules) -> DataFrame:
@@ -106,27 +111,76 @@ def insider_points(n: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).when(n == 1, 1.5).when(n == 2, 3.5).otherwise(7.0 + (n - 3))
 
 
-def scores(moved: DataFrame, starters: DataFrame, clusters: DataFrame, stakes: DataFrame, weights: DataFrame, securities: DataFrame, rules: Rules) -> DataFrame:
-    """Confluence by ticker. Each source gives partial rows of one shape; one grouping by ticker sums them."""
+def scores(moved: DataFrame, began: DataFrame, clusters: DataFrame, stakes: DataFrame, weights: DataFrame, securities: DataFrame, rules: Rules) -> DataFrame:
+    """Confluence by ticker. Each source gives partial rows of one shape, and one grouping by ticker sums them.
+
+    began: (ticker, cik) of `starters`. A position of twice the shares is an add too. kinds counts five types of evidence: two
+    insiders or more, a new position or an add, an activist, velocity, and three starters or more.
+    """
     zero = F.lit(0.0)
-    cols = ["new", "add", "velocity", "stake", "buyers", "starters"]
+    cols = ["new", "add", "velocity", "n_moves", "n_velocity", "stake", "buyers", "starters", "start_weight"]
 
     def part(df, **values):
         return df.select("ticker", *[values.get(c, zero).cast("double").alias(c) for c in cols])
 
     m = moved.join(weights, "cik")
-    of = lambda k: F.when(F.col("move") == k, F.col("weight")).otherwise(0.0)
-    rows = part(m, new=of("new"), add=of("add"), velocity=of("velocity")).unionByName(part(stakes, stake=F.col("stake_weight")))
-    rows = rows.unionByName(part(clusters, buyers=F.col("buyers"))).unionByName(part(starters, starters=F.col("starters")))
+    of = lambda *kinds: F.when(F.col("move").isin(*kinds), F.col("weight")).otherwise(0.0)
+    rows = part(m, new=of("new"), add=of("add", "velocity"), velocity=of("velocity"), n_moves=F.lit(1), n_velocity=(F.col("move") == "velocity").cast("int"))
+    rows = rows.unionByName(part(stakes, stake=F.col("stake_weight"))).unionByName(part(clusters, buyers=F.col("buyers")))
+    rows = rows.unionByName(part(began.join(weights, "cik"), starters=F.lit(1), start_weight=F.col("weight")))
     s = rows.groupBy("ticker").agg(*[F.sum(c).alias(c) for c in cols])
-    cross = F.when(F.col("starters") >= 3, F.col("starters") * 1.5).otherwise(0.0)
-    kinds = sum(F.when(c, 1).otherwise(0) for c in (F.col("new") > 0, (F.col("add") > 0) | (F.col("velocity") > 0), F.col("stake") > 0, F.col("buyers") > 0, F.col("starters") >= 3))
+    cross = F.when(F.col("starters") >= 3, F.col("start_weight") * 1.5).otherwise(0.0)
+    kinds = sum(F.when(c, 1).otherwise(0) for c in (F.col("buyers") >= 2, F.col("n_moves") > 0, F.col("stake") > 0, F.col("n_velocity") > 0, F.col("starters") >= 3))
     score = insider_points(F.col("buyers")) + F.col("new") * 2 + F.col("add") * 0.5 + F.col("velocity") * 2 + F.col("stake") * 5 + cross + F.when(kinds >= 3, 5.0).otherwise(0.0)
     big = securities.where(F.col("market_cap") >= rules.cap_floor).select("ticker")
-    out = s.join(big, "ticker", "left_semi").select("*", kinds.alias("kinds"), F.round(score, 6).alias("score"))
+    out = s.join(big, "ticker", "left_semi").select("*", kinds.alias("kinds"), F.round(score, 2).alias("score"))
     return out.where(F.col("score") >= rules.score_floor)
 
 
+#: Why an insider isn't counted, in words.
+REASONS = {"role": "not_officer_or_director", "plan": "10b5_1_plan", "value": "below_min_value", "growth": "stake_growth_below_min"}
+
+
+def first_of(rows: DataFrame, most: int) -> DataFrame:
+    """(ticker, kind, names) of rows (ticker, kind, name): the first so many different names in their order, as one text.
+
+    A task keeps so many rows of a ticker and kind before it shuffles them, and no list is longer.
+    """
+    w = Window.partitionBy("ticker", "kind").orderBy("name")
+    top = rows.distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return top.groupBy("ticker", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "; ").alias("names"))
+
+
+def score_report(scored: DataFrame, moved: DataFrame, stakes: DataFrame, people: DataFrame, trades: DataFrame, filers: DataFrame, as_of: date, rules: Rules) -> DataFrame:
+    """Scores with who contributes to them, insiders left out and why, and the first and latest date of what counts.
+
+    Up to five names of filers for each move and of insiders, up to three of activists. Dates are those of filing.
+    """
+    d, names = F.lit(as_of), filers.select("cik", "filer_name")
+    named = lambda df: df.join(names, "cik", "left").withColumn("name", F.coalesce("filer_name", "cik"))
+    m, t = named(moved), named(stakes.where((F.col("subtype") == "13D") & F.col("filed").between(F.date_sub(d, rules.stake_days), d)).join(filers.select("cik"), "cik", "left_semi"))
+    ways = F.array_compact(F.array(F.when(F.col("move") == "velocity", F.lit("add")), F.col("move")))
+    label = F.when(F.col("kind") == "velocity", F.concat("name", F.lit(" "), F.col("ratio").cast("string"))).otherwise(F.col("name"))
+    rows = m.withColumn("kind", F.explode(ways)).select("ticker", "kind", label.alias("name"))
+    rows = rows.unionByName(people.where("excluded IS NULL").select("ticker", F.lit("insiders").alias("kind"), "name"))
+    reason = F.coalesce(*[F.when(F.col("excluded") == k, v) for k, v in REASONS.items()])
+    rows = rows.unionByName(people.where("excluded IS NOT NULL").select("ticker", F.lit("excluded").alias("kind"), F.concat("name", F.lit(": "), reason).alias("name")))
+    found = first_of(rows, 5).unionByName(first_of(t.select("ticker", F.lit("activists").alias("kind"), "name"), 3))
+    kinds = ("new", "add", "velocity", "activists", "insiders", "excluded")
+    wide = found.groupBy("ticker").agg(*[F.max(F.when(F.col("kind") == k, F.col("names"))).alias(f"{k}_by" if k in ("new", "add", "velocity") else k) for k in kinds])
+    counted = trades.where((F.col("code") == "P") & F.col("date").between(F.date_sub(d, rules.insider_days), d) & (F.col("filed") <= d) & ~F.col("is_10b5_1").eqNullSafe(F.lit(True)))
+    counted = counted.withColumn("who", F.coalesce("reporter_cik", F.lit(""))).join(people.where("excluded IS NULL").select("ticker", "who"), ["ticker", "who"], "left_semi")
+    dates = m.select("ticker", "filed").unionByName(t.select("ticker", "filed")).unionByName(counted.select("ticker", "filed"))
+    dates = dates.groupBy("ticker").agg(F.min("filed").alias("first_detected"), F.max("filed").alias("latest_signal"))
+    return scored.select("ticker", "score", "kinds").join(wide, "ticker", "left").join(dates, "ticker", "left")
+
+
+def score_page(report: DataFrame, least: float = 7.0, sort: str = "score") -> DataFrame:
+    """Scores of at least so much, with their place by score, latest_signal or first_detected: the largest first, nulls last, then by score and ticker."""
+    rows = report.where(F.col("score") >= least).withColumn("_one", F.lit(1))
+    return running(rows, [F.col(sort).desc_nulls_last(), F.col("score").desc(), F.col("ticker")], {"place": (F.sum, "_one")}).drop("_one")
+
+
 def extras(clusters: DataFrame, stakes: DataFrame) -> DataFrame:
     """Insiders and activists of each ticker that has either."""
     c, s = clusters.select("ticker", "buyers", "names"), stakes.select("ticker", "filers", "last_stake")

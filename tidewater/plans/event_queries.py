@@ -140,6 +140,7 @@ VIEWS = Sig.VIEWS | {
     "resids": "SELECT ticker, rdate, " + ", ".join(f"{o} - (sum(round({o} * 1e9)::decimal(24,0)) OVER (PARTITION BY week_id))::double / count({o}) OVER (PARTITION BY week_id) / 1e9 AS {o}" for o in OUTCOMES) + " FROM feats",
     "cutrows": f"""SELECT ticker, rdate, week_id, {', '.join(OUTCOMES)}, c[2] AS cut, c[1] = 'eps' AS eps FROM keyed
         UNION ALL SELECT a.ticker, a.rdate, a.week_id, {', '.join(f'a.{o}' for o in OUTCOMES)}, a.c[2] || ' & ' || b.c[2], a.c[1] = 'eps' OR b.c[1] = 'eps' FROM keyed a JOIN keyed b ON b.ticker = a.ticker AND b.rdate = a.rdate AND b.c[2] > a.c[2] AND b.c[1] <> a.c[1]""",
+    "cutrows_plain": f"SELECT c.cut, {', '.join(f'f.{o}' for o in OUTCOMES)} FROM cutrows c JOIN feats f ON f.ticker = c.ticker AND f.rdate = c.rdate",
     "effected": f"""SELECT cut, outcome, half, n, s / n AS mean, (s / n) / CASE WHEN var > 1e-14 THEN sqrt(var) / n END AS t FROM (SELECT *, greatest(ss - 2 * (s / n) * sn + (s / n) * (s / n) * nn, 0) AS var FROM (
           SELECT cut, outcome, half, sum(s) AS s, sum(n)::bigint AS n, sum(s * s) AS ss, sum(s * n) AS sn, sum(n * n)::double AS nn FROM (
             SELECT cut, outcome, half, week_id, sum(y) AS s, count(*) AS n FROM (SELECT cut, eps, week_id, CASE WHEN rdate < date '1998-06-01' THEN 'search' ELSE 'check' END AS half, unnest([{', '.join(f"('{o}', {o})" for o in OUTCOMES)}]) AS o FROM cutrows) x,
@@ -155,6 +156,8 @@ VIEWS = Sig.VIEWS | {
     "vpath": "SELECT ticker, date, k, CASE WHEN n >= 40 THEN round(100 * volume::double / m)::int END AS v, n FROM vols WHERE k >= -30",
     "feats": _feats(-10, -1, 1, {"week": (0, 4), "drift": (1, 20)}),
     "xfeats": _feats(-14, -5, 5, {"skip": (-4, -1), "through": (-4, 0), "after5": (-4, 5)}),
+    "overall": """SELECT *, CASE WHEN n < 15 THEN 0 ELSE (floor((rank - 1) * 3 / n) + 1)::bigint END AS grp FROM (SELECT *, row_number() OVER (ORDER BY x, ticker, rdate) AS rank, count(*) OVER () AS n FROM (
+        SELECT *, pre AS x, week AS y FROM feats WHERE surprise > 0 AND pre IS NOT NULL AND week IS NOT NULL))""",
     "looked": """SELECT *, CASE WHEN n < 15 THEN 0 ELSE (floor((rank - 1) * 3 / n) + 1)::bigint END AS grp FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY x, ticker, rdate) AS rank, count(*) OVER (PARTITION BY season) AS n FROM (
         SELECT *, pre AS x, week AS y, year(rdate) || 'Q' || quarter(rdate) AS season FROM feats WHERE surprise > 0 AND pre IS NOT NULL AND week IS NOT NULL))""",
     "vmeans": "SELECT ticker, date, avg(v) FILTER (k BETWEEN -10 AND -1) / 100 AS vol, max(v) FILTER (k = -1) / 100 AS vol_last FROM vpath GROUP BY ALL",
@@ -261,11 +264,26 @@ def explored(s, d):
     return staged(s, d, "explored", build)
 
 
+def ungrouped(s, d):
+    rows = scan_rows(s, d).join(C.marks(bench(s, d), cal(s, d)), "ridx")
+    return X.moves(rows, (-10, -1), (0, 4), True, surprise="beat")
+
+
+def sourced(s, d):
+    """Reports on odd days were on the schedule before they came."""
+    return explored(s, d).withColumn("source", F.when(F.dayofmonth("date") % 2 == 1, "live"))
+
+
 def cut_rows(s, d):
     """Cuts of demeaned outcomes; the keys are those of the events as they are."""
     return C.cuts(C.demeaned(C.with_keys(events(s, d), INDUSTRY), OUTCOMES), 2)
 
 
+def plain_cuts(s, d):
+    """Cuts of outcomes as they are."""
+    return C.cuts(C.with_keys(events(s, d), INDUSTRY), 2)
+
+
 def effects(s, d):
     return staged(s, d, "effects", lambda: C.cut_effects(cut_rows(s, d), OUTCOMES, SPLIT, least=5))
 
@@ -308,7 +326,7 @@ QUERIES = {
     "evt_10_caps": lambda s, d: V.caps_at_report(windows(s, d), table(s, d, "securities"), last_prices(s, d)).select("ticker", "date", F.round("cap", 1).alias("cap"), "tier"),
     "evt_11_daily_returns": lambda s, d: _r(V.daily_returns(bench(s, d), date(1997, 1, 1)), "ret"),
     "evt_12_register": lambda s, d: V.register(_scheduled(s, d).withColumnRenamed("scheduled", "date"), reports(s, d).select("ticker", "date").where(F.col("date") < F.lit(date(2000, 5, 1))), date(2000, 5, 2), date(1996, 1, 1), 40),
-    "evt_13_match_reports": lambda s, d: V.match_reports(_scheduled(s, d), table(s, d, "reports").where(F.dayofmonth("date") % 4 == 0), AS_OF),
+    "evt_13_match_reports": lambda s, d: V.match_reports(_scheduled(s, d), table(s, d, "reports"), AS_OF),
     "evt_14_late_flag": lambda s, d: V.late_flag(s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").alias("registered"), F.date_add(F.col("ts").cast("date"), (F.col("user_id") % 3 - 1).cast("int")).alias("reaction"))).select("event_id", "origin"),
     "evt_15_season_spreads": lambda s, d: _r(V.season_spreads(scored(s, d)), "spread"),
     "evt_15_quintiles": lambda s, d: _r(V.quintile_table(scored(s, d)), "mean", "median", "up"),
@@ -319,6 +337,9 @@ QUERIES = {
     "evt_17_filtered_groups": lambda s, d: _r(X.group_table(explored(s, d)), "x", "y", "median", "up"),
     "evt_17_season_halves": lambda s, d: _r(X.season_halves(explored(s, d), 3), "spread"),
     "evt_17_average_path": lambda s, d: _r(X.average_path(explored(s, d), 3, True), "top", "bottom", "all"),
+    "evt_17_overall_groups": lambda s, d: _r(X.group_table(X.grouped(ungrouped(s, d), 3, False)), "x", "y", "median", "up"),
+    "evt_18_live_answers": lambda s, d: _r(X.answers(X.in_cohort(sourced(s, d), "live"), (-10, -1), True), "up", "noise", "mean", "median", "size"),
+    "evt_18_context_answers": lambda s, d: _r(X.answers(X.with_context(explored(s, d), (-10, -1), "ins_yes"), (-10, -1), True), "up", "noise", "mean", "median", "size"),
     "evt_18_answers": lambda s, d: _r(X.answers(explored(s, d), (-10, -1), True), "up", "noise", "mean", "median", "size"),
     "evt_18_correlations": lambda s, d: _r(X.correlations(explored(s, d)), "direction", "size", "noise"),
     "evt_18_direction_table": lambda s, d: _r(V.direction_table(paths(s, d), (-10, -1), (0, 4)), "up", "band", "mean", "median", "size"),
@@ -334,7 +355,7 @@ QUERIES = {
     "scn_07_cut_effects": lambda s, d: _r(effects(s, d), "mean", "t"),
     "scn_08_two_sided": lambda s, d: _r(effects(s, d).withColumn("p", C.two_sided("t")).select("cut", "outcome", "half", "p"), "p"),
     "scn_09_discovery_rates": lambda s, d: _r(C.discovery_rates(tests(s, d)).select("cut", "outcome", "q"), "q"),
-    "scn_10_verdicts": lambda s, d: _r(C.verdicts(effects(s, d), LEVEL), "mean", "t", "q", "check_mean", "check_t", "check_p"),
+    "scn_10_verdicts": lambda s, d: _r(C.verdicts(effects(s, d), LEVEL, C.up_shares(plain_cuts(s, d), OUTCOMES), C.baselines(events(s, d), OUTCOMES)), "mean", "t", "q", "check_mean", "check_t", "check_p", "up_share", "base_up"),
     "scn_10_baselines": lambda s, d: _r(C.baselines(events(s, d), OUTCOMES), "mean", "up"),
     "scn_11_weekly_rank_scores": lambda s, d: _r(C.weekly_rank_scores(events(s, d), "pre", "react", 3), "ic", "spread", "top"),
     "scn_12_model_scores": lambda s, d: _r(C.model_scores(events(s, d), ["pre", "vol", "buyers", "peer_n"], "react", SPLIT), "prediction", "y", "placebo"),
@@ -391,9 +412,14 @@ _SQL = {
     "scn_07_cut_effects": "SELECT cut, outcome, half, n, round(mean, 6) + 0.0 AS mean, round(t, 6) + 0.0 AS t FROM effected",
     "scn_08_two_sided": "SELECT cut, outcome, half, round(p, 6) AS p FROM tested",
     "scn_10_verdicts": f"""WITH found AS (SELECT * FROM rated WHERE q < {LEVEL}), k AS (SELECT greatest(count(*), 1) AS k FROM found)
-        SELECT s.cut, s.outcome, s.n, round(s.mean, 6) AS mean, round(s.t, 6) AS t, round(s.q, 6) AS q, round(c.mean, 6) + 0.0 AS check_mean, round(c.t, 6) AS check_t, round(c.p, 6) AS check_p,
+        , v AS (SELECT s.cut, s.outcome, s.n, s.mean, s.t, s.q, c.n AS check_n, c.mean AS check_mean, c.t AS check_t, c.p AS check_p,
         CASE WHEN sign(s.mean) = sign(c.mean) AND c.p < 0.05 / k THEN 'confirmed' WHEN sign(s.mean) = sign(c.mean) AND c.p < 0.05 THEN 'same direction' ELSE 'did not hold' END AS verdict
-        FROM found s JOIN tested c ON c.cut = s.cut AND c.outcome = s.outcome AND c.half = 'check' CROSS JOIN k""",
+        FROM found s JOIN tested c ON c.cut = s.cut AND c.outcome = s.outcome AND c.half = 'check' CROSS JOIN k),
+        u AS (SELECT cut, o.k AS outcome, avg((o.y > 0)::int) AS up_share FROM (SELECT cut, unnest([{', '.join("{'k': '" + o + "', 'y': " + o + "}" for o in OUTCOMES)}]) AS o FROM cutrows_plain) WHERE o.y IS NOT NULL GROUP BY ALL),
+        b AS (SELECT o.k AS outcome, avg((o.y > 0)::int) AS base_up FROM (SELECT unnest([{', '.join("{'k': '" + o + "', 'y': " + o + "}" for o in OUTCOMES)}]) AS o FROM feats) WHERE o.y IS NOT NULL GROUP BY ALL)
+        SELECT v.cut, v.outcome, n, round(mean, 6) AS mean, round(t, 6) AS t, round(q, 6) AS q, check_n, round(check_mean, 6) + 0.0 AS check_mean, round(check_t, 6) AS check_t, round(check_p, 6) AS check_p, verdict,
+        row_number() OVER (ORDER BY list_position({list(C.VERDICTS)}, verdict), q, v.cut, v.outcome) AS place, CASE WHEN v.outcome <> 'size' THEN round(up_share, 6) END AS up_share, CASE WHEN v.outcome <> 'size' THEN round(base_up, 6) END AS base_up
+        FROM v LEFT JOIN u ON u.cut = v.cut AND u.outcome = v.outcome LEFT JOIN b ON b.outcome = v.outcome""",
     "scn_09_discovery_rates": "SELECT cut, outcome, round(q, 6) AS q FROM rated",
     "evt_12_register": """SELECT ticker, min(date) AS date FROM (SELECT ticker, date + (day(date) * 2 - 25)::int AS date FROM reacted) s WHERE date BETWEEN date '2000-05-02' AND date '2000-05-02' + 40
         AND NOT EXISTS (SELECT 1 FROM reacted l WHERE l.ticker = s.ticker AND l.date < date '2000-05-01' AND abs(s.date - l.date) <= 20) GROUP BY ticker""",
@@ -405,7 +431,7 @@ _SQL = {
     "evt_10_caps": "SELECT ticker, date, round(cap, 1) AS cap, tier FROM caps",
     "evt_11_daily_returns": "SELECT date, round(ret, 6) AS ret FROM (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM bench) WHERE date >= date '1997-01-01'",
     "evt_13_match_reports": """SELECT s.ticker, s.scheduled, arg_min(r.date, (abs(r.date - s.scheduled), r.date)) AS matched, CASE WHEN count(r.date) > 0 THEN 'reported' WHEN date '2001-07-30' - s.scheduled > 30 THEN 'no_report' ELSE 'waiting' END AS status
-        FROM (SELECT DISTINCT ticker, date + (day(date) * 2 - 25)::int AS scheduled FROM reacted) s LEFT JOIN (SELECT * FROM reports WHERE day(date) % 4 = 0) r ON r.ticker = s.ticker AND abs(r.date - s.scheduled) <= 20 GROUP BY s.ticker, s.scheduled""",
+        FROM (SELECT DISTINCT ticker, date + (day(date) * 2 - 25)::int AS scheduled FROM reacted) s LEFT JOIN reports r ON r.ticker = s.ticker AND abs(r.date - s.scheduled) <= 20 GROUP BY s.ticker, s.scheduled""",
     "evt_14_late_flag": """SELECT event_id, CASE WHEN l::date > reaction OR (l::date = reaction AND hour(l) * 60 + minute(l) >= 570) THEN 'late' ELSE 'live' END AS origin FROM (SELECT event_id, ts - INTERVAL 5 HOUR AS l, ts::date + (user_id % 3 - 1)::int AS reaction FROM events)""",
     "evt_15_season_spreads": "SELECT season, round(avg(react_excess) FILTER (quintile = 5) - avg(react_excess) FILTER (quintile = 1), 6) AS spread, count(*) AS events FROM quintiles GROUP BY season",
     "evt_15_quintiles": "SELECT quintile, count(*) AS n, round(avg(react_excess), 6) AS mean, round(median(react_excess), 6) AS median, round(avg((react_excess > 0)::int), 6) AS up FROM quintiles GROUP BY quintile",
@@ -436,4 +462,7 @@ _SQL = {
     "evt_20_wire_rows": """SELECT m.ticker, m.date, s.s, round(pre, 4) AS pre, round(react, 4) AS react, round(drift, 4) AS drift FROM measured m LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY sector) - 1 AS s FROM securities) s ON s.ticker = m.ticker""",
 }
 
+_SQL["evt_17_overall_groups"] = _SQL["evt_17_filtered_groups"].replace("looked", "overall")
+_SQL["evt_18_live_answers"] = _SQL["evt_18_answers"].replace("FROM looked l", "FROM (SELECT * FROM looked WHERE day(date) % 2 = 1) l")
+_SQL["evt_18_context_answers"] = _SQL["evt_18_answers"].replace("AS c FROM m)", "AS c FROM m WHERE buyers > 0)")
 SQL = {name: oracle(text, VIEWS) for name, text in _SQL.items()}

@@ -159,7 +159,7 @@ QUERIES = {
     "hld_10_streak": lambda s, d: flows(s, d).select("ticker", "streak"),
     "hld_11_strength": lambda s, d: facts(s, d).select("ticker", "net", "label"),
     "hld_12_more_filters": lambda s, d: H.filter_flows(facts(s, d), min_adv=3e6, min_ret=-0.3, max_ret=1.0, watchlist=table(s, d, "insiders").select("ticker")).select("ticker", "net", "adv20", F.round("ret_6m", 6).alias("ret_6m")),
-    "hld_12_filters": lambda s, d: H.filter_flows(facts(s, d), min_net=-2, min_cap=1e7).select("ticker", "net", "market_cap", "label"),
+    "hld_12_filters": lambda s, d: H.filter_flows(facts(s, d), min_net=-27, min_cap=1e7).select("ticker", "net", "market_cap", "label"),
     "hld_13_industry_rollup": lambda s, d: H.industry_rollup(facts(s, d)),
     "hld_14_quarter_coverage": lambda s, d: H.quarter_coverage(changes(s, d)),
     "hld_15_stock_pivot": lambda s, d: H.stock_pivot(effective(s, d), table(s, d, "filers")),
@@ -216,7 +216,7 @@ _SQL = {
     "hld_10_streak": "SELECT ticker, streak FROM flows",
     "hld_11_strength": "SELECT ticker, net, label FROM facts",
     "hld_12_more_filters": "SELECT ticker, net, adv20, round(ret_6m, 6) AS ret_6m FROM facts WHERE adv20 >= 3e6 AND ret_6m >= -0.3 AND ret_6m <= 1.0 AND ticker IN (SELECT ticker FROM insiders)",
-    "hld_12_filters": "SELECT ticker, net, market_cap, label FROM facts WHERE net >= -2 AND market_cap >= 1e7",
+    "hld_12_filters": "SELECT ticker, net, market_cap, label FROM facts WHERE net >= -27 AND market_cap >= 1e7",
     "hld_13_industry_rollup": """SELECT CASE WHEN trim(coalesce(industry, '')) = '' THEN 'Unclassified' ELSE industry END AS industry, count(*) AS stocks, count(*) FILTER (net > 0) AS bought, count(*) FILTER (net < 0) AS sold,
         sum(net)::bigint AS total_net, min(sector) AS sector, coalesce(array_to_string((list(ticker ORDER BY net DESC, ticker) FILTER (net > 0))[1:3], ','), '') AS top FROM facts GROUP BY 1""",
     "hld_14_quarter_coverage": "SELECT period, count(DISTINCT cik) AS funds FROM changes WHERE lag = 1 AND pair_rank = 0 GROUP BY period",

@@ -15,6 +15,7 @@ from ..sources.staging import staged
 from . import fund_queries as Fund
 
 AS_OF = date(2001, 7, 30)
+EARLY = date(1992, 9, 30)
 RULES = G.Rules(cap_floor=1e6, score_floor=1.0)
 D = "date '2001-07-30'"
 
@@ -37,14 +38,26 @@ VIEWS = Fund.VIEWS | {
     "clusters": """SELECT ticker, count(*) AS buyers, max(latest) AS last_buy, array_to_string((list(name ORDER BY name))[1:5], '; ') AS names FROM people WHERE excluded IS NULL GROUP BY ticker""",
     "stakers": f"""SELECT s.ticker, count(*) AS stakes, sum(weight)::double AS stake_weight, max(filed) AS last_stake, array_to_string(list_sort(list(DISTINCT s.cik)), '; ') AS filers
         FROM stakes s JOIN weights w ON w.cik = s.cik WHERE subtype = '13D' AND filed BETWEEN {D} - 90 AND {D} GROUP BY s.ticker""",
-    "summed": """SELECT ticker, sum("new") AS "new", sum("add") AS "add", sum(velocity) AS velocity, sum(stake) AS stake, sum(buyers) AS buyers, sum(starters) AS starters FROM (
-        SELECT ticker, CASE WHEN move = 'new' THEN weight ELSE 0 END::double AS "new", CASE WHEN move = 'add' THEN weight ELSE 0 END::double AS "add", CASE WHEN move = 'velocity' THEN weight ELSE 0 END::double AS velocity,
-               0::double AS stake, 0::double AS buyers, 0::double AS starters FROM moved m JOIN weights w ON w.cik = m.cik WHERE move IS NOT NULL
-        UNION ALL SELECT ticker, 0, 0, 0, stake_weight, 0, 0 FROM stakers UNION ALL SELECT ticker, 0, 0, 0, 0, buyers, 0 FROM clusters UNION ALL SELECT ticker, 0, 0, 0, 0, 0, starters FROM starters) GROUP BY ticker""",
+    "began": "SELECT DISTINCT ticker, cik FROM fresh WHERE first IN (SELECT DISTINCT last FROM fresh ORDER BY last DESC LIMIT 2)",
+    "summed": """SELECT ticker, sum("new") AS "new", sum("add") AS "add", sum(velocity) AS velocity, sum(n_moves) AS n_moves, sum(n_velocity) AS n_velocity, sum(stake) AS stake, sum(buyers) AS buyers, sum(starters) AS starters, sum(start_weight) AS start_weight FROM (
+        SELECT ticker, CASE WHEN move = 'new' THEN weight ELSE 0 END::double AS "new", CASE WHEN move IN ('add', 'velocity') THEN weight ELSE 0 END::double AS "add", CASE WHEN move = 'velocity' THEN weight ELSE 0 END::double AS velocity, 1 AS n_moves, (move = 'velocity')::int AS n_velocity,
+               0::double AS stake, 0::double AS buyers, 0::double AS starters, 0::double AS start_weight FROM moved m JOIN weights w ON w.cik = m.cik WHERE move IS NOT NULL
+        UNION ALL SELECT ticker, 0, 0, 0, 0, 0, stake_weight, 0, 0, 0 FROM stakers UNION ALL SELECT ticker, 0, 0, 0, 0, 0, 0, buyers, 0, 0 FROM clusters
+        UNION ALL SELECT ticker, 0, 0, 0, 0, 0, 0, 0, 1, weight FROM began b JOIN weights w ON w.cik = b.cik) GROUP BY ticker""",
     "scored": """SELECT * FROM (SELECT *, round(CASE WHEN buyers = 0 THEN 0 WHEN buyers = 1 THEN 1.5 WHEN buyers = 2 THEN 3.5 ELSE 7 + buyers - 3 END + 2 * "new" + 0.5 * "add" + 2 * velocity + 5 * stake
-          + CASE WHEN starters >= 3 THEN 1.5 * starters ELSE 0 END + CASE WHEN kinds >= 3 THEN 5 ELSE 0 END, 6)::double AS score
-        FROM (SELECT *, ("new" > 0)::int + ("add" > 0 OR velocity > 0)::int + (stake > 0)::int + (buyers > 0)::int + (starters >= 3)::int AS kinds FROM summed WHERE ticker IN (SELECT ticker FROM securities WHERE market_cap >= 1e6)))
+          + CASE WHEN starters >= 3 THEN 1.5 * start_weight ELSE 0 END + CASE WHEN kinds >= 3 THEN 5 ELSE 0 END, 2)::double AS score
+        FROM (SELECT *, (buyers >= 2)::int + (n_moves > 0)::int + (stake > 0)::int + (n_velocity > 0)::int + (starters >= 3)::int AS kinds FROM summed WHERE ticker IN (SELECT ticker FROM securities WHERE market_cap >= 1e6)))
         WHERE score >= 1.0""",
+    "given_by": f"""SELECT m.ticker, unnest(CASE WHEN move = 'velocity' THEN ['add', 'velocity'] ELSE [move] END) AS kind, coalesce(filer_name, m.cik) AS name, ratio, filed FROM moved m LEFT JOIN filers f ON f.cik = m.cik WHERE move IS NOT NULL
+        UNION ALL SELECT ticker, 'activists', filer_name, NULL, filed FROM stakes s JOIN filers f ON f.cik = s.cik WHERE subtype = '13D' AND filed BETWEEN {D} - 90 AND {D}
+        UNION ALL SELECT p.ticker, 'insiders', p.name, NULL, b.filed FROM people p JOIN bought b ON b.ticker = p.ticker AND b.who = p.who WHERE excluded IS NULL AND is_10b5_1 IS DISTINCT FROM true""",
+    "named_by": """SELECT ticker, kind, array_to_string((list(name ORDER BY name))[1:CASE WHEN kind = 'activists' THEN 3 ELSE 5 END], '; ') AS names FROM (
+        SELECT DISTINCT ticker, kind, CASE WHEN kind = 'velocity' THEN name || ' ' || ratio::double ELSE name END AS name FROM given_by
+        UNION ALL SELECT ticker, 'excluded', name || ': ' || CASE excluded WHEN 'role' THEN 'not_officer_or_director' WHEN 'plan' THEN '10b5_1_plan' END FROM people WHERE excluded IS NOT NULL) GROUP BY ALL""",
+    "report": """SELECT s.ticker, s.score, s.kinds, n.new_by, n.add_by, n.velocity_by, n.activists, n.insiders, n.excluded, g.first_detected, g.latest_signal FROM scored s LEFT JOIN (
+        SELECT ticker, max(names) FILTER (kind = 'new') AS new_by, max(names) FILTER (kind = 'add') AS add_by, max(names) FILTER (kind = 'velocity') AS velocity_by, max(names) FILTER (kind = 'activists') AS activists, max(names) FILTER (kind = 'insiders') AS insiders,
+               max(names) FILTER (kind = 'excluded') AS excluded FROM named_by GROUP BY ticker) n ON n.ticker = s.ticker
+        LEFT JOIN (SELECT ticker, min(filed) AS first_detected, max(filed) AS latest_signal FROM given_by GROUP BY ticker) g ON g.ticker = s.ticker""",
     "back": "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars",
     "trail": """SELECT ticker, max(close) FILTER (k = 1) AS last, CASE WHEN max(close) FILTER (k = 64) > 0 THEN max(close) FILTER (k = 1) / max(close) FILTER (k = 64) - 1 END AS ret_63,
         CASE WHEN max(close) FILTER (k = 127) > 0 THEN max(close) FILTER (k = 1) / max(close) FILTER (k = 127) - 1 END AS ret_126,
@@ -66,6 +79,17 @@ VIEWS = Fund.VIEWS | {
         SELECT q.*, flow + coalesce((SELECT sum(amount) FROM etf_dividends d WHERE d.ticker = q.ticker AND d.date > q.start AND d.date <= q.period), 0) * before / nav_before AS total FROM (
         SELECT *, lag(period) OVER w AS start, lag(net_assets) OVER w AS before, lag(nav) OVER w AS nav_before, row_number() OVER (PARTITION BY ticker ORDER BY period DESC) AS k FROM etf_quarters WINDOW w AS (PARTITION BY ticker ORDER BY period)) q WHERE k <= 4)
         GROUP BY ticker""",
+    "etf_chosen": """SELECT ticker, CASE source WHEN 'daily' THEN df WHEN 'assets' THEN af WHEN 'quarterly' THEN qf ELSE mf END AS flow, CASE source WHEN 'daily' THEN dd WHEN 'assets' THEN ad WHEN 'quarterly' THEN qd ELSE md END AS as_of, source
+        FROM (SELECT *, CASE WHEN span >= 89 THEN 'daily' WHEN ad IS NOT NULL THEN 'assets' WHEN qd > md THEN 'quarterly' WHEN md IS NOT NULL THEN 'monthly' WHEN qd IS NOT NULL THEN 'quarterly' END AS source FROM (
+        SELECT ticker, d.flow AS df, d.as_of AS dd, span, a.flow AS af, a.as_of AS ad, q.flow AS qf, q.as_of AS qd, m.flow AS mf, m.as_of AS md FROM w_daily d FULL JOIN w_assets a USING (ticker)
+        FULL JOIN (SELECT * FROM w_quarters WHERE flow IS NOT NULL) q USING (ticker) FULL JOIN (SELECT * FROM w_months WHERE flow IS NOT NULL) m USING (ticker)))""",
+    "etf_months_to": "SELECT *, max(month_end) OVER (PARTITION BY ticker) AS latest FROM etf_months",
+    "last_month": "SELECT ticker, max(date) AS last_date FROM bars GROUP BY ticker",
+    "funds": f"""SELECT *, substr(ticker, 2)::int AS n FROM (SELECT ticker, (sum(net) FILTER (month_end > last_day(latest - INTERVAL 1 MONTH)) / 1e6) % 7 - 3 AS f1, (sum(net) FILTER (month_end > last_day(latest - INTERVAL 3 MONTH)) / 1e6) % 7 - 3 AS f3,
+               (sum(net) FILTER (month_end > last_day(latest - INTERVAL 6 MONTH)) / 1e6) % 7 - 3 AS f6 FROM etf_months_to GROUP BY ticker)
+        JOIN (SELECT ticker, max_by(close, date) / max_by(close, date) FILTER (date <= last_date - 30) - 1 AS p1 FROM bars JOIN last_month USING (ticker) GROUP BY ticker) USING (ticker)
+        JOIN (SELECT ticker, max(close) FILTER (k = 1) / coalesce(max(close) FILTER (k = 64), max_by(close, k)) - 1 AS p3, max(close) FILTER (k = 1) / coalesce(max(close) FILTER (k = 127), max_by(close, k)) - 1 AS p6,
+              max(close) FILTER (k = 1) / coalesce(max(close) FILTER (k = 253), max_by(close, k)) - 1 AS p12 FROM back GROUP BY ticker) USING (ticker) LEFT JOIN (SELECT ticker, {D} - as_of AS age FROM etf_chosen) USING (ticker)""",
     "w_months": "SELECT ticker, sum(net) AS flow, min(latest) AS as_of FROM (SELECT *, max(month_end) OVER (PARTITION BY ticker) AS latest FROM etf_months) WHERE month_end > last_day(latest - INTERVAL 3 MONTH) GROUP BY ticker",
 }
 
@@ -99,7 +123,17 @@ def stakers(s, d):
 
 
 def scored(s, d):
-    return staged(s, d, "scored", lambda: G.scores(G.moves(fresh(s, d)), G.cross_quarter(fresh(s, d)), clusters(s, d), stakers(s, d), weights(s, d), table(s, d, "securities"), RULES))
+    return staged(s, d, "scored", lambda: G.scores(G.moves(fresh(s, d)), G.starters(fresh(s, d)), clusters(s, d), stakers(s, d), weights(s, d), table(s, d, "securities"), RULES))
+
+
+def early_fresh(s, d):
+    """Positions as of a day when funds had just begun to file."""
+    points = G.trajectories(Fund.resolved(s, d), weights(s, d), EARLY)
+    return G.not_stale(G.latest_points(points), table(s, d, "filings"), EARLY, RULES)
+
+
+def report(s, d):
+    return staged(s, d, "report", lambda: G.score_report(scored(s, d), G.moves(fresh(s, d)), table(s, d, "stakes"), people(s, d), table(s, d, "insiders"), table(s, d, "filers"), AS_OF, RULES))
 
 
 def bars(s, d):
@@ -148,8 +182,15 @@ def metrics(s, d):
     m = etf_months(s, d)
     f = lambda n, c: E.monthly_window(m, n).select("ticker", (F.col("flow") / F.lit(1e6) % 7 - 3).alias(c))
     r = P.fund_returns(bars(s, d))
-    out = f(1, "f1").join(f(3, "f3"), "ticker").join(f(6, "f6"), "ticker").join(r, "ticker")
-    return out.select("ticker", "f1", "f3", "f6", F.col("ret_63").alias("p3"), F.col("ret_126").alias("p6"), F.col("ret_252").alias("p12"))
+    ages = choice(s, d).select("ticker", F.datediff(F.lit(AS_OF), "as_of").alias("age"))
+    out = f(1, "f1").join(f(3, "f3"), "ticker").join(f(6, "f6"), "ticker").join(r, "ticker").join(P.as_of_returns(bars(s, d), (30,)), "ticker").join(ages, "ticker", "left")
+    return out.select("ticker", "f1", "f3", "f6", "age", F.col("ret_30d").alias("p1"), F.col("ret_63").alias("p3"), F.col("ret_126").alias("p6"), F.col("ret_252").alias("p12"))
+
+
+def themes(s, d):
+    """A theme for each ticker, by its number."""
+    n = F.substring("ticker", 2, 9).cast("int")
+    return table(s, d, "securities").select("ticker", F.element_at(F.array(*[F.lit(t) for t in E.THEMES]), n % len(E.THEMES) + 1).alias("theme"))
 
 
 def _log_filings(s, d):
@@ -161,11 +202,13 @@ QUERIES = {
     "sig_01_trajectories": points,
     "sig_02_not_stale": lambda s, d: fresh(s, d).select("cik", "ticker", "first", "last", "shares"),
     "sig_03_moves": lambda s, d: G.moves(fresh(s, d)).select("cik", "ticker", "ratio", "move"),
-    "sig_04_cross_quarter": lambda s, d: G.cross_quarter(fresh(s, d)),
+    "sig_04_cross_quarter": lambda s, d: G.cross_quarter(early_fresh(s, d)),
     "sig_05_insider_cluster": lambda s, d: people(s, d).groupBy("ticker").agg(F.count("*").alias("buyers"), F.sum("trades").alias("trades")),
     "sig_06_insider_filters": lambda s, d: people(s, d).select("ticker", "who", "excluded", "value"),
     "sig_07_stake_growth": lambda s, d: _r(people(s, d).select("ticker", "who", "bought", "held", F.when(F.col("growth") < 1e300, F.col("growth")).alias("growth")), "growth"),
     "sig_08_activists": lambda s, d: _r(stakers(s, d), "stake_weight"),
+    "sig_09_report": lambda s, d: report(s, d),
+    "sig_09_page": lambda s, d: G.score_page(report(s, d), 5.0, "latest_signal").select("place", "ticker", "score", "latest_signal"),
     "sig_09_scores": lambda s, d: scored(s, d).select("ticker", "buyers", "starters", "kinds", "score"),
     "sig_10_extras": lambda s, d: G.extras(clusters(s, d), stakers(s, d)),
     "sig_11_enriched": lambda s, d: _r(G.enriched(scored(s, d).select("ticker", "score"), P.trailing_returns(bars(s, d)).select("ticker", "last", "ret_126").join(P.ytd_return(bars(s, d), AS_OF), "ticker", "left")), "last", "ret_126", "ytd"),
@@ -196,15 +239,12 @@ QUERIES = {
     "etf_05_quarterly_window": lambda s, d: _r(E.quarterly_window(etf_quarters(s, d), dividends(s, d), 4), "flow", n=2),
     "etf_06_monthly_window": lambda s, d: _r(E.monthly_window(etf_months(s, d), 3), "flow", n=3),
     "etf_07_choose_source": lambda s, d: _r(choice(s, d), "flow", n=2),
-    "etf_08_readings": lambda s, d: metrics(s, d).select("ticker", E.reading(F.col("f1"), F.col("f3"), F.col("f6"), F.lit(None).cast("double"), F.col("p3"), F.col("p6"), F.col("p12")).alias("reading"), E.freshness(F.length("ticker") * 50).alias("freshness")),
+    "etf_08_readings": lambda s, d: metrics(s, d).select("ticker", E.reading(F.col("f1"), F.col("f3"), F.col("f6"), F.col("p1"), F.col("p3"), F.col("p6"), F.col("p12")).alias("reading"), E.freshness(F.col("age")).alias("freshness")),
+    "etf_08_picks": lambda s, d: E.insight_picks(metrics(s, d)),
+    "etf_08_rotating": lambda s, d: E.rotating(metrics(s, d)).select("way", "ticker"),
+    "etf_08_themes": lambda s, d: _r(E.by_theme(metrics(s, d), themes(s, d)), "f1"),
 }
 
-_READ = """SELECT a.ticker, (a.flow / 1e6) % 7 - 3 AS f1, (b.flow / 1e6) % 7 - 3 AS f3, (c.flow / 1e6) % 7 - 3 AS f6, p3, p6, p12 FROM ({0}) a JOIN ({1}) b USING (ticker) JOIN ({2}) c USING (ticker)
-    JOIN (SELECT ticker, max(close) FILTER (k = 1) / coalesce(max(close) FILTER (k = 64), max_by(close, k)) - 1 AS p3, max(close) FILTER (k = 1) / coalesce(max(close) FILTER (k = 127), max_by(close, k)) - 1 AS p6,
-          max(close) FILTER (k = 1) / coalesce(max(close) FILTER (k = 253), max_by(close, k)) - 1 AS p12 FROM back GROUP BY ticker) p USING (ticker)""".format(
-    *[f"SELECT ticker, sum(net) AS flow FROM (SELECT *, max(month_end) OVER (PARTITION BY ticker) AS latest FROM etf_months) WHERE month_end > last_day(latest - INTERVAL {n} MONTH) GROUP BY ticker" for n in (1, 3, 6)]
-)
-
 _SQL = {
     "sig_01_trajectories": "SELECT * FROM points",
     "sig_02_not_stale": "SELECT cik, ticker, first, last, shares FROM fresh",
@@ -214,6 +254,8 @@ _SQL = {
     "sig_06_insider_filters": "SELECT ticker, who, excluded, value FROM people",
     "sig_07_stake_growth": "SELECT ticker, who, bought, held, CASE WHEN growth < 1e300 THEN round(growth, 6) END AS growth FROM people",
     "sig_08_activists": "SELECT * REPLACE (round(stake_weight, 6) AS stake_weight) FROM stakers",
+    "sig_09_report": "SELECT * FROM report",
+    "sig_09_page": "SELECT row_number() OVER (ORDER BY latest_signal DESC NULLS LAST, score DESC, ticker) AS place, ticker, score, latest_signal FROM report WHERE score >= 5",
     "sig_09_scores": "SELECT ticker, buyers, starters, kinds, score FROM scored",
     "sig_10_extras": "SELECT coalesce(c.ticker, s.ticker) AS ticker, coalesce(buyers, 0) AS buyers, names, filers, last_stake FROM clusters c FULL JOIN stakers s ON s.ticker = c.ticker",
     "sig_11_enriched": """SELECT s.ticker, s.score, round(t.last, 6) AS last, round(ret_126, 6) AS ret_126, round(ytd, 6) AS ytd FROM (SELECT * FROM scored ORDER BY score DESC, ticker LIMIT 200) s LEFT JOIN trail t ON t.ticker = s.ticker
@@ -264,13 +306,17 @@ _SQL = {
     "etf_04_asset_window": "SELECT * REPLACE (round(flow, 3) AS flow) FROM w_assets",
     "etf_05_quarterly_window": "SELECT * REPLACE (round(flow, 2) AS flow) FROM w_quarters",
     "etf_06_monthly_window": "SELECT * REPLACE (round(flow, 3) AS flow) FROM w_months",
-    "etf_07_choose_source": """SELECT ticker, round(CASE source WHEN 'daily' THEN df WHEN 'assets' THEN af WHEN 'quarterly' THEN qf ELSE mf END, 2) AS flow, CASE source WHEN 'daily' THEN dd WHEN 'assets' THEN ad WHEN 'quarterly' THEN qd ELSE md END AS as_of, source
-        FROM (SELECT *, CASE WHEN span >= 89 THEN 'daily' WHEN ad IS NOT NULL THEN 'assets' WHEN qd > md THEN 'quarterly' WHEN md IS NOT NULL THEN 'monthly' WHEN qd IS NOT NULL THEN 'quarterly' END AS source FROM (
-        SELECT ticker, d.flow AS df, d.as_of AS dd, span, a.flow AS af, a.as_of AS ad, q.flow AS qf, q.as_of AS qd, m.flow AS mf, m.as_of AS md FROM w_daily d FULL JOIN w_assets a USING (ticker)
-        FULL JOIN (SELECT * FROM w_quarters WHERE flow IS NOT NULL) q USING (ticker) FULL JOIN (SELECT * FROM w_months WHERE flow IS NOT NULL) m USING (ticker)))""",
-    "etf_08_readings": f"""SELECT ticker, CASE WHEN f1 > 1 AND f6 < -1 THEN 'rotated in' WHEN f1 < -1 AND f6 > 1 THEN 'rotated out' WHEN p6 > 0.2 AND p3 > 0.1 AND f1 > 3 THEN 'crowded' WHEN p3 > 0.02 AND f3 > 1 AND p12 > 0.05 THEN 'leader'
-        WHEN p3 > 0.02 AND f3 < -1 THEN 'distribution' WHEN p3 < -0.02 AND f3 > 1 THEN 'accumulation' WHEN p3 < -0.02 AND f3 < -1 THEN 'capitulation' WHEN p3 > 0.02 AND f3 < f6 - 3 AND f3 < 2 THEN 'fading' ELSE 'neutral' END AS reading,
-        CASE WHEN length(ticker) * 50 <= 7 THEN 'live' WHEN length(ticker) * 50 <= 90 THEN 'quarterly' ELSE 'bulk' END AS freshness FROM ({_READ})""",
+    "etf_07_choose_source": "SELECT * REPLACE (round(flow, 2) AS flow) FROM etf_chosen",
+    "etf_08_picks": """SELECT 'fresh inflow' AS pick, arg_max(ticker, (f1, -n)) AS ticker FROM funds WHERE f1 > 3 HAVING count(*) > 0 UNION ALL SELECT 'fresh outflow', arg_min(ticker, (f1, n)) FROM funds WHERE f1 < -2 HAVING count(*) > 0
+        UNION ALL SELECT 'flipped in', arg_min(ticker, (f6, n)) FROM funds WHERE f1 > 1 AND f6 < -1 HAVING count(*) > 0 UNION ALL SELECT 'flipped out', arg_max(ticker, (f6, -n)) FROM funds WHERE f1 < -1 AND f6 > 1 HAVING count(*) > 0
+        UNION ALL SELECT 'distribution', arg_min(ticker, (f1, n)) FROM funds WHERE p1 > 0.03 AND f1 < -1 HAVING count(*) > 0 UNION ALL SELECT 'accumulation', arg_max(ticker, (f1, -n)) FROM funds WHERE p1 < -0.03 AND f1 > 1 HAVING count(*) > 0""",
+    "etf_08_rotating": """SELECT * FROM (SELECT 'in' AS way, ticker FROM funds WHERE f1 > 2 AND f1 > f6 ORDER BY f1 DESC, ticker LIMIT 8) UNION ALL SELECT * FROM (SELECT 'out', ticker FROM funds WHERE f1 < -1.5 AND f1 < f6 ORDER BY f1, ticker LIMIT 8)""",
+    "etf_08_themes": f"""SELECT theme, list_position({list(E.THEMES)}, theme) AS group_place, row_number() OVER (PARTITION BY theme ORDER BY f1 DESC NULLS LAST, ticker) AS place, ticker, round(f1, 6) AS f1
+        FROM (SELECT *, ({list(E.THEMES)})[substr(ticker, 2)::int % 5 + 1] AS theme FROM funds)""",
+    "etf_08_readings": """SELECT ticker, CASE WHEN f1 > 1 AND f6 < -1 THEN 'rotated in' WHEN f1 < -1 AND f6 > 1 THEN 'rotated out' WHEN p6 > 0.2 AND p3 > 0.1 AND f1 > 3 THEN 'crowded' WHEN p > 0.02 AND f > 1 AND p12 > 0.05 THEN 'leader'
+        WHEN p > 0.02 AND f < -1 THEN 'distribution' WHEN p < -0.02 AND f > 1 THEN 'accumulation' WHEN p < -0.02 AND f < -1 THEN 'capitulation' WHEN p > 0.02 AND f3 < f6 - 3 AND f3 < 2 THEN 'fading' ELSE 'neutral' END AS reading,
+        CASE WHEN age IS NULL THEN 'none' WHEN age <= 7 THEN 'live' WHEN age <= 90 THEN 'quarterly' ELSE 'bulk' END AS freshness FROM (SELECT *, CASE WHEN p1 IS NOT NULL THEN f1 ELSE f3 END AS f, coalesce(p1, p3) AS p FROM funds)""",
 }
 
-SQL = {name: oracle(text, VIEWS) for name, text in _SQL.items()}
+_EARLY = {name: text.replace(D, "date '1992-09-30'") for name, text in VIEWS.items()}
+SQL = {name: oracle(text, _EARLY if name == "sig_04_cross_quarter" else VIEWS) for name, text in _SQL.items()}

@@ -82,7 +82,7 @@ def bulk(s, d):
 
 
 def monthly(s, d):
-    o = _read(s, d, "orders").where("o_custkey < 40")
+    o = _read(s, d, "orders")
     r = o.select(_s("o_orderkey").alias("a"), F.lpad(_s("o_orderkey"), 12, "0").alias("accession"), F.when(F.col("o_orderkey") % 3 == 0, _cat("S", (F.col("o_custkey") % 5).cast("string"))).alias("series_id"), F.concat(F.lit("K"), F.col("o_custkey") % 7).alias("cik"),
                  F.last_day("o_orderdate").alias("report_month"), *[F.when((F.col("o_orderkey") + k) % 4 != 0, F.col("o_orderkey") % (m * k) * 1.0).alias(f"{c}{k}") for k in (1, 2, 3) for c, m in (("sales", 50), ("redeem", 30))], *[F.lit(None).cast("double").alias(f"reinvest{k}") for k in (1, 2, 3)])
     by_series = s.createDataFrame([(f"S{i}", f"E{i}") for i in range(4)], "series_id string, ticker string")
@@ -96,7 +96,7 @@ def fund_reports(s, d):
 
 
 def histories(s, d):
-    t = table(s, d, "etf_daily").where("day(date) < 6")
+    t = table(s, d, "etf_daily")
     row = _cat("<Row><Cell>", F.date_format("date", "MMM d, yyyy"), "</Cell><Cell>", F.format_number(F.floor("nav").cast("double"), 2), "</Cell><Cell>", F.when(F.dayofmonth("date") == 2, "0").otherwise(F.format_number(F.col("shares_out").cast("double"), 0)), "</Cell></Row>")
     return X.parse_issuer_history(t.groupBy("ticker").agg(F.array_join(F.collect_list(row), "\n").alias("text")))
 
@@ -275,11 +275,11 @@ _SQL = {
     "src_04_form4": "SELECT accession, ticker, is_10b5_1, reporter_cik, is_officer, date, code, shares::double AS shares, price, CASE WHEN shares > 0 THEN shares * price END AS value, direct FROM insiders",
     "src_05_bulk_trades": "SELECT accession, ticker, reporter_cik, filed, date, shares::double AS shares, 100.0::double AS price, is_officer, NOT is_officer AS is_director FROM insiders WHERE code = 'P' AND shares % 5 <> 0 AND shares % 3 <> 0",
     "src_06_monthly_flows": """WITH r AS (SELECT o_orderkey AS k, lpad(o_orderkey::varchar, 12, '0') AS accession, coalesce(CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 5 < 4 THEN 'E' || (o_custkey % 5) END, CASE WHEN o_custkey % 7 < 3 THEN 'F' || (o_custkey % 7) END) AS ticker, o_orderdate AS m
-            FROM orders WHERE o_custkey < 40),
+            FROM orders),
         x AS (SELECT ticker, accession, last_day(date_trunc('month', m) - INTERVAL 1 MONTH * (3 - g))::date AS month_end, CASE WHEN (k + g) % 4 <> 0 THEN k % (50 * g) - k % (30 * g) END AS net, k, g FROM r, (VALUES (1), (2), (3)) t(g) WHERE ticker IS NOT NULL)
         SELECT ticker, month_end, max_by(net, accession)::double AS net FROM x WHERE net IS NOT NULL GROUP BY ALL""",
     "src_07_fund_report": "SELECT o_orderkey AS id, 'S' || o_custkey AS series_id, o_orderdate::date AS period, o_orderkey + 0.5::double AS net_assets, 1.5::double AS r1, CASE WHEN o_orderkey % 2 = 1 THEN -2.0::double END AS r2, 0.0::double AS r3 FROM orders",
-    "src_08_issuer_history": "SELECT ticker, date, floor(nav)::double AS nav, shares_out::double AS shares FROM etf_daily WHERE day(date) < 6 AND day(date) <> 2",
+    "src_08_issuer_history": "SELECT ticker, date, floor(nav)::double AS nav, shares_out::double AS shares FROM etf_daily WHERE day(date) <> 2",
     "src_09_daily_index": """SELECT CASE o_orderkey % 3 WHEN 0 THEN '4' ELSE '4/A' END AS form_type, 'Company ' || o_custkey || ' Inc' AS company, lpad(o_custkey::varchar, 10, '0') AS cik, o_orderdate::date AS filed, 'edgar/' || o_orderkey || '.txt' AS file FROM orders WHERE o_orderkey % 3 < 2""",
     "src_10_stakes": """SELECT filing_id, CASE subtype WHEN '13D' THEN '13D' ELSE '13G/A' END AS subtype, CASE subtype WHEN '13D' THEN 'ABC123' ELSE '12345' || substring(ticker, 2, 2) || 'A' END AS cusip, CASE subtype WHEN '13D' THEN ticker ELSE 'Company ' || ticker || ', Inc.' END AS issuer,
         round(percent_owned, 2) AS percent_owned, filed AS event_date FROM stakes""",
