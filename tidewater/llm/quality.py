@@ -22,7 +22,7 @@ WORD, WHITE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]++"
 BITS = 6
 #: (measure, whether small values are fenced too, the least distance of a fence from its quartile). Thousandths,
 #: but for hundredths of characters in a word.
-RULES = (("symbols", False, 20), ("marks", False, 100), ("word_length", True, 150), ("dup_lines", False, 200), ("repeats", False, 200))
+RULES = (("symbols", False, 20), ("marks", False, 100), ("word_length", True, 150), ("dup_lines", False, 400), ("repeats", False, 200))
 
 
 def doubled(h: Column, step: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import within
+
 
 def issuer_flows(daily: DataFrame) -> DataFrame:
     """Change of shares times the day's value; a series' first row has none."""
@@ -41,8 +43,8 @@ def quarterly_window(quarters: DataFrame, dividends: DataFrame, n: int) -> DataF
     w = Window.partitionBy("ticker").orderBy("period")
     q = quarters.select("*", F.lag("period").over(w).alias("start"), F.lag("net_assets").over(w).alias("before"), F.lag("nav").over(w).alias("nav_before"), F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("period"))).alias("k")).where(F.col("k") <= n)
     d = dividends.select("ticker", F.col("date").alias("paid_on"), "amount")
-    inside = (q["ticker"] == d["ticker"]) & (F.col("paid_on") > F.col("start")) & (F.col("paid_on") <= F.col("period"))
-    paid = q.join(d, inside).groupBy(q["ticker"], "period").agg(F.sum("amount").alias("paid"))
+    spans = q.select("ticker", "start", "period")
+    paid = within(spans, d, ["ticker"], "start", "period", "paid_on", 92).groupBy("ticker", "period").agg(F.sum("amount").alias("paid"))
     full = q.join(paid, ["ticker", "period"], "left").withColumn("flow", F.col("flow") + F.coalesce("paid", F.lit(0.0)) * F.col("before") / F.col("nav_before"))
     return full.groupBy("ticker").agg(F.when(F.count("flow") == F.count("*"), F.sum("flow")).alias("flow"), F.max("period").alias("as_of"))
 

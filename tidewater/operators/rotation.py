@@ -102,34 +102,72 @@ def proposed_orders(positions: DataFrame, pick: str, last: DataFrame, capital: f
     return sells.unionByName(buys)
 
 
+_SALES = "account {0}, ticker string, date date, id long, qty double, avg double, realized double, sold double, closes boolean"
+_ORDER = ["account", "ticker", "date", "id", "side", "qty", "price"]
+
+
+class _Walk:
+    """One account's position in one ticker, trade by trade."""
+
+    def __init__(self):
+        self.held = self.avg = self.realized = 0.0
+
+    def buy(self, qty: float, price: float) -> None:
+        if self.held + qty:
+            self.avg = (self.held * self.avg + qty * price) / (self.held + qty)
+        self.held += qty
+
+    def sell(self, qty: float, price: float) -> float:
+        """What is sold of what is held."""
+        sold = min(qty, self.held)
+        self.realized += sold * (price - self.avg)
+        self.held -= sold
+        return sold
+
+
 def average_cost(ledger: DataFrame) -> DataFrame:
     """A row for each counted sell and a closing row (closes) for each account and ticker, in order of (date, id).
 
-    The average is a true recurrence: buys re-average, sells realise at most what is held, and those
-    without a basis are skipped. Each (account, ticker), one person's trades in one stock, is folded
-    over its sorted trades.
+    The average is a true recurrence: buys re-average, sells realise at most what is held, and those without a basis are
+    skipped, as are trades without a quantity or a price. Trades are sorted within partitions of (account, ticker), and one
+    pass carries a position from batch to batch, so an account may have any number of trades. Trades of one date and id
+    are taken in the order of side, quantity and price.
     """
-    trades = F.sort_array(F.collect_list(F.struct("date", "id", "side", F.col("qty").cast("double").alias("qty"), "price")))
-    sale = "struct<date:date,id:bigint,qty:double,avg:double,realized:double,sold:double,closes:boolean>"
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("held"), zero.alias("avg"), zero.alias("realized"), F.array().cast(f"array<{sale}>").alias("out"))
-
-    def step(acc, t):
-        buy, held = t["side"] == "buy", acc["held"]
-        counted = ~buy & (held > 0)
-        sold = F.when(counted, F.least(t["qty"], held)).otherwise(zero)
-        avg = F.when(buy, (held * acc["avg"] + t["qty"] * t["price"]) / (held + t["qty"])).otherwise(acc["avg"])
-        realized = acc["realized"] + sold * (t["price"] - acc["avg"])
-        left = F.when(buy, held + t["qty"]).otherwise(held - sold)
-        row = F.struct(t["date"].alias("date"), t["id"].alias("id"), left.alias("qty"), avg.alias("avg"), realized.alias("realized"), sold.alias("sold"), F.lit(False).alias("closes"))
-        out = F.when(counted, F.array_append(acc["out"], row)).otherwise(acc["out"])
-        return F.struct(left.alias("held"), avg.alias("avg"), realized.alias("realized"), out.alias("out"))
-
-    folded = ledger.groupBy("account", "ticker").agg(trades.alias("t")).withColumn("f", F.aggregate("t", start, step))
-    last = F.element_at("t", -1)
-    open_avg = F.when(F.col("f.held") > 0, F.col("f.avg")).otherwise(zero)
-    end = F.struct(last["date"].alias("date"), last["id"].alias("id"), F.col("f.held").alias("qty"), open_avg.alias("avg"), F.col("f.realized").alias("realized"), zero.alias("sold"), F.lit(True).alias("closes"))
-    return folded.select("account", "ticker", F.explode(F.array_append("f.out", end)).alias("r")).select("account", "ticker", "r.*")
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = _SALES.format(ledger.schema["account"].dataType.simpleString())
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        key, walk, last = None, None, None
+
+        def closing():
+            return (*key, *last, walk.held, walk.avg if walk.held > 0 else 0.0, walk.realized, 0.0, True)
+
+        for batch in batches:
+            out = []
+            for account, ticker, day, number, side, qty, price in zip(*[batch.column(c).to_pylist() for c in _ORDER]):
+                if walk is None or (account, ticker) != key:
+                    if walk is not None:
+                        out.append(closing())
+                    key, walk = (account, ticker), _Walk()
+                last = (day, number)
+                if qty is None or price is None:
+                    continue
+                if side == "buy":
+                    walk.buy(qty, price)
+                elif walk.held > 0:
+                    sold = walk.sell(qty, price)
+                    out.append((*key, *last, walk.held, walk.avg, walk.realized, sold, False))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if walk is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(closing(), schema)], schema=schema)
+
+    trades = ledger.select("account", "ticker", "date", "id", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    return trades.repartition("account", "ticker").sortWithinPartitions(*_ORDER).mapInArrow(run, ddl)
 
 
 def account_summary(walked: DataFrame, prices: DataFrame) -> DataFrame:

@@ -358,6 +358,7 @@ QUERIES = {
     "scn_10_verdicts": lambda s, d: _r(C.verdicts(effects(s, d), LEVEL, C.up_shares(plain_cuts(s, d), OUTCOMES), C.baselines(events(s, d), OUTCOMES)), "mean", "t", "q", "check_mean", "check_t", "check_p", "up_share", "base_up"),
     "scn_10_baselines": lambda s, d: _r(C.baselines(events(s, d), OUTCOMES), "mean", "up"),
     "scn_11_weekly_rank_scores": lambda s, d: _r(C.weekly_rank_scores(events(s, d), "pre", "react", 3), "ic", "spread", "top"),
+    "scn_12_placebo": lambda s, d: _r(C.placebo_test(events(s, d), "pre", "react"), "value", "mean", "deviation", "p"),
     "scn_12_model_scores": lambda s, d: _r(C.model_scores(events(s, d), ["pre", "vol", "buyers", "peer_n"], "react", SPLIT), "prediction", "y", "placebo"),
 }
 
@@ -462,6 +463,10 @@ _SQL = {
     "evt_20_wire_rows": """SELECT m.ticker, m.date, s.s, round(pre, 4) AS pre, round(react, 4) AS react, round(drift, 4) AS drift FROM measured m LEFT JOIN (SELECT ticker, dense_rank() OVER (ORDER BY sector) - 1 AS s FROM securities) s ON s.ticker = m.ticker""",
 }
 
+_SQL["scn_12_placebo"] = """WITH e AS (SELECT rdate, ticker, week_id, pre AS s, react AS y, r FROM feats, range(101) t(r) WHERE pre IS NOT NULL AND react IS NOT NULL),
+    k AS (SELECT r, y, row_number() OVER (PARTITION BY week_id, r ORDER BY CASE WHEN r = 0 THEN s END NULLS FIRST, CASE WHEN r > 0 THEN md5(ticker || ':' || rdate::date || ':' || r) END NULLS FIRST, ticker, rdate) - (count(*) OVER (PARTITION BY week_id, r) + 1) / 2 AS k FROM e),
+    f AS (SELECT r, count(*) AS n, round(sum(k * y) / count(*), 9) AS figure FROM k GROUP BY r), v AS (SELECT n, figure AS value FROM f WHERE r = 0)
+    SELECT v.n, round(value, 6) AS value, round(avg(figure) FILTER (r > 0), 6) AS mean, round(stddev(figure) FILTER (r > 0), 6) AS deviation, round(count(*) FILTER (abs(figure) >= abs(value)) / 101, 6) AS p FROM f, v GROUP BY v.n, value"""
 _SQL["evt_17_overall_groups"] = _SQL["evt_17_filtered_groups"].replace("looked", "overall")
 _SQL["evt_18_live_answers"] = _SQL["evt_18_answers"].replace("FROM looked l", "FROM (SELECT * FROM looked WHERE day(date) % 2 = 1) l")
 _SQL["evt_18_context_answers"] = _SQL["evt_18_answers"].replace("AS c FROM m)", "AS c FROM m WHERE buyers > 0)")

@@ -50,6 +50,16 @@ def info_tables(s, d):
     return r.groupBy(F.col("l_orderkey").alias("filing_id")).agg(_cat('<n1:informationTable xmlns:n1="urn:t">', F.array_join(F.collect_list(one), ""), "</n1:informationTable>").alias("xml"))
 
 
+def info_files(s, d):
+    """The lines of every sixteenth supplier as the rows of one filing's files, read by their tag."""
+    r = _read(s, d, "lineitem")
+    one = _cat("<n1:infoTable><n1:nameOfIssuer>P ", _s("l_partkey"), "</n1:nameOfIssuer><n1:cusip>C", _s("l_orderkey"), "</n1:cusip><n1:value>", F.when(F.col("l_linenumber") == 3, "n/a").otherwise(_s("l_linenumber")),
+               "</n1:value><n1:shrsOrPrnAmt><n1:sshPrnamt>", F.col("l_quantity").cast("bigint").cast("string"), "</n1:sshPrnamt><n1:sshPrnamtType>SH</n1:sshPrnamtType></n1:shrsOrPrnAmt></n1:infoTable>")
+    path = f"{folder(s)}/info-{uuid.uuid4().hex}"
+    r.select((F.col("l_suppkey") % 16).alias("filing"), one.alias("line")).write.partitionBy("filing").text(path)
+    return X.read_info_tables(s, path, "n1:infoTable", F.col("filing"))
+
+
 def covers(s, d):
     o = _read(s, d, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "Restatement").when(F.col("o_orderstatus") == "O", "NEW\n  HOLDINGS").otherwise("?</e:broken>")
@@ -223,7 +233,7 @@ def late(s, d):
 
 def delta_rows(s, d):
     e = _stream(s, d).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("time"), "value")
-    out = J.drain(J.deltas(e), s, _work(s))
+    out = J.drain(J.deltas(e, "40 days", 400), s, _work(s))
     return out.select("key", "value", F.round("delta", 4).alias("delta")).withColumn("delta", F.nanvl("delta", F.lit(None).cast("double")))
 
 
@@ -241,6 +251,7 @@ def reconciled(s, d):
 QUERIES = {
     "src_01_submissions": lambda s, d: X.submissions_to_filings(submissions(s, d), AS_OF, 3).select("cik", "accession", "form_type", "filed"),
     "src_02_info_table": lambda s, d: X.parse_info_table(info_tables(s, d)),
+    "src_02_info_files": info_files,
     "src_03_amendment_type": lambda s, d: typed(s, d),
     "src_04_form4": lambda s, d: form4(s, d).select("accession", "ticker", "is_10b5_1", "reporter_cik", "is_officer", "date", "code", "shares", "price", "value", "direct"),
     "src_05_bulk_trades": lambda s, d: bulk(s, d).select("accession", "ticker", "reporter_cik", "filed", "date", "shares", "price", "is_officer", "is_director"),
@@ -270,6 +281,7 @@ _SQL = {
         FROM orders WHERE o_orderkey % 5 <> 3 AND o_orderdate::date >= date '1998-07-30' AND (o_orderkey % 5 <> 1 OR o_custkey % 9 + 1 IN (1, 2, 8))""",
     "src_02_info_table": """SELECT l_orderkey AS filing_id, 'P ' || l_partkey AS issuer_name, 'C' || l_suppkey AS cusip, CASE WHEN l_linenumber <> 3 THEN l_linenumber::double END AS value_usd, l_quantity::bigint AS shares,
         CASE WHEN l_linenumber = 6 THEN 'PRN' ELSE 'SH' END AS sh_type, CASE WHEN l_linenumber = 7 THEN 'Call' END AS put_call FROM lineitem WHERE l_discount <> 0""",
+    "src_02_info_files": """SELECT l_suppkey % 16 AS filing_id, 'P ' || l_partkey AS issuer_name, 'C' || l_orderkey AS cusip, CASE WHEN l_linenumber <> 3 THEN l_linenumber::double END AS value_usd, l_quantity::bigint AS shares, 'SH' AS sh_type, NULL::varchar AS put_call FROM lineitem""",
     "src_03_amendment_type": """SELECT * FROM (SELECT o_orderkey AS filing_id, CASE WHEN o_orderkey % 7 = 0 THEN 'RESTATEMENT' WHEN o_orderstatus = 'F' THEN 'RESTATEMENT' WHEN o_orderstatus = 'O' THEN 'NEW HOLDINGS' END AS amendment_type FROM orders)
         WHERE filing_id % 2 = 0 OR amendment_type IS NOT NULL""",
     "src_04_form4": "SELECT accession, ticker, is_10b5_1, reporter_cik, is_officer, date, code, shares::double AS shares, price, CASE WHEN shares > 0 THEN shares * price END AS value, direct FROM insiders",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cik10, has_role, tri_state
@@ -28,7 +28,8 @@ def submissions_to_filings(docs: DataFrame, as_of: date, years: int = 3) -> Data
     return rows.where(F.col("form_type").isin(*FORMS) & (F.col("filed") >= F.add_months(F.lit(as_of), -12 * years)) & ((F.col("form_type") != "8-K") | kept))
 
 
-_POSITION = "nameOfIssuer string, cusip string, value string, shrsOrPrnAmt struct<sshPrnamt string, sshPrnamtType string>, putCall string"
+_FIELDS = ("nameOfIssuer string", "cusip string", "value string", "shrsOrPrnAmt struct<sshPrnamt string, sshPrnamtType string>", "putCall string")
+_POSITION = ", ".join(_FIELDS)
 
 
 def parse_info_table(docs: DataFrame) -> DataFrame:
@@ -37,7 +38,11 @@ def parse_info_table(docs: DataFrame) -> DataFrame:
     Rows without a name or security id are skipped, bad numbers (also ones with commas) are null, bad XML has no rows.
     """
     x = F.from_xml("xml", f"struct<infoTable array<struct<{_POSITION}>>>", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    rows = docs.select("filing_id", F.explode(x["infoTable"]).alias("p"))
+    return _positions(docs.select("filing_id", F.explode(x["infoTable"]).alias("p")))
+
+
+def _positions(rows: DataFrame) -> DataFrame:
+    """Rules of an information table's rows: filing_id and p, its fields as text."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     whole = F.trim("p.shrsOrPrnAmt.sshPrnamt")
     return rows.select(
@@ -46,6 +51,17 @@ def parse_info_table(docs: DataFrame) -> DataFrame:
     ).where("issuer_name IS NOT NULL AND cusip IS NOT NULL")
 
 
+def read_info_tables(spark: SparkSession, path: str, tag: str = "infoTable", filing: Column | None = None) -> DataFrame:
+    """parse_info_table of files: Spark reads a document's rows by their tag one after another, so that no table is ever one value.
+
+    tag: the row's, with its prefix if it has one, as prefixes of the row tag itself aren't left out. filing: what tells
+    filings apart, a column of the path's partitions or of `_metadata`; the file's name up to its first dot by default.
+    """
+    rows = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(_POSITION).load(path)
+    filing = F.substring_index(F.col("_metadata.file_name"), ".", 1) if filing is None else filing
+    return _positions(rows.select(filing.alias("filing_id"), F.struct(*[c.split(" ")[0] for c in _FIELDS]).alias("p")))
+
+
 def text_at(xml: Column, path: str) -> Column:
     """The text at a path; null where the document isn't well-formed, for xpath fails there."""
     broken = F.from_xml(xml, "struct<_corrupt_record string, _none string>", {"mode": "PERMISSIVE"})["_corrupt_record"]

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .staging import stored
+
 
 class Table:
-    """A Parquet table under a path, partitioned by bucket of its keys; one writer at a time.
+    """A Parquet table under a path, partitioned by how it is dealt and by bucket; one writer at a time.
+
+    `_dealt` has the number of buckets and the keys whose hash gives the bucket, so that a table is never taken to be
+    dealt otherwise than it is: rows put there whole, or under other keys or another number, are dealt anew at the next
+    merge. A merge rewrites the buckets of its keys, and so most of the table if it brings more keys than there are buckets:
+    choose the number by the table's size.
 
-    Spark's dynamic partition overwrite swaps a job's partitions in when all are written, so a failed write changes nothing.
-    Readers list files when they start: as with any plain Parquet table, one that is reading while a
-    bucket is replaced fails and is run again.
+    Spark swaps the partitions of a job in one after another when all are written: a job that fails before that changes
+    nothing. Readers list files when they start: as with any plain Parquet table, one that is reading while a bucket is
+    replaced fails and is run again.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
@@ -28,25 +35,37 @@ class Table:
     def bucket(self, keys: list[str]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
+    def _write(self, rows: DataFrame, dealt: str, mode: str) -> None:
+        rows = rows.withColumn("_dealt", F.lit(dealt))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_dealt", "_bucket").parquet(self.path)
+
     def read(self) -> DataFrame | None:
         """All rows; None before the first write."""
         df = self._stored()
-        return None if df is None else df.drop("_bucket")
+        return None if df is None else df.drop("_bucket", "_dealt")
 
     def replace(self, df: DataFrame) -> None:
         """These rows and no others."""
-        df.withColumn("_bucket", F.lit(0)).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(self.path)
+        self._write(df.withColumn("_bucket", F.lit(0)), "whole", "static")
 
     def merge(self, batch: DataFrame, keys: list[str], join) -> None:
         """Rewrite the buckets of a batch's keys as join(stored rows or None, batch); the others stay as they are."""
-        dealt = batch.withColumn("_bucket", self.bucket(keys)).persist()
-        touched = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # at most `buckets`
+        dealt = f"{self.buckets} by {' '.join(keys)}"
         old = self._stored()
-        if old is not None:
-            old = old.where(F.col("_bucket").isin(touched)).drop("_bucket")
-        rows = join(old, dealt.drop("_bucket")).withColumn("_bucket", self.bucket(keys))
-        rows.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
-        dealt.unpersist()
+        if old is not None and not old.where(F.col("_dealt") != dealt).isEmpty():
+            # Dealt otherwise: staged first, for a table can't be overwritten while it is read.
+            again = stored(old.drop("_bucket", "_dealt").withColumn("_bucket", self.bucket(keys)), "dealt")
+            self._write(again.repartition("_bucket"), dealt, "static")
+            old = self._stored()
+        rows = batch.withColumn("_bucket", self.bucket(keys)).persist()
+        try:
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets`
+            if old is not None:
+                old = old.where(F.col("_bucket").isin(touched)).drop("_bucket", "_dealt")
+            done = join(old, rows.drop("_bucket")).withColumn("_bucket", self.bucket(keys))
+            self._write(done.repartition("_bucket"), dealt, "dynamic")
+        finally:
+            rows.unpersist()
 
 
 def newest(df: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.sinks import Table, newest, upsert
 
@@ -20,12 +21,51 @@ def intake(stream: DataFrame, key: str, time: str, late: str = "2 days") -> Data
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CLUSTER = "start timestamp, ticker string, buyers long, trades long"
+
+
+class DistinctBuyers(StatefulProcessor):
+    """Of one window and ticker: a state row for each buyer, and two counts. All of it goes when the window has ended."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "who string", "n long")
+        self.counts = handle.getValueState("counts", "buyers long, trades long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        buyers, trades = self.counts.get() if self.counts.exists() else (0, 0)
+        ends = None
+        for batch in rows:
+            for who, n in batch.groupby("who").size().items():
+                trades += int(n)
+                if not self.known.containsKey((who,)):
+                    self.known.updateValue((who,), (1,))
+                    buyers += 1
+            ends = batch["until"].max()
+        self.counts.update((buyers, trades))
+        self.handle.registerTimer(int(ends.timestamp() * 1000))
+        yield pd.DataFrame({"start": [key[0]], "ticker": [key[1]], "buyers": [buyers], "trades": [trades]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.counts.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def insider_clusters(stream: DataFrame, days: int = 30, late: str = "3 days", slide: str = "1 day") -> DataFrame:
-    """Distinct buyers in sliding windows as filings arrive: the watermark is on the filing time, the window too."""
+    """Distinct buyers in sliding windows as filings arrive: the watermark is on the filing time, the window too.
+
+    A window's buyers are a map in the state, a row each, so that no row grows with their number. It is dropped when the
+    watermark passes the window's end, and rows later than that are too. The state store has to be ROCKS; see `drain`.
+    """
     w = F.window("filed_at", f"{days} days", slide)
-    return stream.withWatermark("filed_at", late).where("code = 'P'").groupBy(w.alias("w"), "ticker").agg(
-        F.size(F.collect_set(F.coalesce("reporter_cik", F.lit("")))).cast("long").alias("buyers"), F.count("*").alias("trades")
-    ).select(F.col("w.start").alias("start"), "ticker", "buyers", "trades")
+    rows = stream.withWatermark("filed_at", late).where("code = 'P'").select(w.alias("w"), "ticker", "filed_at", F.coalesce("reporter_cik", F.lit("")).alias("who"))
+    rows = rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("until"), "ticker", "filed_at", "who")
+    return rows.groupBy("start", "ticker").transformWithStateInPandas(DistinctBuyers(), CLUSTER, "Update", "eventTime")
 
 
 def rollup(stream: DataFrame, time: str, value: str, late: str = "1 day") -> DataFrame:
@@ -52,22 +92,50 @@ def keyed_sink(table: Table, keys: list[str], version: str):
 DELTA = "key long, time timestamp, value double, delta double"
 
 
-def _deltas(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["time", "value"])
-    last = state.get[0] if state.exists else None
-    before = rows["value"].shift()
-    before.iloc[0] = float("nan") if last is None else last
-    state.update((float(rows["value"].iloc[-1]),))
-    yield pd.DataFrame({"key": key[0], "time": rows["time"], "value": rows["value"], "delta": rows["value"] - before})
+def _deltas(keep_ms: int):
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["time", "value"])
+        last = state.get[0] if state.exists else None
+        before = rows["value"].shift()
+        before.iloc[0] = float("nan") if last is None else last
+        until = int(rows["time"].iloc[-1].timestamp() * 1000) + keep_ms
+        if until > state.getCurrentWatermarkMs():
+            state.update((float(rows["value"].iloc[-1]),))
+            state.setTimeoutTimestamp(until)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": key[0], "time": rows["time"], "value": rows["value"], "delta": rows["value"] - before})
+
+    return run
+
 
+def deltas(stream: DataFrame, late: str = "3 days", keep_days: int = 90) -> DataFrame:
+    """Change of a key's value since its last snapshot (key, time, value); the last value is the state.
 
-def deltas(stream: DataFrame) -> DataFrame:
-    """Change of a key's value since its last snapshot (key, time, value); the last value is the state."""
-    return stream.groupBy("key").applyInPandasWithState(_deltas, DELTA, "value double", "append", "NoTimeout")
+    A key without a snapshot for so many days of the stream's own time is forgotten: its next one has no delta. Rows that
+    are later than the watermark are dropped.
+    """
+    return stream.withWatermark("time", late).groupBy("key").applyInPandasWithState(_deltas(keep_days * 86_400_000), DELTA, "value double", "append", "EventTimeTimeout")
 
 
 def drain(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
-    """Run what has landed to its end, into Parquet or, where rows are updated, through the memory of a batch, and read it."""
+    """Run what has landed to its end, into Parquet or, where rows are updated, through the memory of a batch, and read it.
+
+    The query keeps its state in RocksDB, on disk; the session's own choice of a store is as before when it returns.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        return _drain(stream, spark, path, mode)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _drain(stream: DataFrame, spark: SparkSession, path: str, mode: str) -> DataFrame:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{path}/rows").start()
