@@ -191,3 +191,147 @@ def test_flow_filters_and_order(spark):
     assert names(H.filter_flows(df, industry="Unclassified")) == ["B"] and names(H.filter_flows(df, no_label=True)) == ["D"]
     assert names(H.filter_flows(df, min_adv=4e6, max_ret=0.5)) == ["A", "C"]
     assert names(H.filter_flows(df, watchlist=spark.createDataFrame([("C",), ("C",)], "ticker string"))) == ["C"]
+
+
+def test_running_totals_and_extremes_over_ranges(spark):
+    import random
+
+    from tidewater.operators.running import average_ranks, running
+
+    random.seed(4)
+    rows = [(i, random.choice([None, *range(12)]), random.random()) for i in range(500)] + [(500 + i, 3, 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k int, v double").repartition(7)
+    got = {r["id"]: r for r in running(df, [F.col("k").asc_nulls_last(), F.col("id")], {"total": (F.sum, "v"), "low": (F.min, "v"), "high": (F.max, "v")}).collect()}
+    order, total, seen = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])), 0.0, []
+    for i, _, v in order:
+        total, seen = total + v, [*seen, v]
+        assert abs(got[i]["total"] - total) < 1e-9 and got[i]["low"] == min(seen) and got[i]["high"] == max(seen)
+    together = running(df, [F.col("k").asc_nulls_last()], {"total": (F.sum, "v")}, peers=True)
+    assert together.where("k = 3").select(F.round("total", 9)).distinct().count() == 1
+    ranks = {r["k"]: r["rank"] for r in average_ranks(df, "k", [], "rank").collect()}
+    values = sorted(r[1] for r in rows if r[1] is not None)
+    assert ranks == {k: sum(i for i, v in enumerate(values, 1) if v == k) / values.count(k) for k in set(values)}
+    assert running(df.where("id < 0"), [F.col("id")], {"total": (F.sum, "v")}).collect() == []
+
+
+def test_ranks_and_rates_have_no_task_of_all_rows(spark):
+    """Single partitions are met only by a row for each range."""
+    from tidewater.operators import explore as X
+
+    tests = spark.createDataFrame([(f"c{i}", "react", (i * 37 % 100) / 100 + 0.001) for i in range(100)], "cut string, outcome string, p double")
+    plan = C.discovery_rates(tests)._jdf.queryExecution().executedPlan().toString()
+    moves = spark.createDataFrame([(f"t{i}", Q, i % 7 / 7, i % 5 / 5) for i in range(40)], "ticker string, rdate date, x double, y double")
+    plan += X.grouped(moves, 3, False)._jdf.queryExecution().executedPlan().toString()
+    for at in [i for i in range(len(plan)) if plan.startswith("Exchange SinglePartition", i)]:
+        below = plan[at : at + 400]
+        assert "HashAggregate" in below or "range" in below
+    got = {r["cut"]: r["q"] for r in C.discovery_rates(tests).collect()}
+    p = sorted((r["p"], r["cut"]) for r in tests.collect())
+    least = 1.0
+    for k in range(100, 0, -1):
+        least = min(least, p[k - 1][0] * 100 / k)
+        assert abs(got[p[k - 1][1]] - least) < 1e-12
+
+
+def test_a_replaced_table_can_be_upserted(spark, tmp_path):
+    t = Table(spark, f"{tmp_path}/t", 4)
+    rows = lambda ids, version: spark.createDataFrame([(i, version) for i in ids], "key int, version int")
+    t.replace(rows(range(6), 1))
+    upsert(t, rows(range(3, 9), 2), ["key"], "version")
+    assert sorted(map(tuple, t.read().collect())) == [(i, 1 if i < 3 else 2) for i in range(9)]
+    upsert(Table(spark, f"{tmp_path}/t", 7), rows([0, 8], 3), ["key"], "version")
+    assert sorted(map(tuple, t.read().collect())) == [(i, 3 if i in (0, 8) else 1 if i < 3 else 2) for i in range(9)]
+    upsert(t, rows([1], 0), ["key"], "version")
+    assert t.read().where("key = 1").first()["version"] == 1
+
+
+def test_repeated_bars_are_one_bar(spark):
+    days = [date(2001, 1, d) for d in range(1, 11)]
+    bars = [("A", d, 1.0, 2.0, 0.5, float(i + 1), 100) for i, d in enumerate(days)]
+    again = [("A", days[4], 9.0, 9.0, 9.0, 9.0, 50), ("A", days[5], 1.0, 2.0, 0.5, 60.0, 500), bars[7]]
+    schema = "ticker string, date date, open double, high double, low double, close double, volume long"
+    bench = spark.createDataFrame([(d, 1.0 + i) for i, d in enumerate(days)] + [(days[3], 4.0)], "date date, close double")
+    cal = V.calendar(bench)
+    assert cal.count() == 10
+    indexed = V.indexed_bars(spark.createDataFrame(bars + again, schema), cal)
+    assert [(r["idx"], r["close"]) for r in indexed.orderBy("idx").collect()] == [(i, 60.0 if i == 6 else float(i)) for i in range(1, 11)]
+    reports = spark.createDataFrame([("A", days[6], "bmo", 1.0, 7)], "ticker string, date date, session string, surprise double, ridx int")
+    assert V.windows(reports, indexed).count() == 1
+    assert C.marks(bench, cal).count() == 10
+
+
+def test_an_accounts_trades_are_folded_across_batches(spark):
+    n = 40_000
+    rows = [(1, "A", date(2001, 1, 1), i, "sell" if i % 3 == 2 else "buy", 1.0 + i % 5, 10.0 + i % 7) for i in range(n)]
+    rows += [(1, "B", date(2001, 1, 1), 1, "sell", 5.0, 9.0), (2, "A", date(2001, 1, 1), 1, "buy", 2.0, 9.0), (2, "A", date(2001, 1, 2), 2, "sell", None, 9.0), (2, "A", date(2001, 1, 3), 3, "sell", 3.0, 10.0), (None, "A", date(2001, 1, 1), 1, "buy", 0.0, 9.0)]
+    ledger = spark.createDataFrame(rows, "account long, ticker string, date date, id long, side string, qty double, price double")
+    got = R.average_cost(ledger)
+    held = avg = realized = 0.0
+    for _, _, _, _, side, qty, price in rows[:n]:
+        if side == "buy":
+            held, avg = held + qty, (held * avg + qty * price) / (held + qty)
+        elif held > 0:
+            sold = min(qty, held)
+            realized, held = realized + sold * (price - avg), held - sold
+    last = got.where("account = 1 AND ticker = 'A' AND closes").first()
+    assert (last["qty"], last["avg"], last["realized"]) == (held, avg, realized)
+    assert got.where("account = 1 AND ticker = 'A' AND NOT closes").count() == n // 3
+    assert [tuple(r)[4:] for r in got.where("account = 2").orderBy("closes").collect()] == [(0.0, 9.0, 2.0, 2.0, False), (0.0, 0.0, 2.0, 0.0, True)]
+    assert got.where("account IS NULL").first()["closes"] and got.where("ticker = 'B'").count() == 1
+
+
+def test_days_meet_spans_once(spark):
+    from tidewater.operators.intervals import within
+
+    spans = [("A", i, date.fromordinal(730000 + 3 * i), date.fromordinal(730000 + 3 * i + k)) for i, k in enumerate([0, 1, 5, 40, 90, 91, 92, 93, 400])]
+    days = [("A", date.fromordinal(729990 + i)) for i in range(450)]
+    got = within(spark.createDataFrame([*spans, ("A", 99, None, Q)], "t string, s int, a date, z date"), spark.createDataFrame(days, "t string, d date"), ["t"], "a", "z", "d", 92)
+    assert sorted((r["s"], r["d"]) for r in got.collect()) == [(s, d) for _, s, a, z in spans for _, d in days if a < d <= z]
+
+
+def test_rows_of_a_large_file_are_read_by_their_tag(spark, tmp_path):
+    """A file of many rows is split, and gives what the whole document gives."""
+    one = "<{0}infoTable>\n <{0}nameOfIssuer>N {1} &amp; Co</{0}nameOfIssuer><{0}cusip>C{1}</{0}cusip><{0}value>{1}</{0}value><{0}shrsOrPrnAmt><{0}sshPrnamt>{1}</{0}sshPrnamt><{0}sshPrnamtType>sh</{0}sshPrnamtType></{0}shrsOrPrnAmt></{0}infoTable>\n"
+    whole = []
+    for name, prefix, n in (("a", "", 300), ("b", "ns1:", 20_000), ("c", "n:", 0)):
+        head = f'<?xml version="1.0"?>\n<{prefix}informationTable xmlns{":" + prefix[:-1] if prefix else ""}="urn:t">\n'
+        text = head + "".join(one.format(prefix, i) for i in range(n)) + f"</{prefix}informationTable>\n"
+        (tmp_path / f"{name}.xml").write_text(text)
+        whole.append((name, text))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    got = X.read_info_tables(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 3
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = X.parse_info_table(spark.createDataFrame(whole, "filing_id string, xml string"))
+    assert got.count() == 20_300 and got.exceptAll(want).isEmpty()
+
+
+def test_an_idle_keys_state_goes(spark, tmp_path):
+    from tidewater.streaming import jobs as J
+
+    def at(day):
+        return f"2001-{1 + day // 28:02d}-{1 + day % 28:02d} 00:00:00"
+
+    rows = [[("1", 0, 10.0), ("2", 0, 5.0)], [("1", 10, 11.0)], [("1", 60, 12.0)], [("1", 61, 13.0)], [("1", 62, 14.0), ("2", 62, 6.0)]]
+    for i, part in enumerate(rows):
+        df = spark.createDataFrame([(int(k), at(d), v) for k, d, v in part], "key long, time string, value double")
+        df.select("key", F.col("time").cast("timestamp").alias("time"), "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = J.landing(spark, f"{tmp_path}/in", "key long, time timestamp, value double", files=1)
+    out = J.drain(J.deltas(stream, "1 day", 30), spark, f"{tmp_path}/work")
+    got = sorted((r["key"], r["value"], None if r["delta"] != r["delta"] or r["delta"] is None else r["delta"]) for r in out.collect())
+    assert (2, 6.0, None) in got and (1, 11.0, 1.0) in got and (1, 13.0, 1.0) in got and (1, 14.0, 1.0) in got and (1, 12.0, None) in got
+    kept = spark.read.format("statestore").option("stateStoreName", "default").load(f"{tmp_path}/work/state")
+    assert kept.count() == 2  # of both keys the newest; with nothing after day 20 the second one's would be gone
+    for i, day in enumerate((63, 95, 96, 97)):
+        spark.createDataFrame([(1, at(day), 20.0 + i)], "key long, time string, value double").select("key", F.col("time").cast("timestamp").alias("time"), "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    J.drain(J.deltas(stream, "1 day", 30), spark, f"{tmp_path}/work")
+    assert spark.read.format("statestore").load(f"{tmp_path}/work/state").count() == 1  # the second key's is gone
+
+
+def test_a_scores_own_order_is_held_against_shuffled_ones(spark):
+    rows = [(Q, f"T{i}", date.fromordinal(730000 + w), float(i), i * 0.01 + (i * 7919 + w * 31) % 13 / 1000) for w in range(20) for i in range(12)]
+    df = spark.createDataFrame(rows, "week_id date, ticker string, rdate date, s double, y double").withColumn("week_id", F.date_trunc("week", "rdate").cast("date"))
+    assert C.placebo_test(df, "s", "y", 50).first()["p"] < 0.03
+    none = C.placebo_test(df.withColumn("s", F.xxhash64("ticker", "rdate").cast("double")), "s", "y", 50).first()
+    assert none["p"] > 0.03 and none["n"] == 240
+    assert C.placebo_test(df.where("s < 0"), "s", "y", 5).collect() == []

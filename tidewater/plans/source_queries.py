@@ -57,7 +57,7 @@ def info_files(s, d):
                "</n1:value><n1:shrsOrPrnAmt><n1:sshPrnamt>", F.col("l_quantity").cast("bigint").cast("string"), "</n1:sshPrnamt><n1:sshPrnamtType>SH</n1:sshPrnamtType></n1:shrsOrPrnAmt></n1:infoTable>")
     path = f"{folder(s)}/info-{uuid.uuid4().hex}"
     r.select((F.col("l_suppkey") % 16).alias("filing"), one.alias("line")).write.partitionBy("filing").text(path)
-    return X.read_info_tables(s, path, "n1:infoTable", F.col("filing"))
+    return X.read_info_tables(s, path, F.col("filing"))
 
 
 def covers(s, d):

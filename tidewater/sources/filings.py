@@ -28,8 +28,7 @@ def submissions_to_filings(docs: DataFrame, as_of: date, years: int = 3) -> Data
     return rows.where(F.col("form_type").isin(*FORMS) & (F.col("filed") >= F.add_months(F.lit(as_of), -12 * years)) & ((F.col("form_type") != "8-K") | kept))
 
 
-_FIELDS = ("nameOfIssuer string", "cusip string", "value string", "shrsOrPrnAmt struct<sshPrnamt string, sshPrnamtType string>", "putCall string")
-_POSITION = ", ".join(_FIELDS)
+_POSITION = "nameOfIssuer string, cusip string, value string, shrsOrPrnAmt struct<sshPrnamt string, sshPrnamtType string>, putCall string"
 
 
 def parse_info_table(docs: DataFrame) -> DataFrame:
@@ -51,15 +50,19 @@ def _positions(rows: DataFrame) -> DataFrame:
     ).where("issuer_name IS NOT NULL AND cusip IS NOT NULL")
 
 
-def read_info_tables(spark: SparkSession, path: str, tag: str = "infoTable", filing: Column | None = None) -> DataFrame:
-    """parse_info_table of files: Spark reads a document's rows by their tag one after another, so that no table is ever one value.
+def read_info_tables(spark: SparkSession, path: str, filing: Column | None = None) -> DataFrame:
+    """parse_info_table of files, for tables of any size: what stands between a row's tags is a record of its own.
 
-    tag: the row's, with its prefix if it has one, as prefixes of the row tag itself aren't left out. filing: what tells
-    filings apart, a column of the path's partitions or of `_metadata`; the file's name up to its first dot by default.
+    Spark's text reader ends a record at `infoTable>`, so a file can be split and no table is ever one value. Prefixes
+    don't matter; tags with attributes or in comments aren't read. filing: what tells filings apart, a column of the
+    path's partitions or of `_metadata`; the file's name up to its first dot by default.
     """
-    rows = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(_POSITION).load(path)
     filing = F.substring_index(F.col("_metadata.file_name"), ".", 1) if filing is None else filing
-    return _positions(rows.select(filing.alias("filing_id"), F.struct(*[c.split(" ")[0] for c in _FIELDS]).alias("p")))
+    lines = spark.read.option("lineSep", "infoTable>").text(path).select(filing.alias("filing_id"), "value")
+    inner = F.regexp_extract("value", r"(?s)^(.*)</(?:[A-Za-z0-9_.-]+:)?$", 1)
+    plain = F.regexp_replace(inner, r"(</?)[A-Za-z0-9_.-]+:", "$1")
+    row = F.from_xml(F.concat(F.lit("<row>"), plain, F.lit("</row>")), f"struct<{_POSITION}>", {"mode": "PERMISSIVE"})
+    return _positions(lines.where(inner != "").select("filing_id", row.alias("p")))
 
 
 def text_at(xml: Column, path: str) -> Column:

@@ -98,16 +98,18 @@ def _deltas(keep_ms: int):
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["time", "value"])
-        last = state.get[0] if state.exists else None
-        before = rows["value"].shift()
-        before.iloc[0] = float("nan") if last is None else last
-        until = int(rows["time"].iloc[-1].timestamp() * 1000) + keep_ms
+        at = rows["time"].astype("datetime64[ms]").astype("int64")
+        value, seen = state.get if state.exists else (float("nan"), at.iloc[0])
+        before, since = rows["value"].shift(), at.shift()
+        before.iloc[0], since.iloc[0] = value, seen
+        delta = (rows["value"] - before).where(at - since <= keep_ms)
+        until = int(at.iloc[-1]) + keep_ms
         if until > state.getCurrentWatermarkMs():
-            state.update((float(rows["value"].iloc[-1]),))
+            state.update((float(rows["value"].iloc[-1]), int(at.iloc[-1])))
             state.setTimeoutTimestamp(until)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"key": key[0], "time": rows["time"], "value": rows["value"], "delta": rows["value"] - before})
+        yield pd.DataFrame({"key": key[0], "time": rows["time"], "value": rows["value"], "delta": delta})
 
     return run
 
@@ -115,10 +117,10 @@ def _deltas(keep_ms: int):
 def deltas(stream: DataFrame, late: str = "3 days", keep_days: int = 90) -> DataFrame:
     """Change of a key's value since its last snapshot (key, time, value); the last value is the state.
 
-    A key without a snapshot for so many days of the stream's own time is forgotten: its next one has no delta. Rows that
-    are later than the watermark are dropped.
+    A snapshot more than so many days after a key's last one has no delta, and a key's state goes when the watermark has
+    passed that time. Rows that are later than the watermark are dropped.
     """
-    return stream.withWatermark("time", late).groupBy("key").applyInPandasWithState(_deltas(keep_days * 86_400_000), DELTA, "value double", "append", "EventTimeTimeout")
+    return stream.withWatermark("time", late).groupBy("key").applyInPandasWithState(_deltas(keep_days * 86_400_000), DELTA, "value double, seen long", "append", "EventTimeTimeout")
 
 
 def drain(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
