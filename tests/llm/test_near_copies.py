@@ -111,3 +111,47 @@ def test_parities_never_exceed_the_difference(spark):
         places, counts = many.differing(r["i"], np.arange(len(sets)) != r["i"])
         assert dict(zip(places.tolist(), counts.tolist()))[r["j"]] == r["d"] <= apart
         assert apart > len(sets[r["i"]]) // 4 or r["d"] >= 0.7 * apart
+
+
+def test_boilerplate_that_is_not_a_near_copy(spark):
+    """5,000 texts of 40 words of their own and 230 that all share, some near copies among them: no pairs but those are looked at."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared, texts = [word() for _ in range(230)], []
+    for k in range(5000):
+        own = [word() for _ in range(40)]
+        texts.append(own[:20] + shared + own[20:])
+    for k in range(40):
+        texts.append([*texts[k][:-1], "other"])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    prints = near_copies.store(near_copies.described(docs, near_copies.common_shingles(docs)), "test")
+    met = near_copies.meetings(prints.select("sig", "n", "keys", "own"), 32).cache()
+    assert met.where("large").count() == 0 and met.where("NOT large").select("a", "b").distinct().count() == 40
+    assert sorted(r["doc_id"] for r in near_copies.kept(docs).collect()) == list(range(5000))
+
+
+def test_shared_text_on_both_sides_of_the_threshold(spark):
+    """Groups that share a passage of every length, in buckets of every kind."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for long in (10, 60, 200):
+        shared = [word() for _ in range(long)]
+        for k in range(70):
+            own = [word() for _ in range(rng.randrange(0, long // 3 + 2))]
+            at = rng.randrange(0, len(own) + 1)
+            texts.append(own[:at] + shared + own[at:])
+    made = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = smallest_of_groups(made)
+    assert 5 < len(want) < 200
+    for few, rounds in ((32, 4), (3, 1)):
+        assert sorted(r["doc_id"] for r in near_copies.kept(docs, few=few, rounds=rounds).collect()) == want
+
+
+def test_columns_with_the_names_of_ours(spark):
+    names = ["k1", "K2", "sig", "n", "at", "row", "place", "top", "who", "h", "salt", "own", "bits"]
+    rows = [(k % 3, "some words that are the same in all of them", *[f"{c}{k}" for c in names]) for k in range(6)] + [(9, "words of its own here", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = near_copies.kept(docs).collect()
+    assert sorted(tuple(r) for r in got) == [rows[0], rows[6]]

@@ -7,9 +7,14 @@ similarity 0.8 share one of their first n - ceil(0.8 n) + 1. Every candidate is
 sets. Any order is right; it is by hash, and shingles that many texts of a sample hold come last, so
 that few texts meet in a common line.
 
+A pair is looked for at the first shingle that both share. All that they share comes from there on, so
+both sets have to have enough left at that place; texts that share boilerplate and not enough else meet
+only where too little is left. For the smaller set this means a place in its first ninth: such texts are
+light in the shingle's bucket, and a bucket without any has no pairs.
+
 A shingle's texts are a bucket. Up to `few` of them are paired all; of more, each is paired with two
-centres first, and after that with all that are not yet in its group, so that one large group of near
-copies isn't squared.
+centres first, and after that light ones with all that are not yet in their group, so that one large
+group of near copies isn't squared. Buckets of shingles that come last are dealt out by salt.
 """
 
 from __future__ import annotations
@@ -96,13 +101,24 @@ def common_shingles(docs: DataFrame, sample: int = 16_384, least: int = 8) -> np
     return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with k1 and k2, 128 bits of doc_id and text: what tells rows apart, for ids may be null or repeated."""
-    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", F.lit(1), "doc_id"))
+def keyed(docs: DataFrame, one: str = "k1", two: str = "k2") -> DataFrame:
+    """Rows with 128 bits of doc_id and text: what tells rows apart, for ids may be null or repeated."""
+    return docs.withColumn(one, F.xxhash64("doc_id", "text")).withColumn(two, F.xxhash64("text", F.lit(1), "doc_id"))
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, k1, k2, sig, n, coarse, bits, fp, keys): every text's set by signature, size, short and long parity, SimHash and prefix."""
+    """(doc_id, k1, k2, sig, n, coarse, bits, fp, keys, own): every text's set by signature, size, short and long parity, SimHash and prefix.
+
+    own: how many of the prefix aren't among the common shingles, which come after those.
+    """
     box = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
@@ -115,43 +131,53 @@ def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[: len(s) + (-4 * len(s) // 5) + 1]
                 fp = int(np.uint64(majority(s)).astype(np.int64))
-                out.append((key, k1, k2, signature(s), len(s), parity(s, 256), parity(s), fp, first.view(np.int64).tolist()))
+                own = min(len(first), len(s) - int(last.sum()))
+                out.append((key, k1, k2, signature(s), len(s), parity(s, 256), parity(s), fp, first.view(np.int64).tolist(), own))
             return zip(*out)
 
         return work
 
-    ddl = "doc_id long, k1 long, k2 long, sig long, n int, coarse array<long>, bits array<long>, fp long, keys array<long>"
-    return map_rows(keyed(docs).select("doc_id", "k1", "k2", "text"), make, ddl)
+    ddl = "doc_id long, k1 long, k2 long, sig long, n int, coarse array<long>, bits array<long>, fp long, keys array<long>, own int"
+    return map_rows(keyed(docs.select("doc_id", "text")).select("doc_id", "k1", "k2", "text"), make, ddl)
 
 
 def fits(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m that share their p-th and q-th shingle can reach the similarity."""
-    most = np.minimum(p, q) + 1 + np.minimum(n - p, m - q) - 1
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * most >= 4 * (n + m))
+    """Whether sets of n and m whose first common shingle is the p-th and q-th, from 0, can reach the similarity."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.minimum(n - p, m - q) >= 4 * (n + m))
+
 
+def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
+    """(large, a, b, at): candidate pairs of signatures, and (bucket, signature, its place) of buckets that aren't paired here.
 
-def meetings(sets: DataFrame, few: int) -> DataFrame:
-    """(large, a, b): candidate pairs of signatures, and (bucket, signature) of buckets of more than `few`."""
-    met = sets.select("sig", "n", F.posexplode("keys").alias("at", "h"))
-    ddl = "large boolean, a long, b long"
+    Those are of more than `few`, with a light one, and those of common shingles, which are dealt out by salt.
+    """
+    every = sets.select("sig", "n", "own", F.posexplode("keys").alias("at", "h"))
+    rare = every.where("at < own").withColumn("salt", F.lit(-1))
+    late = every.where("at >= own").withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)).cast("int"))
+    lit = late.where("9 * at <= n").select("h").distinct()
+    met = rare.unionByName(late.join(lit, "h", "left_semi")).select("h", "salt", "sig", "n", "at")
+    ddl = "large boolean, a long, b long, at int"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for c in runs(batches, ["h"]):
-            h, sig, n, at = c["h"], c["sig"], c["n"].astype(np.int64), c["at"].astype(np.int64)
-            begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        for c in runs(batches, ["h", "salt"]):
+            h, salt, sig, n, at = c["h"], c["salt"], c["sig"], c["n"].astype(np.int64), c["at"].astype(np.int64)
+            begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
             length = np.diff(np.append(begin, len(h)))
-            size = np.repeat(length, length)
+            light = 9 * at <= n
+            some = np.add.reduceat(light, begin) > 0
+            large = (salt[begin] >= 0) | (length > few) & some
+            size = np.repeat(np.where(large | ~some, 0, length), length)  # of buckets paired here
             left, right = [], []
             for d in range(1, min(few, int(length.max()))):
-                i = np.flatnonzero((h[d:] == h[:-d]) & (size[d:] <= few))
+                i = np.flatnonzero((h[d:] == h[:-d]) & (salt[d:] == salt[:-d]) & (size[d:] > 0))
                 i = i[fits(n[i], n[i + d], at[i], at[i + d])]
                 left.append(sig[i])
                 right.append(sig[i + d])
-            for b, k in zip(begin[length > few].tolist(), length[length > few].tolist()):
+            for b, k in zip(begin[large & some].tolist(), length[large & some].tolist()):
                 own = slice(b, b + k)
                 mixed = (sig[own] ^ h[own]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for centre in np.argsort(mixed)[:2] + b:
+                for centre in np.lexsort((mixed, ~light[own]))[:2] + b:
                     i = np.arange(b, b + k)
                     i = i[(i != centre) & fits(n[own], n[centre], at[own], at[centre])]
                     left.append(np.full(len(i), sig[centre]))
@@ -160,34 +186,37 @@ def meetings(sets: DataFrame, few: int) -> DataFrame:
             a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
             if len(a):
                 a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            many = size > few
-            large = np.append(np.zeros(len(a), bool), np.ones(int(many.sum()), bool))
-            if len(large):
-                cols = [pa.array(large), pa.array(np.append(a, h[many])), pa.array(np.append(b, sig[many]))]
+            many = np.repeat(large, length)
+            flag = np.append(np.zeros(len(a), bool), np.ones(int(many.sum()), bool))
+            if len(flag):
+                cols = [pa.array(flag), pa.array(np.append(a, h[many])), pa.array(np.append(b, sig[many])), pa.array(np.append(np.zeros_like(a), at[many]), pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return met.repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)
+    return met.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, ddl)
 
 
 def divided(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members (h, sig, n, bits) of buckets that hold more than one group, with their group as top and their bucket's size as rows."""
+    """Members (h, sig, at, n, bits) of buckets with a light one and more than one group, with their group as top, and their bucket's sizes."""
     tops = groups.select(F.col("node").alias("sig"), "component")
-    found = members.join(tops, "sig", "left").select("h", "sig", "n", "bits", F.coalesce("component", "sig").alias("top"))
+    found = members.join(tops, "sig", "left").select("h", "sig", "at", "n", "bits", F.coalesce("component", "sig").alias("top"))
     found = store(found, "members")
-    counts = found.groupBy("h").agg(F.count("*").alias("rows"), F.min("top").alias("x"), F.max("top").alias("y")).where("x < y")
-    return store(found.join(counts.select("h", "rows"), "h"), "divided")
+    counts = found.groupBy("h").agg(F.count("*").alias("rows"), F.count_if(F.expr("9 * at <= n")).alias("lights"), F.min("top").alias("x"), F.max("top").alias("y")).where("x < y AND lights > 0")
+    return store(found.join(counts.select("h", "rows", "lights"), "h"), "divided")
 
 
 def across(rows: DataFrame, every: bool, side: int = 2048) -> DataFrame:
-    """(a, b): pairs in buckets of `divided` that are in different groups and can be similar; sides are compared in tasks of their own.
+    """(a, b): pairs in buckets of `divided` that are in different groups and can be similar.
 
-    Without `every` a task gives only as many of them as unite its groups, those of the nearest parities.
+    Light ones and all ones are cut in sides, each pair of which is compared in a task of its own. Without `every` a task
+    gives only as many of the pairs as unite its groups, those of the nearest parities.
     """
-    cut = F.ceil(F.col("rows") / side).cast("int")
+    cut = lambda c: F.ceil(F.col(c) / side).cast("int")
+    part = lambda c, seed: F.pmod(F.xxhash64("sig", F.lit(seed)), cut(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
+    cols = ["h", "i", "j", "light", "sig", "at", "n", "top", "bits"]
     sided = (
-        rows.withColumn("own", F.pmod(F.xxhash64("sig"), cut).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
-        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "n", "top", "bits")
+        rows.withColumns({"i": each("lights"), "light": F.lit(False)}).withColumn("j", part("rows", 0)).select(cols)
+        .unionByName(rows.where("9 * at <= n").withColumns({"j": each("rows"), "light": F.lit(True)}).withColumn("i", part("lights", 1)).select(cols))
     )
     keys, schema = ["h", "i", "j"], arrow_schema("a long, b long")
 
@@ -196,23 +225,23 @@ def across(rows: DataFrame, every: bool, side: int = 2048) -> DataFrame:
             change = np.append(True, np.any([c[k][1:] != c[k][:-1] for k in keys], axis=0))
             begin = np.flatnonzero(change)
             for s, e in zip(begin.tolist(), np.append(begin[1:], len(change)).tolist()):
-                sig, n, top, own = c["sig"][s:e], c["n"][s:e].astype(np.int64), c["top"][s:e], c["own"][s:e]
+                light, sig, n, at, top = c["light"][s:e].astype(bool), c["sig"][s:e], c["n"][s:e].astype(np.int64), c["at"][s:e].astype(np.int64), c["top"][s:e]
+                if light.all() or not light.any():
+                    continue
                 bits = Parities([x.view(np.uint64) for x in c["bits"][s:e]])
-                crossing, out = c["i"][s] != c["j"][s], []
-                for k in range(e - s - 1):
-                    ok = (top != top[k]) & (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k]))
-                    ok[: k + 1] = False
-                    if crossing:
-                        ok &= own != own[k]
-                    at, differ = bits.differing(k, ok)
-                    ok = 9 * differ <= n[at] + n[k]
-                    at, differ = at[ok], differ[ok]
-                    if not every and len(at) > 1:  # the nearest of each group
-                        order = np.lexsort((differ, top[at]))
-                        order = order[np.append(True, top[at][order][1:] != top[at][order][:-1])]
-                        at, differ = at[order], differ[order]
-                    if len(at):
-                        out.append(np.stack([np.full(len(at), k), at, differ]))
+                other, own_light, out = ~light, 9 * at <= n, []
+                for k in np.flatnonzero(light).tolist():
+                    # Of two light ones the pair is taken once.
+                    ok = other & (top != top[k]) & (~own_light | (sig > sig[k])) & fits(n, n[k], at, at[k])
+                    near, differ = bits.differing(k, ok)
+                    ok = 9 * differ <= n[near] + n[k]
+                    near, differ = near[ok], differ[ok]
+                    if not every and len(near) > 1:  # the nearest of each group
+                        order = np.lexsort((differ, top[near]))
+                        order = order[np.append(True, top[near][order][1:] != top[near][order][:-1])]
+                        near, differ = near[order], differ[order]
+                    if len(near):
+                        out.append(np.stack([np.full(len(near), k), near, differ]))
                 if not out:
                     continue
                 i, j, differ = np.concatenate(out, axis=1)
@@ -262,7 +291,7 @@ def sets_of(docs: DataFrame, ends: DataFrame, size: int = 1 << 25) -> DataFrame:
 
         return work
 
-    return map_rows(keyed(docs).select(place.alias("p"), "text"), make, "sig long, s array<long>")
+    return map_rows(keyed(docs.select("doc_id", "text")).select(place.alias("p"), "text"), make, "sig long, s array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -299,10 +328,10 @@ def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
     ids = prints.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "coarse", "bits", "fp")], F.min(who).alias("who"))
     sets = store(ids.select("*", F.col("who.k1").alias("k1")), "distinct")
     near = links(sets.groupBy("fp").agg(F.min("sig").alias("node")))
-    met = store(meetings(prints.select("sig", "n", "keys").dropDuplicates(["sig"]), few), "meetings")
+    met = store(meetings(prints.select("sig", "n", "keys", "own").dropDuplicates(["sig"]), few), "meetings")
     found = store(verified(near.unionByName(met.where("NOT large").select("a", "b")), sets, docs), "verified")
     groups = store(connected_components(found), "groups")
-    large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"))
+    large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"), "at")
     members = store(large.join(sets.select("sig", "n", "bits"), "sig"), "large")
     every = rounds == 0
     while not (rows := divided(members, groups)).isEmpty():
@@ -313,9 +342,14 @@ def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
         if every:
             break
         rounds -= 1
-        members, every = rows.drop("top", "rows"), rounds == 0 or more.isEmpty()
+        members, every = rows.drop("top", "rows", "lights"), rounds == 0 or more.isEmpty()
     tops = sets.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("who", F.coalesce("component", "sig").alias("top"))
-    keep = tops.groupBy("top").agg(F.min("who").alias("who")).select("who.k1", "who.k2")
+    one, two = free(docs, "k1"), free(docs, "k2")
+    keep = tops.groupBy("top").agg(F.min("who").alias("who")).select(F.col("who.k1").alias(one), F.col("who.k2").alias(two))
+    again = prints.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias(one), F.col("k2").alias(two))
+    again = store(again.join(keep, [one, two], "left_semi"), "again")
     order = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
-    one = keyed(docs).groupBy("k1", "k2").agg(F.min_by(F.struct(*docs.columns), F.struct(*order) if order else F.lit(0)).alias("row"))
-    return one.join(keep, ["k1", "k2"], "left_semi").select("row.*")
+    rows = keyed(docs, one, two)
+    repeated = rows.join(again, [one, two], "left_semi")
+    first = repeated.groupBy(one, two).agg(F.min_by(F.struct(*docs.columns), F.struct(*order) if order else F.lit(0)).alias("row")).select("row.*")
+    return rows.join(again, [one, two], "left_anti").join(keep, [one, two], "left_semi").select(docs.columns).unionByName(first)
