@@ -19,6 +19,8 @@ group of near copies isn't squared. Buckets of shingles that come last are dealt
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -154,8 +156,12 @@ def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
     every = sets.select("sig", "n", "own", F.posexplode("keys").alias("at", "h"))
     rare = every.where("at < own").withColumn("salt", F.lit(-1))
     late = every.where("at >= own").withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(salts)).cast("int"))
-    lit = late.where("9 * at <= n").select("h").distinct()
-    met = rare.unionByName(late.join(lit, "h", "left_semi")).select("h", "salt", "sig", "n", "at")
+    # Sizes by classes of a quarter: a common shingle's rows stay if a light one is about as large as their partners can be.
+    kind = lambda c: F.floor(F.log(c) / math.log(1.25)).cast("int")
+    lit = late.where("9 * at <= n").groupBy("h").agg(F.collect_set(kind(F.col("n"))).alias("kinds"))
+    low, high = kind(F.ceil(F.col("n") * 4 / 5)), kind(F.least(F.col("n"), F.expr("(9 * (n - at) - 4 * n) div 4")))
+    late = late.join(lit, "h").where(F.exists("kinds", lambda k: k.between(low, high))).drop("kinds")
+    met = rare.unionByName(late).select("h", "salt", "sig", "n", "at")
     ddl = "large boolean, a long, b long, at int"
     schema = arrow_schema(ddl)
 
@@ -187,6 +193,10 @@ def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
             if len(a):
                 a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             many = np.repeat(large, length)
+            for b, k in zip(begin[large & (salt[begin] < 0)].tolist(), length[large & (salt[begin] < 0)].tolist()):
+                own = slice(b, b + k)
+                sizes, low, high = np.sort(n[own][light[own]]), -(-4 * n[own] // 5), np.minimum(n[own], (9 * (n[own] - at[own]) - 4 * n[own]) // 4)
+                many[own] = np.searchsorted(sizes, high, "right") > np.searchsorted(sizes, low)
             flag = np.append(np.zeros(len(a), bool), np.ones(int(many.sum()), bool))
             if len(flag):
                 cols = [pa.array(flag), pa.array(np.append(a, h[many])), pa.array(np.append(b, sig[many])), pa.array(np.append(np.zeros_like(a), at[many]), pa.int32())]
@@ -196,16 +206,16 @@ def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
 
 
 def divided(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members (h, sig, at, n, bits) of buckets with a light one and more than one group, with their group as top, and their bucket's sizes."""
+    """Members (h, sig, at, n) of buckets with a light one and more than one group, with their group as top, and their bucket's sizes."""
     tops = groups.select(F.col("node").alias("sig"), "component")
-    found = members.join(tops, "sig", "left").select("h", "sig", "at", "n", "bits", F.coalesce("component", "sig").alias("top"))
+    found = members.join(tops, "sig", "left").select("h", "sig", "at", "n", F.coalesce("component", "sig").alias("top"))
     found = store(found, "members")
     counts = found.groupBy("h").agg(F.count("*").alias("rows"), F.count_if(F.expr("9 * at <= n")).alias("lights"), F.min("top").alias("x"), F.max("top").alias("y")).where("x < y AND lights > 0")
     return store(found.join(counts.select("h", "rows", "lights"), "h"), "divided")
 
 
-def across(rows: DataFrame, every: bool, side: int = 2048) -> DataFrame:
-    """(a, b): pairs in buckets of `divided` that are in different groups and can be similar.
+def across(rows: DataFrame, sets: DataFrame, every: bool, side: int = 2048) -> DataFrame:
+    """(a, b): pairs in buckets of `divided` that are in different groups and can be similar, by the parities of sets.
 
     Light ones and all ones are cut in sides, each pair of which is compared in a task of its own. Without `every` a task
     gives only as many of the pairs as unite its groups, those of the nearest parities.
@@ -214,6 +224,7 @@ def across(rows: DataFrame, every: bool, side: int = 2048) -> DataFrame:
     part = lambda c, seed: F.pmod(F.xxhash64("sig", F.lit(seed)), cut(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
     cols = ["h", "i", "j", "light", "sig", "at", "n", "top", "bits"]
+    rows = rows.join(sets.select("sig", "bits"), "sig")
     sided = (
         rows.withColumns({"i": each("lights"), "light": F.lit(False)}).withColumn("j", part("rows", 0)).select(cols)
         .unionByName(rows.where("9 * at <= n").withColumns({"j": each("rows"), "light": F.lit(True)}).withColumn("i", part("lights", 1)).select(cols))
@@ -332,10 +343,10 @@ def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
     found = store(verified(near.unionByName(met.where("NOT large").select("a", "b")), sets, docs), "verified")
     groups = store(connected_components(found), "groups")
     large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"), "at")
-    members = store(large.join(sets.select("sig", "n", "bits"), "sig"), "large")
+    members = store(large.join(sets.select("sig", "n"), "sig"), "large")
     every = rounds == 0
     while not (rows := divided(members, groups)).isEmpty():
-        more = store(verified(across(rows, every), sets, docs), "verified")
+        more = store(verified(across(rows, sets, every), sets, docs), "verified")
         found = found.unionByName(more)
         if not more.isEmpty():
             groups = store(connected_components(found), "groups")
