@@ -172,7 +172,7 @@ def white(s: str) -> bool:
 class Stretches:
     """Closed groups of stretches as flat arrays, remembered up to a bound."""
 
-    def __init__(self, pair: Pair, memory: int = 300_000, chars: int = 100_000):
+    def __init__(self, pair: Pair, memory: int = 150_000, chars: int = 100_000):
         self.pair, self.memory, self.chars = pair, memory, chars
         self.clear()
 

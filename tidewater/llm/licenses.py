@@ -68,6 +68,7 @@ class Index:
     templates: list[Template]
     prefix: dict[bytes, list[tuple[int, int]]]  # word: (template, its place in the prefix)
     held_by: dict[bytes, list[int]]  # word: templates
+    rank: dict[bytes, int]  # word: its place in the order
 
     @classmethod
     def build(cls, templates, frequency: dict[bytes, int], least: float) -> Index:
@@ -85,18 +86,30 @@ class Index:
                 prefix.setdefault(w, []).append((k, at))
             for w in own:
                 held_by.setdefault(w, []).append(k)
-        return cls(made, prefix, held_by)
+        order = sorted(held_by, key=lambda w: (frequency.get(w, 0), w))
+        return cls(made, prefix, held_by, {w: i for i, w in enumerate(order)})
+
+    def candidates(self, held: set[bytes]) -> set[int]:
+        """Templates that a text with these words may hold enough of.
+
+        The text's words that any template has are taken in the order. Where one is in a template's prefix, what they share
+        is at most what was found of it before, this word, and the lesser of what is left of either behind it; a template
+        is given up where that isn't enough.
+        """
+        own = sorted(held & self.rank.keys(), key=self.rank.__getitem__)
+        found: dict[int, int] = {}
+        for place, w in enumerate(own):
+            for k, at in self.prefix.get(w, ()):
+                t, before = self.templates[k], found.get(k, 0)
+                if before >= 0 and len(own) >= t.need:
+                    most = before + 1 + min(len(t.own) - at - 1, len(own) - place - 1)
+                    found[k] = before + 1 if most >= t.need else -1
+        return {k for k, n in found.items() if n > 0}
 
     def matches(self, found: list[bytes]) -> dict[str, float]:
         """Each label found in the text's words, with the greatest share of a template's words that a block holds."""
         held = set(found)
-        hopeful: dict[int, bool] = {}
-        for w in held & self.prefix.keys():
-            for k, at in self.prefix[w]:
-                t = self.templates[k]
-                # Length and position: enough words in the text, and enough of the template from this one on.
-                hopeful[k] = hopeful.get(k, False) or len(held) >= t.need and 1 + len(t.own) - at - 1 >= t.need
-        hopeful = {k for k, ok in hopeful.items() if ok and sum(w in held for w in self.templates[k].own) >= self.templates[k].need}
+        hopeful = {k for k in self.candidates(held) if sum(w in held for w in self.templates[k].own) >= self.templates[k].need}
         if not hopeful:
             return {}
         places: dict[int, list[int]] = {k: [] for k in hopeful}
