@@ -22,7 +22,7 @@ def test_filters_leave_all_that_holds_enough_and_prune_by_place():
                 assert k in got
             met += any(w in held for w in t.own[: len(t.own) - t.need + 1]) and len(held) >= t.need
         left += len(got)
-    assert left < 0.8 * met  # prefix and length alone would leave all of met
+    assert left < 0.9 * met  # prefix and length alone would leave all of met
 
 
 def test_a_place_with_too_little_behind_it_gives_a_template_up():

@@ -193,8 +193,8 @@ def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
             if len(a):
                 a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             many = np.repeat(large, length)
-            for b, k in zip(begin[large & (salt[begin] < 0)].tolist(), length[large & (salt[begin] < 0)].tolist()):
-                own = slice(b, b + k)
+            for s, k in zip(begin[large & (salt[begin] < 0)].tolist(), length[large & (salt[begin] < 0)].tolist()):
+                own = slice(s, s + k)
                 sizes, low, high = np.sort(n[own][light[own]]), -(-4 * n[own] // 5), np.minimum(n[own], (9 * (n[own] - at[own]) - 4 * n[own]) // 4)
                 many[own] = np.searchsorted(sizes, high, "right") > np.searchsorted(sizes, low)
             flag = np.append(np.zeros(len(a), bool), np.ones(int(many.sum()), bool))
