@@ -53,7 +53,7 @@ VIEWS = Fund.VIEWS | {
         UNION ALL SELECT p.ticker, 'insiders', p.name, NULL, b.filed FROM people p JOIN bought b ON b.ticker = p.ticker AND b.who = p.who WHERE excluded IS NULL AND is_10b5_1 IS DISTINCT FROM true""",
     "named_by": """SELECT ticker, kind, array_to_string((list(name ORDER BY name))[1:CASE WHEN kind = 'activists' THEN 3 ELSE 5 END], '; ') AS names FROM (
         SELECT DISTINCT ticker, kind, CASE WHEN kind = 'velocity' THEN name || ' ' || ratio::double ELSE name END AS name FROM given_by
-        UNION ALL SELECT ticker, 'excluded', name || ': ' || CASE excluded WHEN 'role' THEN 'not_officer_or_director' WHEN 'plan' THEN '10b5_1_plan' END FROM people WHERE excluded IS NOT NULL) GROUP BY ALL""",
+        UNION ALL SELECT ticker, 'excluded', name || ': ' || CASE excluded WHEN 'role' THEN 'not_officer_or_director' WHEN 'plan' THEN '10b5_1_plan' END FROM people WHERE excluded IS NOT NULL) GROUP BY ticker, kind""",
     "report": """SELECT s.ticker, s.score, s.kinds, n.new_by, n.add_by, n.velocity_by, n.activists, n.insiders, n.excluded, g.first_detected, g.latest_signal FROM scored s LEFT JOIN (
         SELECT ticker, max(names) FILTER (kind = 'new') AS new_by, max(names) FILTER (kind = 'add') AS add_by, max(names) FILTER (kind = 'velocity') AS velocity_by, max(names) FILTER (kind = 'activists') AS activists, max(names) FILTER (kind = 'insiders') AS insiders,
                max(names) FILTER (kind = 'excluded') AS excluded FROM named_by GROUP BY ticker) n ON n.ticker = s.ticker
