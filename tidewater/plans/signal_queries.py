@@ -15,7 +15,7 @@ from ..sources.staging import staged
 from . import fund_queries as Fund
 
 AS_OF = date(2001, 7, 30)
-EARLY = date(1992, 9, 30)
+EARLY = date(1995, 9, 30)
 RULES = G.Rules(cap_floor=1e6, score_floor=1.0)
 D = "date '2001-07-30'"
 
@@ -318,5 +318,5 @@ _SQL = {
         CASE WHEN age IS NULL THEN 'none' WHEN age <= 7 THEN 'live' WHEN age <= 90 THEN 'quarterly' ELSE 'bulk' END AS freshness FROM (SELECT *, CASE WHEN p1 IS NOT NULL THEN f1 ELSE f3 END AS f, coalesce(p1, p3) AS p FROM funds)""",
 }
 
-_EARLY = {name: text.replace(D, "date '1992-09-30'") for name, text in VIEWS.items()}
+_EARLY = {name: text.replace(D, "date '1995-09-30'") for name, text in VIEWS.items()}
 SQL = {name: oracle(text, _EARLY if name == "sig_04_cross_quarter" else VIEWS) for name, text in _SQL.items()}
