@@ -145,31 +145,33 @@ def train(docs: DataFrame, sample: int = 8192, variables: int = 16, bits: int =
 
     The sample is the documents of the smallest hash of id and text, chosen by the hash alone; repeated
     rows count once. Variables are made where the texts are. One task fits the weights; of each document
-    it takes at most variables * sample / 16 leading ones, and documents until variables * sample are
-    met, so that its memory is bounded whatever the texts' length. Without such documents nothing is
+    it takes at most variables * sample / 256 leading ones, and it reads documents one by one until
+    variables * sample are met, so that its memory is bounded whatever the texts' length and a batch of
+    2,000 documents has a few dozen megabytes. Without such documents nothing is
     added later.
     """
     place = F.xxhash64("doc_id", "text").alias("place")
     held = docs.where(F.col("text").rlike("[0-9@]"))
     chosen = held.select(place).distinct().orderBy("place").limit(sample)
     rows = held.select(place, "text").join(F.broadcast(chosen), "place", "left_semi").dropDuplicates(["place"])
-    most, each = variables * sample, max(1, variables * sample // 16)
+    most, each = variables * sample, max(variables, variables * sample // 256)
 
-    def make():
-        def work(places, texts):
-            fields = [Field(t, bits) for t in texts]
-            gold = [f.gold(base_spans(t))[:each].tolist() for f, t in zip(fields, texts)]
-            pairs = [[[i for e in getattr(f, k) if max(e) < each for i in e] for f in fields] for k in ("near", "far")]
-            return places, [f.features[:each].ravel().tolist() for f in fields], *pairs, gold
+    def leading(text):
+        """Features, pairs and labels of a text's first variables; the rest of its field is let go."""
+        f = Field(text, bits)
+        near, far = (np.array([i for e in pairs if max(e) < each for i in e], dtype=np.int32) for pairs in (f.near, f.far))
+        return f.features[:each].ravel().astype(np.int32), near, far, f.gold(base_spans(text))[:each].astype(np.int32)
 
-        return work
+    def make():
+        return lambda places, texts: (places, *zip(*map(leading, texts)))
 
     made = map_rows(rows, make, "place long, x array<int>, near array<int>, far array<int>, gold array<int>")
 
     def learn(batches):
         graphs, gold, known = [], [], 0
         for b in batches:
-            for x, near, far, g in zip(*[b.column(c).to_pylist() for c in ("x", "near", "far", "gold")]):
+            for i in range(b.num_rows):
+                x, near, far, g = (b.column(c)[i].as_py() for c in ("x", "near", "far", "gold"))
                 if g and known < most:
                     known += len(g)
                     graphs.append(Graph(g, x, list(zip(near[::2], near[1::2])), list(zip(far[::2], far[1::2]))))
