@@ -392,9 +392,38 @@ def test_language_model_grows_with_its_input():
     numbers = lm.Numbers()
     for t in texts:
         numbers.add(t, False)
-    keys, n, single, m = numbers.chunk().asked()
+    chunk = numbers.chunk()
+    _, m = chunk.asked()
+    grams = lm.Grams(chunk, np.arange(len(m), dtype=np.uint64))
+    n = grams.asked()
     _, c = plain_language_model(texts)
-    assert len(keys) + len(single) == len(c) and sorted([*n.tolist(), *m.tolist()]) == sorted(c.values())
+    assert len({*zip(*(x.tolist() for x in grams.columns))}) == len(n)
+    assert len(n) + len(m) == len(c) and sorted([*n.tolist(), *m.tolist()]) == sorted(c.values())
+
+
+def test_language_model_with_colliding_hashes(docs, texts, monkeypatch):
+    """Words whose 64 bits are equal are told apart by their check, and shards by one value change nothing: no score is above 0, all are those of other hashes."""
+    want = by_id(lm.score(docs))
+    whole = lm.xxhash.xxh3_128_digest
+    some = [lm.words(t) for t in texts]
+    numbers = lm.Numbers()
+    with monkeypatch.context() as m:
+        m.setattr(lm.xxhash, "xxh3_128_digest", lambda w: bytes(8) + whole(w)[8:])
+        for t in some:
+            numbers.add(t, False)
+        chunk = numbers.chunk()
+    assert not chunk.hashes.any() and len({*chunk.checks.tolist()}) == len(numbers.number)
+    columns, n = chunk.asked()
+    assert (np.diff(columns[1].astype(np.int64)) > 0).all()
+    grams = lm.Grams(chunk, chunk.by_word(np.arange(len(n), dtype=np.uint64)))
+    counts, (_, c) = grams.asked(), plain_language_model(some)
+    one, (two, three) = chunk.by_word(n)[chunk.tokens], grams.by_place(counts)
+    flat = [(t[max(0, k - 2) : k + 1]) for t in some for k in range(len(t))]
+    for k, g in enumerate(flat):
+        assert one[k] == c[g[-1],] and (len(g) < 2 or two[k] == c[tuple(g[-2:])]) and (len(g) < 3 or three[k] == c[tuple(g)])
+    model = lm.Automaton.build(chunk, one, two, three, int(n.sum()), len(n))
+    assert (model.arc <= 0).all()
+    assert all(r["score"] <= 0 for r in want.values())
 
 
 def plain_secrets(text):

@@ -5,12 +5,13 @@ the smoothed log-probability of the n-gram; the failure arc of a state carries t
 from the context shorter by a word. All n-grams of one to three words are counted, without a cutoff.
 
 The model grows with the corpus, so no task holds it. Texts are dealt in chunks of about `tokens`
-tokens and kept as numbers of words. A chunk sends each of its different n-grams once, with its own
-count, to the shard of the n-gram's hash; a shard adds up what all chunks sent and answers each in the
-order it was asked; the chunk compiles its part of the automaton from the answers and traverses its
-texts. So a frequent n-gram is one key a chunk, shards have a like number of n-grams at any size, and
-only hashes, counts and numbers are shuffled. Words have hashes of 64 bits; pairs and triples have so
-many bits that about one in 2**18 shares its hash, and so its count, with another, at any size.
+tokens and kept as numbers of words. A chunk first sends each of its different words, by 96 bits of
+its hash, to a shard of words, which counts it and numbers it, frequent words first; no two words of
+the corpus have one number. Then it sends each of its different pairs and triples as such numbers,
+with its own count, to the shard of the n-gram; a shard adds up what all chunks sent and answers each
+in the order it was asked; the chunk compiles its part of the automaton from the answers and traverses
+its texts. So counts are exact at any size, a frequent n-gram is one key a chunk, and only numbers and
+counts are shuffled.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ END = b"\n"
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 #: A chunk: its words' hashes, texts as numbers of words, and by text the id, fold and length.
-TEXTS = "chunk long, hashes binary, numbers binary, ids array<long>, held array<boolean>, lengths array<long>, tokens long"
-#: Questions and answers of a chunk and a shard; an answer has no keys, and a shard's sums have no chunk.
-ASKED = "chunk long, shard long, keys binary, counts binary, total long, kinds long"
+TEXTS = "chunk long, hashes binary, checks binary, numbers binary, ids array<long>, held array<boolean>, lengths array<long>, tokens long"
+#: Questions and answers of a chunk and a shard. Keys of a question are columns, those of an answer are words' numbers; a shard's sums have no chunk.
+ASKED = "chunk long, shard long, keys array<binary>, counts binary, total long, kinds long"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,46 +68,66 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """Texts as numbers of their words; hashes has one of each different word, lengths and held are by text; keys of longer n-grams have so many bits."""
+    """Texts as numbers of their words; hashes and checks have one of each different word, lengths and held are by text."""
 
     hashes: np.ndarray
+    checks: np.ndarray
     tokens: np.ndarray
     lengths: np.ndarray
     held: np.ndarray
-    bits: int = 62
 
     def __post_init__(self):
         at = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.two, self.three = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
-        h = self.hashes[self.tokens]
-        pair = mixed(h[self.two - 1], h[self.two])
-        triple = mixed(mixed(h[self.three - 2], h[self.three - 1]), h[self.three] + _MULTIPLIERS[0])
-        self.longer = np.concatenate([pair, triple]) >> np.uint64(64 - self.bits)
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the different pairs and triples in order, and how often the chunk's training texts hold each; the same of words."""
-        out = np.repeat(self.held, self.lengths)
-        each = self.longer << np.uint64(1) | np.concatenate([out[self.two], out[self.three]]).astype(np.uint64)
-        each.sort()
-        keys = each >> np.uint64(1)
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        n = np.add.reduceat((~each & np.uint64(1)).astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        return keys[begin], n, self.hashes[order], np.bincount(self.tokens[~out], minlength=len(order))[order]
-
-    def counts(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By place, the counts of the word, of the pair and of the triple that end there, from answers in the order asked."""
-        order = np.argsort(self.longer)
-        keys = self.longer[order]
-        first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-        cut = int(first.sum())
-        longer = np.empty(len(keys), dtype=np.int64)
-        longer[order] = answers[:cut][np.cumsum(first) - 1]
-        two, three = np.zeros((2, len(self.tokens)), dtype=np.int64)
-        two[self.two], three[self.three] = longer[: len(self.two)], longer[len(self.two) :]
-        single = np.empty(len(self.hashes), dtype=np.int64)
-        single[np.argsort(self.hashes, kind="stable")] = answers[cut:]
-        return single[self.tokens], two, three
+        self.order = np.lexsort((self.checks, self.hashes))
+        self.learned = np.repeat(~self.held, self.lengths)
+
+    def asked(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Hashes and checks of the different words in order, and how often the chunk's training texts hold each."""
+        n = np.bincount(self.tokens[self.learned], minlength=len(self.order))
+        return [self.hashes[self.order], self.checks[self.order]], n[self.order]
+
+    def by_word(self, answers: np.ndarray) -> np.ndarray:
+        """Answers in the order asked, by word."""
+        out = np.empty_like(answers)
+        out[self.order] = answers
+        return out
+
+
+class Grams:
+    """A chunk's different pairs and triples as columns of its words' numbers in the corpus, a pair's third being 0, in order."""
+
+    def __init__(self, chunk: Chunk, names: np.ndarray):
+        by = np.argsort(names)
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        own, n, r, self.chunk = names[by], len(by), rank[chunk.tokens], chunk
+        # A triple is its first pair's place among the chunk's pairs, and its last word's: under 2**62 in any chunk.
+        pairs, self.pair = np.unique(r[chunk.two - 1] * n + r[chunk.two], return_inverse=True)
+        at = np.zeros(len(r), dtype=np.int64)
+        at[chunk.two] = self.pair
+        triples, self.triple = np.unique(at[chunk.three - 1] * n + r[chunk.three], return_inverse=True)
+        a, b, p = own[pairs // n], own[pairs % n], triples // n
+        self.cut = len(pairs)
+        self.columns = [np.append(a, a[p]), np.append(b, b[p]), np.append(np.zeros_like(a), own[triples % n] + np.uint64(1))]
+
+    def asked(self) -> np.ndarray:
+        """How often the chunk's training texts hold each."""
+        two, three = (x[self.chunk.learned[at]] for x, at in ((self.pair, self.chunk.two), (self.triple, self.chunk.three)))
+        return np.append(np.bincount(two, minlength=self.cut), np.bincount(three, minlength=len(self.columns[0]) - self.cut))
+
+    def shards(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """An order by shard, and the shards in that order."""
+        a, b, c = self.columns
+        of = (mixed(mixed(a, b), c) >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)
+        order = np.argsort(of, kind="stable")
+        return order, of[order]
+
+    def by_place(self, answers: np.ndarray) -> np.ndarray:
+        """Two rows: by place, the answer on the pair and on the triple that end there."""
+        out = np.zeros((2, len(self.chunk.tokens)), dtype=np.int64)
+        out[0, self.chunk.two], out[1, self.chunk.three] = answers[: self.cut][self.pair], answers[self.cut :][self.triple]
+        return out
 
 
 class Numbers:
@@ -123,13 +144,15 @@ class Numbers:
         self.held.append(held)
         self.ids.append(doc_id)
 
-    def chunk(self, bits: int = 62) -> Chunk:
+    def chunk(self) -> Chunk:
         tokens = np.frombuffer(self.tokens, dtype=np.uint32)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.number], dtype=np.uint64)
-        often = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+        parts = np.dtype([("hash", ">u8"), ("check", ">u4"), ("rest", ">u4")])
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.number)), dtype=parts)
+        often = np.argsort(-np.bincount(tokens, minlength=len(digests)), kind="stable")
         rank = np.empty(len(often), dtype=np.uint32)
         rank[often] = np.arange(len(often), dtype=np.uint32)
-        return Chunk(hashes[often], rank[tokens], np.array(self.lengths, dtype=np.int64), np.array(self.held, dtype=bool), bits)
+        hashes, checks = (digests[c][often].astype(np.uint64) for c in ("hash", "check"))
+        return Chunk(hashes, checks, rank[tokens], np.array(self.lengths, dtype=np.int64), np.array(self.held, dtype=bool))
 
 
 def left_over(context: np.ndarray, rate: float, power: float) -> np.ndarray:
@@ -184,7 +207,8 @@ def numbered(docs: DataFrame, tokens: int) -> DataFrame:
 
     def sent(number, some):
         c = some.chunk()
-        row = {"chunk": number, "hashes": squeezed(c.hashes), "numbers": squeezed(c.tokens), "ids": some.ids, "held": some.held, "lengths": some.lengths, "tokens": len(c.tokens)}
+        packed = {"hashes": squeezed(c.hashes), "checks": squeezed(c.checks), "numbers": squeezed(c.tokens)}
+        row = {"chunk": number, **packed, "ids": some.ids, "held": some.held, "lengths": some.lengths, "tokens": len(c.tokens)}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
     def run(batches):
@@ -202,10 +226,10 @@ def numbered(docs: DataFrame, tokens: int) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, TEXTS)
 
 
-def unpacked(row: dict, bits: int) -> tuple[dict, Chunk]:
-    """A row of `numbered` and its chunk."""
+def unpacked(row: dict) -> Chunk:
+    """The chunk of a row of `numbered`."""
     lengths, held = np.array(row["lengths"], dtype=np.int64), np.array(row["held"], dtype=bool)
-    return row, Chunk(spread(row["hashes"], "<u8"), spread(row["numbers"], "<u4"), lengths, held, bits)
+    return Chunk(spread(row["hashes"], "<u8"), spread(row["checks"], "<u8"), spread(row["numbers"], "<u4"), lengths, held)
 
 
 def each_row(batches):
@@ -214,50 +238,96 @@ def each_row(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def questions(chunks: DataFrame, shards: int, bits: int) -> DataFrame:
-    """For each chunk and shard its different n-grams with their counts; shards of words follow those of pairs and triples."""
+def sent(chunk: int, first: int, of: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, schema: pa.Schema):
+    """A question for each shard, from keys and counts in the order of their shards `of`; the first shard has the number `first`."""
+    begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]).tolist()
+    for s, e in zip(begin, [*begin[1:], len(of)]):
+        keys = [squeezed(np.diff(columns[0][s:e], prepend=np.uint64(0))), *[squeezed(c[s:e]) for c in columns[1:]]]
+        row = {"chunk": chunk, "shard": first + int(of[s]), "keys": keys, "counts": squeezed(counts[s:e])}
+        yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+
+def word_questions(chunks: DataFrame, shards: int) -> DataFrame:
+    """For each chunk and shard of words its different words with their counts."""
+    schema = arrow_schema(ASKED)
+
+    def run(batches):
+        for row in each_row(batches):
+            columns, n = unpacked(row).asked()
+            yield from sent(row["chunk"], 0, (columns[0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), columns, n, schema)
+
+    return chunks.mapInArrow(run, ASKED)
+
+
+def gram_questions(chunks: DataFrame, shards: int) -> DataFrame:
+    """For each chunk of `with_answers` and shard its different pairs and triples with their counts; their shards follow those of words."""
     schema = arrow_schema(ASKED)
 
     def run(batches):
-        for row, chunk in (unpacked(r, bits) for r in each_row(batches)):
-            longer, n, single, m = chunk.asked()
-            for start, keys, counts, width in ((0, longer, n, bits), (shards, single, m, 64)):
-                of = (keys >> np.uint64(width - 32)) * np.uint64(shards) >> np.uint64(32)
-                cuts = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64)).tolist()
-                for shard, (s, e) in enumerate(zip(cuts, cuts[1:]), start):
-                    if e > s:
-                        packed = squeezed(np.diff(keys[s:e], prepend=np.uint64(0)))
-                        out = {"chunk": row["chunk"], "shard": shard, "keys": packed, "counts": squeezed(counts[s:e])}
-                        yield pa.RecordBatch.from_pylist([out], schema=schema)
+        for row, chunk, names, _, _ in answered(batches, shards):
+            grams = Grams(chunk, names)
+            order, of = grams.shards(shards)
+            yield from sent(row["chunk"], shards, of, [c[order] for c in grams.columns], grams.asked()[order], schema)
 
     return chunks.mapInArrow(run, ASKED)
 
 
 def answers(asked: DataFrame, shards: int) -> DataFrame:
-    """To each question the counts in all training texts, and each word shard's tokens and different words."""
+    """To each question the counts in all training texts, and to those about words their numbers; each word shard's tokens and different words."""
     schema = arrow_schema(ASKED)
 
+    def column(rows: list[dict], k: int) -> np.ndarray:
+        parts = [spread(r["keys"][k], "<u8") for r in rows]
+        return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in parts] if k == 0 else parts)
+
     def run(batches):
         for shard, rows in groupby(each_row(batches), lambda r: r["shard"]):
             rows = list(rows)
-            keys = [np.cumsum(spread(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-            ends = np.cumsum([len(k) for k in keys])[:-1]
-            keys = np.concatenate(keys)
-            order = np.argsort(keys)
-            keys = keys[order]
-            first = np.append(True, keys[1:] != keys[:-1])
-            sums = np.add.reduceat(np.concatenate([spread(r["counts"], "<i8") for r in rows])[order], np.flatnonzero(first))
-            found = np.empty(len(keys), dtype=np.int64)
-            found[order] = sums[np.cumsum(first) - 1]
-            out = [{"chunk": r["chunk"], "shard": shard, "counts": squeezed(own)} for r, own in zip(rows, np.split(found, ends))]
-            if shard >= shards:
+            columns = [column(rows, k) for k in range(len(rows[0]["keys"]))]
+            order = np.lexsort(columns[::-1])
+            first = np.zeros(len(order), dtype=bool)
+            first[0] = True
+            for c in columns:
+                c = c[order]
+                first[1:] |= c[1:] != c[:-1]
+            del columns
+            counts = [spread(r["counts"], "<i8") for r in rows]
+            ends = np.cumsum([len(c) for c in counts])[:-1]
+            sums = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(first))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.cumsum(first) - 1
+            out = [{"chunk": r["chunk"], "shard": shard, "counts": squeezed(sums[own])} for r, own in zip(rows, np.split(place, ends))]
+            if shard < shards:
+                names = np.empty(len(sums), dtype=np.uint64)
+                names[np.argsort(-sums, kind="stable")] = np.arange(len(sums), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+                for r, own in zip(out, np.split(place, ends)):
+                    r["keys"] = [squeezed(names[own])]
                 out.append({"total": int(sums.sum()), "kinds": int((sums > 0).sum())})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return asked.repartition(2 * shards, "shard").sortWithinPartitions("shard").mapInArrow(run, ASKED)
 
 
-def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 20, shard: int = 1 << 22) -> DataFrame:
+def with_answers(texts: DataFrame, found: DataFrame, chunks: int) -> DataFrame:
+    """Each chunk with the answers to it after it, by shard."""
+    own = found.where("chunk IS NOT NULL").select("chunk", "shard", "keys", "counts")
+    both = texts.withColumn("shard", F.lit(-1).cast("long")).unionByName(own, allowMissingColumns=True)
+    return both.repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "shard")
+
+
+def answered(batches, shards: int):
+    """Of each chunk its row, itself, by word the number and the count, and the counts of pairs and triples by shard."""
+    for _, rows in groupby(each_row(batches), lambda r: r["chunk"]):
+        head = next(rows)
+        chunk, names, single, longer = unpacked(head), [], [], []
+        for r in rows:
+            (single if r["shard"] < shards else longer).append(spread(r["counts"], "<i8"))
+            if r["shard"] < shards:
+                names.append(spread(r["keys"][0], "<u8"))
+        yield head, chunk, chunk.by_word(np.concatenate(names)), chunk.by_word(np.concatenate(single)), longer
+
+
+def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 20, shard: int = 1 << 21) -> DataFrame:
     """Counts, the unigram base and the automaton's log10 probability of every whole text.
 
     It learns from texts whose crc32(doc_id as text) mod fold isn't `held`, a null id's among
@@ -269,24 +339,26 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 20,
     docs = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"))
     texts = store(numbered(docs, tokens), "texts")
     chunks, size = texts.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    shards, bits = 1 + 2 * size // shard, min(62, max(40, 18 + (2 * size).bit_length()))
-    found = store(answers(questions(texts, shards, bits), shards), "answers")
-    total, kinds = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    shards = 1 + 2 * size // shard
+    about_words = store(answers(word_questions(texts, shards), shards), "words")
+    about_grams = store(answers(gram_questions(with_answers(texts, about_words, chunks), shards), shards), "grams")
+    total, kinds = about_words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for _, rows in groupby(each_row(batches), lambda r: r["chunk"]):
-            head, chunk = unpacked(next(rows), bits)
-            counts = chunk.counts(np.concatenate([spread(r["counts"], "<i8") for r in rows]))
-            model = Automaton.build(chunk, *counts, total, kinds)
+        for head, chunk, names, single, longer in answered(batches, shards):
+            grams, one = Grams(chunk, names), single[chunk.tokens]
+            order, _ = grams.shards(shards)
+            found = np.zeros(len(order), dtype=np.int64)
+            found[order] = np.concatenate([np.zeros(0, np.int64), *longer])
+            model = Automaton.build(chunk, one, *grams.by_place(found), total, kinds)
             ends = np.cumsum(chunk.lengths)
             starts = ends - chunk.lengths
-            base = np.add.reduceat(np.log10((counts[0] + 1.0) / (total + kinds + 1)), starts)
-            known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
+            base = np.add.reduceat(np.log10((one + 1.0) / (total + kinds + 1)), starts)
+            known = np.add.reduceat((one > 0).astype(np.int64), starts)
             scores = [model.walk(s, e) for s, e in zip(starts.tolist(), ends.tolist())]
             cols = [head["ids"], head["held"], chunk.lengths, known, np.full(len(starts), total), base, scores]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    both = texts.withColumn("shard", F.lit(-1).cast("long")).unionByName(found.where("chunk IS NOT NULL").select("chunk", "shard", "counts"), allowMissingColumns=True)
-    return both.repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(run, ddl)
+    return with_answers(texts, about_words.unionByName(about_grams), chunks).mapInArrow(run, ddl)
