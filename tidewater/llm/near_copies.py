@@ -326,7 +326,17 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return left.join(one, "a").join(two, "b").where(9 * shared >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
+def united(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (node, component) that further links of nodes join: only groups that are joined take part in the rounds."""
+    top = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"top_{x}"))
+    ends = links.join(top("a"), "a", "left").join(top("b"), "b", "left")
+    joined = store(connected_components(ends.select(*[F.coalesce(f"top_{x}", x).alias(x) for x in "ab"])), "joined")
+    moved = groups.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    alone = joined.join(groups.select("node"), "node", "left_anti")
+    return store(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(alone), "groups")
+
+
+def kept(docs: DataFrame, few: int = 32, rounds: int = 1) -> DataFrame:
     """One row of docs for each group connected by pairs of similarity 0.8 or more in shingles of five words.
 
     It is the row of the smallest doc_id, nulls last; among rows of one id the text decides, by hash, and
@@ -347,9 +357,8 @@ def kept(docs: DataFrame, few: int = 32, rounds: int = 4) -> DataFrame:
     every = rounds == 0
     while not (rows := divided(members, groups)).isEmpty():
         more = store(verified(across(rows, sets, every), sets, docs), "verified")
-        found = found.unionByName(more)
         if not more.isEmpty():
-            groups = store(connected_components(found), "groups")
+            groups = united(groups, more)
         if every:
             break
         rounds -= 1
