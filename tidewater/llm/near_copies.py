@@ -336,7 +336,7 @@ def united(groups: DataFrame, links: DataFrame) -> DataFrame:
     return store(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(alone), "groups")
 
 
-def kept(docs: DataFrame, few: int = 32, rounds: int = 1) -> DataFrame:
+def kept(docs: DataFrame, few: int = 8, rounds: int = 1) -> DataFrame:
     """One row of docs for each group connected by pairs of similarity 0.8 or more in shingles of five words.
 
     It is the row of the smallest doc_id, nulls last; among rows of one id the text decides, by hash, and
