@@ -66,6 +66,15 @@ def test_split_factor_is_half_open(spark):
     assert [r["factor"] for r in H.with_split_factor(rows, splits, "a", "b").orderBy("ticker", "a").collect()] == [2.0, 3.0, 1.0]
 
 
+def test_split_factors_are_of_every_pair_and_security(spark):
+    from tidewater.plans import fund_queries as Fund
+    from tidewater.sources.bridge import table
+
+    sf = "/root/testdata/sf0.001"
+    pairs = H.filing_pairs(Fund.snapshots(spark, sf)).select("period", "prev_period").distinct().count()
+    assert Fund.QUERIES["hld_05_split_factor"](spark, sf).count() == pairs * table(spark, sf, "securities").count()
+
+
 def test_reporting_quarter_needs_a_past_deadline(spark):
     assert one(spark, S.reporting_quarter(F.lit(date(2001, 5, 15)))) == date(2000, 12, 31)
     assert one(spark, S.reporting_quarter(F.lit(date(2001, 5, 16)))) == date(2001, 3, 31)
