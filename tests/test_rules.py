@@ -344,3 +344,20 @@ def test_a_scores_own_order_is_held_against_shuffled_ones(spark):
     none = C.placebo_test(df.withColumn("s", F.xxhash64("ticker", "rdate").cast("double")), "s", "y", 50).first()
     assert none["p"] > 0.03 and none["n"] == 240
     assert C.placebo_test(df.where("s < 0"), "s", "y", 5).collect() == []
+
+
+def test_a_reports_list_of_actions_has_an_entry_a_day(spark):
+    from tidewater.operators import events as V
+
+    days = [date.fromordinal(730000 + k) for k in range(80)]
+    cal = spark.createDataFrame([(d, k + 1) for k, d in enumerate(days)], "date date, idx int")
+    reports = spark.createDataFrame([("T", days[70], 71)], "ticker string, date date, ridx int")
+    rows = spark.range(20_000).select(
+        F.lit("T").alias("ticker"), F.lit(days[0]).alias("d"), F.expr("cast(id % 80 AS int)").alias("k"), F.element_at(F.array(F.lit("up"), F.lit("down"), F.lit("init"), F.lit("main")), F.expr("cast(id % 4 + 1 AS int)")).alias("code"), ((F.col("id") % 7 - 3) / 16).alias("pt"))
+    acts = rows.select("ticker", F.date_add("d", F.col("k")).cast("timestamp").alias("ts"), "code", "pt")
+    found = V.analyst_days(reports, acts, cal)
+    assert found.select(F.size("actions")).first()[0] == 63
+    got = found.select(C.analyst_signals(F.col("actions"), -1).alias("a")).select("a.*").first()
+    near = [(k, c, p / 16) for k, c, p in ((i % 80, i % 4, i % 7 - 3) for i in range(20_000)) if 71 - 21 <= k + 1 < 71]
+    points = [p for _, _, p in near if p]
+    assert tuple(got) == (len(near), *[sum(c == x for _, c, _ in near) for x in (0, 1, 2)], sum(p > 0 for p in points) - sum(p < 0 for p in points), sum(points) / len(points))

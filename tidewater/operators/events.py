@@ -130,17 +130,39 @@ def gap_range_path(win: DataFrame) -> DataFrame:
     return win.withColumn("gap_range", F.transform(F.sequence(F.lit(-PATH), F.lit(-1)), one))
 
 
-def analyst_actions(reports: DataFrame, actions: DataFrame, cal: DataFrame, back: int = 63) -> DataFrame:
-    """Actions public in the so many trading days up to the reaction day, as (k, code, pt); from 16:00 on they are public a day later."""
+def _public_days(actions: DataFrame, cal: DataFrame) -> DataFrame:
+    """Actions with idx, the trading day that they are public on; from 16:00 on that is a day later."""
     public = F.when(F.hour("ts") >= 16, F.date_add(F.col("ts").cast("date"), 1)).otherwise(F.col("ts").cast("date"))
-    a = actions.withColumn("day", public).join(F.broadcast(day_index(cal)), "day").select("ticker", "idx", "code", "pt")
-    a = a.withColumn("bucket", F.floor(F.col("idx") / back))
+    return actions.withColumn("day", public).join(F.broadcast(day_index(cal)), "day")
+
+
+def _days_before(reports: DataFrame, days: DataFrame, back: int) -> DataFrame:
+    """Reports (ticker, date, ridx) joined to the rows (ticker, idx) of the so many trading days before the reaction day."""
+    a = days.withColumn("bucket", F.floor(F.col("idx") / back))
     touched = F.sequence(F.floor((F.col("ridx") - back) / back), F.floor((F.col("ridx") - 1) / back))
     r = reports.where("ridx IS NOT NULL").select("ticker", "date", "ridx", F.explode(touched).alias("bucket"))
-    near = r.join(a, ["ticker", "bucket"]).where(F.col("idx").between(F.col("ridx") - back, F.col("ridx") - 1))
+    return r.join(a, ["ticker", "bucket"]).where(F.col("idx").between(F.col("ridx") - back, F.col("ridx") - 1))
+
+
+def analyst_actions(reports: DataFrame, actions: DataFrame, cal: DataFrame, back: int = 63) -> DataFrame:
+    """Actions public in the so many trading days up to the reaction day, as (k, code, pt); from 16:00 on they are public a day later."""
+    near = _days_before(reports, _public_days(actions, cal).select("ticker", "idx", "code", "pt"), back)
     return near.groupBy("ticker", "date").agg(F.sort_array(F.collect_list(F.struct((F.col("idx") - F.col("ridx")).alias("k"), "code", "pt"))).alias("actions"))
 
 
+def analyst_days(reports: DataFrame, actions: DataFrame, cal: DataFrame, back: int = 63) -> DataFrame:
+    """The same actions summed by day, as (k, n, up, down, init, raised, lowered, moved, points), so that a report has an entry a day however many there are.
+
+    Days are summed once, before they meet reports. moved counts the targets that aren't zero, points is their sum.
+    """
+    coded = [F.count_if(F.col("code") == c).alias(c) for c in ("up", "down", "init")]
+    moved = F.col("pt").isNotNull() & (F.col("pt") != 0)
+    sums = [F.count("*").alias("n"), *coded, F.count_if(F.col("pt") > 0).alias("raised"), F.count_if(F.col("pt") < 0).alias("lowered"), F.count_if(moved).alias("moved"), F.coalesce(F.sum(F.when(moved, F.col("pt").cast("double"))), F.lit(0.0)).alias("points")]
+    daily = _public_days(actions, cal).groupBy("ticker", "idx").agg(*sums)
+    entry = F.struct((F.col("idx") - F.col("ridx")).alias("k"), "n", "up", "down", "init", "raised", "lowered", "moved", "points")
+    return _days_before(reports, daily, back).groupBy("ticker", "date").agg(F.sort_array(F.collect_list(entry)).alias("actions"))
+
+
 def insider_context(reports: DataFrame, trades: DataFrame, days: int = 90) -> DataFrame:
     """Distinct buyers and value filed in [date - 90, date), each trade once.
 

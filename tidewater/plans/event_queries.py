@@ -237,9 +237,7 @@ def scan_rows(s, d):
         w = windows(s, d)
         tiers = V.caps_at_report(w, table(s, d, "securities"), last_prices(s, d)).select(*keys, "tier", "cap")
         buyers = V.insider_context(reports(s, d), table(s, d, "insiders")).select(*keys, "buyers")
-        acted = V.analyst_actions(reports(s, d), actions(s, d), cal(s, d))
-        scaled = F.transform("actions", lambda a: F.struct(a["k"].alias("k"), a["code"].alias("code"), (a["pt"] / 16).alias("pt")))
-        acted = acted.select(*keys, scaled.alias("actions"))
+        acted = V.analyst_days(reports(s, d), actions(s, d).withColumn("pt", F.col("pt") / 16), cal(s, d)).select(*keys, "actions")
         ma = V.average_gaps(V.indexed_bars(bars(s, d), cal(s, d))).select("ticker", (F.col("idx") + 1).alias("ridx"), F.col("gap_50").alias("ma50_gap"), F.col("gap_200").alias("ma200_gap"))
         sec = table(s, d, "securities").select("ticker", F.regexp_extract("industry", "([^ ]+)$", 1).alias("industry"), "sector")
         gaps = V.gap_range_path(w).select(*keys, "gap_range")
