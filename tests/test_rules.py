@@ -361,3 +361,15 @@ def test_a_reports_list_of_actions_has_an_entry_a_day(spark):
     near = [(k, c, p / 16) for k, c, p in ((i % 80, i % 4, i % 7 - 3) for i in range(20_000)) if 71 - 21 <= k + 1 < 71]
     points = [p for _, _, p in near if p]
     assert tuple(got) == (len(near), *[sum(c == x for _, c, _ in near) for x in (0, 1, 2)], sum(p > 0 for p in points) - sum(p < 0 for p in points), sum(points) / len(points))
+
+
+def test_deltas_dont_depend_on_the_order_of_arrival(spark, tmp_path):
+    from tidewater.streaming import jobs as J
+
+    rows = [(k, f"2001-01-{d:02d} 00:00:00", float(v)) for k, d, v in ((1, 1, 10), (1, 5, 13), (1, 9, 11), (1, 9, 11), (1, 3, 12), (2, 8, 5), (2, 2, 7))]
+    for part in (rows[1:3], rows[3:6], rows[:1] + rows[6:]):
+        spark.createDataFrame(part, "key long, time string, value double").select("key", F.col("time").cast("timestamp").alias("time"), "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = J.landing(spark, f"{tmp_path}/in", "key long, time timestamp, value double", files=1)
+    out = J.latest_deltas(J.drain(J.deltas(stream, "40 days", 400), spark, f"{tmp_path}/work"))
+    got = sorted((r["key"], r["time"].day, r["value"], None if r["delta"] is None or r["delta"] != r["delta"] else r["delta"]) for r in out.collect())
+    assert got[:2] == [(1, 1, 10.0, None), (1, 3, 12.0, 2.0)] and got[2] == (1, 5, 13.0, 1.0) and sorted(g[3] for g in got[3:5]) == [-2.0, 0.0] and got[5:] == [(2, 2, 7.0, None), (2, 8, 5.0, -2.0)]

@@ -233,7 +233,7 @@ def late(s, d):
 
 def delta_rows(s, d):
     e = _stream(s, d).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("time"), "value")
-    out = J.drain(J.deltas(e, "40 days", 400), s, _work(s))
+    out = J.latest_deltas(J.drain(J.deltas(e, "40 days", 400), s, _work(s)))
     return out.select("key", "value", F.round("delta", 4).alias("delta")).withColumn("delta", F.nanvl("delta", F.lit(None).cast("double")))
 
 

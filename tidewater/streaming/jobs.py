@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,38 +90,55 @@ def keyed_sink(table: Table, keys: list[str], version: str):
     return put
 
 
-DELTA = "key long, time timestamp, value double, delta double"
+DELTA = "key long, time timestamp, value double, nth int, version long, delta double"
+#: Snapshots this much older than the watermark are let go, so that a session's time zone can't matter.
+_MARGIN = 86_400_000_000
 
 
 def _deltas(keep_ms: int):
+    keep = keep_ms * 1000
+
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["time", "value"])
-        at = rows["time"].astype("datetime64[ms]").astype("int64")
-        value, seen = state.get if state.exists else (float("nan"), at.iloc[0])
-        before, since = rows["value"].shift(), at.shift()
-        before.iloc[0], since.iloc[0] = value, seen
-        delta = (rows["value"] - before).where(at - since <= keep_ms)
-        until = int(at.iloc[-1]) + keep_ms
-        if until > state.getCurrentWatermarkMs():
-            state.update((float(rows["value"].iloc[-1]), int(at.iloc[-1])))
-            state.setTimeoutTimestamp(until)
+        rows = pd.concat(list(batches))
+        times, values, version = state.get if state.exists else ([], [], 0)
+        at = np.concatenate([np.array(times, "int64"), rows["time"].astype("datetime64[us]").astype("int64").to_numpy()])
+        value = np.concatenate([np.array(values, "float64"), rows["value"].to_numpy("float64")])
+        order = np.lexsort((value, at))  # stable: of equal snapshots the known ones come first
+        at, value, new = at[order], value[order], order >= len(times)
+        delta = np.full(len(at), np.nan)
+        delta[1:] = np.where(np.diff(at) <= keep, np.diff(value), np.nan)
+        nth = pd.DataFrame({"at": at, "value": value}).groupby(["at", "value"], dropna=False).cumcount().to_numpy()
+        told = new.copy()
+        told[1:] |= new[:-1]  # one that a new snapshot came before is told again
+        until, low = int(at[-1]) + keep, state.getCurrentWatermarkMs() * 1000 - _MARGIN
+        if until // 1000 > state.getCurrentWatermarkMs():
+            first = max(int(np.searchsorted(at, low, "right")) - 1, 0)
+            state.update((at[first:].tolist(), value[first:].tolist(), version + 1))
+            state.setTimeoutTimestamp(until // 1000)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"key": key[0], "time": rows["time"], "value": rows["value"], "delta": delta})
+        yield pd.DataFrame({"key": key[0], "time": pd.to_datetime(at[told], unit="us"), "value": value[told], "nth": nth[told].astype("int32"), "version": version + 1, "delta": delta[told]})
 
     return run
 
 
 def deltas(stream: DataFrame, late: str = "3 days", keep_days: int = 90) -> DataFrame:
-    """Change of a key's value since its last snapshot (key, time, value); the last value is the state.
+    """Change of a key's value since the snapshot before it in time (key, time, value), in whatever order they arrive.
 
-    A snapshot more than so many days after a key's last one has no delta, and a key's state goes when the watermark has
-    passed that time. Rows that are later than the watermark are dropped.
+    The state holds a key's snapshots since the watermark, and the last one before. One that comes late makes the next one's
+    row be told again, with a higher version; `latest_deltas` keeps the last. nth tells equal snapshots apart. A snapshot more
+    than so many days after the one before has no delta, and a key's state goes when the watermark has passed that time
+    after its last one. Rows that are later than the watermark are dropped.
     """
-    return stream.withWatermark("time", late).groupBy("key").applyInPandasWithState(_deltas(keep_days * 86_400_000), DELTA, "value double, seen long", "append", "EventTimeTimeout")
+    return stream.withWatermark("time", late).groupBy("key").applyInPandasWithState(_deltas(keep_days * 86_400_000), DELTA, "times array<long>, values array<double>, version long", "append", "EventTimeTimeout")
+
+
+def latest_deltas(rows: DataFrame) -> DataFrame:
+    """A row for each snapshot of what `deltas` has told: its last version."""
+    return rows.groupBy("key", "time", "value", "nth").agg(F.max_by("delta", "version").alias("delta")).drop("nth")
 
 
 def drain(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
