@@ -373,3 +373,21 @@ def test_deltas_dont_depend_on_the_order_of_arrival(spark, tmp_path):
     out = J.latest_deltas(J.drain(J.deltas(stream, "40 days", 400), spark, f"{tmp_path}/work"))
     got = sorted((r["key"], r["time"].day, r["value"], None if r["delta"] is None or r["delta"] != r["delta"] else r["delta"]) for r in out.collect())
     assert got[:2] == [(1, 1, 10.0, None), (1, 3, 12.0, 2.0)] and got[2] == (1, 5, 13.0, 1.0) and sorted(g[3] for g in got[3:5]) == [-2.0, 0.0] and got[5:] == [(2, 2, 7.0, None), (2, 8, 5.0, -2.0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_few_names_are_not_shuffled_by_them(spark):
+    holdings = spark.createDataFrame([("f", "N INC", "C1", None)] * 1000, "filing_id string, issuer_name string, cusip string, ticker string")
+    securities = spark.createDataFrame([("N", "T1")], "name string, ticker string")
+    mapped = spark.createDataFrame([("C1", "T1")], "cusip string, ticker string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        names = H.name_map(securities, mapped)
+        for df, least in ((H.resolve_tickers(holdings, mapped, securities), 3), (H.backfill_tickers(holdings, names), 1)):
+            assert _plan(df).count("BroadcastHashJoin") >= least
+            assert df.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
