@@ -391,3 +391,13 @@ def test_rows_of_few_names_are_not_shuffled_by_them(spark):
             assert df.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_fund_report_is_parsed_once(spark):
+    from tidewater.sources import filings as X
+
+    docs = spark.createDataFrame([(1, '<a><seriesId>S1</seriesId><repPdDate>2001-03-31</repPdDate><netAssets>5.5</netAssets><monthlyTotReturn rtn1="1.5" rtn2="N/A"/></a>'), (2, "<a><b></a>"), (3, None), (4, "<a/>")], "id int, xml string")
+    df = X.parse_fund_report(docs)
+    got = [tuple(r) for r in df.orderBy("id").collect()]
+    assert got == [(1, "S1", date(2001, 3, 31), 5.5, [1.5, None, None])] + [(k, None, None, None, [None, None, None]) for k in (2, 3, 4)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("XPathStringEvaluator") == 1

@@ -133,10 +133,15 @@ def monthly_flows(reports: DataFrame, by_series: DataFrame, by_cik: DataFrame) -
 
 
 def parse_fund_report(docs: DataFrame) -> DataFrame:
-    """Series, period, net assets and three monthly returns of a fund's report (xml)."""
-    at = lambda p: F.nullif(text_at(F.col("xml"), p), F.lit(""))
-    names = [f"//*[local-name()='monthlyTotReturn']/@rtn{k}" for k in (1, 2, 3)]
-    return docs.select("id", at("//*[local-name()='seriesId']").alias("series_id"), F.try_to_date(at("//*[local-name()='repPdDate']")).alias("period"), at("//*[local-name()='netAssets']").try_cast("double").alias("net_assets"), F.array(*[at(n).try_cast("double") for n in names]).alias("returns"))
+    """Series, period, net assets and three monthly returns of a fund's report (xml).
+
+    One path asks for all fields, so that a document is parsed once; a character that XML doesn't allow stands between them.
+    """
+    paths = ["//*[local-name()='seriesId']", "//*[local-name()='repPdDate']", "//*[local-name()='netAssets']", *[f"//*[local-name()='monthlyTotReturn']/@rtn{k}" for k in (1, 2, 3)]]
+    every = F.split(text_at(F.col("xml"), "concat(" + ", '\u0001', ".join(paths) + ")"), "\u0001")
+    d = docs.select("id", every.alias("all"))
+    at = lambda k: F.nullif(F.get("all", F.lit(k)), F.lit(""))
+    return d.select("id", at(0).alias("series_id"), F.try_to_date(at(1)).alias("period"), at(2).try_cast("double").alias("net_assets"), F.array(*[at(k).try_cast("double") for k in (3, 4, 5)]).alias("returns"))
 
 
 def parse_issuer_history(docs: DataFrame) -> DataFrame:
