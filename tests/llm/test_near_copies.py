@@ -130,6 +130,21 @@ def test_boilerplate_that_is_not_a_near_copy(spark):
     assert sorted(r["doc_id"] for r in near_copies.kept(docs).collect()) == list(range(5000))
 
 
+def test_buckets_without_pairs_are_looked_at_once(spark, monkeypatch):
+    """A line in unrelated texts makes a large bucket: it is compared once, each text's parity is fetched once, and the pairs elsewhere are found."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    line = [word() for _ in range(20)]
+    texts = [line + [word() for _ in range(60)] for _ in range(200)]
+    texts += [edited(rng, texts[k], 0.01) for k in range(5)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "common_shingles", lambda docs: np.zeros(0, np.uint64))
+    real, seen = near_copies.across, []
+    monkeypatch.setattr(near_copies, "across", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    assert sorted(r["doc_id"] for r in near_copies.kept(docs).collect()) == smallest_of_groups(list(enumerate(map(" ".join, texts))))
+    assert len(seen) == 1 and seen[0] > 100
+
+
 def test_shared_text_on_both_sides_of_the_threshold(spark):
     """Groups that share a passage of every length, in buckets of every kind."""
     rng = random.Random(5)

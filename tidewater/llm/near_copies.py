@@ -149,7 +149,7 @@ def fits(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarr
 
 
 def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
-    """(large, a, b, at): candidate pairs of signatures, and (bucket, signature, its place) of buckets that aren't paired here.
+    """(large, a, b, at, n): candidate pairs of signatures, and (bucket, signature, its place and size) of buckets that aren't paired here.
 
     Those are of more than `few`, with a light one, and those of common shingles, which are dealt out by salt.
     """
@@ -162,7 +162,7 @@ def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
     low, high = kind(F.ceil(F.col("n") * 4 / 5)), kind(F.least(F.col("n"), F.expr("(9 * (n - at) - 4 * n) div 4")))
     late = late.join(lit, "h").where(F.exists("kinds", lambda k: k.between(low, high))).drop("kinds")
     met = rare.unionByName(late).select("h", "salt", "sig", "n", "at")
-    ddl = "large boolean, a long, b long, at int"
+    ddl = "large boolean, a long, b long, at int, n int"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -199,7 +199,8 @@ def meetings(sets: DataFrame, few: int, salts: int = 64) -> DataFrame:
                 many[own] = np.searchsorted(sizes, high, "right") > np.searchsorted(sizes, low)
             flag = np.append(np.zeros(len(a), bool), np.ones(int(many.sum()), bool))
             if len(flag):
-                cols = [pa.array(flag), pa.array(np.append(a, h[many])), pa.array(np.append(b, sig[many])), pa.array(np.append(np.zeros_like(a), at[many]), pa.int32())]
+                small = [pa.array(np.append(np.zeros_like(a), x[many]), pa.int32()) for x in (at, n)]
+                cols = [pa.array(flag), pa.array(np.append(a, h[many])), pa.array(np.append(b, sig[many])), *small]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return met.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, ddl)
@@ -215,21 +216,24 @@ def divided(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, sets: DataFrame, every: bool, side: int = 2048) -> DataFrame:
-    """(a, b): pairs in buckets of `divided` that are in different groups and can be similar, by the parities of sets.
+    """(h, a, b, rest): pairs in buckets of `divided` that are in different groups and can be similar, by the parities of sets.
 
     Light ones and all ones are cut in sides, each pair of which is compared in a task of its own. Without `every` a task
-    gives only as many of the pairs as unite its groups, those of the nearest parities.
+    gives only as many of the pairs as unite its groups, those of the nearest parities; rest tells that there are more.
+    A text meets its parity once, however many buckets it is in.
     """
     cut = lambda c: F.ceil(F.col(c) / side).cast("int")
     part = lambda c, seed: F.pmod(F.xxhash64("sig", F.lit(seed)), cut(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), cut(c) - 1))
     cols = ["h", "i", "j", "light", "sig", "at", "n", "top", "bits"]
-    rows = rows.join(sets.select("sig", "bits"), "sig")
+    texts = rows.groupBy("sig").agg(F.collect_list(F.struct("h", "at", "n", "top", "rows", "lights")).alias("places"))
+    rows = texts.join(sets.select("sig", "bits"), "sig").select("sig", "bits", F.inline("places"))
     sided = (
         rows.withColumns({"i": each("lights"), "light": F.lit(False)}).withColumn("j", part("rows", 0)).select(cols)
         .unionByName(rows.where("9 * at <= n").withColumns({"j": each("rows"), "light": F.lit(True)}).withColumn("i", part("lights", 1)).select(cols))
     )
-    keys, schema = ["h", "i", "j"], arrow_schema("a long, b long")
+    ddl = "h long, a long, b long, rest boolean"
+    keys, schema = ["h", "i", "j"], arrow_schema(ddl)
 
     def run(batches):
         for c in runs(batches, keys):
@@ -240,7 +244,7 @@ def across(rows: DataFrame, sets: DataFrame, every: bool, side: int = 2048) -> D
                 if light.all() or not light.any():
                     continue
                 bits = Parities([x.view(np.uint64) for x in c["bits"][s:e]])
-                other, own_light, out = ~light, 9 * at <= n, []
+                other, own_light, out, rest = ~light, 9 * at <= n, [], False
                 for k in np.flatnonzero(light).tolist():
                     # Of two light ones the pair is taken once.
                     ok = other & (top != top[k]) & (~own_light | (sig > sig[k])) & fits(n, n[k], at, at[k])
@@ -250,6 +254,7 @@ def across(rows: DataFrame, sets: DataFrame, every: bool, side: int = 2048) -> D
                     if not every and len(near) > 1:  # the nearest of each group
                         order = np.lexsort((differ, top[near]))
                         order = order[np.append(True, top[near][order][1:] != top[near][order][:-1])]
+                        rest |= len(order) < len(near)
                         near, differ = near[order], differ[order]
                     if len(near):
                         out.append(np.stack([np.full(len(near), k), near, differ]))
@@ -261,10 +266,12 @@ def across(rows: DataFrame, sets: DataFrame, every: bool, side: int = 2048) -> D
                     numbers = np.unique(top, return_inverse=True)[1]
                     ends = list(zip(numbers[i[order]].tolist(), numbers[j[order]].tolist()))
                     pick = order[uniting(ends, int(numbers.max()) + 1)]
+                    rest |= len(pick) < len(i)
                     i, j = i[pick], j[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j]))], schema=schema)
+                cols = [np.full(len(i), c["h"][s]), np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.full(len(i), rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
 
-    return sided.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return sided.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
 def uniting(ends: list[tuple[int, int]], n: int) -> list[int]:
@@ -342,7 +349,8 @@ def kept(docs: DataFrame, few: int = 8, rounds: int = 1) -> DataFrame:
     It is the row of the smallest doc_id, nulls last; among rows of one id the text decides, by hash, and
     among rows of one id and text the other columns in turn, the smallest first. Null and empty texts are
     one set. Groups in large buckets are united in at most `rounds` rounds of few pairs each; then all
-    pairs left between groups are verified, so the rounds change the work but not the result.
+    pairs left between groups are verified, so the rounds change the work but not the result. Buckets
+    that have given all their pairs aren't looked at again.
     """
     prints = store(described(docs, common_shingles(docs)), "described")
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("who")
@@ -352,17 +360,18 @@ def kept(docs: DataFrame, few: int = 8, rounds: int = 1) -> DataFrame:
     met = store(meetings(prints.select("sig", "n", "keys", "own").dropDuplicates(["sig"]), few), "meetings")
     found = store(verified(near.unionByName(met.where("NOT large").select("a", "b")), sets, docs), "verified")
     groups = store(connected_components(found), "groups")
-    large = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"), "at")
-    members = store(large.join(sets.select("sig", "n"), "sig"), "large")
+    members = met.where("large").select(F.col("a").alias("h"), F.col("b").alias("sig"), "at", "n")
     every = rounds == 0
     while not (rows := divided(members, groups)).isEmpty():
-        more = store(verified(across(rows, sets, every), sets, docs), "verified")
+        pairs = store(across(rows, sets, every), "across")
+        more = store(verified(pairs.select("a", "b"), sets, docs), "verified")
         if not more.isEmpty():
             groups = united(groups, more)
         if every:
             break
         rounds -= 1
-        members, every = rows.drop("top", "rows", "lights"), rounds == 0 or more.isEmpty()
+        left = pairs.where("rest").select("h").distinct()
+        members, every = rows.drop("top", "rows", "lights").join(left, "h", "left_semi"), rounds == 0 or more.isEmpty()
     tops = sets.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("who", F.coalesce("component", "sig").alias("top"))
     one, two = free(docs, "k1"), free(docs, "k2")
     keep = tops.groupBy("top").agg(F.min("who").alias("who")).select(F.col("who.k1").alias(one), F.col("who.k2").alias(two))
