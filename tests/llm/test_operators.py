@@ -401,6 +401,19 @@ def test_language_model_grows_with_its_input():
     assert len(n) + len(m) == len(c) and sorted([*n.tolist(), *m.tolist()]) == sorted(c.values())
 
 
+def test_language_model_asks_only_what_other_chunks_may_hold(spark):
+    """Texts of words of their own send no n-gram of them, texts that share words do; hashes aren't sent to chunks, and shuffles go with their table."""
+    texts = [f"own{i} other{i} more{i} the same five words {i}x" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 2 == 0)
+    chunks = lm.store(lm.numbered(docs.repartition(4), 1), "texts").cache()
+    found = lm.store(lm.answers(lm.word_questions(chunks, 1), 1), "words", lean=True)
+    both = lm.with_answers(chunks, found, 40)
+    assert not {"hashes", "checks"} & {*both.columns}
+    asked = [len(lm.spread(r["counts"], "<i8")) for r in lm.gram_questions(both, 1).collect()]
+    assert asked == [5] * 40  # three pairs and two triples of the four shared words
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_language_model_with_colliding_hashes(docs, texts, monkeypatch):
     """Words whose 64 bits are equal are told apart by their check, and shards by one value change nothing: no score is above 0, all are those of other hashes."""
     want = by_id(lm.score(docs))

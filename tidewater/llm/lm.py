@@ -10,8 +10,9 @@ its hash, to a shard of words, which counts it and numbers it, frequent words fi
 the corpus have one number. Then it sends each of its different pairs and triples as such numbers,
 with its own count, to the shard of the n-gram; a shard adds up what all chunks sent and answers each
 in the order it was asked; the chunk compiles its part of the automaton from the answers and traverses
-its texts. So counts are exact at any size, a frequent n-gram is one key a chunk, and only numbers and
-counts are shuffled.
+its texts. An n-gram isn't sent if no other chunk holds one of its words, for then its count is the
+chunk's own, or if no training text holds one. So counts are exact at any size, a frequent n-gram is one
+key a chunk, and only numbers and counts are shuffled. Words' hashes go to their shards only.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from .shared import arrow_schema, remainder, small_batches, store
 END = b"\n"
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
-#: A chunk: its words' hashes, texts as numbers of words, and by text the id, fold and length.
-TEXTS = "chunk long, hashes binary, checks binary, numbers binary, ids array<long>, held array<boolean>, lengths array<long>, tokens long"
-#: Questions and answers of a chunk and a shard. Keys of a question are columns, those of an answer are words' numbers; a shard's sums have no chunk.
+#: A chunk: its words' hashes in order, the numbers of words in that order, texts as numbers of words, and by text the id, fold and length.
+TEXTS = "chunk long, hashes binary, checks binary, places binary, numbers binary, ids array<long>, held array<boolean>, lengths array<long>, tokens long"
+#: Questions and answers of a chunk and a shard. Keys of a question are columns, those of an answer are words' numbers and marks; a shard's sums have no chunk.
 ASKED = "chunk long, shard long, keys array<binary>, counts binary, total long, kinds long"
 
 
@@ -68,24 +69,32 @@ def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """Texts as numbers of their words; hashes and checks have one of each different word, lengths and held are by text."""
+    """Texts as numbers of their words; hashes and checks have one of each different word, lengths and held are by text.
 
-    hashes: np.ndarray
-    checks: np.ndarray
+    order: the words by hash and check, which take the place of these where the order is known.
+    """
+
+    hashes: np.ndarray | None
+    checks: np.ndarray | None
     tokens: np.ndarray
     lengths: np.ndarray
     held: np.ndarray
+    order: np.ndarray | None = None
 
     def __post_init__(self):
         at = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.two, self.three = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
-        self.order = np.lexsort((self.checks, self.hashes))
+        if self.order is None:
+            self.order = np.lexsort((self.checks, self.hashes))
         self.learned = np.repeat(~self.held, self.lengths)
 
     def asked(self) -> tuple[list[np.ndarray], np.ndarray]:
         """Hashes and checks of the different words in order, and how often the chunk's training texts hold each."""
-        n = np.bincount(self.tokens[self.learned], minlength=len(self.order))
-        return [self.hashes[self.order], self.checks[self.order]], n[self.order]
+        return [self.hashes[self.order], self.checks[self.order]], self.counted()
+
+    def counted(self) -> np.ndarray:
+        """How often the chunk's training texts hold each of the different words in order."""
+        return np.bincount(self.tokens[self.learned], minlength=len(self.order))[self.order]
 
     def by_word(self, answers: np.ndarray) -> np.ndarray:
         """Answers in the order asked, by word."""
@@ -95,21 +104,27 @@ class Chunk:
 
 
 class Grams:
-    """A chunk's different pairs and triples as columns of its words' numbers in the corpus, a pair's third being 0, in order."""
+    """A chunk's different pairs and triples as columns of its words' numbers in the corpus, a pair's third being 0, in order.
+
+    own: by word, whether no other chunk holds it or no training text does; open: n-grams without such a word.
+    """
 
-    def __init__(self, chunk: Chunk, names: np.ndarray):
+    def __init__(self, chunk: Chunk, names: np.ndarray, own: np.ndarray | None = None):
         by = np.argsort(names)
         rank = np.empty(len(by), dtype=np.int64)
         rank[by] = np.arange(len(by))
+        alone = np.zeros(len(by), dtype=bool) if own is None else own[by]
         own, n, r, self.chunk = names[by], len(by), rank[chunk.tokens], chunk
         # A triple is its first pair's place among the chunk's pairs, and its last word's: under 2**62 in any chunk.
         pairs, self.pair = np.unique(r[chunk.two - 1] * n + r[chunk.two], return_inverse=True)
         at = np.zeros(len(r), dtype=np.int64)
         at[chunk.two] = self.pair
         triples, self.triple = np.unique(at[chunk.three - 1] * n + r[chunk.three], return_inverse=True)
-        a, b, p = own[pairs // n], own[pairs % n], triples // n
-        self.cut = len(pairs)
-        self.columns = [np.append(a, a[p]), np.append(b, b[p]), np.append(np.zeros_like(a), own[triples % n] + np.uint64(1))]
+        a, b, c, p = pairs // n, pairs % n, triples % n, triples // n
+        two = alone[a] | alone[b]
+        self.open, self.cut = ~np.append(two, two[p] | alone[c]), len(pairs)
+        a, b = own[a], own[b]
+        self.columns = [np.append(a, a[p]), np.append(b, b[p]), np.append(np.zeros_like(a), own[c] + np.uint64(1))]
 
     def asked(self) -> np.ndarray:
         """How often the chunk's training texts hold each."""
@@ -117,11 +132,12 @@ class Grams:
         return np.append(np.bincount(two, minlength=self.cut), np.bincount(three, minlength=len(self.columns[0]) - self.cut))
 
     def shards(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """An order by shard, and the shards in that order."""
-        a, b, c = self.columns
+        """The open ones in an order by shard, and the shards in that order."""
+        at = np.flatnonzero(self.open)
+        a, b, c = (x[at] for x in self.columns)
         of = (mixed(mixed(a, b), c) >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)
         order = np.argsort(of, kind="stable")
-        return order, of[order]
+        return at[order], of[order]
 
     def by_place(self, answers: np.ndarray) -> np.ndarray:
         """Two rows: by place, the answer on the pair and on the triple that end there."""
@@ -207,7 +223,8 @@ def numbered(docs: DataFrame, tokens: int) -> DataFrame:
 
     def sent(number, some):
         c = some.chunk()
-        packed = {"hashes": squeezed(c.hashes), "checks": squeezed(c.checks), "numbers": squeezed(c.tokens)}
+        (hashes, checks), places = c.asked()[0], c.order.astype("<u4")
+        packed = {"hashes": squeezed(np.diff(hashes, prepend=np.uint64(0))), "checks": squeezed(checks), "places": squeezed(places), "numbers": squeezed(c.tokens)}
         row = {"chunk": number, **packed, "ids": some.ids, "held": some.held, "lengths": some.lengths, "tokens": len(c.tokens)}
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -227,9 +244,9 @@ def numbered(docs: DataFrame, tokens: int) -> DataFrame:
 
 
 def unpacked(row: dict) -> Chunk:
-    """The chunk of a row of `numbered`."""
+    """The chunk of a row of `numbered`, without the hashes."""
     lengths, held = np.array(row["lengths"], dtype=np.int64), np.array(row["held"], dtype=bool)
-    return Chunk(spread(row["hashes"], "<u8"), spread(row["checks"], "<u8"), spread(row["numbers"], "<u4"), lengths, held)
+    return Chunk(None, None, spread(row["numbers"], "<u4"), lengths, held, spread(row["places"], "<u4").astype(np.int64))
 
 
 def each_row(batches):
@@ -253,19 +270,19 @@ def word_questions(chunks: DataFrame, shards: int) -> DataFrame:
 
     def run(batches):
         for row in each_row(batches):
-            columns, n = unpacked(row).asked()
+            columns, n = [np.cumsum(spread(row["hashes"], "<u8"), dtype=np.uint64), spread(row["checks"], "<u8")], unpacked(row).counted()
             yield from sent(row["chunk"], 0, (columns[0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), columns, n, schema)
 
     return chunks.mapInArrow(run, ASKED)
 
 
 def gram_questions(chunks: DataFrame, shards: int) -> DataFrame:
-    """For each chunk of `with_answers` and shard its different pairs and triples with their counts; their shards follow those of words."""
+    """For each chunk of `with_answers` and shard its open pairs and triples with their counts; their shards follow those of words."""
     schema = arrow_schema(ASKED)
 
     def run(batches):
-        for row, chunk, names, _, _ in answered(batches, shards):
-            grams = Grams(chunk, names)
+        for row, chunk, names, own, _, _ in answered(batches, shards):
+            grams = Grams(chunk, names, own)
             order, of = grams.shards(shards)
             yield from sent(row["chunk"], shards, of, [c[order] for c in grams.columns], grams.asked()[order], schema)
 
@@ -273,7 +290,7 @@ def gram_questions(chunks: DataFrame, shards: int) -> DataFrame:
 
 
 def answers(asked: DataFrame, shards: int) -> DataFrame:
-    """To each question the counts in all training texts, and to those about words their numbers; each word shard's tokens and different words."""
+    """To each question the counts in all training texts, and to those about words their numbers and whether grams of them are the chunk's own; each word shard's tokens and different words."""
     schema = arrow_schema(ASKED)
 
     def column(rows: list[dict], k: int) -> np.ndarray:
@@ -293,15 +310,17 @@ def answers(asked: DataFrame, shards: int) -> DataFrame:
             del columns
             counts = [spread(r["counts"], "<i8") for r in rows]
             ends = np.cumsum([len(c) for c in counts])[:-1]
-            sums = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(first))
+            begin = np.flatnonzero(first)
+            sums = np.add.reduceat(np.concatenate(counts)[order], begin)
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.cumsum(first) - 1
             out = [{"chunk": r["chunk"], "shard": shard, "counts": squeezed(sums[own])} for r, own in zip(rows, np.split(place, ends))]
             if shard < shards:
                 names = np.empty(len(sums), dtype=np.uint64)
                 names[np.argsort(-sums, kind="stable")] = np.arange(len(sums), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+                alone = ((np.diff(begin, append=len(order)) == 1) | (sums == 0)).astype(np.uint8)
                 for r, own in zip(out, np.split(place, ends)):
-                    r["keys"] = [squeezed(names[own])]
+                    r["keys"] = [squeezed(names[own]), squeezed(alone[own])]
                 out.append({"total": int(sums.sum()), "kinds": int((sums > 0).sum())})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -311,20 +330,21 @@ def answers(asked: DataFrame, shards: int) -> DataFrame:
 def with_answers(texts: DataFrame, found: DataFrame, chunks: int) -> DataFrame:
     """Each chunk with the answers to it after it, by shard."""
     own = found.where("chunk IS NOT NULL").select("chunk", "shard", "keys", "counts")
-    both = texts.withColumn("shard", F.lit(-1).cast("long")).unionByName(own, allowMissingColumns=True)
+    both = texts.drop("hashes", "checks").withColumn("shard", F.lit(-1).cast("long")).unionByName(own, allowMissingColumns=True)
     return both.repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "shard")
 
 
 def answered(batches, shards: int):
-    """Of each chunk its row, itself, by word the number and the count, and the counts of pairs and triples by shard."""
+    """Of each chunk its row, itself, by word the number, whether its grams are the chunk's own and the count, and the counts of pairs and triples by shard."""
     for _, rows in groupby(each_row(batches), lambda r: r["chunk"]):
         head = next(rows)
-        chunk, names, single, longer = unpacked(head), [], [], []
+        chunk, names, own, single, longer = unpacked(head), [], [], [], []
         for r in rows:
             (single if r["shard"] < shards else longer).append(spread(r["counts"], "<i8"))
             if r["shard"] < shards:
                 names.append(spread(r["keys"][0], "<u8"))
-        yield head, chunk, chunk.by_word(np.concatenate(names)), chunk.by_word(np.concatenate(single)), longer
+                own.append(spread(r["keys"][1], "u1").astype(bool))
+        yield head, chunk, *(chunk.by_word(np.concatenate(x)) for x in (names, own, single)), longer
 
 
 def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 20, shard: int = 1 << 21) -> DataFrame:
@@ -337,20 +357,19 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, tokens: int = 1 << 20,
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", fold) == held, F.lit(False)).alias("held_out"))
-    texts = store(numbered(docs, tokens), "texts")
+    texts = store(numbered(docs, tokens), "texts", lean=True)
     chunks, size = texts.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     shards = 1 + 2 * size // shard
-    about_words = store(answers(word_questions(texts, shards), shards), "words")
-    about_grams = store(answers(gram_questions(with_answers(texts, about_words, chunks), shards), shards), "grams")
+    about_words = store(answers(word_questions(texts, shards), shards), "words", lean=True)
+    about_grams = store(answers(gram_questions(with_answers(texts, about_words, chunks), shards), shards), "grams", lean=True)
     total, kinds = about_words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for head, chunk, names, single, longer in answered(batches, shards):
-            grams, one = Grams(chunk, names), single[chunk.tokens]
-            order, _ = grams.shards(shards)
-            found = np.zeros(len(order), dtype=np.int64)
+        for head, chunk, names, own, single, longer in answered(batches, shards):
+            grams, one = Grams(chunk, names, own), single[chunk.tokens]
+            (order, _), found = grams.shards(shards), grams.asked()
             found[order] = np.concatenate([np.zeros(0, np.int64), *longer])
             model = Automaton.build(chunk, one, *grams.by_place(found), total, kinds)
             ends = np.cumsum(chunk.lengths)

@@ -21,11 +21,23 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: it cuts lineage and survives lost executors."""
-    small_batches(df.sparkSession)
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def store(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it back: it cuts lineage and survives lost executors.
+
+    lean: the shuffle files of the write go when it has ended, not when the driver's memory is cleaned.
+    """
+    spark, option = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    small_batches(spark)
+    path, before = f"{folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(option, None)
+    if lean:
+        spark.conf.set(option, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if lean and before is not None:
+            spark.conf.set(option, before)
+        elif lean:
+            spark.conf.unset(option)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
