@@ -315,6 +315,14 @@ def test_rows_of_a_large_file_are_read_by_their_tag(spark, tmp_path):
     assert got.count() == 20_300 and got.exceptAll(want).isEmpty()
 
 
+def test_rows_of_files_are_parsed_once(spark, tmp_path, capsys):
+    (tmp_path / "a.xml").write_text("<t><infoTable><nameOfIssuer>N</nameOfIssuer><cusip>C</cusip></infoTable></t>")
+    got = X.read_info_tables(spark, str(tmp_path))
+    got.explain("extended")
+    assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("from_xml(") == 1
+    assert [(r["filing_id"], r["issuer_name"], r["cusip"]) for r in got.collect()] == [("a", "N", "C")]
+
+
 def test_an_idle_keys_state_goes(spark, tmp_path):
     from tidewater.streaming import jobs as J
 

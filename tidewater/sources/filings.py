@@ -62,7 +62,8 @@ def read_info_tables(spark: SparkSession, path: str, filing: Column | None = Non
     inner = F.regexp_extract("value", r"(?s)^(.*)</(?:[A-Za-z0-9_.-]+:)?$", 1)
     plain = F.regexp_replace(inner, r"(</?)[A-Za-z0-9_.-]+:", "$1")
     row = F.from_xml(F.concat(F.lit("<row>"), plain, F.lit("</row>")), f"struct<{_POSITION}>", {"mode": "PERMISSIVE"})
-    return _positions(lines.where(inner != "").select("filing_id", row.alias("p")))
+    # Exploded, as the filter on names and ids would otherwise be moved below the parsing and parse a row four times more.
+    return _positions(lines.where(inner != "").select("filing_id", F.explode(F.array(row)).alias("p")))
 
 
 def text_at(xml: Column, path: str) -> Column:
