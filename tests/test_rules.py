@@ -383,6 +383,36 @@ def test_deltas_dont_depend_on_the_order_of_arrival(spark, tmp_path):
     assert got[:2] == [(1, 1, 10.0, None), (1, 3, 12.0, 2.0)] and got[2] == (1, 5, 13.0, 1.0) and sorted(g[3] for g in got[3:5]) == [-2.0, 0.0] and got[5:] == [(2, 2, 7.0, None), (2, 8, 5.0, -2.0)]
 
 
+def test_deltas_of_many_keys_are_few_calls(spark, tmp_path):
+    """Keys share rows of the state, and each snapshot's change is as in a plain version, whatever its order of arrival."""
+    from tidewater.streaming import jobs as J
+
+    keep, n = 3 * 86_400_000_000, 3_000
+    rows = [(None if k % 1000 == 7 else (k << 50) + k, None if (k + i) % 97 == 0 and i else 1_700_000_000_000_000 + (k * 31 + i * i * 17) % 12 * 86_400_000_000, float((k * 7 + i * 5) % 9) if (k + i) % 101 else None) for i in range(6) for k in range(n)]
+    rows += [(-1, 1_004_247_000_000_000 + h * 3_600_000_000, v) for h, v in ((0, 5.0), (1, 2.0))]  # 01:30 twice in New York
+    rows += [(-2, 1_004_247_000_000_000, v) for v in (1.0, 1.0, 4.0)]
+    rows = [r for p in range(4) for r in rows[p::4]]
+    for p in range(3):
+        spark.createDataFrame(rows[p * 7000 : p * 7000 + 7000], "key long, at long, value double").select("key", F.timestamp_micros("at").alias("time"), "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = J.landing(spark, f"{tmp_path}/in", "key long, time timestamp, value double", files=1)
+        told = J.drain(J.deltas(stream, "10000 days", 3), spark, f"{tmp_path}/work")
+        got = [tuple(r) for r in J.latest_deltas(told).select("key", F.unix_micros("time"), "value", F.nanvl("delta", F.lit(None))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    last, want, by_key = float("inf"), [], {}
+    for k, at, v in rows:
+        by_key.setdefault(k, []).append((last if at is None else at, last if v is None else v))
+    for k, held in by_key.items():
+        held.sort()
+        for (b, w), (at, v) in zip([(None, last), *held], held):
+            near = b is not None and (at == last or at - b <= keep)
+            want.append((k, None if at == last else at, None if v == last else v, v - w if near and last not in (v, w) else None))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert spark.read.format("statestore").load(f"{tmp_path}/work/state").count() <= 513 < n
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -90,50 +90,72 @@ def keyed_sink(table: Table, keys: list[str], version: str):
     return put
 
 
-DELTA = "key long, time timestamp, value double, nth int, version long, delta double"
-#: Snapshots this much older than the watermark are let go, so that a session's time zone can't matter.
-_MARGIN = 86_400_000_000
-
-
-def _deltas(keep_ms: int):
-    keep = keep_ms * 1000
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        times, values, version = state.get if state.exists else ([], [], 0)
-        at = np.concatenate([np.array(times, "int64"), rows["time"].astype("datetime64[us]").astype("int64").to_numpy()])
-        value = np.concatenate([np.array(values, "float64"), rows["value"].to_numpy("float64")])
-        order = np.lexsort((value, at))  # stable: of equal snapshots the known ones come first
-        at, value, new = at[order], value[order], order >= len(times)
-        delta = np.full(len(at), np.nan)
-        delta[1:] = np.where(np.diff(at) <= keep, np.diff(value), np.nan)
-        nth = pd.DataFrame({"at": at, "value": value}).groupby(["at", "value"], dropna=False).cumcount().to_numpy()
-        told = new.copy()
-        told[1:] |= new[:-1]  # one that a new snapshot came before is told again
-        until, low = int(at[-1]) + keep, state.getCurrentWatermarkMs() * 1000 - _MARGIN
-        if until // 1000 > state.getCurrentWatermarkMs():
-            first = max(int(np.searchsorted(at, low, "right")) - 1, 0)
-            state.update((at[first:].tolist(), value[first:].tolist(), version + 1))
-            state.setTimeoutTimestamp(until // 1000)
+DELTA = "bucket int, key long, at long, value double, nth int, version long, delta double"
+HELD = "version long, keys binary, times binary, values binary"
+#: Of a snapshot without a time: it is its key's last.
+_NEVER = 2**63 - 1
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it in a column; missing values are equal."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= (c[1:] != c[:-1]) & ~((c[1:] != c[1:]) & (c[:-1] != c[:-1]))
+    return out
+
+
+def _deltas(keep: int):
+    """For all keys of a bucket at once, in order of key, time and value; times are in microseconds."""
+
+    def run(bucket, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        version, *held = state.get if state.exists else (0, b"", b"", b"")
+        key, at, value = (np.frombuffer(b, kind) for b, kind in zip(held, ("<i8", "<i8", "<f8"), strict=True))
+        new = np.zeros(len(key), bool)
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            key, at, value = (np.concatenate([a, rows[name].to_numpy(a.dtype)]) for name, a in (("key", key), ("at", at), ("value", value)))
+            order = np.lexsort((value, at, key))  # stable: of equal snapshots the known ones come first
+            key, at, value, new = key[order], at[order], value[order], order >= len(new)
+        first = _starts(key)
+        if new.any():
+            delta = np.full(len(key), np.nan)
+            near = ~first[1:] & ((at[1:] == _NEVER) | (np.diff(at) <= keep))
+            delta[1:][near] = np.diff(value)[near]
+            place = np.arange(len(key))
+            nth = place - np.maximum.accumulate(np.where(_starts(key, at, value), place, 0))
+            told = new.copy()
+            told[1:] |= new[:-1] & ~first[1:]  # one that a new snapshot came before is told again
+            yield pd.DataFrame({"bucket": bucket[0], "key": key[told], "at": at[told], "value": value[told], "nth": nth[told].astype("int32"), "version": version + 1, "delta": delta[told]})
+        low = state.getCurrentWatermarkMs() * 1000
+        until = np.maximum.reduceat(np.where(at == _NEVER, -_NEVER, at), np.flatnonzero(first)) + keep
+        kept = (until > low)[np.cumsum(first) - 1]
+        kept[:-1] &= first[1:] | (at[1:] > low)  # of a key's snapshots up to the watermark only the last one
+        if kept.any():
+            state.update((version + 1, *(a[kept].tobytes() for a in (key, at, value))))
+            state.setTimeoutTimestamp(max(int(until[until > low].min()) // 1000 + 1, 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"key": key[0], "time": pd.to_datetime(at[told], unit="us"), "value": value[told], "nth": nth[told].astype("int32"), "version": version + 1, "delta": delta[told]})
 
     return run
 
 
-def deltas(stream: DataFrame, late: str = "3 days", keep_days: int = 90) -> DataFrame:
+def deltas(stream: DataFrame, late: str = "3 days", keep_days: int = 90, buckets: int = 512) -> DataFrame:
     """Change of a key's value since the snapshot before it in time (key, time, value), in whatever order they arrive.
 
     The state holds a key's snapshots since the watermark, and the last one before. One that comes late makes the next one's
     row be told again, with a higher version; `latest_deltas` keeps the last. nth tells equal snapshots apart. A snapshot more
     than so many days after the one before has no delta, and a key's state goes when the watermark has passed that time
     after its last one. Rows that are later than the watermark are dropped.
+
+    Keys are dealt into buckets by a hash, and a bucket's keys are one row of the state and one call of Python, whatever
+    their number. A batch rewrites the buckets that it touches: choose their number by the state's size, and keep it for
+    as long as a checkpoint is used.
     """
-    return stream.withWatermark("time", late).groupBy("key").applyInPandasWithState(_deltas(keep_days * 86_400_000), DELTA, "times array<long>, values array<double>, version long", "append", "EventTimeTimeout")
+    bucket = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    rows = stream.withWatermark("time", late).select(bucket.alias("bucket"), F.coalesce("key", F.lit(0)).cast("long").alias("key"), "time", F.coalesce(F.unix_micros("time"), F.lit(_NEVER)).alias("at"), "value")
+    out = rows.groupBy("bucket").applyInPandasWithState(_deltas(keep_days * 86_400_000_000), DELTA, HELD, "append", "EventTimeTimeout")
+    return out.select(F.expr("CASE WHEN bucket >= 0 THEN key END").alias("key"), F.when(F.col("at") < _NEVER, F.timestamp_micros("at")).alias("time"), "value", "nth", "version", "delta")
 
 
 def latest_deltas(rows: DataFrame) -> DataFrame:
